@@ -198,7 +198,7 @@ def sql_lit(text: str) -> str:
 
 
 def _rate(num, den="COUNT(*)"):
-    return f"CASE WHEN {den} > 0 THEN CAST({num} AS DOUBLE) / {den} ELSE 0.0 END"
+    return f"CASE WHEN ({den}) > 0 THEN CAST({num} AS DOUBLE) / ({den}) ELSE 0.0 END"
 
 
 ORACLE = {
