@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierflow.constants import STRATEGY_PREFIXES, TIERS
-from tierflow.functions.judge import parse_judge_columns
+from tierflow.functions.judge import with_judge
 
 # strategy <-> which recorded candidate answer stands for it in a combined
 # evaluator reply (tier_3 answer for always_tier_3, tier_1 for ml_only,
@@ -18,8 +18,8 @@ STRATEGY_CANDIDATE = {"always_tier_3": 3, "ml_only": 1, "autopilot": 2}
 
 
 def parse_judge(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
-    cols = parse_judge_columns(F.col(text_col), with_reason=True)
-    return df.select(*keys, *[c.alias(n) for n, c in cols.items()])
+    parsed = with_judge(df.select(*keys, text_col), text_col)
+    return parsed.select(*keys, "verdict", "score", "reason", "passed", "parse_error")
 
 
 def combined_judge_texts(candidates: DataFrame) -> DataFrame:
@@ -42,13 +42,15 @@ def combined_judge_texts(candidates: DataFrame) -> DataFrame:
 
 def parse_judge_multi(texts: DataFrame, text_col: str = "evaluator_text") -> DataFrame:
     """Three rows per evaluator reply: score, verdict and pass for each prefix."""
+    df = texts
     entries = []
-    for strategy, prefix in STRATEGY_PREFIXES:
-        c = parse_judge_columns(F.col(text_col), prefix=prefix + "_", with_reason=False)
-        entries.append(F.struct(F.lit(strategy).alias("strategy"), c["verdict"].alias("verdict"),
-                                c["score"].alias("score"), c["passed"].alias("passed"),
-                                c["parse_error"].alias("parse_error")))
-    return texts.select("request_id", F.inline(F.array(*entries)))
+    for i, (strategy, prefix) in enumerate(STRATEGY_PREFIXES):
+        o = f"s{i}_"
+        df = with_judge(df, text_col, prefix=prefix + "_", out=o, with_reason=False)
+        entries.append(F.struct(F.lit(strategy).alias("strategy"), F.col(o + "verdict").alias("verdict"),
+                                F.col(o + "score").alias("score"), F.col(o + "passed").alias("passed"),
+                                F.col(o + "parse_error").alias("parse_error")))
+    return df.select("request_id", F.inline(F.array(*entries)))
 
 
 def judge_overhead(attempts: DataFrame) -> DataFrame:

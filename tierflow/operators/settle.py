@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tierflow.constants import (AUTO_ACCEPT_SCORE, FALLBACK_TIER, REASON_FALLBACK,
                                 REASON_TIER_1, REASON_TIER_2, TIER_1_THRESHOLD,
                                 TIER_2_THRESHOLD)
-from tierflow.functions.judge import parse_judge_columns
+from tierflow.functions.judge import with_judge
 from tierflow.functions.routing import dlit, tier_ord, two_threshold_tier
 
 VERIFIER_TIER = "tier_3"
@@ -123,15 +123,14 @@ def escalation_candidates(routed: DataFrame, candidates: DataFrame) -> DataFrame
 
 def _attempt_rows(routed: DataFrame, candidates: DataFrame, price: DataFrame,
                   accept: float, force_mode: str | None) -> DataFrame:
-    cand = with_cost(candidates, price)
+    cand = with_judge(with_cost(candidates, price), "judge_text", out="j_")
     j = escalation_candidates(routed, cand)
     mode = F.lit(force_mode) if force_mode else F.col("mode")
     escalated = F.col("tier_ord") > F.col("initial_ord")
     should, rule = verification_rule(F.col("tier"), escalated, F.col("initial_score"), accept)
     economy = mode == "economy"
     verify = ~economy & should
-    judge = parse_judge_columns(F.col("judge_text"), with_reason=True)
-    passed = F.coalesce(judge["passed"], F.lit(False))
+    passed = F.coalesce(F.col("j_passed"), F.lit(False))
     stop = economy | ~verify | passed
     return j.select(
         "request_id", "created_at", mode.alias("mode"), "category", "initial_tier",
@@ -140,9 +139,9 @@ def _attempt_rows(routed: DataFrame, candidates: DataFrame, price: DataFrame,
         escalated.alias("escalated_attempt"),
         F.when(economy, "economy_skips_verification").otherwise(rule).alias("verification_rule"),
         verify.alias("verification_performed"),
-        F.when(verify, judge["passed"]).alias("verification_passed"),
-        F.when(verify, judge["score"]).alias("verification_score"),
-        F.when(verify, judge["reason"]).alias("verification_reason"),
+        F.when(verify, F.col("j_passed")).alias("verification_passed"),
+        F.when(verify, F.col("j_score")).alias("verification_score"),
+        F.when(verify, F.col("j_reason")).alias("verification_reason"),
         "input_tokens", "output_tokens", "thinking_tokens",
         "generation_latency_ms",
         F.when(verify, F.col("judge_latency_ms")).otherwise(F.lit(0.0)).alias("verification_latency_ms"),
@@ -269,11 +268,10 @@ def strategy_replay(requests: DataFrame, candidates: DataFrame, price: DataFrame
     is the recorded judge verdict of the answer it ends with.
     """
     routed = route_requests(requests)
-    cand = with_cost(candidates, price)
-    judge = parse_judge_columns(F.col("judge_text"), with_reason=False)
+    cand = with_judge(with_cost(candidates, price), "judge_text", out="j_", with_reason=False)
     rows = cand.join(routed, "request_id").select(
-        "*", judge["score"].alias("q_score"),
-        F.coalesce(judge["passed"], F.lit(False)).alias("q_passed"))
+        "*", F.col("j_score").alias("q_score"),
+        F.coalesce(F.col("j_passed"), F.lit(False)).alias("q_passed"))
     # autopilot chain on the same rows (balanced mode regardless of request mode)
     escalated = F.col("tier_ord") > F.col("initial_ord")
     should, _ = verification_rule(F.col("tier"), escalated, F.col("initial_score"), accept)

@@ -55,15 +55,15 @@ def doc_terms(docs: DataFrame, key: str = "key", text: str = "prompt") -> DataFr
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_vocabulary(tf: DataFrame, min_df: int = TFIDF_MIN_DF,
-                   max_features: int = TFIDF_MAX_FEATURES, key: str = "key") -> DataFrame:
+def fit_vocabulary(tf: DataFrame, n_docs: int, min_df: int = TFIDF_MIN_DF,
+                   max_features: int = TFIDF_MAX_FEATURES) -> DataFrame:
     """(term, df, idf) for the kept terms; fitted on the training documents' tf rows.
 
-    ``n`` (number of fit documents) is a one-number aggregate; the vocabulary
+    ``n_docs`` (number of fit documents, empty ones included) is a one-number
+    aggregate taken from the documents, not from the terms; the vocabulary
     itself stays a DataFrame, bounded by ``max_features`` (top-k), and is
     broadcast where it is used.
     """
-    n_docs = tf.select(key).distinct().count()
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     kept = (stats.where(F.col("df") >= min_df)
             .orderBy(F.col("cf").desc(), F.col("term")).limit(max_features))
@@ -82,7 +82,8 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, key: str = "key") -> DataFram
 def tfidf(docs: DataFrame, fit_filter, key: str = "key", text: str = "prompt") -> DataFrame:
     tf = doc_terms(docs, key, text)
     fit_keys = docs.where(fit_filter).select(key)
-    vocab = fit_vocabulary(tf.join(fit_keys, key, "left_semi"), key=key)
+    n_docs = fit_keys.count()
+    vocab = fit_vocabulary(tf.join(fit_keys, key, "left_semi"), n_docs)
     return tfidf_weights(tf, vocab, key)
 
 

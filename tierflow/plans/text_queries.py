@@ -109,7 +109,7 @@ SELECT key, term, COUNT(*) AS tf FROM (
 GROUP BY key, term"""
 
 _VOCAB = f"""
-SELECT term, df, ln(CAST(1 + (SELECT COUNT(DISTINCT key) FROM tf WHERE key IN (SELECT key FROM routing_raw WHERE split = 'train')) AS DOUBLE) / (df + 1)) + 1 AS idf
+SELECT term, df, ln(CAST(1 + (SELECT COUNT(*) FROM routing_raw WHERE split = 'train') AS DOUBLE) / (df + 1)) + 1 AS idf
 FROM (SELECT term, COUNT(*) AS df, SUM(tf) AS cf FROM tf
       WHERE key IN (SELECT key FROM routing_raw WHERE split = 'train') GROUP BY term) s
 WHERE df >= {TFIDF_MIN_DF}
