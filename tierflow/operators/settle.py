@@ -79,13 +79,26 @@ def call_cost_expr(input_tokens, output_tokens, thinking_tokens, in_price, out_p
             + billable / 1000000 * out_price)
 
 
+def verifier_price(price: DataFrame, tier: str = VERIFIER_TIER) -> tuple[float, float]:
+    """The judge model's (input, output) price: one row of the price dimension,
+    read once as plan literals (a join on a constant key would plan as a
+    nested-loop join)."""
+    row = price.where(F.col("tier") == tier).select(
+        "input_cost_per_million", "output_cost_per_million").first()
+    if row is None:
+        raise ValueError(f"price table has no row for verifier tier {tier}")
+    return float(row[0]), float(row[1])
+
+
 def with_cost(candidates: DataFrame, price: DataFrame) -> DataFrame:
-    """Generation and (would-be) judge cost of every candidate answer."""
+    """Generation and (would-be) judge cost of every candidate answer.
+
+    The generation price comes from a broadcast hash join on ``tier`` (the
+    dimension is three rows); the verifier's price is a literal pair.
+    """
     p = F.broadcast(_price_cols(price, "tier", "gen_"))
-    v = F.broadcast(_price_cols(price, "verifier_tier", "judge_"))
-    df = (candidates.join(p, "tier", "left")
-          .withColumn("verifier_tier", F.lit(VERIFIER_TIER))
-          .join(v, "verifier_tier", "left"))
+    vin, vout = verifier_price(price)
+    df = candidates.join(p, "tier", "left")
     return df.select(
         "*",
         (F.coalesce("output_tokens", F.lit(0)) + F.coalesce("thinking_tokens", F.lit(0)))
@@ -93,7 +106,7 @@ def with_cost(candidates: DataFrame, price: DataFrame) -> DataFrame:
         call_cost_expr(F.col("input_tokens"), F.col("output_tokens"), F.col("thinking_tokens"),
                        F.col("gen_in_price"), F.col("gen_out_price")).alias("generation_cost_usd"),
         call_cost_expr(F.col("judge_input_tokens"), F.col("judge_output_tokens"), F.lit(0),
-                       F.col("judge_in_price"), F.col("judge_out_price")).alias("judge_cost_usd"),
+                       F.lit(vin), F.lit(vout)).alias("judge_cost_usd"),
     )
 
 
@@ -186,20 +199,31 @@ def _ordered_sum(col: str):
     return parts[0] + parts[1] + parts[2]
 
 
-def fold_attempts(attempts: DataFrame) -> DataFrame:
-    last = F.max_by(
-        F.struct("tier", "model_id", "verification_performed", "verification_passed",
-                 "verification_score"),
-        F.col("tier_ord"))
-    return (attempts.groupBy("request_id").agg(
-        F.any_value("created_at").alias("created_at"),
-        F.any_value("mode").alias("mode"),
-        F.any_value("category").alias("category"),
-        F.any_value("initial_tier").alias("initial_tier"),
-        F.any_value("tier_1_probability").alias("tier_1_probability"),
-        F.any_value("tier_2_probability").alias("tier_2_probability"),
-        F.any_value("tier_3_probability").alias("tier_3_probability"),
-        last.alias("last"),
+def tier_name(ord_col) -> F.Column:
+    return (F.when(ord_col == 1, "tier_1").when(ord_col == 2, "tier_2")
+            .when(ord_col == 3, "tier_3"))
+
+
+REQUEST_KEYS = ["request_id", "created_at", "mode", "category", "initial_tier",
+                "tier_1_probability", "tier_2_probability", "tier_3_probability"]
+
+
+def fold_attempts(attempts: DataFrame, price: DataFrame | None = None) -> DataFrame:
+    """One row per request; the last attempt (highest tier) gives the final fields.
+
+    Request attributes are grouping keys (they depend on ``request_id``
+    alone, so hash partitioning on ``request_id`` still satisfies the
+    aggregate and no exchange is added); every aggregate has a fixed-width
+    buffer (``max_by`` over numbers and booleans), so the plan is a hash
+    aggregate rather than a sort aggregate.  The final model id is a
+    broadcast lookup of the final tier.
+    """
+    o = F.col("tier_ord")
+    g = attempts.groupBy(*REQUEST_KEYS).agg(
+        F.max(o).alias("final_ord"),
+        F.max_by("verification_performed", o).alias("verification_performed"),
+        F.max_by("verification_passed", o).alias("verification_passed"),
+        F.max_by("verification_score", o).alias("verification_score"),
         F.count(F.lit(1)).cast("int").alias("attempt_count"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
@@ -207,20 +231,25 @@ def fold_attempts(attempts: DataFrame) -> DataFrame:
         _ordered_sum("total_attempt_cost_usd").alias("total_cost_usd"),
         _ordered_sum("attempt_latency_ms").alias("total_latency_ms"),
         F.bool_or("verification_performed").alias("any_verified"),
-    ).select(
-        "request_id", "created_at", "mode", "category", "initial_tier",
-        F.col("last.tier").alias("final_tier"),
-        F.col("last.model_id").alias("model_id"),
+    ).withColumn("final_tier", tier_name(F.col("final_ord")))
+    if price is None:
+        price = _price_from(attempts)
+    models = F.broadcast(price.select(F.col("tier").alias("final_tier"), "model_id"))
+    return g.join(models, "final_tier", "left").select(
+        "request_id", "created_at", "mode", "category", "initial_tier", "final_tier", "model_id",
         F.create_map(F.lit("tier_1"), "tier_1_probability", F.lit("tier_2"),
                      "tier_2_probability", F.lit("tier_3"), "tier_3_probability")
         .alias("routing_scores"),
-        F.col("last.verification_performed").alias("verification_performed"),
-        F.col("last.verification_passed").alias("verification_passed"),
-        F.col("last.verification_score").alias("verification_score"),
-        (F.col("last.tier") != F.col("initial_tier")).alias("escalated"),
+        "verification_performed", "verification_passed", "verification_score",
+        (F.col("final_tier") != F.col("initial_tier")).alias("escalated"),
         "attempt_count", "input_tokens", "output_tokens", "thinking_tokens",
         "total_cost_usd", "total_latency_ms", "any_verified",
-    ))
+    )
+
+
+def _price_from(attempts: DataFrame) -> DataFrame:
+    from tierflow.sources.views import price as price_view
+    return price_view(attempts.sparkSession)
 
 
 LOG_COLUMNS = [
@@ -234,7 +263,7 @@ LOG_COLUMNS = [
 def request_results(requests: DataFrame, candidates: DataFrame, price: DataFrame,
                     accept: float = AUTO_ACCEPT_SCORE) -> DataFrame:
     """The usage log: one settled, accounted row per request."""
-    return fold_attempts(settle(route_requests(requests), candidates, price, accept))
+    return fold_attempts(settle(route_requests(requests), candidates, price, accept), price)
 
 
 # --------------------------------------------------------------------------
@@ -296,9 +325,7 @@ def strategy_replay(requests: DataFrame, candidates: DataFrame, price: DataFrame
                  for k in (1, 2, 3)]
         return parts[0] + parts[1] + parts[2]
 
-    agg = rows.groupBy("request_id").agg(
-        F.any_value("category").alias("category"),
-        F.any_value("initial_tier").alias("routed_tier"),
+    agg = rows.groupBy("request_id", "category", F.col("initial_tier").alias("routed_tier")).agg(
         pick(is3, "generation_cost_usd").alias("t3_cost"),
         pick(is3, "generation_latency_ms").alias("t3_lat"),
         F.max(F.when(is3, F.col("q_passed"))).alias("t3_pass"),
@@ -307,7 +334,7 @@ def strategy_replay(requests: DataFrame, candidates: DataFrame, price: DataFrame
         pick(is_init, "generation_latency_ms").alias("ml_lat"),
         F.max(F.when(is_init, F.col("q_passed"))).alias("ml_pass"),
         pick(is_init, "q_score").alias("ml_q"),
-        pick(is_last, "tier").alias("ap_final"),
+        F.max(F.when(is_last, F.col("tier_ord"))).alias("ap_final_ord"),
         F.max(F.when(is_last, F.col("q_passed"))).alias("ap_pass"),
         pick(is_last, "q_score").alias("ap_q"),
         F.count(F.when(ap, 1)).cast("int").alias("ap_attempts"),
@@ -315,6 +342,7 @@ def strategy_replay(requests: DataFrame, candidates: DataFrame, price: DataFrame
         ordered(ap, ap_cost).alias("ap_cost"),
         ordered(ap, ap_lat).alias("ap_lat"),
     )
+    agg = agg.withColumn("ap_final", tier_name(F.col("ap_final_ord")))
     entry = "struct<strategy:string,initial_tier:string,final_tier:string," \
             "verification_performed:boolean,escalated:boolean,attempt_count:int," \
             "strategy_cost_usd:double,strategy_latency_ms:double,quality_passed:boolean," \

@@ -26,7 +26,7 @@ def attempts(spark, sf):
 
 
 def usage_log(spark, sf):
-    return S.fold_attempts(attempts(spark, sf))
+    return S.fold_attempts(attempts(spark, sf), V.price(spark))
 
 
 def replay(spark, sf):
