@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tierflow.constants import TFIDF_MAX_FEATURES, TFIDF_MIN_DF, WORD_CLASS
 from tierflow.functions.text import FEATURE_NAMES, feature_columns
+from tierflow.session import materialize
 
 TOKEN = f"[{WORD_CLASS}]{{2,}}"
 WEIGHT_DP = 9
@@ -160,7 +161,8 @@ def roc_auc(df: DataFrame, group: str, p: str, y: str, parts: int | None = None)
 
     1. collapse rows to distinct (group, score) with positive/negative counts;
     2. range-partition that table on (group, score) and checkpoint it, so each
-       task holds a contiguous slice of the score order;
+       task holds a contiguous slice of the score order, and materialise it
+       (written table in the shared checkpoint folder) so slice ids are fixed;
     3. prefix sums inside each slice (window on (slice, group)) plus slice
        offsets from a per-slice total table (slices x groups rows, broadcast);
     4. AUC = sum(pos * (neg_below + neg/2)) / (P * N), summed as exact
@@ -171,8 +173,8 @@ def roc_auc(df: DataFrame, group: str, p: str, y: str, parts: int | None = None)
     dist = df.groupBy(group, F.col(p).alias("score")).agg(
         F.sum(F.col(y).cast("bigint")).alias("pos"),
         F.sum((1 - F.col(y)).cast("bigint")).alias("neg"))
-    sliced = (dist.repartitionByRange(parts, group, "score")
-              .withColumn("slice", F.spark_partition_id()).checkpoint(eager=True))
+    sliced = materialize(dist.repartitionByRange(parts, group, "score")
+                         .withColumn("slice", F.spark_partition_id()), "auc-slices")
     w_in = Window.partitionBy("slice", group).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     within = sliced.withColumn("neg_before", F.coalesce(F.sum("neg").over(w_in), F.lit(0)))
     totals = sliced.groupBy("slice", group).agg(F.sum("neg").alias("slice_neg"))

@@ -11,7 +11,8 @@ from tierflow.sources.views import with_views
 def _families():
     from tierflow.plans import settle_queries
     fams = [settle_queries]
-    for mod in ("label_queries", "policy_queries", "text_queries", "stream_queries"):
+    for mod in ("label_queries", "policy_queries", "text_queries", "stream_queries",
+                "sink_queries", "model_queries"):
         try:
             fams.append(__import__(f"tierflow.plans.{mod}", fromlist=["SPARK"]))
         except ModuleNotFoundError:

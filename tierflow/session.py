@@ -54,3 +54,17 @@ _LOCAL_CKPT: str | None = None
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for one job or stream."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as a parquet table under the shared
+    checkpoint folder and reading it back.
+
+    One columnar pass (``Dataset.checkpoint`` computes the plan twice and
+    stores rows), and the result survives executor loss: it lives on the
+    shared file system, not in executor memory or local disk.
+    """
+    import uuid
+    path = checkpoint_path(df.sparkSession, os.path.join("tables", f"{name}-{uuid.uuid4().hex}"))
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
