@@ -76,6 +76,7 @@ DEFAULT_JUDGE_REASON = "No reason provided."
 TFIDF_MIN_DF = 2
 TFIDF_MAX_FEATURES = 40000
 LR_MAX_ITER = 2000
+LR_TOL = 1e-4                    # the solver's default stopping tolerance
 CALIBRATION_FOLDS = 3
 SEED = 42
 
