@@ -7,7 +7,7 @@ from tierflow.sources import views as V
 
 
 def _raw(spark, sf):
-    return V.routing_raw(spark, sf)
+    return V.routing_raw(spark, sf, with_labels=False)
 
 
 def q_score_extract(spark, sf):

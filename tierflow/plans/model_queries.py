@@ -10,7 +10,7 @@ from tierflow.sources import views as V
 
 def q_predict_success(spark, sf):
     """M4-M8: train on the train split, predict the test split, join on key."""
-    raw = V.routing_raw(spark, sf)
+    raw = V.routing_raw(spark, sf, with_labels=False)
     train = complete_rows(raw.where(F.col("split") == "train"), need_prompt=True)
     test = complete_rows(raw.where(F.col("split") == "test"), need_prompt=True)
     router = Router.train(train)

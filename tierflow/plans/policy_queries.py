@@ -14,11 +14,11 @@ from tierflow.sources import views as V
 
 
 def _rows(spark, sf, split):
-    return P.policy_rows(V.routing_scored(spark, sf), split)
+    return P.policy_rows(V.routing_scored(spark, sf, with_labels=False), split)
 
 
 SPARK = {
-    "route_decision": lambda s, d: with_decision(V.routing_scored(s, d)).select(
+    "route_decision": lambda s, d: with_decision(V.routing_scored(s, d, with_labels=False)).select(
         "key", "split", "selected_tier", "fallback_used", "reason"),
     "policy_baselines": lambda s, d: P.policy_baselines(_rows(s, d, "validation")),
     "policy_sweep": lambda s, d: P.policy_sweep(_rows(s, d, "validation")),

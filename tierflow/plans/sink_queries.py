@@ -24,7 +24,7 @@ def q_usage_log_appended(spark, sf):
 def q_labelled_split_written(spark, sf):
     """A2 / A3: labelled corpus written per split, read back with the training drop rule."""
     path = K.scratch_path(spark, "labelled")
-    K.write_labelled(L.label_corpus(V.routing_raw(spark, sf)).drop("quality", "toxic"), path)
+    K.write_labelled(L.label_corpus(V.routing_raw(spark, sf, with_labels=False)).drop("quality", "toxic"), path)
     df = K.read_labelled(spark, path, need_prompt=True)
     return df.select("key", "source_dataset", "dataset_level", "prompt", "routing_label",
                      "tier_1_score", "tier_2_score", "tier_3_score", "split")

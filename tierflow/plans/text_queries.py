@@ -36,12 +36,12 @@ def q_prompt_gate(spark, sf):
 
 
 def q_tfidf_weights(spark, sf):
-    raw = V.routing_raw(spark, sf).select("key", "prompt", "split")
+    raw = V.routing_raw(spark, sf, with_labels=False).select("key", "prompt", "split")
     return T.tfidf(raw, F.col("split") == "train")
 
 
 def q_scaled_features(spark, sf):
-    raw = V.routing_raw(spark, sf)
+    raw = V.routing_raw(spark, sf, with_labels=False)
     feats = T.prompt_features(raw.select("key", "prompt", "split"), key="key").join(
         raw.select("key", "split", "tier_1_score", "tier_2_score", "tier_3_score"), "key")
     train = complete_rows(feats.where(F.col("split") == "train"))
@@ -51,7 +51,7 @@ def q_scaled_features(spark, sf):
 
 def long_scores(spark, sf, split="validation"):
     """(key, tier, p, y): one row per prompt and tier from the scored view."""
-    rows = complete_rows(V.routing_scored(spark, sf).where(F.col("split") == split),
+    rows = complete_rows(V.routing_scored(spark, sf, with_labels=False).where(F.col("split") == split),
                          need_prompt=True)
     entries = [F.struct(F.lit(f"tier_{k}").alias("tier"),
                         F.col(f"tier_{k}_probability").alias("p"),

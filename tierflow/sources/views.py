@@ -27,13 +27,23 @@ def price(spark: SparkSession) -> DataFrame:
     )
 
 
-def routing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def routing_raw(spark: SparkSession, sf_dir: str, with_labels: bool = True) -> DataFrame:
+    """Documents as a labelled routing corpus.
+
+    ``labels`` is keyed by ``doc_id`` (unique), so the left join never changes
+    the row set; callers that do not read ``quality``/``toxic`` pass
+    ``with_labels=False`` and skip that join (and its shuffle at scale).
+    """
     d = read_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
-    lab = read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     k = F.col("doc_id")
+    if with_labels:
+        lab = read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+        d = d.join(lab, "doc_id", "left")
+    else:
+        d = d.select("*", F.lit(None).cast("int").alias("quality"),
+                     F.lit(None).cast("int").alias("toxic"))
     return (
-        d.join(lab, "doc_id", "left")
-        .select(
+        d.select(
             k.alias("key"),
             F.col("source").alias("source_dataset"),
             F.col("lang").alias("dataset_level"),
@@ -52,14 +62,14 @@ def routing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def routing_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def routing_scored(spark: SparkSession, sf_dir: str, with_labels: bool = True) -> DataFrame:
     k = F.col("key")
 
     def prob(a, b, c, d, e):
         v = F.least(F.lit(1000), ((k * a + b) % 101 + c) * 9 + ((k * d + e) % 101) * 1)
         return v.cast("double") / 1000
 
-    return routing_raw(spark, sf_dir).select(
+    return routing_raw(spark, sf_dir, with_labels).select(
         "*",
         prob(37, 11, 0, 17, 5).alias("tier_1_probability"),
         prob(53, 29, 10, 29, 3).alias("tier_2_probability"),
