@@ -75,6 +75,22 @@ def chosen_succeeded(selected, s1="tier_1_score", s2="tier_2_score", s3="tier_3_
 
 def score_from_text(text) -> Column:
     """Safe score extraction: non-numeric or NaN text -> null."""
-    v = F.expr("try_cast(__t AS DOUBLE)".replace("__t", "`%s`" % text)) \
-        if isinstance(text, str) else text.try_cast("double")
+    v = _c(text).try_cast("double")
     return F.nanvl(v, F.lit(None).cast("double"))
+
+
+# --------------------------------------------------------------------------
+# B25 scores map <-> JSON text; B28 report rounding
+# --------------------------------------------------------------------------
+def scores_to_json(scores) -> Column:
+    """MAP<STRING,DOUBLE> -> JSON object text (as stored in the usage log)."""
+    return F.to_json(_c(scores))
+
+
+def scores_from_json(text) -> Column:
+    return F.from_json(_c(text), "map<string,double>")
+
+
+def report_round(c, places: int) -> Column:
+    """Report rounding is half-to-even on doubles (``bround``), not half-up."""
+    return F.bround(_c(c), places)

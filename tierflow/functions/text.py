@@ -75,3 +75,12 @@ def gate_columns(prompt: Column, mode: Column) -> dict[str, Column]:
         "accepted": reason.isNull(),
         "reject_reason": reason,
     }
+
+
+def gate(df, prompt_col: str = "prompt", mode_col: str = "mode"):
+    """Split (prompt, mode) rows into (accepted, rejected-with-reason) DataFrames."""
+    cols = gate_columns(F.col(prompt_col), F.col(mode_col))
+    tagged = df.select("*", *[c.alias(n) for n, c in cols.items()])
+    accepted = tagged.where(F.col("accepted")).drop("accepted", "reject_reason")
+    rejected = tagged.where(~F.col("accepted")).drop("accepted", "clean_mode")
+    return accepted, rejected

@@ -46,6 +46,22 @@ def nested_corpus(raw: DataFrame) -> DataFrame:
     )
 
 
+CORPUS_MODELS = ("model_small", "model_medium", "model_large")
+
+
+def read_corpus(spark, path: str, fmt: str = "json", models=CORPUS_MODELS) -> DataFrame:
+    """A1: scan a nested corpus with an explicit schema; only ``<model>.score``
+    is declared for each model column, so nothing else is parsed or read."""
+    from pyspark.sql import types as T
+    model = T.StructType([T.StructField("score", T.StringType())])
+    schema = T.StructType(
+        [T.StructField("key", T.StringType()), T.StructField("dataset", T.StringType()),
+         T.StructField("dataset_level", T.StringType()), T.StructField("prompt", T.StringType()),
+         T.StructField("split", T.StringType())]
+        + [T.StructField(m, model) for m in models])
+    return spark.read.schema(schema).format(fmt).load(path)
+
+
 def extract_scores(corpus: DataFrame) -> DataFrame:
     return corpus.select(
         "key", "split",
