@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,34 +78,43 @@ def read_usage_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_log(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
-    """Append request rows; return the rejected rows (with a reason).
+    """Append request rows; return the rejects as (request_id, rejected_rows, reason).
 
     * a missing id becomes a content hash (deterministic, so a retried task
       produces the same id);
-    * within the batch the first row per id (by created_at, then content
-      hash) is kept;
-    * ids already in the log are rejected (left anti join on the id column
-      only, pruned from the parquet scan).
+    * within the batch the first row per id (earliest created_at, then
+      content hash) is kept: a ``min_by`` per id, partially aggregated in
+      each map task, so an id repeated across a third of the batch is
+      combined before the shuffle instead of landing in one task;
+    * ids already in the log are rejected (anti / semi join on the id
+      column only, pruned from the parquet scan).
     """
     create_usage_log(spark, path)
     df = rows.select(*[c for c in LOG_COLUMNS if c in rows.columns])
-    content = F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns if c != "request_id"])), 256)
-    df = df.withColumn("__h", content)
-    df = df.withColumn("request_id", F.coalesce(F.col("request_id"), F.col("__h")))
-    w = Window.partitionBy("request_id").orderBy(F.col("created_at").asc_nulls_last(), "__h")
+    payload = [c for c in df.columns if c != "request_id"]
+    content = F.sha2(F.to_json(F.struct(*[F.col(c) for c in payload])), 256)
+    df = (df.withColumn("__h", content)
+          .withColumn("request_id", F.coalesce(F.col("request_id"), F.col("__h"))))
+    first = F.struct(F.col("created_at").isNull(), F.col("created_at"), F.col("__h"))
+    winners = df.groupBy("request_id").agg(
+        F.min_by(F.struct(*payload), first).alias("w"),
+        F.count(F.lit(1)).alias("__n"))
     # the batch feeds three branches (kept, in-batch duplicates, known ids):
-    # a reliable checkpoint computes it once and cuts the lineage
-    ranked = materialize(df.withColumn("__rn", F.row_number().over(w)), "log-batch")
+    # a written table computes it once and cuts the lineage
+    winners = materialize(winners.select("request_id", "w.*", "__n"), "log-batch")
     existing = read_usage_log(spark, path).select("request_id")
-    fresh = ranked.where(F.col("__rn") == 1).join(existing, "request_id", "left_anti")
-    rejected_dup = ranked.where(F.col("__rn") > 1).withColumn("reject_reason", F.lit("duplicate_in_batch"))
-    rejected_old = (ranked.where(F.col("__rn") == 1).join(existing, "request_id", "left_semi")
-                    .withColumn("reject_reason", F.lit("duplicate_request_id")))
+    fresh = winners.join(existing, "request_id", "left_anti")
+    dup = winners.where(F.col("__n") > 1).select(
+        "request_id", (F.col("__n") - 1).alias("rejected_rows"),
+        F.lit("duplicate_in_batch").alias("reject_reason"))
+    old = winners.join(existing, "request_id", "left_semi").select(
+        "request_id", F.col("__n").alias("rejected_rows"),
+        F.lit("duplicate_request_id").alias("reject_reason"))
     # materialise the rejects before the log changes under the semi join
-    rejects = materialize(rejected_dup.unionByName(rejected_old).drop("__h", "__rn"), "log-rejects")
+    rejects = materialize(dup.unionByName(old), "log-rejects")
     # range-partition on (month, id): each task writes few files, and a hot
     # month is split across tasks instead of landing in one
-    out = fresh.drop("__h", "__rn").withColumn("created_month", F.date_format("created_at", "yyyy-MM"))
+    out = fresh.drop("__n").withColumn("created_month", F.date_format("created_at", "yyyy-MM"))
     (out.repartitionByRange("created_month", "request_id")
      .write.mode("append").partitionBy("created_month").parquet(path))
     return rejects
