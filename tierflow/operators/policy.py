@@ -115,26 +115,36 @@ def policy_baselines(rows: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 # E13 one-threshold sweep, E14 grid, G2 best
 # --------------------------------------------------------------------------
+def _grid_literal(grid) -> F.Column:
+    return F.array(*[F.lit(float(g)) for g in grid])
+
+
 def policy_sweep(rows: DataFrame, thresholds=SWEEP_THRESHOLDS) -> DataFrame:
     grid = sorted(thresholds)
     c = cells(rows, grid)
-    conf = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("threshold"))
-                               for i, t in enumerate(grid)])).alias("cfg")
-    x = c.select("*", conf).select("*", "cfg.i", "cfg.threshold")
+    x = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("i"))
+    x = x.withColumn("threshold", F.element_at(_grid_literal(grid), F.col("i") + 1))
     sel = _selected_from_buckets(F.col("i"), F.col("i"), F.col("i"))
     agg = x.groupBy("threshold").agg(*_metrics(sel, F.col("n")))
     return _finish(agg, ["threshold"], exact=True, tier_name="average_selected_tier")
 
 
 def policy_grid(rows: DataFrame, values=GRID_THRESHOLDS) -> DataFrame:
+    """All len(values)^3 configurations, generated per cell from an index
+    sequence (compact code; the configuration count is fixed, the cells are
+    bounded), then aggregated per configuration."""
     grid = sorted(values)
+    g = len(grid)
     c = cells(rows, grid)
-    conf = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i1"), F.lit(j).alias("i2"), F.lit(k).alias("i3"),
-                 F.lit(float(a)).alias("threshold_1"), F.lit(float(b)).alias("threshold_2"),
-                 F.lit(float(d)).alias("threshold_3"))
-        for i, a in enumerate(grid) for j, b in enumerate(grid) for k, d in enumerate(grid)]))
-    x = c.select("*", conf.alias("cfg")).select("*", "cfg.*")
+    x = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(g ** 3 - 1))).alias("cfg"))
+    i1 = (F.col("cfg") / (g * g)).cast("int")
+    i2 = ((F.col("cfg") / g).cast("int") % g)
+    i3 = F.col("cfg") % g
+    gl = _grid_literal(grid)
+    x = x.select("*", i1.alias("i1"), i2.alias("i2"), i3.alias("i3")).select(
+        "*", F.element_at(gl, F.col("i1") + 1).alias("threshold_1"),
+        F.element_at(gl, F.col("i2") + 1).alias("threshold_2"),
+        F.element_at(gl, F.col("i3") + 1).alias("threshold_3"))
     sel = _selected_from_buckets(F.col("i1"), F.col("i2"), F.col("i3"))
     keys = ["threshold_1", "threshold_2", "threshold_3"]
     agg = x.groupBy(*keys).agg(*_metrics(sel, F.col("n")))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tierflow.constants import (CODE_MARKERS, PY_SPACE_CLASS, REASONING_KEYWORDS,
                                 TECHNICAL_KEYWORDS, TFIDF_MAX_FEATURES, TFIDF_MIN_DF, WORD_CLASS)
 from tierflow.functions.routing import binary_target
-from tierflow.functions.text import FEATURE_NAMES, gate_columns
+from tierflow.functions.text import FEATURE_NAMES, feature_columns, gate_columns
+from tierflow.session import materialize
 from tierflow.operators import text_model as T
 from tierflow.operators.labels import complete_rows
 from tierflow.sources import views as V
@@ -41,11 +42,15 @@ def q_tfidf_weights(spark, sf):
 
 
 def q_scaled_features(spark, sf):
+    """M2: one pass over the text computes the 8 features for every document
+    (kept as a written table: 8 integers per document), the train split's
+    exact moments are fitted from it, and the scaling is a projection."""
     raw = V.routing_raw(spark, sf, with_labels=False)
-    feats = T.prompt_features(raw.select("key", "prompt", "split"), key="key").join(
-        raw.select("key", "split", "tier_1_score", "tier_2_score", "tier_3_score"), "key")
-    train = complete_rows(feats.where(F.col("split") == "train"))
-    stats = T.fit_scaler(train)
+    cols = feature_columns(F.col("prompt"))
+    feats = raw.select("key", "split", "tier_1_score", "tier_2_score", "tier_3_score",
+                       *[c.alias(n) for n, c in cols.items()])
+    feats = materialize(feats, "prompt-features")
+    stats = T.fit_scaler(complete_rows(feats.where(F.col("split") == "train")))
     return T.apply_scaler(feats, stats, keep=("key", "split"))
 
 
