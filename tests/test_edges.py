@@ -246,3 +246,18 @@ def test_bool_text_coercion(spark):
     df = spark.createDataFrame([("True",), ("false",), ("yes",), ("1",), (None,)], "x string")
     got = [r[0] for r in df.select(R.bool_text(F.col("x"))).collect()]
     assert got == [True, False, None, None, None]
+
+
+def test_coerce_bool_columns_only_text(spark):
+    df = spark.createDataFrame([("TRUE", True), ("no", False)], "quality_passed string, escalated boolean")
+    out = R.coerce_bool_columns(df).collect()
+    assert [r["quality_passed"] for r in out] == [True, None]
+    assert [r["escalated"] for r in out] == [True, False]
+
+
+def test_usage_reports_bundle(spark):
+    r, c = _fixture(spark)
+    log = S.request_results(r, c, price(spark))
+    rep = R.usage_reports(log, price(spark))
+    assert rep["summary"].first()["total_requests"] == len(PATHS)
+    assert sum(x["count"] for x in rep["tier_usage"].collect()) == len(PATHS)

@@ -77,7 +77,7 @@ def _with_share(counts: DataFrame, key: str) -> DataFrame:
 def tier_usage(log: DataFrame) -> DataFrame:
     """Count and percent by final tier; the three tiers always appear."""
     spark = log.sparkSession
-    dim = spark.createDataFrame([(t,) for t in TIERS], "tier string")
+    dim = spark.sql("SELECT tier FROM VALUES " + ", ".join(f"('{t}')" for t in TIERS) + " AS d(tier)")
     counts = log.groupBy(F.col("final_tier").alias("tier")).agg(F.count(F.lit(1)).alias("n"))
     full = F.broadcast(dim).join(counts, "tier", "full_outer").select(
         "tier", F.coalesce("n", F.lit(0)).cast("bigint").alias("count"))
@@ -212,3 +212,31 @@ def strategy_completeness(bench: DataFrame, required=("always_tier_3", "autopilo
     g = bench.groupBy("prompt_id").agg(*flags)
     missing = F.concat_ws(",", *[F.when(F.col(f"has_{s}") == 0, F.lit(s)) for s in sorted(required)])
     return g.select("prompt_id", missing.alias("missing")).where(F.col("missing") != "")
+
+
+def coerce_bool_columns(df: DataFrame, cols=("quality_passed", "verification_performed", "escalated")):
+    """A text column of 'true'/'false' (any case) becomes BOOLEAN, other
+    text null; a column that is already BOOLEAN is left as it is."""
+    types = dict(df.dtypes)
+    out = df
+    for c in cols:
+        if c in types and types[c] == "string":
+            out = out.withColumn(c, bool_text(F.col(c)))
+    return out
+
+
+def usage_reports(log: DataFrame, price: DataFrame, name: str = "usage-log-snapshot") -> dict:
+    """One written snapshot of the log feeds every usage report (one scan of
+    the source instead of one per report)."""
+    from tierflow.session import materialize
+    snap = materialize(log.select("request_id", "created_at", "mode", "initial_tier", "final_tier",
+                                  "verification_performed", "escalated", "any_verified",
+                                  "attempt_count", "input_tokens", "output_tokens",
+                                  "thinking_tokens", "total_cost_usd", "total_latency_ms"), name)
+    return {
+        "summary": usage_summary(snap),
+        "tier_usage": tier_usage(snap),
+        "mode_usage": mode_usage(snap),
+        "savings": savings_summary(snap, price),
+        "recent": recent_requests(snap),
+    }

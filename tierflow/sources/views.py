@@ -21,12 +21,17 @@ from tierflow.sources.tables import read_table
 
 
 def price(spark: SparkSession) -> DataFrame:
-    """The three-row price dimension (always small; callers broadcast it)."""
-    return spark.createDataFrame(
-        PRICE_ROWS,
-        "tier string, tier_ord int, model_id string, "
-        "input_cost_per_million double, output_cost_per_million double",
-    )
+    """The three-row price dimension (always small; callers broadcast it).
+
+    Built from SQL ``VALUES`` so it is a JVM-side local relation whose size
+    Catalyst knows, rather than a Python-decoded RDD scan.
+    """
+    rows = ", ".join(f"('{t}', {o}, '{m}', CAST({i} AS DOUBLE), CAST({out} AS DOUBLE))"
+                     for t, o, m, i, out in PRICE_ROWS)
+    return spark.sql(
+        f"SELECT tier, CAST(tier_ord AS INT) AS tier_ord, model_id, input_cost_per_million, "
+        f"output_cost_per_million FROM VALUES {rows} "
+        f"AS t(tier, tier_ord, model_id, input_cost_per_million, output_cost_per_million)")
 
 
 def routing_raw(spark: SparkSession, sf_dir: str, with_labels: bool = True) -> DataFrame:
