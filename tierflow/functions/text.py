@@ -62,13 +62,15 @@ def gate_columns(prompt: Column, mode: Column) -> dict[str, Column]:
     Order: request bounds on the raw text (1..20,000 code points), then the
     service's blank check after a Unicode strip, then the mode check.
     """
-    stripped = F.regexp_replace(prompt, f"^[{PY_SPACE_CLASS}]+|[{PY_SPACE_CLASS}]+$", "")
+    # blank after a Unicode strip <=> only whitespace: an anchored match that
+    # stops at the first non-space character (no copy of a long text)
+    blank = prompt.rlike(f"^[{PY_SPACE_CLASS}]*$")
     clean_mode = F.coalesce(F.lower(F.regexp_replace(
         mode, f"^[{PY_SPACE_CLASS}]+|[{PY_SPACE_CLASS}]+$", "")), F.lit(DEFAULT_MODE))
     reason = (F.when(prompt.isNull(), "missing_prompt")
               .when(F.length(prompt) < 1, "empty_prompt")
               .when(F.length(prompt) > MAX_PROMPT_CHARS, "prompt_too_long")
-              .when(F.length(stripped) == 0, "blank_prompt")
+              .when(blank, "blank_prompt")
               .when(~clean_mode.isin(*MODES), "unsupported_mode"))
     return {
         "clean_mode": clean_mode,

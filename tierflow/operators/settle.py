@@ -270,19 +270,33 @@ def request_results(requests: DataFrame, candidates: DataFrame, price: DataFrame
 # Cost identities as a data-quality job (violating rows only)
 # --------------------------------------------------------------------------
 def cost_identity_violations(attempts: DataFrame, tol: float = 1e-12) -> DataFrame:
-    a = attempts.select(
-        "request_id", "tier",
-        F.lit("attempt_cost").alias("identity"),
-        (F.col("total_attempt_cost_usd")
-         - (F.col("generation_cost_usd") + F.col("verification_cost_usd"))).alias("difference"),
+    """Rows breaking a cost identity, in one pass over the attempts.
+
+    attempt: total = generation + verification; request: the request total
+    accumulated in attempt order equals the plain sum of its attempts.  The
+    request-level sums are windows on ``request_id`` (the attempts are
+    already partitioned on it, so no exchange), and each request reports
+    once, on its last attempt.
+    """
+    w = Window.partitionBy("request_id")
+    cost = F.col("total_attempt_cost_usd")
+    parts = [F.coalesce(F.sum(F.when(F.col("tier_ord") == k, cost)).over(w), F.lit(0.0))
+             for k in (1, 2, 3)]
+    sums = attempts.select(
+        "request_id", "tier", "tier_ord",
+        (cost - (F.col("generation_cost_usd") + F.col("verification_cost_usd"))).alias("attempt_diff"),
+        ((parts[0] + parts[1] + parts[2]) - F.sum(cost).over(w)).alias("request_diff"),
+        (F.col("tier_ord") == F.max("tier_ord").over(w)).alias("is_last"))
+    checks = F.array(
+        F.struct(F.col("tier").alias("tier"), F.lit("attempt_cost").alias("identity"),
+                 F.col("attempt_diff").alias("difference")),
+        F.when(F.col("is_last"), F.struct(F.lit(None).cast("string").alias("tier"),
+                                          F.lit("request_cost").alias("identity"),
+                                          F.col("request_diff").alias("difference"))),
     )
-    folded = fold_attempts(attempts)
-    per_req = attempts.groupBy("request_id").agg(F.sum("total_attempt_cost_usd").alias("s"))
-    r = folded.join(per_req, "request_id").select(
-        "request_id", F.lit(None).cast("string").alias("tier"),
-        F.lit("request_cost").alias("identity"),
-        (F.col("total_cost_usd") - F.col("s")).alias("difference"))
-    return a.unionByName(r).where(F.abs("difference") > tol)
+    out = sums.select("request_id", F.explode(checks).alias("c")).where(F.col("c").isNotNull())
+    return (out.select("request_id", "c.tier", "c.identity", "c.difference")
+            .where(F.abs("difference") > tol))
 
 
 # --------------------------------------------------------------------------
