@@ -8,7 +8,7 @@ from tests.conftest import SF_SMALL
 from tierflow.functions.routing import binary_target
 from tierflow.operators import text_model as TM
 from tierflow.operators.labels import complete_rows
-from tierflow.operators.learn import FeatureModel, Router, TierModel
+from tierflow.operators.learn import FeatureModel, Router, TierModel, brier_report
 from tierflow.session import checkpoint_path
 from tierflow.sources import views as V
 
@@ -35,8 +35,12 @@ def test_tier_model_save_load(spark, train_rows):
     x = fm.transform(train_rows.select("key", "prompt")).join(
         train_rows.select("key", "tier_3_score"), "key").withColumn("y", binary_target("tier_3_score"))
     m = TierModel.fit(x)
-    p1 = {r["key"]: r["p"] for r in m.predict(x, "p").select("key", "p").collect()}
+    scored = m.predict(x, "p", uncalibrated="p_raw")
+    p1 = {r["key"]: r["p"] for r in scored.select("key", "p").collect()}
     assert all(0.0 <= v <= 1.0 for v in p1.values())
+    rep = brier_report(scored, "y", "p", "p_raw").first()
+    assert rep["rows"] == len(p1)
+    assert 0.0 <= rep["brier_calibrated"] <= 1.0 and 0.0 <= rep["brier_uncalibrated"] <= 1.0
     path = checkpoint_path(spark, "test-tier-model")
     m.save(path)
     p2 = {r["key"]: r["p"] for r in TierModel.load(path).predict(x, "p").select("key", "p").collect()}

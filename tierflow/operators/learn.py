@@ -168,18 +168,27 @@ class TierModel:
     def fit(train: DataFrame, label: str = "y", folds: int = CALIBRATION_FOLDS) -> "TierModel":
         return TierModel([TierModel.fit_pair(train, k, label, folds) for k in range(folds)])
 
-    def predict(self, feats: DataFrame, out: str) -> DataFrame:
-        """Mean of the calibrated fold models' P(class 1)."""
+    def predict(self, feats: DataFrame, out: str, uncalibrated: str | None = None) -> DataFrame:
+        """Mean of the calibrated fold models' P(class 1); optionally also the
+        mean of the base models' own probabilities (before calibration)."""
         df = feats
-        probs = []
+        probs, raw = [], []
         for i, (base, platt) in enumerate(self.pairs):
             df = margin(base, df, f"__m{i}")
             a, b = float(platt.coefficients[0]), float(platt.intercept)
             probs.append(1.0 / (1.0 + F.exp(-(F.col(f"__m{i}") * a + b))))
-        total = probs[0]
-        for p in probs[1:]:
-            total = total + p
-        return df.withColumn(out, total / len(probs)).drop(*[f"__m{i}" for i in range(len(self.pairs))])
+            raw.append(1.0 / (1.0 + F.exp(-F.col(f"__m{i}"))))
+
+        def mean(cols):
+            total = cols[0]
+            for c in cols[1:]:
+                total = total + c
+            return total / len(cols)
+
+        df = df.withColumn(out, mean(probs))
+        if uncalibrated:
+            df = df.withColumn(uncalibrated, mean(raw))
+        return df.drop(*[f"__m{i}" for i in range(len(self.pairs))])
 
     def save(self, path: str) -> None:
         for i, (base, platt) in enumerate(self.pairs):
@@ -193,6 +202,16 @@ class TierModel:
                           for i in range(folds)])
 
 
+def brier_report(scored: DataFrame, label: str, calibrated: str, uncalibrated: str) -> DataFrame:
+    """Brier score (mean squared error of the probability) before and after
+    calibration: one global aggregation."""
+    y = F.col(label).cast("double")
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.avg((F.col(uncalibrated) - y) * (F.col(uncalibrated) - y)).alias("brier_uncalibrated"),
+        F.avg((F.col(calibrated) - y) * (F.col(calibrated) - y)).alias("brier_calibrated"))
+
+
 class Router:
     """M7: one shared feature model and three calibrated tier models."""
 
@@ -227,6 +246,23 @@ class Router:
             df = self.tiers[t].predict(df, f"{t}_probability")
         return df.drop("features")
 
+    def calibration_report(self, rows: DataFrame) -> DataFrame:
+        """Per tier: Brier score of the base models' mean probability and of the
+        calibrated probability, on labelled rows (key, prompt, tier scores)."""
+        df = self.features.transform(rows.select("key", "prompt")).join(
+            rows.select("key", *[f"{t}_score" for t in TIERS]), "key")
+        aggs = [F.count(F.lit(1)).alias("rows")]
+        for t in TIERS:
+            df = self.tiers[t].predict(df, f"{t}_cal", uncalibrated=f"{t}_raw")
+            y = binary_target(f"{t}_score").cast("double")
+            aggs += [F.avg((F.col(f"{t}_raw") - y) * (F.col(f"{t}_raw") - y)).alias(f"{t}_before"),
+                     F.avg((F.col(f"{t}_cal") - y) * (F.col(f"{t}_cal") - y)).alias(f"{t}_after")]
+        g = df.drop("features").agg(*aggs)
+        entries = [F.struct(F.lit(t).alias("tier"), F.col("rows"),
+                            F.col(f"{t}_before").alias("brier_uncalibrated"),
+                            F.col(f"{t}_after").alias("brier_calibrated")) for t in TIERS]
+        return g.select(F.inline(F.array(*entries)))
+
     def save(self, path: str) -> None:
         self.features.save(f"{path}/features")
         for t, m in self.tiers.items():

@@ -18,5 +18,13 @@ def q_predict_success(spark, sf):
     return test.select("key", "split").join(pred, "key")
 
 
-SPARK = {"predict_success": q_predict_success}
+def q_calibration_report(spark, sf):
+    """M5 check: Brier score before and after calibration on the validation split."""
+    raw = V.routing_raw(spark, sf, with_labels=False)
+    train = complete_rows(raw.where(F.col("split") == "train"), need_prompt=True)
+    val = complete_rows(raw.where(F.col("split") == "validation"), need_prompt=True)
+    return Router.train(train).calibration_report(val)
+
+
+SPARK = {"predict_success": q_predict_success, "calibration_report": q_calibration_report}
 ORACLE: dict = {}
