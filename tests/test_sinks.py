@@ -82,3 +82,17 @@ def test_gate_split_and_scores_json(spark):
     m = spark.createDataFrame([({"tier_1": 0.5, "tier_2": 0.25},)], "s map<string,double>")
     back = m.select(scores_from_json(scores_to_json("s")).alias("b")).first()["b"]
     assert back == {"tier_1": 0.5, "tier_2": 0.25}
+
+
+def test_nested_corpus_json_roundtrip(spark):
+    from tests.conftest import SF_SMALL
+    from tierflow.operators import labels as L
+    from tierflow.sources import views as V
+    raw = V.routing_raw(spark, SF_SMALL, with_labels=False)
+    corpus = L.nested_corpus(raw).withColumn("key", F.col("key").cast("string"))
+    path = K.scratch_path(spark, "corpus-json")
+    corpus.write.json(path)
+    back = L.extract_scores(L.read_corpus(spark, path))
+    direct = L.extract_scores(corpus)
+    key = lambda r: r["key"]
+    assert sorted(back.collect(), key=key) == sorted(direct.collect(), key=key)
