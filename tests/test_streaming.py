@@ -47,3 +47,22 @@ def test_summary_equals_batch(spark):
         F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("i"))
     exp = {(r["day"], r["final_tier"]): (r["n"], r["i"]) for r in b.collect()}
     assert got == exp
+
+
+def test_streams_independent_of_session_zone(spark):
+    """Event time is wall clock: a non-UTC session gives the same log and days."""
+    from tierflow.sources.views import usage_events
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        log = {r["request_id"]: r["created_at"] for r in LS.stream_log(spark, SF_SMALL).collect()}
+        days = {(r["day"], r["final_tier"]): r["requests"]
+                for r in LS.stream_summary(spark, SF_SMALL).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    b = usage_events(spark, SF_SMALL)
+    assert log == {r["request_id"]: r["created_at"] for r in b.collect()}
+    exp = {(r["day"], r["final_tier"]): r["n"] for r in b.groupBy(
+        F.date_format("created_at", "yyyy-MM-dd").alias("day"), "final_tier").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    assert days == exp

@@ -28,13 +28,27 @@ from tierflow.session import checkpoint_path
 WATERMARK = "1 day"
 
 
+def event_instant(ntz) -> F.Column:
+    """The wall-clock event time read as a UTC instant, whatever the session
+    zone: watermarks need a TIMESTAMP, and daily windows (aligned to UTC
+    midnight) then fall on the wall-clock dates."""
+    c = F.col(ntz) if isinstance(ntz, str) else ntz
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                            F.second(c), F.lit("UTC"))
+
+
 def usage_rows(events: DataFrame) -> DataFrame:
-    """Raw events -> usage-log rows (same rules as the batch ``usage_events`` view)."""
+    """Raw events -> usage-log rows (same rules as the batch ``usage_events`` view).
+
+    ``event_time`` keeps the original wall-clock value; ``created_at`` is its
+    UTC instant for the watermark and windows.
+    """
     et = F.col("event_type")
     n = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
     return events.select(
         F.col("event_id").cast("string").alias("request_id"),
-        F.col("ts").cast("timestamp").alias("created_at"),   # NTZ -> session-zone TIMESTAMP
+        event_instant("ts").alias("created_at"),
+        F.col("ts").alias("event_time"),
         F.when(et.isin("click", "view"), "economy").otherwise("balanced").alias("mode"),
         F.when(et.isin("click", "error"), "tier_1").when(et == "view", "tier_2")
         .otherwise("tier_3").alias("final_tier"),
@@ -108,8 +122,10 @@ def read_summary(spark: SparkSession, out: str) -> DataFrame:
     latest = s.groupBy("window", "final_tier").agg(
         F.max_by(F.struct("requests", "input_tokens", "output_tokens", "total_latency_ms"),
                  F.col("version")).alias("v"))
+    # day label from the window start's epoch day: independent of the session zone
+    day = F.date_from_unix_date((F.unix_seconds(F.col("window.start")) / 86400).cast("int"))
     return latest.select(
-        F.date_format(F.col("window.start"), "yyyy-MM-dd").alias("day"), "final_tier",
+        F.date_format(day, "yyyy-MM-dd").alias("day"), "final_tier",
         F.col("v.requests").cast("bigint").alias("requests"),
         F.col("v.input_tokens").cast("bigint").alias("input_tokens"),
         F.col("v.output_tokens").cast("bigint").alias("output_tokens"),
@@ -124,8 +140,7 @@ def run_paths(spark: SparkSession, tag: str | None = None) -> dict:
 def stream_log(spark: SparkSession, sf_dir: str, paths: dict | None = None) -> DataFrame:
     p = paths or run_paths(spark)
     ingest(spark, event_stream(spark, sf_dir), p["log"], p["log_ckpt"], p["rejects"])
-    return read_log(spark, p["log"]).withColumn(
-        "created_at", F.col("created_at").cast("timestamp_ntz"))
+    return read_log(spark, p["log"]).withColumn("created_at", F.col("event_time")).drop("event_time")
 
 
 def stream_summary(spark: SparkSession, sf_dir: str, paths: dict | None = None) -> DataFrame:
