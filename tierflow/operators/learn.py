@@ -127,9 +127,19 @@ def fit_base(df: DataFrame, label: str = "y") -> LogisticRegressionModel:
     return model
 
 
+MARGIN_CLIP = 50.0
+
+
 def margin(model: LogisticRegressionModel, df: DataFrame, out: str) -> DataFrame:
-    return model.transform(df).select(
-        *[c for c in df.columns], vector_to_array("rawPrediction")[1].alias(out))
+    """Class-1 margin, clipped to +-50 (the sigmoid is saturated there).
+
+    A fold whose training part holds one class gets an infinite intercept
+    from Spark's logistic regression; clipping keeps the Platt fit and the
+    calibrated mean finite instead of failing or producing NaN.
+    """
+    m = vector_to_array("rawPrediction")[1]
+    clipped = F.greatest(F.lit(-MARGIN_CLIP), F.least(F.lit(MARGIN_CLIP), m))
+    return model.transform(df).select(*[c for c in df.columns], clipped.alias(out))
 
 
 def fit_platt(margins: DataFrame, m: str, label: str = "y") -> LogisticRegressionModel:
@@ -166,7 +176,10 @@ class TierModel:
 
     @staticmethod
     def fit(train: DataFrame, label: str = "y", folds: int = CALIBRATION_FOLDS) -> "TierModel":
-        return TierModel([TierModel.fit_pair(train, k, label, folds) for k in range(folds)])
+        """The folds are independent jobs: submit them side by side."""
+        with ThreadPoolExecutor(max_workers=folds) as pool:
+            futs = [pool.submit(TierModel.fit_pair, train, k, label, folds) for k in range(folds)]
+            return TierModel([f.result() for f in futs])
 
     def predict(self, feats: DataFrame, out: str, uncalibrated: str | None = None) -> DataFrame:
         """Mean of the calibrated fold models' P(class 1); optionally also the

@@ -4,7 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tierflow.operators.labels import complete_rows
-from tierflow.operators.learn import Router
+from tierflow.operators import text_model as TM
+from tierflow.operators.learn import FeatureModel, Router, TierModel
+from tierflow.session import materialize
 from tierflow.sources import views as V
 
 
@@ -26,5 +28,23 @@ def q_calibration_report(spark, sf):
     return Router.train(train).calibration_report(val)
 
 
-SPARK = {"predict_success": q_predict_success, "calibration_report": q_calibration_report}
+def q_quality_model_metrics(spark, sf):
+    """M7 with the document-quality label as the target: the calibrated model
+    trained on labelled train documents, scored on labelled validation
+    documents, reported with the E20 metrics (confusion counts, AUC)."""
+    raw = V.routing_raw(spark, sf, with_labels=True)
+    lab = raw.where(F.col("quality").isNotNull() & F.col("prompt").isNotNull()).select(
+        "key", "prompt", "split", F.col("quality").cast("int").alias("y"))
+    train = lab.where(F.col("split") == "train")
+    val = lab.where(F.col("split") == "validation")
+    fm = FeatureModel.fit(train.select("key", "prompt"))
+    x = materialize(fm.transform(train.select("key", "prompt")).join(train.select("key", "y"), "key"),
+                    "quality-train")
+    model = TierModel.fit(x)
+    scored = model.predict(fm.transform(val.select("key", "prompt")).join(val.select("key", "y"), "key"), "p")
+    return TM.classifier_metrics(scored.withColumn("target", F.lit("quality")), "target", "p", "y")
+
+
+SPARK = {"predict_success": q_predict_success, "calibration_report": q_calibration_report,
+         "quality_model_metrics": q_quality_model_metrics}
 ORACLE: dict = {}
