@@ -25,19 +25,23 @@ def parse_judge(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
 def combined_judge_texts(candidates: DataFrame) -> DataFrame:
     """One evaluator reply per request holding all three strategies' verdicts.
 
-    Each candidate's ``VERDICT:`` / ``SCORE:`` lines are renamed with the
-    strategy prefix and the three pieces are joined in a fixed order.  The
-    per-request group is bounded (three candidate rows).
+    Each candidate's ``VERDICT:`` / ``SCORE:`` lines are renamed with its
+    strategy prefix; the pieces (at most three per request) are collected,
+    put in the fixed strategy order and joined.  ``collect_list`` of a
+    bounded group is a hash-based object aggregate (no sort aggregate).
     """
-    pieces = []
-    for strategy, prefix in STRATEGY_PREFIXES:
-        k = STRATEGY_CANDIDATE[strategy]
-        t = F.max(F.when(F.col("tier_ord") == k, F.col("judge_text")))
-        t = F.replace(F.replace(t, F.lit("VERDICT:"), F.lit(f"{prefix}_VERDICT:")),
-                      F.lit("SCORE:"), F.lit(f"{prefix}_SCORE:"))
-        pieces.append(t)
-    return candidates.groupBy("request_id").agg(
-        F.concat_ws("\n", *pieces).alias("evaluator_text"))
+    ordr = F.lit(None).cast("int")
+    text = F.lit(None).cast("string")
+    for pos, (strategy, prefix) in enumerate(STRATEGY_PREFIXES):
+        is_k = F.col("tier_ord") == STRATEGY_CANDIDATE[strategy]
+        renamed = F.replace(F.replace(F.col("judge_text"), F.lit("VERDICT:"), F.lit(f"{prefix}_VERDICT:")),
+                            F.lit("SCORE:"), F.lit(f"{prefix}_SCORE:"))
+        ordr = F.when(is_k, F.lit(pos)).otherwise(ordr)
+        text = F.when(is_k, renamed).otherwise(text)
+    pieces = candidates.select("request_id", F.struct(ordr.alias("pos"), text.alias("t")).alias("p"))
+    g = pieces.groupBy("request_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    return g.select("request_id",
+                    F.concat_ws("\n", F.transform("ps", lambda x: x["t"])).alias("evaluator_text"))
 
 
 def parse_judge_multi(texts: DataFrame, text_col: str = "evaluator_text") -> DataFrame:
