@@ -7,7 +7,7 @@ from tierflow.plans.registry import queries
 Q = queries()
 # training jobs, streams and sinks execute while being built; their plans are
 # checked through the operators they reuse
-SKIP = {"predict_success", "calibration_report", "stream_log", "stream_summary",
+SKIP = {"predict_success", "calibration_report", "quality_model_metrics", "stream_log", "stream_summary",
         "usage_log_appended", "labelled_split_written", "benchmark_roundtrip"}
 
 

@@ -194,4 +194,13 @@ def roc_auc(df: DataFrame, group: str, p: str, y: str, parts: int | None = None)
 
 
 def classifier_metrics(df: DataFrame, group: str, p: str, y: str) -> DataFrame:
-    return confusion_metrics(df, group, p, y).join(roc_auc(df, group, p, y), group, "left")
+    """Confusion figures and AUC per group, put side by side without a join:
+    both are tiny per-group aggregates, unioned and folded with a max (a
+    join on a constant group key would plan as a nested-loop join)."""
+    conf = confusion_metrics(df, group, p, y)
+    auc = roc_auc(df, group, p, y)
+    cols = [c for c in conf.columns if c != group]
+    both = conf.withColumn("roc_auc", F.lit(None).cast("double")).unionByName(
+        auc.select(group, *[F.lit(None).cast(conf.schema[c].dataType).alias(c) for c in cols],
+                   "roc_auc"))
+    return both.groupBy(group).agg(*[F.max(c).alias(c) for c in cols + ["roc_auc"]])

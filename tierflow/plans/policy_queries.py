@@ -5,7 +5,6 @@ The oracle scores every configuration against every row by brute force
 """
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tierflow.constants import GRID_THRESHOLDS, SWEEP_THRESHOLDS
 from tierflow.operators import policy as P
