@@ -4,11 +4,15 @@ from __future__ import annotations
 from tierflow.llm.mixing import op3_mix
 from tierflow.llm.quality import op5_quality
 from tierflow.llm.secrets import op9_secrets
+from tierflow.llm.suffix_sort import op7_suffix_sort
+from tierflow.llm.suffix_tree import op4_suffix_tree
 from tierflow.llm.warc import op10_warc
 
 QUERIES = {
     "op3_mix": op3_mix,
+    "op4_suffix_tree": op4_suffix_tree,
     "op5_quality": op5_quality,
+    "op7_suffix_sort": op7_suffix_sort,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
 }
