@@ -116,10 +116,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     shares = tuple(sorted(shares))
     own = [c for c in docs.columns if keep_text or c != text]
     sized = docs.select(*own, size_of(text).alias("_size"), hash_of(doc_id, text).alias("_hv"))
-    if not keep_text:
+    if not keep_text:  # sizes and hashes are a small table, so texts are read once
         sized = materialize(sized, "mix-sizes")
-    t = thresholds(sized.select(F.col(source).alias("source"), F.col("_size").alias("size"), F.col("_hv").alias("hv")),
-                   shares, weights, cap)
+    slim = sized.select(F.col(source).alias("source"), F.col("_size").alias("size"), F.col("_hv").alias("hv"))
+    t = thresholds(materialize(slim, "mix-sizes") if keep_text else slim, shares, weights, cap)
     t = t.groupBy(F.col("source").alias("_s")).agg(
         F.max("source_size").alias("source_size"),
         F.max_by("target", "budget").alias("target"),

@@ -7,8 +7,7 @@ back to its documents.
 
 Cases: a null text has no words; a null host is a host of its own; an empty
 table gives an empty result; repeated rows count and come back repeatedly;
-other columns of the input are carried by ``apply_rules`` and may have any
-name but those that it adds.
+``passing`` carries all other columns, whatever their names.
 """
 from __future__ import annotations
 
@@ -101,7 +100,7 @@ def measure_chunk(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without its text and with the six counts of each whole text."""
+    """docs without ``text`` and with the six counts of each whole text."""
     keep = [c for c in docs.columns if c != text]
     fields = [docs.schema[c] for c in keep]
     from pyspark.sql.types import LongType, StructField, StructType
@@ -133,13 +132,13 @@ def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = M
         F.count(F.lit(1)).alias("n_docs"),
         *[F.count_if(F.expr(rule)).alias(f"fail_{name}") for name, rule in RULES.items()])
     rate = {name: F.col(f"fail_{name}") / F.col("n_docs") for name in RULES}
-    prior = per_host.agg(
-        *[F.avg(r).alias(f"m_{n}") for n, r in rate.items()],
-        *[F.coalesce(F.var_pop(r), F.lit(0.0)).alias(f"v_{n}") for n, r in rate.items()])
-    out = per_host.join(F.broadcast(prior))  # prior is one row
+    per_host = materialize(per_host, "quality-hosts")
+    prior = per_host.agg(*[F.avg(r).alias(f"m_{n}") for n, r in rate.items()],
+                         *[F.var_pop(r).alias(f"v_{n}") for n, r in rate.items()]).first()  # two numbers a rule
+    out = per_host
     for n in RULES:
-        m, v = F.col(f"m_{n}"), F.col(f"v_{n}")
-        strength = F.least(F.greatest(m * (1 - m) / F.greatest(v, F.lit(1e-12)) - 1, F.lit(1.0)), F.lit(1e6))
+        m, v = prior[f"m_{n}"] or 0.0, prior[f"v_{n}"] or 0.0
+        strength = min(max(m * (1 - m) / max(v, 1e-12) - 1, 1.0), 1e6)
         out = out.withColumn(f"rate_{n}", (F.col(f"fail_{n}") + m * strength) / (F.col("n_docs") + strength))
     return out.select(
         "host", "n_docs", *[f"fail_{n}" for n in RULES], *[f"rate_{n}" for n in RULES],
@@ -156,6 +155,16 @@ def judge(docs: DataFrame, ids: list[str], host: str = "source", text: str = "te
         (~base & F.col("host_ok")).alias("kept"))
 
 
+def passing(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """The rows of docs that keep their place. Texts are measured twice, once
+    for the hosts and once to filter, and are never shuffled."""
+    verdict = host_verdicts(measure(docs.select(F.col(host).alias("host"), F.col(text).alias("text"))), "host")
+    v = verdict.select(F.col("host").alias("v_host"), "host_ok")
+    rows = measure(docs.select(F.struct("*").alias("row"), F.col(host).alias("host"), F.col(text).alias("text")))
+    fit = rows.filter(~F.expr(RULES["base"])).select("row", "host")
+    return fit.join(v, F.col("host").eqNullSafe(F.col("v_host"))).filter("host_ok").select("row.*")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     return judge(docs, ["doc_id"]).select(

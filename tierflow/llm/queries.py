@@ -1,18 +1,26 @@
 """The registered queries of this package and their SQL."""
 from __future__ import annotations
 
+from tierflow.llm.decontaminate import op2_decontaminate
+from tierflow.llm.licenses import op6_licenses
+from tierflow.llm.minhash import op1_minhash
 from tierflow.llm.mixing import op3_mix
 from tierflow.llm.quality import op5_quality
 from tierflow.llm.secrets import op9_secrets
 from tierflow.llm.suffix_sort import op7_suffix_sort
 from tierflow.llm.suffix_tree import op4_suffix_tree
+from tierflow.llm.tokens import op8_tokens
 from tierflow.llm.warc import op10_warc
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_decontaminate": op2_decontaminate,
     "op3_mix": op3_mix,
     "op4_suffix_tree": op4_suffix_tree,
     "op5_quality": op5_quality,
+    "op6_licenses": op6_licenses,
     "op7_suffix_sort": op7_suffix_sort,
+    "op8_tokens": op8_tokens,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
 }

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tierflow.llm.common import table
+from tierflow.llm.common import materialize, table
 from tierflow.session import checkpoint_path
 
 
@@ -126,6 +126,24 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
             .select(*keep, "blob", F.coalesce("found", none).alias("found")))
 
 
+def redacted(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: str = "text",
+             length: str | None = None) -> DataFrame:
+    """docs with every found span of ``text`` replaced, and the column ``length``
+    (if given) set to the new number of characters where something was found."""
+    names = F.array(*[F.lit(r.name) for r in rules])
+    seen = scan(docs.select(F.col(text).alias("text")), ledger, rules)
+    hits = seen.select("blob", F.explode("found").alias("f")).filter(F.array_contains(names, F.col("f.rule")))
+    per_blob = materialize(hits.groupBy(F.col("blob").alias("b")).agg(F.array_sort(F.collect_set(F.struct(
+        F.col("f.start").alias("start"), F.col("f.end").alias("end")))).alias("found")), "secret-findings")
+    rows = docs.select(F.struct("*").alias("row"), blob_of(text).alias("blob")).join(
+        per_blob, F.col("blob") == F.col("b"), "left").select("row", "found")
+    new = F.when(F.col("found").isNull(), F.col(f"row.{text}")).otherwise(redact(F.col(f"row.{text}"), F.col("found")))
+    out = rows.select("row", "found", new.alias("new"))
+    value = lambda c: F.col("new") if c == text else F.when(
+        F.col("found").isNull(), F.col(f"row.{c}")).otherwise(F.length("new")) if c == length else F.col(f"row.{c}")
+    return out.select(*[value(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
 def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
     """text with each found span replaced; overlapping spans become one mark."""
     acc = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
