@@ -189,14 +189,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
     """The rows of docs in which no item is found, in one pass for each block."""
     ship(docs.sparkSession)
-    out = docs.select(F.col(text).alias("text"), F.struct("*").alias("row"))
+    out = docs.select(F.struct("*").alias("row"))
     for block in blocks(docs.sparkSession, benchmark, rate):
         def run(batches, block=block):
             m = _matcher(block)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 256):
                     part = batch.slice(lo, 256)
-                    yield part.filter(pa.array([not m.find(normal(t)) for t in part.column(0).to_pylist()], pa.bool_()))
+                    yield part.filter(pa.array([not m.find(normal(t)) for t in part.column(0).field(text).to_pylist()], pa.bool_()))
 
         out = out.mapInArrow(run, out.schema)
     return out.select("row.*")

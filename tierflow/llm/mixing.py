@@ -9,9 +9,8 @@ smaller budgets lie below those of larger ones, so their mixes are nested.
 
 Cases: a null text has size 0; a null source is a source of its own, last in
 order; the hash covers id and text, so repeated rows are taken alike; an empty
-table or one without words takes nothing; columns of the input other than id,
-source and text are left alone by ``mix`` unless they are called as one that
-it adds.
+table or one without words takes nothing; other columns stay, but those called
+as a column that ``mix`` adds give way to it.
 """
 from __future__ import annotations
 
@@ -114,7 +113,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     shares, whose mix holds the document (null: none). target and taken are
     those of the largest budget."""
     shares = tuple(sorted(shares))
-    own = [c for c in docs.columns if keep_text or c != text]
+    added = ("size", "source_size", "target", "taken", "first_budget")
+    own = [c for c in docs.columns if (keep_text or c != text) and c not in added]
     sized = docs.select(*own, size_of(text).alias("_size"), hash_of(doc_id, text).alias("_hv"))
     if not keep_text:  # sizes and hashes are a small table, so texts are read once
         sized = materialize(sized, "mix-sizes")

@@ -99,9 +99,10 @@ def measure_chunk(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without ``text`` and with the six counts of each whole text."""
-    keep = [c for c in docs.columns if c != text]
+def measure(docs: DataFrame, text: str = "text", row: str | None = None) -> DataFrame:
+    """docs without ``text`` and with the six counts of each whole text; with
+    ``row``, the text is a field of that struct column, which stays."""
+    keep = [c for c in docs.columns if row or c != text]
     fields = [docs.schema[c] for c in keep]
     from pyspark.sql.types import LongType, StructField, StructType
 
@@ -109,8 +110,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rest = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            for lo, hi, buf, off in T.chunks(batch.column(batch.schema.get_field_index(text))):
+            rest = [batch.column(c) for c in keep]
+            texts = batch.column(row).field(text) if row else batch.column(text)
+            for lo, hi, buf, off in T.chunks(texts):
                 counts = measure_chunk(buf, off)
                 yield pa.RecordBatch.from_arrays(
                     [x.slice(lo, hi - lo) for x in rest] + [pa.array(counts[c]) for c in _COUNTS],
@@ -160,7 +162,7 @@ def passing(docs: DataFrame, host: str = "source", text: str = "text") -> DataFr
     for the hosts and once to filter, and are never shuffled."""
     verdict = host_verdicts(measure(docs.select(F.col(host).alias("host"), F.col(text).alias("text"))), "host")
     v = verdict.select(F.col("host").alias("v_host"), "host_ok")
-    rows = measure(docs.select(F.struct("*").alias("row"), F.col(host).alias("host"), F.col(text).alias("text")))
+    rows = measure(docs.select(F.struct("*").alias("row"), F.col(host).alias("host")), text, "row")
     fit = rows.filter(~F.expr(RULES["base"])).select("row", "host")
     return fit.join(v, F.col("host").eqNullSafe(F.col("v_host"))).filter("host_ok").select("row.*")
 

@@ -113,14 +113,14 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """versions without text, with blob and found: the spans of ``rules`` (the
+    """versions without text, with blob and found (columns so called give way): the spans of ``rules`` (the
     given versions only), by start and then by the order of the rules."""
     names = F.array(*[F.lit(r.name) for r in rules])
     mine = ledger.select("blob", F.explode("found").alias("f")).filter(F.array_contains(names, F.col("f.rule")))
     order = F.array_position(names, F.col("f.rule")).cast("int") - 1
     per_blob = mine.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct(
         F.col("f.start").alias("start"), order.alias("kind"), F.col("f.end").alias("end")))).alias("found"))
-    keep = [c for c in versions.columns if c != text]
+    keep = [c for c in versions.columns if c not in (text, "blob", "found")]
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return (versions.select(*keep, blob_of(text).alias("blob")).join(per_blob, "blob", "left")
             .select(*keep, "blob", F.coalesce("found", none).alias("found")))
