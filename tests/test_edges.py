@@ -140,7 +140,7 @@ def _fixture(spark):
         req.append((rid, ts, mode, "simple", p1, p2, 0.5))
         for k in (1, 2, 3):
             cand.append((rid, k, f"tier_{k}", 10, 100, 7 if k == 3 else 0, 500.0, 40.0, 300, 30,
-                         "PASS" if verdicts[k - 1] else "FAIL", 0.9, _judge(verdicts[k - 1])))
+                         _judge(verdicts[k - 1])))
     r = spark.createDataFrame(req, "request_id string, created_at timestamp, mode string, "
                                    "category string, tier_1_probability double, "
                                    "tier_2_probability double, tier_3_probability double")
@@ -148,7 +148,7 @@ def _fixture(spark):
                                     "output_tokens long, thinking_tokens long, "
                                     "generation_latency_ms double, judge_latency_ms double, "
                                     "judge_input_tokens long, judge_output_tokens long, "
-                                    "judge_verdict string, judge_score double, judge_text string")
+                                    "judge_text string")
     return r, c
 
 
@@ -174,6 +174,45 @@ def test_accept_path_cost(spark):
     assert log["t3"]["total_cost_usd"] == pytest.approx(10 / 1e6 * 0.75 + 107 / 1e6 * 3.75)
 
 
+def test_no_request_is_lost(spark):
+    """A chain that nothing stops ends with its last attempt; a request without a
+    usable answer is unsettled; a reply that can't be parsed fails and is named."""
+    r, c = _fixture(spark)
+    c = c.where(~((F.col("request_id") == "t1_fail_fail") & (F.col("tier_ord") == 3))
+                & ~F.col("request_id").isin("t3", "economy")
+                & ~((F.col("request_id") == "t2_pass") & (F.col("tier_ord") == 2)))
+    c = c.withColumn("judge_text", F.when((F.col("request_id") == "t1_pass") & (F.col("tier_ord") == 1),
+                                          "SCORE: 0.9").otherwise(F.col("judge_text")))
+    log = {x["request_id"]: x for x in S.request_results(r, c, price(spark)).collect()}
+    assert set(log) == set(PATHS)
+    last = log["t1_fail_fail"]
+    assert (last["final_tier"], last["attempt_count"], last["verification_passed"], last["status"]) == \
+        ("tier_2", 2, False, "settled")
+    for rid in ("t3", "economy"):
+        assert (log[rid]["status"], log[rid]["attempt_count"], log[rid]["total_cost_usd"]) == ("unsettled", 0, 0.0)
+        assert log[rid]["final_tier"] is None
+    assert log["t2_pass"]["final_tier"] == "tier_3"  # its own tier has no answer; the chain goes on
+    assert log["t1_pass"]["final_tier"] == "tier_2"
+    first = {(x["request_id"], x["tier"]): x for x in S.settle(S.route_requests(r), c, price(spark)).collect()}
+    assert first["t1_pass", "tier_1"]["verification_error"] == "missing_verdict"
+    rep = S.strategy_replay(r, c, price(spark)).collect()
+    have = {(x["prompt_id"], x["strategy"]) for x in rep}
+    assert ("t1_fail_fail", "always_tier_3") not in have and ("t1_fail_fail", "autopilot") in have
+    assert all(x["final_tier"] and x["attempt_count"] for x in rep)
+    prompts = r.select(F.col("request_id").alias("prompt_id"))
+    miss = {x["prompt_id"]: x["missing"] for x in R.strategy_completeness(S.strategy_replay(r, c, price(spark)), prompts).collect()}
+    assert miss["t3"] == "always_tier_3,autopilot,ml_only" and miss["t1_fail_fail"] == "always_tier_3"
+    assert "t1_confident" not in miss
+
+
+def test_zero_baseline(spark):
+    rows = [(1, s, 0.0, 1.0, True, 0.9, False, False, 1) for s in ("always_tier_3", "ml_only")]
+    bench = spark.createDataFrame(rows, "prompt_id long, strategy string, strategy_cost_usd double, "
+                                        "strategy_latency_ms double, quality_passed boolean, quality_score double, "
+                                        "verification_performed boolean, escalated boolean, attempt_count int")
+    assert [x["cost_savings_vs_tier3"] for x in R.strategy_summary(bench).collect()] == [None, None]
+
+
 def test_bad_accept_score_rejected():
     with pytest.raises(ValueError):
         S.verification_rule(F.col("tier"), F.lit(False), F.lit(0.5), accept=1.5)

@@ -8,7 +8,8 @@ Q = queries()
 # training jobs, streams and sinks execute while being built; their plans are
 # checked through the operators they reuse
 SKIP = {"predict_success", "calibration_report", "quality_model_metrics", "stream_log", "stream_summary",
-        "usage_log_appended", "labelled_split_written", "benchmark_roundtrip"}
+        "usage_log_appended", "usage_log_rejects", "labelled_split_written", "benchmark_roundtrip",
+        "model_benchmark", "corpus_scan", "fit_optimality"}
 
 
 def _plan(df) -> str:
@@ -22,12 +23,18 @@ def test_no_row_products(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
-def test_settlement_one_exchange_and_partial_limit(spark):
-    plan = _plan(Q["request_results"](spark, SF_SMALL))
-    # the rank filter is applied before and after the single lineitem shuffle
-    assert plan.count("WindowGroupLimit") == 2
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "SortAggregate" not in plan
+def test_settlement_exchanges(spark):
+    """Lineitem is aggregated per order before its one exchange, the requests have
+    another; join, window and fold add none, with broadcast off too."""
+    for limit in ("-1", "10485760"):
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            plan = _plan(Q["request_results"](spark, SF_SMALL))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        assert plan.count("Exchange hashpartitioning") == 2
+        assert "SortAggregate" not in plan
 
 
 def test_label_audits_prune_the_text_column(spark):

@@ -35,21 +35,29 @@ def _log_rows(spark, ids):
 
 def test_append_log_primary_key(spark):
     path = K.scratch_path(spark, "log-test")
-    r1 = K.append_log(spark, _log_rows(spark, ["a", "b", "b", None]), path)
-    assert sorted(r["reject_reason"] for r in r1.collect()) == ["duplicate_in_batch"]
-    r2 = K.append_log(spark, _log_rows(spark, ["b", "c"]), path)
-    assert [r["request_id"] for r in r2.collect()] == ["b"]
-    ids = sorted(r["request_id"] for r in K.read_usage_log(spark, path).collect())
-    assert len(ids) == 4 and {"a", "b", "c"} <= set(ids)       # the missing id got a content hash
+    r1 = K.append_log(spark, _log_rows(spark, ["a", "b", "b", None, None, None]), path)
+    assert [(r["request_id"], r["rejected_rows"], r["reject_reason"]) for r in r1.collect()] == [("b", 1, "duplicate_in_batch")]
+    r2 = K.append_log(spark, _log_rows(spark, ["b", "b", "c", None]), path)
+    assert [(r["request_id"], r["rejected_rows"], r["reject_reason"]) for r in r2.collect()] == [("b", 2, "duplicate_request_id")]
+    ids = [r["request_id"] for r in K.read_usage_log(spark, path).collect()]
+    assert len(ids) == len(set(ids)) == 7 and {"a", "b", "c"} <= set(ids)
+    assert sum(x.startswith(K.GENERATED) for x in ids) == 4  # equal rows without an id stay apart
+
+
+def test_append_log_keeps_the_earliest(spark):
+    path = K.scratch_path(spark, "log-test")
+    K.append_log(spark, _log_rows(spark, ["x", "x", "x"]).orderBy(F.col("created_at").desc()), path)
+    assert K.read_usage_log(spark, path).first()["created_at"] == dt.datetime(2024, 1, 1)
 
 
 def test_benchmark_reader_fails_when_missing_or_empty(spark):
     with pytest.raises(FileNotFoundError):
         K.read_benchmark(spark, K.scratch_path(spark, "absent"))
     path = K.scratch_path(spark, "empty-bench")
-    empty = spark.createDataFrame([], "prompt_id string, strategy string, strategy_cost_usd double")
-    K.write_benchmark(empty, path, "run-1")
-    with pytest.raises((ValueError, Exception)):
+    schema = "prompt_id string, strategy string, strategy_cost_usd double"
+    # an empty run writes no partition; a table whose only run is empty is empty
+    spark.createDataFrame([], schema).write.parquet(f"{path}/run_id=run-1")
+    with pytest.raises(ValueError, match="benchmark table is empty"):
         K.read_benchmark(spark, path)
 
 

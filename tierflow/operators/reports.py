@@ -184,7 +184,7 @@ def strategy_summary(bench: DataFrame, baseline: str = BASELINE_STRATEGY) -> Dat
         _rate(F.col("v"), N).alias("verification_rate"),
         _rate(F.col("e"), N).alias("escalation_rate"),
         _rate(F.col("att"), N).alias("average_attempts"),
-        F.when(has_base == 1, F.round((base - F.col("c")) / base, 9))
+        F.when(has_base == 1, F.round(F.try_divide(base - F.col("c"), base), 9))
         .otherwise(F.raise_error(F.lit(f"{baseline} baseline was not found")))
         .alias("cost_savings_vs_tier3"),
     )
@@ -206,11 +206,15 @@ def category_strategy(bench: DataFrame) -> DataFrame:
     )
 
 
-def strategy_completeness(bench: DataFrame, required=("always_tier_3", "autopilot", "ml_only")):
-    """Prompts missing one or more required strategy answers, named in order."""
+def strategy_completeness(bench: DataFrame, prompts: DataFrame | None = None,
+                          required=("always_tier_3", "autopilot", "ml_only")):
+    """Prompts missing one or more required strategy answers, named in order;
+    ``prompts`` (prompt_id) adds those of which no answer was recorded at all."""
     flags = [F.max((F.col("strategy") == s).cast("int")).alias(f"has_{s}") for s in required]
     g = bench.groupBy("prompt_id").agg(*flags)
-    missing = F.concat_ws(",", *[F.when(F.col(f"has_{s}") == 0, F.lit(s)) for s in sorted(required)])
+    if prompts is not None:
+        g = prompts.select("prompt_id").join(g, "prompt_id", "left")
+    missing = F.concat_ws(",", *[F.when(F.coalesce(F.col(f"has_{s}"), F.lit(0)) == 0, F.lit(s)) for s in sorted(required)])
     return g.select("prompt_id", missing.alias("missing")).where(F.col("missing") != "")
 
 

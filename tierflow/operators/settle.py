@@ -9,6 +9,12 @@ table work over a candidate table holding what each tier *would* answer:
   stop flags --(min over request)--> attempts actually made --(fold)-->
   one accounted row per request.
 
+The join is a left join from the routed requests, so every request comes out:
+where no answer stops the chain, the last attempt is the result, and a request
+without any usable answer is ``unsettled``.  A judge reply that can't be parsed
+counts as a failed verification (the chain goes on) and its error is carried on
+the attempt and in the result.
+
 Everything after the join is keyed by ``request_id``; the candidate view is
 already hash-partitioned on it, so the join shuffles only the request side
 and the window and fold add no exchange.  Per-request fan-out is bounded by
@@ -128,25 +134,36 @@ def verification_rule(tier, escalated, routed_score, accept=AUTO_ACCEPT_SCORE):
 # --------------------------------------------------------------------------
 # D7 + C1/C2: settle
 # --------------------------------------------------------------------------
-def escalation_candidates(routed: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Each request with the tiers from its initial tier upward (range residual)."""
-    return (candidates.join(routed, "request_id")
-            .where(F.col("tier_ord") >= F.col("initial_ord")))
+def escalation_candidates(routed: DataFrame, candidates: DataFrame, keep_requests: bool = False) -> DataFrame:
+    """Each request with its answers from the initial tier upward (range
+    residual); with ``keep_requests`` a request without any has one row of nulls."""
+    c = candidates.withColumnRenamed("request_id", "c_request_id")
+    on = (F.col("request_id") == F.col("c_request_id")) & (F.col("tier_ord") >= F.col("initial_ord"))
+    return routed.join(c, on, "left" if keep_requests else "inner").drop("c_request_id")
+
+
+#: Parse errors as numbers, so that the fold's buffers stay fixed-width.
+PARSE_ERRORS = ("missing_text", "missing_verdict", "missing_score", "score_out_of_range")
 
 
 def _attempt_rows(routed: DataFrame, candidates: DataFrame, price: DataFrame,
                   accept: float, force_mode: str | None) -> DataFrame:
     cand = with_judge(with_cost(candidates, price), "judge_text", out="j_")
-    j = escalation_candidates(routed, cand)
-    mode = F.lit(force_mode) if force_mode else F.col("mode")
+    if force_mode:
+        routed = routed.withColumn("mode", F.lit(force_mode))
+    c = cand.withColumnRenamed("request_id", "c_request_id")
+    economy = F.col("mode") == "economy"
+    # economy calls the routed tier and no other
+    on = ((F.col("request_id") == F.col("c_request_id"))
+          & (F.col("tier_ord") >= F.col("initial_ord"))
+          & (~economy | (F.col("tier_ord") == F.col("initial_ord"))))
+    j = routed.join(c, on, "left")
     escalated = F.col("tier_ord") > F.col("initial_ord")
     should, rule = verification_rule(F.col("tier"), escalated, F.col("initial_score"), accept)
-    economy = mode == "economy"
-    verify = ~economy & should
+    verify = F.when(F.col("tier_ord").isNotNull(), ~economy & should)  # null: no answer, nothing to verify
     passed = F.coalesce(F.col("j_passed"), F.lit(False))
-    stop = economy | ~verify | passed
     return j.select(
-        "request_id", "created_at", mode.alias("mode"), "category", "initial_tier",
+        "request_id", "created_at", "mode", "category", "initial_tier",
         "initial_ord", "tier_1_probability", "tier_2_probability", "tier_3_probability",
         "tier", "tier_ord", F.col("gen_model_id").alias("model_id"),
         escalated.alias("escalated_attempt"),
@@ -155,35 +172,44 @@ def _attempt_rows(routed: DataFrame, candidates: DataFrame, price: DataFrame,
         F.when(verify, F.col("j_passed")).alias("verification_passed"),
         F.when(verify, F.col("j_score")).alias("verification_score"),
         F.when(verify, F.col("j_reason")).alias("verification_reason"),
+        F.when(verify, F.col("j_parse_error")).alias("verification_error"),
         "input_tokens", "output_tokens", "thinking_tokens",
         "generation_latency_ms",
         F.when(verify, F.col("judge_latency_ms")).otherwise(F.lit(0.0)).alias("verification_latency_ms"),
         "generation_cost_usd",
         F.when(verify, F.col("judge_cost_usd")).otherwise(F.lit(0.0)).alias("verification_cost_usd"),
         "judge_text", "judge_cost_usd", "judge_latency_ms",
-        F.when(economy, F.col("tier_ord") == F.col("initial_ord")).otherwise(stop).alias("stop"),
+        (economy | ~verify | passed).alias("stop"),
     )
 
 
-def settle(routed: DataFrame, candidates: DataFrame, price: DataFrame,
-           accept: float = AUTO_ACCEPT_SCORE, force_mode: str | None = None) -> DataFrame:
-    """Attempts actually made: rows up to the first stop of each request."""
+def settle_requests(routed: DataFrame, candidates: DataFrame, price: DataFrame,
+                    accept: float = AUTO_ACCEPT_SCORE, force_mode: str | None = None) -> DataFrame:
+    """The attempts made for each request: its answers up to the first stop, or
+    all of them; a request without any has one row with a null ``tier_ord``."""
     rows = _attempt_rows(routed, candidates, price, accept, force_mode)
     w = Window.partitionBy("request_id")
-    stop_ord = F.min(F.when(F.col("stop"), F.col("tier_ord"))).over(w)
-    kept = rows.withColumn("stop_ord", stop_ord).where(F.col("tier_ord") <= F.col("stop_ord"))
+    o = F.col("tier_ord")
+    stop_ord = F.coalesce(F.min(F.when(F.col("stop"), o)).over(w), F.max(o).over(w))
+    kept = rows.withColumn("stop_ord", stop_ord).where(o.isNull() | (o <= F.col("stop_ord")))
     return kept.select(
         "*",
-        (F.col("tier_ord") - F.col("initial_ord") + 1).alias("attempt_no"),
+        F.when(o.isNotNull(), F.row_number().over(w.orderBy("tier_ord"))).alias("attempt_no"),
         (F.col("generation_cost_usd") + F.col("verification_cost_usd")).alias("total_attempt_cost_usd"),
         (F.col("generation_latency_ms") + F.col("verification_latency_ms")).alias("attempt_latency_ms"),
     ).drop("stop", "stop_ord")
 
 
+def settle(routed: DataFrame, candidates: DataFrame, price: DataFrame,
+           accept: float = AUTO_ACCEPT_SCORE, force_mode: str | None = None) -> DataFrame:
+    """Attempts actually made."""
+    return settle_requests(routed, candidates, price, accept, force_mode).where(F.col("tier_ord").isNotNull())
+
+
 ATTEMPT_COLUMNS = [
     "request_id", "mode", "initial_tier", "tier", "tier_ord", "attempt_no", "model_id",
     "verification_rule", "verification_performed", "verification_passed",
-    "verification_score", "input_tokens", "output_tokens", "thinking_tokens",
+    "verification_score", "verification_error", "input_tokens", "output_tokens", "thinking_tokens",
     "generation_latency_ms", "verification_latency_ms", "generation_cost_usd",
     "verification_cost_usd", "total_attempt_cost_usd",
 ]
@@ -210,6 +236,7 @@ REQUEST_KEYS = ["request_id", "created_at", "mode", "category", "initial_tier",
 
 def fold_attempts(attempts: DataFrame, price: DataFrame | None = None) -> DataFrame:
     """One row per request; the last attempt (highest tier) gives the final fields.
+    A request without attempts (a null ``tier_ord``) is ``unsettled``.
 
     Request attributes are grouping keys (they depend on ``request_id``
     alone, so hash partitioning on ``request_id`` still satisfies the
@@ -219,15 +246,18 @@ def fold_attempts(attempts: DataFrame, price: DataFrame | None = None) -> DataFr
     broadcast lookup of the final tier.
     """
     o = F.col("tier_ord")
-    g = attempts.groupBy(*REQUEST_KEYS).agg(
+    codes = F.array(*[F.lit(e) for e in PARSE_ERRORS])
+    g = attempts.withColumn("error_code", F.array_position(codes, F.col("verification_error")).cast("int")) \
+        .groupBy(*REQUEST_KEYS).agg(
+        F.max_by("error_code", o).alias("error_code"),
         F.max(o).alias("final_ord"),
         F.max_by("verification_performed", o).alias("verification_performed"),
         F.max_by("verification_passed", o).alias("verification_passed"),
         F.max_by("verification_score", o).alias("verification_score"),
-        F.count(F.lit(1)).cast("int").alias("attempt_count"),
-        F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"),
-        F.sum("thinking_tokens").alias("thinking_tokens"),
+        F.count(o).cast("int").alias("attempt_count"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
+        F.coalesce(F.sum("thinking_tokens"), F.lit(0)).alias("thinking_tokens"),
         _ordered_sum("total_attempt_cost_usd").alias("total_cost_usd"),
         _ordered_sum("attempt_latency_ms").alias("total_latency_ms"),
         F.bool_or("verification_performed").alias("any_verified"),
@@ -244,6 +274,8 @@ def fold_attempts(attempts: DataFrame, price: DataFrame | None = None) -> DataFr
         (F.col("final_tier") != F.col("initial_tier")).alias("escalated"),
         "attempt_count", "input_tokens", "output_tokens", "thinking_tokens",
         "total_cost_usd", "total_latency_ms", "any_verified",
+        F.when(F.col("error_code") > 0, F.element_at(codes, F.col("error_code"))).alias("verification_error"),
+        F.when(F.col("attempt_count") > 0, "settled").otherwise("unsettled").alias("status"),
     )
 
 
@@ -262,41 +294,31 @@ LOG_COLUMNS = [
 
 def request_results(requests: DataFrame, candidates: DataFrame, price: DataFrame,
                     accept: float = AUTO_ACCEPT_SCORE) -> DataFrame:
-    """The usage log: one settled, accounted row per request."""
-    return fold_attempts(settle(route_requests(requests), candidates, price, accept), price)
+    """One accounted row per request, settled or not (``status``)."""
+    return fold_attempts(settle_requests(route_requests(requests), candidates, price, accept), price)
 
 
 # --------------------------------------------------------------------------
 # Cost identities as a data-quality job (violating rows only)
 # --------------------------------------------------------------------------
-def cost_identity_violations(attempts: DataFrame, tol: float = 1e-12) -> DataFrame:
-    """Rows breaking a cost identity, in one pass over the attempts.
-
-    attempt: total = generation + verification; request: the request total
-    accumulated in attempt order equals the plain sum of its attempts.  The
-    request-level sums are windows on ``request_id`` (the attempts are
-    already partitioned on it, so no exchange), and each request reports
-    once, on its last attempt.
+def cost_identity_violations(attempts: DataFrame, log: DataFrame, tol: float = 1e-9) -> DataFrame:
+    """Rows that break a cost identity.
+
+    attempt: total = generation + verification.  request: the total in the
+    folded ``log`` equals the sum over the request's attempts, and the log has
+    a row for it.  Attempts and log are keyed alike.
     """
-    w = Window.partitionBy("request_id")
     cost = F.col("total_attempt_cost_usd")
-    parts = [F.coalesce(F.sum(F.when(F.col("tier_ord") == k, cost)).over(w), F.lit(0.0))
-             for k in (1, 2, 3)]
-    sums = attempts.select(
-        "request_id", "tier", "tier_ord",
-        (cost - (F.col("generation_cost_usd") + F.col("verification_cost_usd"))).alias("attempt_diff"),
-        ((parts[0] + parts[1] + parts[2]) - F.sum(cost).over(w)).alias("request_diff"),
-        (F.col("tier_ord") == F.max("tier_ord").over(w)).alias("is_last"))
-    checks = F.array(
-        F.struct(F.col("tier").alias("tier"), F.lit("attempt_cost").alias("identity"),
-                 F.col("attempt_diff").alias("difference")),
-        F.when(F.col("is_last"), F.struct(F.lit(None).cast("string").alias("tier"),
-                                          F.lit("request_cost").alias("identity"),
-                                          F.col("request_diff").alias("difference"))),
-    )
-    out = sums.select("request_id", F.explode(checks).alias("c")).where(F.col("c").isNotNull())
-    return (out.select("request_id", "c.tier", "c.identity", "c.difference")
-            .where(F.abs("difference") > tol))
+    diff = cost - (F.col("generation_cost_usd") + F.col("verification_cost_usd"))
+    one = attempts.select("request_id", "tier", F.lit("attempt_cost").alias("identity"),
+                          diff.alias("difference")).where(F.abs("difference") > tol)
+    sums = attempts.groupBy("request_id").agg(F.sum(cost).alias("s"))
+    both = sums.join(log.select("request_id", "total_cost_usd"), "request_id", "full")
+    total = F.coalesce("total_cost_usd", F.lit(0.0)) - F.coalesce("s", F.lit(0.0))
+    two = both.select("request_id", F.lit(None).cast("string").alias("tier"),
+                      F.lit("request_cost").alias("identity"), total.alias("difference")) \
+        .where(F.abs("difference") > tol)
+    return one.unionAll(two)
 
 
 # --------------------------------------------------------------------------
@@ -308,8 +330,21 @@ def strategy_replay(requests: DataFrame, candidates: DataFrame, price: DataFrame
 
     always_tier_3: only the tier-3 answer; ml_only: only the routed tier, no
     judge; autopilot: the balanced escalation chain.  Quality of a strategy
-    is the recorded judge verdict of the answer it ends with.
+    is the recorded judge verdict of the answer it ends with.  A strategy has a
+    row where its answer was recorded; ``strategy_completeness`` lists the rest.
     """
+    return _replay(requests, candidates, price, accept).drop("final_ord")
+
+
+def strategy_answers(requests: DataFrame, candidates: DataFrame, price: DataFrame,
+                     accept: float = AUTO_ACCEPT_SCORE) -> DataFrame:
+    """prompt_id, strategy and judge_text of the answer that the strategy ended with."""
+    r = _replay(requests, candidates, price, accept).select("prompt_id", "strategy", "final_ord")
+    c = candidates.select(F.col("request_id").alias("prompt_id"), F.col("tier_ord").alias("final_ord"), "judge_text")
+    return r.join(c, ["prompt_id", "final_ord"]).select("prompt_id", "strategy", "judge_text")
+
+
+def _replay(requests: DataFrame, candidates: DataFrame, price: DataFrame, accept: float) -> DataFrame:
     routed = route_requests(requests)
     cand = with_judge(with_cost(candidates, price), "judge_text", out="j_", with_reason=False)
     rows = cand.join(routed, "request_id").select(
@@ -323,7 +358,8 @@ def strategy_replay(requests: DataFrame, candidates: DataFrame, price: DataFrame
     stop = in_chain & (~verify | F.col("q_passed"))
     w = Window.partitionBy("request_id")
     rows = (rows.withColumn("verify", verify)
-            .withColumn("stop_ord", F.min(F.when(stop, F.col("tier_ord"))).over(w)))
+            .withColumn("stop_ord", F.coalesce(F.min(F.when(stop, F.col("tier_ord"))).over(w),
+                                               F.max(F.when(in_chain, F.col("tier_ord"))).over(w))))
     ap = in_chain & (F.col("tier_ord") <= F.col("stop_ord"))
     ap_cost = F.col("generation_cost_usd") + F.when(F.col("verify"), F.col("judge_cost_usd")).otherwise(0.0)
     ap_lat = F.col("generation_latency_ms") + F.when(F.col("verify"), F.col("judge_latency_ms")).otherwise(0.0)
@@ -357,21 +393,24 @@ def strategy_replay(requests: DataFrame, candidates: DataFrame, price: DataFrame
         ordered(ap, ap_lat).alias("ap_lat"),
     )
     agg = agg.withColumn("ap_final", tier_name(F.col("ap_final_ord")))
+    ml_ord = tier_ord("routed_tier")
     entry = "struct<strategy:string,initial_tier:string,final_tier:string," \
             "verification_performed:boolean,escalated:boolean,attempt_count:int," \
             "strategy_cost_usd:double,strategy_latency_ms:double,quality_passed:boolean," \
-            "quality_score:double>"
+            "quality_score:double,final_ord:int>"
     three = F.array(
-        F.struct(F.lit("always_tier_3"), F.lit("tier_3"), F.lit("tier_3"), F.lit(False),
-                 F.lit(False), F.lit(1), F.col("t3_cost"), F.col("t3_lat"), F.col("t3_pass"),
-                 F.col("t3_q")).cast(entry),
-        F.struct(F.lit("ml_only"), F.col("routed_tier"), F.col("routed_tier"), F.lit(False),
-                 F.lit(False), F.lit(1), F.col("ml_cost"), F.col("ml_lat"), F.col("ml_pass"),
-                 F.col("ml_q")).cast(entry),
-        F.struct(F.lit("autopilot"), F.col("routed_tier"), F.col("ap_final"),
+        F.when(F.col("t3_cost").isNotNull(), F.struct(
+            F.lit("always_tier_3"), F.lit("tier_3"), F.lit("tier_3"), F.lit(False),
+            F.lit(False), F.lit(1), F.col("t3_cost"), F.col("t3_lat"), F.col("t3_pass"),
+            F.col("t3_q"), F.lit(3)).cast(entry)),
+        F.when(F.col("ml_cost").isNotNull(), F.struct(
+            F.lit("ml_only"), F.col("routed_tier"), F.col("routed_tier"), F.lit(False),
+            F.lit(False), F.lit(1), F.col("ml_cost"), F.col("ml_lat"), F.col("ml_pass"),
+            F.col("ml_q"), ml_ord).cast(entry)),
+        F.when(F.col("ap_attempts") > 0, F.struct(F.lit("autopilot"), F.col("routed_tier"), F.col("ap_final"),
                  F.col("ap_verified"), F.col("ap_final") != F.col("routed_tier"),
                  F.col("ap_attempts"), F.col("ap_cost"), F.col("ap_lat"), F.col("ap_pass"),
-                 F.col("ap_q")).cast(entry),
+                 F.col("ap_q"), F.col("ap_final_ord")).cast(entry)),
     )
     return agg.select(F.col("request_id").alias("prompt_id"), "category",
-                      F.inline(three))
+                      F.inline(F.array_compact(three)))

@@ -49,105 +49,96 @@ FROM candidates c
 LEFT JOIN price p ON p.tier = c.tier
 LEFT JOIN price v ON v.tier = 'tier_3'"""
 
+# the answers a request may get: economy calls the routed tier only
 ATT = f"""
-SELECT *, CASE WHEN mode = 'economy' THEN tier_ord = initial_ord
-               ELSE (NOT verify) OR COALESCE(j_passed, FALSE) END AS stop
+SELECT *, mode = 'economy' OR NOT verify OR COALESCE(j_passed, FALSE) AS stop
 FROM (
   SELECT *, mode <> 'economy' AND rule0 IN ('escalated_must_verify', 'below_auto_accept') AS verify,
          {judge_sql('judge_text')}, {reason_sql('judge_text')} AS j_reason
   FROM (
     SELECT c.*, r.created_at, r.mode, r.category, r.initial_tier, r.initial_ord, r.initial_score,
            r.tier_1_probability, r.tier_2_probability, r.tier_3_probability,
-           c.tier_ord > r.initial_ord AS escalated_attempt,
            CASE WHEN c.tier = 'tier_3' THEN 'top_tier_no_escalation'
                 WHEN c.tier_ord > r.initial_ord THEN 'escalated_must_verify'
                 WHEN r.initial_score >= CAST(0.9 AS DOUBLE) THEN 'auto_accept'
                 ELSE 'below_auto_accept' END AS rule0
     FROM costed c JOIN routed r ON r.request_id = c.request_id
-    WHERE c.tier_ord >= r.initial_ord) a) b"""
+    WHERE c.tier_ord >= r.initial_ord AND (r.mode <> 'economy' OR c.tier_ord = r.initial_ord)) a) b"""
 
+# the loop: an attempt is made if no earlier one of its request stopped
 SETTLED = """
 SELECT request_id, created_at, mode, category, initial_tier, initial_ord,
        tier_1_probability, tier_2_probability, tier_3_probability,
-       tier, tier_ord, tier_ord - initial_ord + 1 AS attempt_no, model_id,
+       tier, tier_ord, CAST(ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY tier_ord) AS INT) AS attempt_no, model_id,
        CASE WHEN mode = 'economy' THEN 'economy_skips_verification' ELSE rule0 END AS verification_rule,
        verify AS verification_performed,
        CASE WHEN verify THEN j_passed END AS verification_passed,
        CASE WHEN verify THEN j_score END AS verification_score,
+       CASE WHEN verify THEN j_parse_error END AS verification_error,
        input_tokens, output_tokens, thinking_tokens, generation_latency_ms,
        CASE WHEN verify THEN judge_latency_ms ELSE 0.0 END AS verification_latency_ms,
        generation_cost_usd,
        CASE WHEN verify THEN judge_cost_usd ELSE 0.0 END AS verification_cost_usd,
        generation_cost_usd + CASE WHEN verify THEN judge_cost_usd ELSE 0.0 END AS total_attempt_cost_usd,
        generation_latency_ms + CASE WHEN verify THEN judge_latency_ms ELSE 0.0 END AS attempt_latency_ms
-FROM (SELECT *, MIN(CASE WHEN stop THEN tier_ord END) OVER (PARTITION BY request_id) AS stop_ord FROM att)
-WHERE tier_ord <= stop_ord"""
+FROM att a
+WHERE NOT EXISTS (SELECT 1 FROM att b WHERE b.request_id = a.request_id AND b.tier_ord < a.tier_ord AND b.stop)"""
 
 
 def _osum(col: str) -> str:
     return " + ".join(f"COALESCE(SUM(CASE WHEN tier_ord = {k} THEN {col} END), 0.0)" for k in (1, 2, 3))
 
 
+# every routed request, with what its last attempt says
 FOLD = f"""
-SELECT f.request_id, any_value(created_at) AS created_at, any_value(mode) AS mode,
-       any_value(category) AS category, any_value(initial_tier) AS initial_tier,
-       arg_max(tier, tier_ord) AS final_tier, arg_max(model_id, tier_ord) AS model_id,
-       arg_max(verification_performed, tier_ord) AS verification_performed,
-       MAX(CASE WHEN tier_ord = stop_o THEN verification_passed END) AS verification_passed,
-       MAX(CASE WHEN tier_ord = stop_o THEN verification_score END) AS verification_score,
-       arg_max(tier, tier_ord) <> any_value(initial_tier) AS escalated,
-       CAST(COUNT(*) AS INT) AS attempt_count,
-       CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
-       CAST(SUM(output_tokens) AS BIGINT) AS output_tokens,
-       CAST(SUM(thinking_tokens) AS BIGINT) AS thinking_tokens,
-       {_osum('total_attempt_cost_usd')} AS total_cost_usd,
-       {_osum('attempt_latency_ms')} AS total_latency_ms,
-       bool_or(verification_performed) AS any_verified
-FROM (SELECT *, MAX(tier_ord) OVER (PARTITION BY request_id) AS stop_o FROM settled) f
-GROUP BY f.request_id"""
-
+SELECT r.request_id, r.created_at, r.mode, r.category, r.initial_tier,
+       last.tier AS final_tier, last.model_id,
+       last.verification_performed, last.verification_passed, last.verification_score, last.verification_error,
+       last.tier <> r.initial_tier AS escalated,
+       CAST(COALESCE(s.n, 0) AS INT) AS attempt_count,
+       CAST(COALESCE(s.input_tokens, 0) AS BIGINT) AS input_tokens,
+       CAST(COALESCE(s.output_tokens, 0) AS BIGINT) AS output_tokens,
+       CAST(COALESCE(s.thinking_tokens, 0) AS BIGINT) AS thinking_tokens,
+       COALESCE(s.cost, 0.0) AS total_cost_usd, COALESCE(s.lat, 0.0) AS total_latency_ms, s.any_verified,
+       CASE WHEN s.n IS NULL THEN 'unsettled' ELSE 'settled' END AS status
+FROM routed r
+LEFT JOIN (SELECT request_id, COUNT(*) AS n, SUM(input_tokens) AS input_tokens, SUM(output_tokens) AS output_tokens,
+                  SUM(thinking_tokens) AS thinking_tokens, {_osum('total_attempt_cost_usd')} AS cost,
+                  {_osum('attempt_latency_ms')} AS lat, bool_or(verification_performed) AS any_verified
+           FROM settled GROUP BY request_id) s ON s.request_id = r.request_id
+LEFT JOIN settled last ON last.request_id = r.request_id AND last.attempt_no = s.n"""
+
+FOLDED_ALL = ("folded_all", FOLD)
 SETTLE_CTES = [("routed", ROUTED), ("costed", COSTED), ("att", ATT), ("settled", SETTLED),
-               ("folded", FOLD)]
+               FOLDED_ALL, ("folded", "SELECT * FROM folded_all WHERE status = 'settled'")]
 
+# autopilot: the balanced chain, whatever the request's mode
 REPLAY = f"""
-SELECT request_id AS prompt_id, category, s.strategy, s.initial_tier, s.final_tier,
-       s.verification_performed, s.escalated, s.attempt_count, s.strategy_cost_usd,
-       s.strategy_latency_ms, s.quality_passed, s.quality_score
-FROM (
-  SELECT request_id, any_value(category) AS category, any_value(initial_tier) AS routed_tier,
-    MAX(CASE WHEN tier_ord = 3 THEN generation_cost_usd END) AS t3_cost,
-    MAX(CASE WHEN tier_ord = 3 THEN generation_latency_ms END) AS t3_lat,
-    bool_or(CASE WHEN tier_ord = 3 THEN q_passed END) AS t3_pass,
-    MAX(CASE WHEN tier_ord = 3 THEN q_score END) AS t3_q,
-    MAX(CASE WHEN tier_ord = initial_ord THEN generation_cost_usd END) AS ml_cost,
-    MAX(CASE WHEN tier_ord = initial_ord THEN generation_latency_ms END) AS ml_lat,
-    bool_or(CASE WHEN tier_ord = initial_ord THEN q_passed END) AS ml_pass,
-    MAX(CASE WHEN tier_ord = initial_ord THEN q_score END) AS ml_q,
-    MAX(CASE WHEN ap AND tier_ord = stop_ord THEN tier END) AS ap_final,
-    bool_or(CASE WHEN ap AND tier_ord = stop_ord THEN q_passed END) AS ap_pass,
-    MAX(CASE WHEN ap AND tier_ord = stop_ord THEN q_score END) AS ap_q,
-    CAST(COUNT(CASE WHEN ap THEN 1 END) AS INT) AS ap_attempts,
-    COALESCE(bool_or(CASE WHEN ap THEN verify END), FALSE) AS ap_verified,
-    {_osum("CASE WHEN ap THEN generation_cost_usd + CASE WHEN verify THEN judge_cost_usd ELSE 0.0 END END")} AS ap_cost,
-    {_osum("CASE WHEN ap THEN generation_latency_ms + CASE WHEN verify THEN judge_latency_ms ELSE 0.0 END END")} AS ap_lat
-  FROM (
-    SELECT *, tier_ord >= initial_ord AND tier_ord <= stop_ord AS ap
-    FROM (
-      SELECT *, MIN(CASE WHEN tier_ord >= initial_ord AND (NOT verify OR q_passed) THEN tier_ord END)
-                  OVER (PARTITION BY request_id) AS stop_ord
-      FROM (
-        SELECT c.*, r.category, r.initial_tier, r.initial_ord, j_score AS q_score,
-               COALESCE(j_passed, FALSE) AS q_passed,
-               c.tier_ord >= r.initial_ord AND c.tier <> 'tier_3'
-                 AND (c.tier_ord > r.initial_ord OR r.initial_score < CAST(0.9 AS DOUBLE)) AS verify
-        FROM (SELECT *, {judge_sql('judge_text')} FROM costed) c
-        JOIN routed r ON r.request_id = c.request_id) x) y) z
-  GROUP BY request_id) g,
-LATERAL (VALUES
-  ('always_tier_3', 'tier_3', 'tier_3', FALSE, FALSE, 1, t3_cost, t3_lat, t3_pass, t3_q),
-  ('ml_only', routed_tier, routed_tier, FALSE, FALSE, 1, ml_cost, ml_lat, ml_pass, ml_q),
-  ('autopilot', routed_tier, ap_final, ap_verified, ap_final <> routed_tier, ap_attempts, ap_cost, ap_lat, ap_pass, ap_q)
-) AS s(strategy, initial_tier, final_tier, verification_performed, escalated, attempt_count,
-       strategy_cost_usd, strategy_latency_ms, quality_passed, quality_score)"""
+WITH judged AS (
+  SELECT c.*, r.category, r.initial_tier, r.initial_ord, j_score AS q_score, COALESCE(j_passed, FALSE) AS q_passed,
+         c.tier <> 'tier_3' AND (c.tier_ord > r.initial_ord OR r.initial_score < CAST(0.9 AS DOUBLE)) AS verify
+  FROM (SELECT *, {judge_sql('judge_text')} FROM costed) c JOIN routed r ON r.request_id = c.request_id),
+chain AS (
+  SELECT * FROM judged a WHERE tier_ord >= initial_ord AND NOT EXISTS (
+    SELECT 1 FROM judged b WHERE b.request_id = a.request_id AND b.tier_ord >= b.initial_ord
+                             AND b.tier_ord < a.tier_ord AND (NOT b.verify OR b.q_passed))),
+ap AS (
+  SELECT request_id, MAX(tier_ord) AS last_ord, CAST(COUNT(*) AS INT) AS n, bool_or(verify) AS verified,
+         {_osum("generation_cost_usd + CASE WHEN verify THEN judge_cost_usd ELSE 0.0 END")} AS cost,
+         {_osum("generation_latency_ms + CASE WHEN verify THEN judge_latency_ms ELSE 0.0 END")} AS lat
+  FROM chain GROUP BY request_id)
+SELECT request_id AS prompt_id, category, 'always_tier_3' AS strategy, 'tier_3' AS initial_tier, 'tier_3' AS final_tier,
+       FALSE AS verification_performed, FALSE AS escalated, CAST(1 AS INT) AS attempt_count,
+       generation_cost_usd AS strategy_cost_usd, generation_latency_ms AS strategy_latency_ms,
+       q_passed AS quality_passed, q_score AS quality_score, tier_ord AS final_ord, judge_text
+FROM judged WHERE tier_ord = 3
+UNION ALL
+SELECT request_id, category, 'ml_only', initial_tier, initial_tier, FALSE, FALSE, 1,
+       generation_cost_usd, generation_latency_ms, q_passed, q_score, tier_ord, judge_text
+FROM judged WHERE tier_ord = initial_ord
+UNION ALL
+SELECT c.request_id, category, 'autopilot', initial_tier, tier, verified, tier <> initial_tier, n, cost, lat,
+       q_passed, q_score, tier_ord, judge_text
+FROM chain c JOIN ap ON ap.request_id = c.request_id AND ap.last_ord = c.tier_ord"""
 
 REPLAY_CTES = [("routed", ROUTED), ("costed", COSTED), ("replay", REPLAY)]

@@ -25,8 +25,15 @@ def attempts(spark, sf):
     return S.settle(S.route_requests(req), cand, price)
 
 
+def results(spark, sf):
+    """One row per request, settled or not."""
+    req, cand, price = _inputs(spark, sf)
+    return S.request_results(req, cand, price)
+
+
 def usage_log(spark, sf):
-    return S.fold_attempts(attempts(spark, sf), V.price(spark))
+    """The settled requests: what the usage log and its reports hold."""
+    return results(spark, sf).where(F.col("status") == "settled")
 
 
 def replay(spark, sf):
@@ -50,7 +57,9 @@ def withheld_replay(spark, sf):
 LOG_OUT = [c for c in S.LOG_COLUMNS if c != "routing_scores"] + ["any_verified"]
 FOLD_OUT = ["request_id", "attempt_count", "input_tokens", "output_tokens", "thinking_tokens",
             "total_cost_usd", "total_latency_ms", "final_tier", "model_id",
-            "verification_performed", "verification_passed", "verification_score", "any_verified"]
+            "verification_performed", "verification_passed", "verification_score",
+            "verification_error", "any_verified"]
+RESULT_OUT = LOG_OUT + ["verification_error", "status"]
 
 
 def q_route_decision_requests(spark, sf):
@@ -88,11 +97,31 @@ def q_request_fold(spark, sf):
 
 
 def q_request_results(spark, sf):
-    return usage_log(spark, sf).select(*LOG_OUT)
+    return results(spark, sf).select(*RESULT_OUT)
 
 
 def q_cost_identity_violations(spark, sf):
-    return S.cost_identity_violations(attempts(spark, sf))
+    return S.cost_identity_violations(attempts(spark, sf), usage_log(spark, sf))
+
+
+def q_cost_identity_planted(spark, sf):
+    """The same check over a log and attempts with faults put in: every 97th
+    request's total is a cent too high, every 89th attempt-1 row too low, and
+    every 83rd request is missing from the log."""
+    rid = F.col("request_id").cast("bigint")
+    log = usage_log(spark, sf).where(rid % 83 != 0).withColumn(
+        "total_cost_usd", F.col("total_cost_usd") + F.when(rid % 97 == 0, 0.01).otherwise(0.0))
+    att = attempts(spark, sf).withColumn(
+        "total_attempt_cost_usd", F.col("total_attempt_cost_usd")
+        - F.when((rid % 89 == 0) & (F.col("attempt_no") == 1), 0.02).otherwise(0.0))
+    return S.cost_identity_violations(att, log).withColumn("difference", F.round("difference", 6))
+
+
+def q_candidate_totals(spark, sf):
+    """Per tier: answers and tokens of the view; the oracle sums lineitem itself."""
+    return V.candidates(spark, sf).groupBy("tier").agg(
+        F.count(F.lit(1)).alias("answers"), F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"), F.sum("thinking_tokens").alias("thinking_tokens"))
 
 
 def q_usage_summary(spark, sf):
@@ -132,11 +161,12 @@ def q_category_strategy(spark, sf):
 
 
 def q_strategy_completeness(spark, sf):
-    return R.strategy_completeness(withheld_replay(spark, sf))
+    prompts = V.requests(spark, sf).select(F.col("request_id").alias("prompt_id"))
+    return R.strategy_completeness(withheld_replay(spark, sf), prompts)
 
 
 def q_benchmark_matrix(spark, sf):
-    return J.benchmark_matrix(V.requests(spark, sf), read_table(spark, sf, "benchmark", "item_id", "text"),
+    return J.benchmark_matrix(read_table(spark, sf, "benchmark", "item_id", "text"),
                               V.price(spark))
 
 
@@ -145,11 +175,26 @@ def q_judge_parse(spark, sf):
 
 
 def q_judge_parse_multi(spark, sf):
-    return J.parse_judge_multi(J.combined_judge_texts(V.candidates(spark, sf)))
+    return J.parse_judge_multi(J.combined_judge_texts(S.strategy_answers(*_inputs(spark, sf))))
+
+
+def q_verification_overhead(spark, sf):
+    return J.verification_overhead(attempts(spark, sf))
 
 
 def q_judge_overhead(spark, sf):
-    return J.judge_overhead(attempts(spark, sf))
+    req, cand, price = _inputs(spark, sf)
+    return J.evaluator_overhead(evaluator_calls(spark, sf), price)
+
+
+def evaluator_calls(spark, sf):
+    """One evaluator call per prompt that has all three answers: its reply is the
+    combined text, its prompt the three answers (four characters a token)."""
+    return J.evaluator_calls(J.combined_judge_texts(S.strategy_answers(*_inputs(spark, sf))))
+
+
+def q_judge_batch_three(spark, sf):
+    return J.judge_batch_three(V.qa_pairs(spark, sf))
 
 
 def q_judge_batch(spark, sf):
@@ -164,6 +209,10 @@ SPARK = {
     "request_fold": q_request_fold,
     "request_results": q_request_results,
     "cost_identity_violations": q_cost_identity_violations,
+    "cost_identity_planted": q_cost_identity_planted,
+    "candidate_totals": q_candidate_totals,
+    "verification_overhead": q_verification_overhead,
+    "judge_batch_three": q_judge_batch_three,
     "usage_summary": q_usage_summary,
     "tier_usage": q_tier_usage,
     "mode_usage": q_mode_usage,
@@ -201,6 +250,15 @@ def _rate(num, den="COUNT(*)"):
     return f"CASE WHEN ({den}) > 0 THEN CAST({num} AS DOUBLE) / ({den}) ELSE 0.0 END"
 
 
+#: One evaluator reply per prompt: the judge's text of the answer that each
+#: strategy ended with, its labels prefixed, in a fixed order.
+EVALUATOR_SQL = """
+SELECT prompt_id AS request_id, COUNT(judge_text) AS n,
+       string_agg(replace(replace(judge_text, 'VERDICT:', p || '_VERDICT:'), 'SCORE:', p || '_SCORE:'), chr(10) ORDER BY k) AS t
+FROM (SELECT *, upper(strategy) AS p,
+             CASE strategy WHEN 'always_tier_3' THEN 0 WHEN 'ml_only' THEN 1 ELSE 2 END AS k FROM replay) z
+GROUP BY prompt_id"""
+
 ORACLE = {
     "call_cost": ([("costed", COSTED)], """
 SELECT request_id, tier, billable_output_tokens, generation_cost_usd AS estimated_cost_usd,
@@ -218,16 +276,32 @@ SELECT c.request_id, r.initial_tier, c.tier, c.tier_ord
 FROM candidates c JOIN routed r ON r.request_id = c.request_id WHERE c.tier_ord >= r.initial_ord"""),
     "settled_attempts": (SETTLE_CTES, f"SELECT {_ATT_SQL} FROM settled"),
     "request_fold": (SETTLE_CTES, f"SELECT {_FOLD_SQL} FROM folded"),
-    "request_results": (SETTLE_CTES, f"SELECT {_LOG_SQL} FROM folded"),
+    "request_results": (SETTLE_CTES, f"SELECT {', '.join(RESULT_OUT)} FROM folded_all"),
     "cost_identity_violations": (SETTLE_CTES, """
 SELECT request_id, tier, 'attempt_cost' AS identity,
        total_attempt_cost_usd - (generation_cost_usd + verification_cost_usd) AS difference
-FROM settled WHERE abs(total_attempt_cost_usd - (generation_cost_usd + verification_cost_usd)) > 1e-12
+FROM settled WHERE abs(total_attempt_cost_usd - (generation_cost_usd + verification_cost_usd)) > 1e-9
 UNION ALL
 SELECT f.request_id, CAST(NULL AS VARCHAR) AS tier, 'request_cost' AS identity, f.total_cost_usd - s.s AS difference
 FROM folded f JOIN (SELECT request_id, SUM(total_attempt_cost_usd) AS s FROM settled GROUP BY request_id) s
   ON s.request_id = f.request_id
-WHERE abs(f.total_cost_usd - s.s) > 1e-12"""),
+WHERE abs(f.total_cost_usd - s.s) > 1e-9"""),
+    "cost_identity_planted": (SETTLE_CTES, """
+SELECT request_id, tier, 'attempt_cost' AS identity, CAST(-0.02 AS DOUBLE) AS difference
+FROM settled WHERE CAST(request_id AS BIGINT) % 89 = 0 AND attempt_no = 1
+UNION ALL
+SELECT request_id, CAST(NULL AS VARCHAR), 'request_cost', ROUND(d, 6) FROM (
+  SELECT request_id,
+         CASE WHEN CAST(request_id AS BIGINT) % 83 = 0 THEN 0.0 ELSE total_cost_usd END
+         + CASE WHEN CAST(request_id AS BIGINT) % 97 = 0 AND CAST(request_id AS BIGINT) % 83 <> 0 THEN 0.01 ELSE 0.0 END
+         - total_cost_usd + CASE WHEN CAST(request_id AS BIGINT) % 89 = 0 THEN 0.02 ELSE 0.0 END AS d
+  FROM folded) x WHERE abs(d) > 1e-9"""),
+    "candidate_totals": ([], """
+SELECT CONCAT('tier_', CAST((l_linenumber - 1) % 3 + 1 AS VARCHAR)) AS tier,
+       COUNT(DISTINCT l_orderkey) AS answers, CAST(SUM(CAST(l_quantity AS BIGINT) * 20) AS BIGINT) AS input_tokens,
+       CAST(SUM(l_partkey % 900 + 50) AS BIGINT) AS output_tokens,
+       CAST(SUM(CASE WHEN (l_linenumber - 1) % 3 = 2 THEN l_suppkey % 200 ELSE 0 END) AS BIGINT) AS thinking_tokens
+FROM lineitem GROUP BY 1"""),
     "usage_summary": (SETTLE_CTES, f"""
 SELECT COUNT(*) AS total_requests,
        ROUND(COALESCE(SUM(total_cost_usd), 0.0), 9) AS total_cost_usd,
@@ -274,7 +348,9 @@ FROM (
         FROM folded) a) b"""),
     "recent_requests": (SETTLE_CTES, f"""
 SELECT {_LOG_SQL} FROM folded ORDER BY created_at DESC, request_id LIMIT 50"""),
-    "strategy_replay": (REPLAY_CTES, "SELECT * FROM replay"),
+    "strategy_replay": (REPLAY_CTES, """
+SELECT prompt_id, category, strategy, initial_tier, final_tier, verification_performed, escalated, attempt_count,
+       strategy_cost_usd, strategy_latency_ms, quality_passed, quality_score FROM replay"""),
     "strategy_summary": (REPLAY_CTES, f"""
 SELECT strategy, requests, ROUND(c, 9) AS total_cost_usd, ROUND(c / requests, 9) AS average_cost_usd,
        ROUND(l / requests, 4) AS average_latency_ms,
@@ -284,7 +360,7 @@ SELECT strategy, requests, ROUND(c, 9) AS total_cost_usd, ROUND(c / requests, 9)
        {_rate('e', 'requests')} AS escalation_rate,
        {_rate('att', 'requests')} AS average_attempts,
        ROUND((MAX(CASE WHEN strategy = 'always_tier_3' THEN c END) OVER () - c)
-             / MAX(CASE WHEN strategy = 'always_tier_3' THEN c END) OVER (), 9) AS cost_savings_vs_tier3
+             / NULLIF(MAX(CASE WHEN strategy = 'always_tier_3' THEN c END) OVER (), 0), 9) AS cost_savings_vs_tier3
 FROM (SELECT strategy, COUNT(*) AS requests, SUM(strategy_cost_usd) AS c, SUM(strategy_latency_ms) AS l,
              SUM(CAST(quality_passed AS INT)) AS qp, COUNT(quality_passed) AS nqp,
              SUM(quality_score) AS qs, COUNT(quality_score) AS nqs,
@@ -299,34 +375,43 @@ SELECT category, strategy, ROUND(AVG(strategy_cost_usd), 9) AS cost, ROUND(AVG(q
        AVG(CAST(quality_passed AS INT)) AS passed
 FROM replay GROUP BY category, strategy"""),
     "strategy_completeness": (REPLAY_CTES, """
-SELECT prompt_id, missing FROM (
-  SELECT prompt_id, concat_ws(',',
-      CASE WHEN MAX(CASE WHEN strategy = 'always_tier_3' THEN 1 ELSE 0 END) = 0 THEN 'always_tier_3' END,
-      CASE WHEN MAX(CASE WHEN strategy = 'autopilot' THEN 1 ELSE 0 END) = 0 THEN 'autopilot' END,
-      CASE WHEN MAX(CASE WHEN strategy = 'ml_only' THEN 1 ELSE 0 END) = 0 THEN 'ml_only' END) AS missing
-  FROM replay
-  WHERE NOT ((CAST(prompt_id AS BIGINT) % 7 = 0 AND strategy = 'ml_only')
-          OR (CAST(prompt_id AS BIGINT) % 11 = 0 AND strategy = 'autopilot'))
-  GROUP BY prompt_id) t
-WHERE missing <> ''"""),
+SELECT prompt_id, string_agg(strategy, ',' ORDER BY strategy) AS missing
+FROM (SELECT q.request_id AS prompt_id, s.strategy FROM requests q,
+             (VALUES ('always_tier_3'), ('autopilot'), ('ml_only')) AS s(strategy)
+      EXCEPT
+      SELECT prompt_id, strategy FROM replay
+      WHERE NOT ((CAST(prompt_id AS BIGINT) % 7 = 0 AND strategy = 'ml_only')
+              OR (CAST(prompt_id AS BIGINT) % 11 = 0 AND strategy = 'autopilot'))) t
+GROUP BY prompt_id"""),
     "judge_parse": ([], f"""
 SELECT request_id, tier, j_verdict AS verdict, j_score AS score,
        CASE WHEN j_parse_error IS NULL THEN {reason_sql('judge_text')} END AS reason,
        j_passed AS passed, j_parse_error AS parse_error
 FROM (SELECT *, {judge_sql('judge_text')} FROM candidates) c"""),
-    "judge_parse_multi": ([], f"""
+    "judge_parse_multi": (REPLAY_CTES, f"""
 SELECT request_id, s.strategy, s.verdict, s.score, s.passed, s.parse_error
 FROM (SELECT request_id, {judge_sql('t', 'ALWAYS_TIER_3_', 'a_')}, {judge_sql('t', 'ML_ONLY_', 'm_')},
              {judge_sql('t', 'AUTOPILOT_', 'p_')}
-      FROM (SELECT request_id, concat_ws(chr(10),
-              replace(replace(MAX(CASE WHEN tier_ord = 3 THEN judge_text END), 'VERDICT:', 'ALWAYS_TIER_3_VERDICT:'), 'SCORE:', 'ALWAYS_TIER_3_SCORE:'),
-              replace(replace(MAX(CASE WHEN tier_ord = 1 THEN judge_text END), 'VERDICT:', 'ML_ONLY_VERDICT:'), 'SCORE:', 'ML_ONLY_SCORE:'),
-              replace(replace(MAX(CASE WHEN tier_ord = 2 THEN judge_text END), 'VERDICT:', 'AUTOPILOT_VERDICT:'), 'SCORE:', 'AUTOPILOT_SCORE:')) AS t
-            FROM candidates GROUP BY request_id) x) y,
+      FROM ({EVALUATOR_SQL}) x) y,
 LATERAL (VALUES ('always_tier_3', a_verdict, a_score, a_passed, a_parse_error),
                 ('ml_only', m_verdict, m_score, m_passed, m_parse_error),
                 ('autopilot', p_verdict, p_score, p_passed, p_parse_error))
   AS s(strategy, verdict, score, passed, parse_error)"""),
+    "judge_overhead": (REPLAY_CTES, f"""
+SELECT COUNT(*) AS evaluator_calls, CAST(SUM(i) AS BIGINT) AS evaluator_input_tokens,
+       CAST(SUM(o) AS BIGINT) AS evaluator_output_tokens,
+       ROUND(SUM(CAST(i AS DOUBLE) / 1000000 * 0.75 + CAST(o AS DOUBLE) / 1000000 * 3.75), 9) AS evaluator_cost_usd,
+       ROUND(SUM(CAST(o * 10 AS DOUBLE)), 4) AS evaluator_latency_ms
+FROM (SELECT length(t) // 4 + 300 AS i, length(t) // 4 + 1 AS o FROM ({EVALUATOR_SQL}) x WHERE n = 3) y"""),
+    "judge_batch_three": ([], f"""
+SELECT conv_id, turn,
+       CASE WHEN prompt IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL
+            THEN {sql_lit(J.THREE_HEAD)} || prompt || {sql_lit(J.THREE_MARKS[0])} || a || {sql_lit(J.THREE_MARKS[1])} || b
+                 || {sql_lit(J.THREE_MARKS[2])} || c || {sql_lit(J.JUDGE_TEMPLATE_TAIL)} END AS judge_prompt,
+       a IS NULL OR b IS NULL OR c IS NULL AS missing_answer
+FROM (SELECT conv_id, turn, prompt, answer AS a,
+             LEAD(answer, 1) OVER (PARTITION BY conv_id ORDER BY turn) AS b,
+             LEAD(answer, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS c FROM qa_pairs) q"""),
     "judge_batch": ([], f"""
 SELECT conv_id, turn,
        CASE WHEN answer IS NOT NULL AND prompt IS NOT NULL
@@ -347,7 +432,7 @@ SELECT request_id,
             ELSE 'Neither Tier 1 nor Tier 2 met the required routing threshold, so the strongest tier was selected.'
        END AS reason
 FROM requests"""),
-    "judge_overhead": (SETTLE_CTES, """
+    "verification_overhead": (SETTLE_CTES, """
 SELECT mode, CAST(SUM(CAST(verification_performed AS INT)) AS BIGINT) AS judge_calls,
        ROUND(SUM(verification_cost_usd), 9) AS judge_cost_usd,
        ROUND(SUM(verification_latency_ms), 4) AS judge_latency_ms,

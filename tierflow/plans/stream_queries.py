@@ -12,11 +12,28 @@ SPARK = {
 
 ORACLE = {
     "stream_log": ([], """
-SELECT request_id, created_at, mode, final_tier, input_tokens, output_tokens, total_latency_ms
-FROM usage_events WHERE request_id IS NOT NULL AND created_at IS NOT NULL"""),
+SELECT request_id, created_at, mode, final_tier, input_tokens, output_tokens, total_latency_ms, 'logged' AS outcome
+FROM usage_events
+UNION ALL
+SELECT NULL, created_at, mode, final_tier, input_tokens, output_tokens, total_latency_ms, 'logged'
+FROM usage_events, (VALUES (1), (2)) AS copies(n) WHERE CAST(request_id AS BIGINT) % 41 = 0
+UNION ALL
+SELECT request_id, NULL, mode, final_tier, input_tokens, output_tokens, total_latency_ms, 'rejected'
+FROM usage_events WHERE CAST(request_id AS BIGINT) % 43 = 0"""),
     "stream_summary": ([], """
-SELECT strftime(date_trunc('day', created_at), '%Y-%m-%d') AS day, final_tier, COUNT(*) AS requests,
-       CAST(SUM(input_tokens) AS BIGINT) AS input_tokens, CAST(SUM(output_tokens) AS BIGINT) AS output_tokens,
-       ROUND(SUM(total_latency_ms), 4) AS total_latency_ms
-FROM usage_events GROUP BY 1, 2"""),
+SELECT day, mode, final_tier, requests, input_tokens, output_tokens, ROUND(lat, 4) AS total_latency_ms,
+       ROUND(cost, 9) AS total_cost_usd, ROUND(base, 9) AS tier_3_equivalent_cost_usd,
+       ROUND(base - cost, 9) AS estimated_savings_usd
+FROM (
+  SELECT g.*, CAST(input_tokens AS DOUBLE) / 1000000 * p.input_cost_per_million
+              + CAST(output_tokens AS DOUBLE) / 1000000 * p.output_cost_per_million AS cost,
+         CAST(input_tokens AS DOUBLE) / 1000000 * t.input_cost_per_million
+              + CAST(output_tokens AS DOUBLE) / 1000000 * t.output_cost_per_million AS base
+  FROM (SELECT strftime(date_trunc('day', created_at), '%Y-%m-%d') AS day, mode, final_tier, COUNT(*) AS requests,
+               CAST(SUM(input_tokens) AS BIGINT) AS input_tokens, CAST(SUM(output_tokens) AS BIGINT) AS output_tokens,
+               SUM(total_latency_ms) AS lat
+        FROM (SELECT * FROM usage_events UNION ALL
+              SELECT e.* FROM usage_events e, (VALUES (1), (2)) AS copies(n) WHERE CAST(request_id AS BIGINT) % 41 = 0) u
+        GROUP BY 1, 2, 3) g
+  JOIN price p ON p.tier = g.final_tier JOIN price t ON t.tier = 'tier_3') x"""),
 }

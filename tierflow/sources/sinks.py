@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,47 +77,51 @@ def read_usage_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).drop("created_month")
 
 
+GENERATED = "gen-"
+
+
+def with_ids(rows: DataFrame) -> DataFrame:
+    """A row without an id gets one of its own (equal rows get different ones).
+    The ids are random: write the result before it is used twice."""
+    return rows.withColumn("request_id", F.coalesce(
+        F.col("request_id"), F.concat(F.lit(GENERATED), F.expr("uuid()"))))
+
+
+def first_per_id(df: DataFrame, time: str) -> DataFrame:
+    """The first row of each id: earliest time (nulls last), then content.  A
+    row-number-1 filter, so each map task ships at most one row per id."""
+    content = F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])
+    w = Window.partitionBy("request_id").orderBy(F.col(time).asc_nulls_last(), "__h")
+    return (df.withColumn("__h", content).withColumn("__r", F.row_number().over(w))
+            .where(F.col("__r") == 1).drop("__h", "__r"))
+
+
 def append_log(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
     """Append request rows; return the rejects as (request_id, rejected_rows, reason).
 
-    * a missing id becomes a content hash (deterministic, so a retried task
-      produces the same id);
-    * within the batch the first row per id (earliest created_at, then
-      content hash) is kept: a ``min_by`` per id, partially aggregated in
-      each map task, so an id repeated across a third of the batch is
-      combined before the shuffle instead of landing in one task;
-    * ids already in the log are rejected (anti / semi join on the id
-      column only, pruned from the parquet scan).
+    * a row without an id gets a fresh one and is never a duplicate;
+    * within the batch the first row per id is kept (see ``first_per_id``);
+    * an id that the log has is rejected with all its rows.  One join of the
+      batch's ids with the log's id column (all that is scanned of the log)
+      says which.
     """
     create_usage_log(spark, path)
-    df = rows.select(*[c for c in LOG_COLUMNS if c in rows.columns])
-    payload = [c for c in df.columns if c != "request_id"]
-    content = F.sha2(F.to_json(F.struct(*[F.col(c) for c in payload])), 256)
-    df = (df.withColumn("__h", content)
-          .withColumn("request_id", F.coalesce(F.col("request_id"), F.col("__h"))))
-    first = F.struct(F.col("created_at").isNull(), F.col("created_at"), F.col("__h"))
-    winners = df.groupBy("request_id").agg(
-        F.min_by(F.struct(*payload), first).alias("w"),
-        F.count(F.lit(1)).alias("__n"))
-    # the batch feeds three branches (kept, in-batch duplicates, known ids):
-    # a written table computes it once and cuts the lineage
-    winners = materialize(winners.select("request_id", "w.*", "__n"), "log-batch")
-    existing = read_usage_log(spark, path).select("request_id")
-    fresh = winners.join(existing, "request_id", "left_anti")
-    dup = winners.where(F.col("__n") > 1).select(
-        "request_id", (F.col("__n") - 1).alias("rejected_rows"),
-        F.lit("duplicate_in_batch").alias("reject_reason"))
-    old = winners.join(existing, "request_id", "left_semi").select(
-        "request_id", F.col("__n").alias("rejected_rows"),
-        F.lit("duplicate_request_id").alias("reject_reason"))
-    # materialise the rejects before the log changes under the semi join
-    rejects = materialize(dup.unionByName(old), "log-rejects")
+    batch = materialize(with_ids(rows.select(*[c for c in LOG_COLUMNS if c in rows.columns])), "log-batch")
+    existing = read_usage_log(spark, path).select(F.col("request_id").alias("__id"))
+    ids = batch.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    # written before the log changes under the join
+    ids = materialize(ids.join(existing, F.col("request_id") == F.col("__id"), "left").select(
+        "request_id", "n", F.col("__id").isNotNull().alias("known")), "log-ids")
+    fresh = first_per_id(batch, "created_at").join(ids.where(~F.col("known")).select("request_id"), "request_id", "left_semi")
     # range-partition on (month, id): each task writes few files, and a hot
     # month is split across tasks instead of landing in one
-    out = fresh.drop("__n").withColumn("created_month", F.date_format("created_at", "yyyy-MM"))
+    out = fresh.withColumn("created_month", F.date_format("created_at", "yyyy-MM"))
     (out.repartitionByRange("created_month", "request_id")
      .write.mode("append").partitionBy("created_month").parquet(path))
-    return rejects
+    rejected = F.when(F.col("known"), F.col("n")).otherwise(F.col("n") - 1)
+    reason = F.when(F.col("known"), "duplicate_request_id").otherwise("duplicate_in_batch")
+    return ids.select("request_id", rejected.alias("rejected_rows"), reason.alias("reject_reason")) \
+        .where(F.col("rejected_rows") > 0)
 
 
 # --------------------------------------------------------------------------
@@ -136,11 +140,9 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     if df.limit(1).count() == 0:
         raise ValueError("benchmark table is empty")
-    cols = [c for c in df.columns if c not in ("run_id",)]
-    latest = df.groupBy("prompt_id", "strategy").agg(
-        F.max_by(F.struct(*[c for c in cols if c not in ("prompt_id", "strategy")]),
-                 F.col("run_id")).alias("r"))
-    return latest.select("prompt_id", "strategy", "r.*")
+    w = Window.partitionBy("prompt_id", "strategy").orderBy(F.col("run_id").desc())
+    # row number 1: each map task ships one row per key
+    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r", "run_id")
 
 
 # --------------------------------------------------------------------------

@@ -13,7 +13,7 @@ a hot order cannot concentrate its lines in one task.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierflow.constants import PRICE_ROWS
@@ -103,43 +103,59 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each tier would answer to a request: its order's lines, dealt to the
+    tiers by line number, every line counted.
+
+    One aggregate per order with a column set for each tier, so partial sums
+    are formed before the only exchange (a hot order ships one row per task),
+    and the result is partitioned by ``request_id``.  All buffers are numbers.
+    A tier without a line has no answer.
+    """
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
                     "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
                     "l_tax", "l_returnflag", "l_linestatus")
-    li = li.withColumn("request_id", F.col("l_orderkey").cast("string"))
-    w = Window.partitionBy("request_id").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    # Top three lines per order.  ``row_number() <= 3`` alone in its window
-    # lets Spark insert a partial WindowGroupLimit before the shuffle, so an
-    # order holding a huge share of lineitem ships at most 3 rows per map
-    # task.  "The order has >= 3 lines" is then "a third row survived": a
-    # max over <= 3 rows per order instead of an unbounded count frame.
-    top3 = li.select("*", F.row_number().over(w).alias("seq")).where(F.col("seq") <= 3)
-    ranked = (top3.withColumn("n_top", F.max("seq").over(Window.partitionBy("request_id")))
-              .where(F.col("n_top") == 3)
-              .withColumn("judge_pct", 100 - 4 * F.round(F.col("l_discount") * 100).cast("int")))
-    seq, pct = F.col("seq"), F.col("judge_pct")
-    verdict = F.when(F.col("l_linestatus") == "F", "PASS").otherwise("FAIL")
-    qty = F.col("l_quantity").cast("bigint")
-    return ranked.select(
-        "request_id",
-        seq.cast("int").alias("tier_ord"),
-        F.when(seq == 1, "tier_1").when(seq == 2, "tier_2").otherwise("tier_3").alias("tier"),
-        (qty * 20).alias("input_tokens"),
-        (F.col("l_partkey") % 900 + 50).alias("output_tokens"),
-        F.when(seq == 3, F.col("l_suppkey") % 200).otherwise(F.lit(0).cast("bigint"))
-        .alias("thinking_tokens"),
-        (F.col("l_extendedprice") / 10).alias("generation_latency_ms"),
-        (F.col("l_tax") * 10000).alias("judge_latency_ms"),
-        (qty * 20 + F.col("l_partkey") % 900 + 200).alias("judge_input_tokens"),
+    li = li.select("*", F.col("l_orderkey").cast("string").alias("request_id"),
+                   ((F.col("l_linenumber") - 1) % 3 + 1).alias("o"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    aggs = {
+        "qty": (F.sum, F.col("l_quantity").cast("bigint")),
+        "part": (F.sum, F.col("l_partkey") % 900),
+        "think": (F.sum, F.col("l_suppkey") % 200),
+        "cents": (F.sum, cents),
+        "tax": (F.sum, F.round(F.col("l_tax") * 100).cast("bigint")),
+        "n": (F.sum, F.lit(1).cast("bigint")),
+        "final": (F.max, (F.col("l_linestatus") == "F").cast("int")),
+        "disc": (F.max, F.round(F.col("l_discount") * 100).cast("int")),
+        "flag": (F.min, F.ascii("l_returnflag")),
+        "maxpart": (F.max, F.col("l_partkey")),
+    }
+    wide = li.groupBy("request_id").agg(*[
+        f(F.when(F.col("o") == k, c)).alias(f"{name}_{k}") for k in (1, 2, 3) for name, (f, c) in aggs.items()])
+    tiers = F.array(*[F.struct(F.lit(k).alias("tier_ord"), *[F.col(f"{name}_{k}").alias(name) for name in aggs])
+                      for k in (1, 2, 3)])
+    a = wide.select("request_id", F.inline(tiers)).where(F.col("n").isNotNull())
+    o, pct = F.col("tier_ord"), F.col("judge_pct")
+    verdict = F.when(F.col("final") == 1, "PASS").otherwise("FAIL")
+    score = F.when(pct == 100, F.lit("1.0")).otherwise(F.concat(F.lit("0."), pct.cast("string")))
+    reason = F.concat(F.lit("REASON: flag "), F.char(F.col("flag")))
+    # one answer in about seven comes with a reply that the parser must refuse
+    odd = F.col("maxpart") % 29
+    text = (F.when(odd == 0, F.lit(None).cast("string"))
+            .when(odd == 1, F.concat(F.lit("SCORE: "), score, F.lit("\n"), reason))
+            .when(odd == 2, F.concat(F.lit("VERDICT: "), verdict, F.lit("\n"), reason))
+            .when(odd == 3, F.concat(F.lit("VERDICT: "), verdict, F.lit("\nSCORE: 1.5\n"), reason))
+            .otherwise(F.concat(F.lit("VERDICT: "), verdict, F.lit("\nSCORE: "), score, F.lit("\n"), reason)))
+    return a.withColumn("judge_pct", 100 - 4 * F.col("disc")).select(
+        "request_id", o.cast("int").alias("tier_ord"),
+        F.when(o == 1, "tier_1").when(o == 2, "tier_2").otherwise("tier_3").alias("tier"),
+        (F.col("qty") * 20).alias("input_tokens"),
+        (F.col("part") + 50 * F.col("n")).alias("output_tokens"),
+        F.when(o == 3, F.col("think")).otherwise(F.lit(0).cast("bigint")).alias("thinking_tokens"),
+        (F.col("cents") / 1000).alias("generation_latency_ms"),
+        (F.col("tax") * 100).cast("double").alias("judge_latency_ms"),
+        (F.col("qty") * 20 + F.col("part") + 200).alias("judge_input_tokens"),
         F.lit(30).cast("bigint").alias("judge_output_tokens"),
-        verdict.alias("judge_verdict"),
-        (pct.cast("double") / 100).alias("judge_score"),
-        F.concat(
-            F.lit("VERDICT: "), verdict, F.lit("\n"), F.lit("SCORE: "),
-            F.when(pct == 100, F.lit("1.0")).otherwise(F.concat(F.lit("0."), pct.cast("string"))),
-            F.lit("\n"), F.lit("REASON: flag "), F.col("l_returnflag"),
-        ).alias("judge_text"),
+        text.alias("judge_text"),
     )
 
 
@@ -202,25 +218,27 @@ SELECT CAST(o_orderkey AS STRING) AS request_id, o_orderdate AS created_at,
        CAST((o_orderkey * 71 + o_custkey * 7) % 1001 AS DOUBLE) / 1000 AS tier_3_probability
 FROM orders""",
     "candidates": """
-SELECT CAST(l_orderkey AS STRING) AS request_id, CAST(seq AS INT) AS tier_ord,
-       CASE seq WHEN 1 THEN 'tier_1' WHEN 2 THEN 'tier_2' ELSE 'tier_3' END AS tier,
-       CAST(l_quantity AS BIGINT) * 20 AS input_tokens,
-       l_partkey % 900 + 50 AS output_tokens,
-       CASE WHEN seq = 3 THEN l_suppkey % 200 ELSE 0 END AS thinking_tokens,
-       l_extendedprice / 10 AS generation_latency_ms,
-       l_tax * 10000 AS judge_latency_ms,
-       CAST(l_quantity AS BIGINT) * 20 + l_partkey % 900 + 200 AS judge_input_tokens,
-       CAST(30 AS BIGINT) AS judge_output_tokens,
-       CASE WHEN l_linestatus = 'F' THEN 'PASS' ELSE 'FAIL' END AS judge_verdict,
-       CAST(judge_pct AS DOUBLE) / 100 AS judge_score,
-       CONCAT('VERDICT: ', CASE WHEN l_linestatus = 'F' THEN 'PASS' ELSE 'FAIL' END,
-              CHR(10), 'SCORE: ', CASE WHEN judge_pct = 100 THEN '1.0' ELSE CONCAT('0.', CAST(judge_pct AS STRING)) END,
-              CHR(10), 'REASON: flag ', l_returnflag) AS judge_text
-FROM (SELECT x.*, 100 - 4 * CAST(ROUND(l_discount * 100) AS INT) AS judge_pct,
-             ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq,
-             COUNT(*) OVER (PARTITION BY l_orderkey) AS n_lines
-      FROM lineitem x) y
-WHERE n_lines >= 3 AND seq <= 3""",
+SELECT request_id, tier_ord, tier, qty * 20 AS input_tokens, part + 50 * n AS output_tokens,
+       CASE WHEN tier_ord = 3 THEN think ELSE 0 END AS thinking_tokens,
+       CAST(cents AS DOUBLE) / 1000 AS generation_latency_ms, CAST(tax * 100 AS DOUBLE) AS judge_latency_ms,
+       qty * 20 + part + 200 AS judge_input_tokens, CAST(30 AS BIGINT) AS judge_output_tokens,
+       CASE WHEN odd = 0 THEN NULL
+            WHEN odd = 1 THEN CONCAT('SCORE: ', score, CHR(10), reason)
+            WHEN odd = 2 THEN CONCAT('VERDICT: ', verdict, CHR(10), reason)
+            WHEN odd = 3 THEN CONCAT('VERDICT: ', verdict, CHR(10), 'SCORE: 1.5', CHR(10), reason)
+            ELSE CONCAT('VERDICT: ', verdict, CHR(10), 'SCORE: ', score, CHR(10), reason) END AS judge_text
+FROM (
+  SELECT CAST(l_orderkey AS STRING) AS request_id, CAST((l_linenumber - 1) % 3 + 1 AS INT) AS tier_ord,
+         CONCAT('tier_', CAST((l_linenumber - 1) % 3 + 1 AS STRING)) AS tier,
+         CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, CAST(SUM(l_partkey % 900) AS BIGINT) AS part,
+         CAST(SUM(l_suppkey % 200) AS BIGINT) AS think,
+         CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents,
+         CAST(SUM(CAST(ROUND(l_tax * 100) AS BIGINT)) AS BIGINT) AS tax, COUNT(*) AS n,
+         CASE WHEN MIN(l_linestatus) = 'F' THEN 'PASS' ELSE 'FAIL' END AS verdict,
+         CASE WHEN MAX(l_discount) < 0.005 THEN '1.0'
+              ELSE CONCAT('0.', CAST(100 - 4 * CAST(ROUND(MAX(l_discount) * 100) AS INT) AS STRING)) END AS score,
+         CONCAT('REASON: flag ', MIN(l_returnflag)) AS reason, MAX(l_partkey) % 29 AS odd
+  FROM lineitem GROUP BY l_orderkey, (l_linenumber - 1) % 3 + 1) x""",
     "usage_events": """
 SELECT CAST(event_id AS STRING) AS request_id, ts AS created_at,
        CASE WHEN event_type IN ('click', 'view') THEN 'economy' ELSE 'balanced' END AS mode,

@@ -1,16 +1,16 @@
 """Structured Streaming: continuous usage-log ingest and a live summary.
 
-S1 ingest:  file source of raw events -> usage rows -> event-time watermark
-            -> dropDuplicatesWithinWatermark(request_id) -> foreachBatch sink.
-            Each micro-batch is written to its own ``batch_id=<n>`` folder with
-            overwrite, so a replayed batch after a failure rewrites the same
-            folder (idempotent); together with the checkpoint this gives
-            exactly-once output.  Rows without an id or a timestamp go to a
-            reject folder instead of failing the stream.
-S2 summary: the ingested log as a stream -> watermark -> per (day, tier)
-            counts and sums in update mode -> foreachBatch appends the
-            updated groups with their batch id; readers take the latest
-            version of each group (an upsert log merged at read time).
+S1 ingest:  file source of raw events -> usage rows -> foreachBatch sink with
+            the batch log's rules.  A row without an id gets a fresh one; a row
+            without a time goes to the reject folder; of the rows of an id the
+            first stays, and an id that an earlier batch logged, however long
+            ago, is a duplicate.  No watermark drops late rows.  Each
+            micro-batch is written to its own ``batch_id=<n>`` folder with
+            overwrite, so a batch replayed after a failure replaces itself.
+S2 summary: follows the log's files.  A micro-batch only tells which days have
+            changed; those days are recomputed from the log itself (pruned to
+            their partitions) and written as a new version.  Files that a
+            replay rewrites make S2 recompute, never add twice.
 
 Checkpoints and sinks live under the shared folder named by
 ``spark.checkpoint.dir``; nothing uses a machine-local path on a cluster.
@@ -20,12 +20,15 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tierflow.session import checkpoint_path
+from tierflow.operators.settle import verifier_price
+from tierflow.session import checkpoint_path, materialize
+from tierflow.sources.sinks import GENERATED, _exists, first_per_id, with_ids
 
-WATERMARK = "1 day"
+LOG_SCHEMA = ("request_id string, created_at timestamp, event_time timestamp_ntz, mode string, final_tier string, "
+              "input_tokens bigint, output_tokens bigint, total_latency_ms double, batch_id int, day string")
 
 
 def event_instant(ntz) -> F.Column:
@@ -58,78 +61,80 @@ def usage_rows(events: DataFrame) -> DataFrame:
     )
 
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
-    return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", max_files)
-            .parquet(sf_dir))
+def _logged_before(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
+    """Ids that other batches have logged."""
+    if not _exists(spark, out):
+        return spark.createDataFrame([], "request_id string")
+    log = spark.read.schema(LOG_SCHEMA).parquet(out)
+    return log.where(F.col("batch_id") != batch_id).select("request_id")
 
 
 def _batch_writer(out: str, rejects: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        # two sinks from one micro-batch: persist so the batch is computed once
-        batch.persist()
-        try:
-            ok = F.col("request_id").isNotNull() & F.col("created_at").isNotNull()
-            batch.where(ok).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-            batch.where(~ok).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
-        finally:
-            batch.unpersist()
+        spark = batch.sparkSession
+        # fresh ids are random: write the rows once, then derive both sinks
+        rows = materialize(with_ids(batch), "stream-batch")
+        timed = rows.where(F.col("created_at").isNotNull())
+        day = F.date_format("event_time", "yyyy-MM-dd")
+        new = first_per_id(timed, "created_at").join(_logged_before(spark, out, batch_id), "request_id", "left_anti")
+        (new.withColumn("day", day).repartitionByRange("day", "request_id")
+         .write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch_id={batch_id}"))
+        rows.where(F.col("created_at").isNull()).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
     return write
 
 
 def ingest(spark: SparkSession, source: DataFrame, out: str, ckpt: str, rejects: str) -> None:
     """Run S1 to completion over what is available (restartable from ``ckpt``)."""
-    deduped = (usage_rows(source)
-               .withWatermark("created_at", WATERMARK)
-               .dropDuplicatesWithinWatermark(["request_id"]))
-    q = (deduped.writeStream.foreachBatch(_batch_writer(out, rejects))
+    q = (usage_rows(source).writeStream.foreachBatch(_batch_writer(out, rejects))
          .option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def read_log(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).drop("batch_id")
-
-
-def _summary_writer(out: str):
+    return spark.read.schema(LOG_SCHEMA).parquet(out).drop("batch_id", "day")
+
+
+def day_summary(log: DataFrame, price: DataFrame) -> DataFrame:
+    """Per day, mode and tier: requests, tokens, latency, cost, what tier_3 would
+    have cost, and the savings.  Costs come from exact token sums."""
+    p = F.broadcast(price.select(F.col("tier").alias("final_tier"), F.col("input_cost_per_million").alias("pi"),
+                                 F.col("output_cost_per_million").alias("po")))
+    ti, to = verifier_price(price)
+    g = log.groupBy("day", "mode", "final_tier").agg(
+        F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"), F.sum("total_latency_ms").alias("total_latency_ms"))
+    i, o = F.col("input_tokens").cast("double") / 1000000, F.col("output_tokens").cast("double") / 1000000
+    cost, base = i * F.col("pi") + o * F.col("po"), i * F.lit(ti) + o * F.lit(to)
+    return g.join(p, "final_tier", "left").select(
+        "day", "mode", "final_tier", "requests", "input_tokens", "output_tokens", "total_latency_ms",
+        cost.alias("total_cost_usd"), base.alias("tier_3_equivalent_cost_usd"), (base - cost).alias("estimated_savings_usd"))
+
+
+def _summary_writer(log_dir: str, out: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("version", F.lit(batch_id))
+        from tierflow.sources.views import price
+        spark = batch.sparkSession
+        days = batch.select("day").distinct()
+        log = spark.read.schema(LOG_SCHEMA).parquet(log_dir).join(days, "day", "left_semi")
+        (day_summary(log, price(spark)).withColumn("version", F.lit(batch_id))
          .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
     return write
 
 
 def live_summary(spark: SparkSession, log_dir: str, out: str, ckpt: str) -> None:
     """Run S2 to completion over the ingested log."""
-    schema = read_log(spark, log_dir).schema
-    src = spark.readStream.schema(schema).parquet(log_dir)
-    agg = (src.withWatermark("created_at", WATERMARK)
-           .groupBy(F.window("created_at", "1 day"), "final_tier")
-           .agg(F.count(F.lit(1)).alias("requests"),
-                F.sum("input_tokens").alias("input_tokens"),
-                F.sum("output_tokens").alias("output_tokens"),
-                F.sum("total_latency_ms").alias("total_latency_ms")))
-    q = (agg.writeStream.outputMode("update").foreachBatch(_summary_writer(out))
+    src = spark.readStream.schema(LOG_SCHEMA).parquet(log_dir)
+    q = (src.writeStream.foreachBatch(_summary_writer(log_dir, out))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def read_summary(spark: SparkSession, out: str) -> DataFrame:
-    """Latest version of every (day, tier) group."""
-    s = spark.read.parquet(out)
-    latest = s.groupBy("window", "final_tier").agg(
-        F.max_by(F.struct("requests", "input_tokens", "output_tokens", "total_latency_ms"),
-                 F.col("version")).alias("v"))
-    # day label from the window start's epoch day: independent of the session zone
-    day = F.date_from_unix_date((F.unix_seconds(F.col("window.start")) / 86400).cast("int"))
-    return latest.select(
-        F.date_format(day, "yyyy-MM-dd").alias("day"), "final_tier",
-        F.col("v.requests").cast("bigint").alias("requests"),
-        F.col("v.input_tokens").cast("bigint").alias("input_tokens"),
-        F.col("v.output_tokens").cast("bigint").alias("output_tokens"),
-        F.round(F.col("v.total_latency_ms"), 4).alias("total_latency_ms"))
+    """Latest version of every (day, mode, tier) group."""
+    w = Window.partitionBy("day", "mode", "final_tier").orderBy(F.col("version").desc())
+    s = spark.read.parquet(out).withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1)
+    return s.drop("__r", "version", "batch_id")
 
 
 def run_paths(spark: SparkSession, tag: str | None = None) -> dict:
@@ -137,14 +142,38 @@ def run_paths(spark: SparkSession, tag: str | None = None) -> dict:
     return {k: f"{base}/{k}" for k in ("log", "log_ckpt", "rejects", "summary", "summary_ckpt")}
 
 
+def planted_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of two files' worth: all events, then, late, repeats
+    of every 50th dated ten days on, two equal rows without an id for every
+    41st, and a row without a time for every 43rd."""
+    path = checkpoint_path(spark, f"tables/event-source-{uuid.uuid4().hex}")
+    ev = spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
+    ev.write.parquet(f"{path}/a")
+    n, types = F.col("event_id"), dict(ev.dtypes)
+    again = ev.where(n % 50 == 0).withColumn("ts", (F.col("ts") + F.expr("INTERVAL 10 DAYS")).cast(types["ts"]))
+    bare = ev.where(n % 41 == 0).withColumn("event_id", F.lit(None).cast(types["event_id"]))
+    undated = ev.where(n % 43 == 0).withColumn("ts", F.lit(None).cast(types["ts"]))
+    again.unionByName(bare).unionByName(bare).unionByName(undated).write.parquet(f"{path}/b")
+    return (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 64)
+            .option("recursiveFileLookup", "true").parquet(path))
+
+
 def stream_log(spark: SparkSession, sf_dir: str, paths: dict | None = None) -> DataFrame:
+    """Every row that came in, logged or rejected; a generated id is shown as null."""
     p = paths or run_paths(spark)
-    ingest(spark, event_stream(spark, sf_dir), p["log"], p["log_ckpt"], p["rejects"])
-    return read_log(spark, p["log"]).withColumn("created_at", F.col("event_time")).drop("event_time")
+    ingest(spark, planted_source(spark, sf_dir), p["log"], p["log_ckpt"], p["rejects"])
+    rid = F.when(~F.col("request_id").startswith(GENERATED), F.col("request_id"))
+    show = lambda df, outcome: df.select(
+        rid.alias("request_id"), F.col("event_time").alias("created_at"), "mode", "final_tier",
+        "input_tokens", "output_tokens", "total_latency_ms", F.lit(outcome).alias("outcome"))
+    return show(read_log(spark, p["log"]), "logged").unionByName(show(spark.read.parquet(p["rejects"]), "rejected"))
 
 
 def stream_summary(spark: SparkSession, sf_dir: str, paths: dict | None = None) -> DataFrame:
     p = paths or run_paths(spark)
-    ingest(spark, event_stream(spark, sf_dir), p["log"], p["log_ckpt"], p["rejects"])
+    ingest(spark, planted_source(spark, sf_dir), p["log"], p["log_ckpt"], p["rejects"])
     live_summary(spark, p["log"], p["summary"], p["summary_ckpt"])
-    return read_summary(spark, p["summary"])
+    return read_summary(spark, p["summary"]).select(
+        "day", "mode", "final_tier", "requests", "input_tokens", "output_tokens",
+        F.round("total_latency_ms", 4).alias("total_latency_ms"),
+        *[F.round(c, 9).alias(c) for c in ("total_cost_usd", "tier_3_equivalent_cost_usd", "estimated_savings_usd")])
