@@ -2,13 +2,17 @@
 import os
 
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from tierflow.functions.routing import binary_target
 from tierflow.operators import text_model as TM
 from tierflow.operators.labels import complete_rows
-from tierflow.operators.learn import FeatureModel, Router, TierModel, brier_report
+from tierflow.operators.learn import (FeatureModel, Router, TierModel, _balanced, brier_report, fit_base,
+                                      gradient_norm, stratified_folds)
+from tierflow.operators.ranking import top_by_count
+from tierflow.plans.model_queries import GRADIENT_BOUND
 from tierflow.session import checkpoint_path
 from tierflow.sources import views as V
 
@@ -75,3 +79,44 @@ def test_scaler_constant_column_divides_by_one(spark):
     df2 = spark.createDataFrame([(1, 1), (2, 3)], "key int, word_count int")
     out2 = sorted(r["word_count"] for r in TM.apply_scaler(df2, TM.fit_scaler(df2, cols=["word_count"])).collect())
     assert out2 == [-1.0, 1.0]        # population deviation, not sample
+
+
+def test_scaler_beyond_64_bits(spark):
+    """Moments past 2 ** 63 (and 2 ** 127) scale without overflow."""
+    n = 4 * 10 ** 9
+    for big in (10 ** 3, 10 ** 9):
+        stats = {"word_count": (n, n * big, n * (big * big + 4))}   # mean big, deviation 2
+        df = spark.createDataFrame([(1, big + 2)], "key int, word_count int")
+        assert TM.apply_scaler(df, stats).first()["word_count"] == pytest.approx(1.0, rel=1e-2)
+    rows = spark.range(4).select(F.lit(1).alias("key"), F.lit(2_000_000_000).alias("word_count"))
+    (m,) = TM.fit_scaler(rows, cols=["word_count"]).values()
+    assert m == (4, 8 * 10 ** 9, 16 * 10 ** 18)
+
+
+def test_one_class_is_an_error(spark):
+    df = spark.createDataFrame([(i, 1) for i in range(9)] + [(9, 0), (10, 0)], "key int, y int")
+    with pytest.raises(ValueError, match="each class needs at least 3 rows"):
+        stratified_folds(df)
+
+
+def test_folds_are_even_in_each_class(spark):
+    df = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(100)], "key int, y int")
+    got = {(r["y"], r["fold"]): r["count"] for r in stratified_folds(df).groupBy("y", "fold").count().collect()}
+    assert got == {(0, 0): 27, (0, 1): 27, (0, 2): 26, (1, 0): 7, (1, 1): 7, (1, 2): 6}
+
+
+def test_top_by_count_is_exact(spark):
+    rows = [(f"t{i:03d}", c) for i, c in enumerate([9, 9, 7, 5, 5, 5, 5, 3, 2, 2])]
+    df = spark.createDataFrame(rows, "term string, cf long").repartition(4)
+    for k in range(1, 13):
+        got = {r["term"] for r in top_by_count(df, "cf", "term", k).collect()}
+        assert got == {t for t, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k]}
+
+
+def test_gradient_is_large_away_from_the_solution(spark, train_rows):
+    fm = FeatureModel.fit(train_rows.select("key", "prompt"))
+    x = fm.transform(train_rows.select("key", "prompt")).join(
+        train_rows.select("key", "tier_1_score"), "key").withColumn("y", binary_target("tier_1_score"))
+    good = fit_base(x)
+    poor = LogisticRegression(weightCol="w", labelCol="y", maxIter=0, regParam=1.0, standardization=False).fit(_balanced(x, "y")[0])
+    assert gradient_norm(good, x) < GRADIENT_BOUND < gradient_norm(poor, x)

@@ -9,7 +9,7 @@ Q = queries()
 # checked through the operators they reuse
 SKIP = {"predict_success", "calibration_report", "quality_model_metrics", "stream_log", "stream_summary",
         "usage_log_appended", "usage_log_rejects", "labelled_split_written", "benchmark_roundtrip",
-        "model_benchmark", "corpus_scan", "fit_optimality"}
+        "model_benchmark", "corpus_scan", "fit_optimality", "predict_fixed"}
 
 
 def _plan(df) -> str:

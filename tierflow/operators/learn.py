@@ -3,9 +3,9 @@
 M3  features = L2 TF-IDF (fit on train) ++ 8 population-scaled prompt
     features, as one sparse vector per document.  The long (key, index,
     weight) table is folded per document with a sorted ``collect_list``
-    (bounded by one document's distinct terms) and turned into a
-    ``SparseVector`` by the only Python UDF in the package (one call per
-    document; Spark has no built-in to build a sparse vector from arrays).
+    (bounded by one document's distinct terms) into the struct that Spark ML
+    stores for a sparse vector; the table is written and read back with the
+    vector type as its schema, so no Python runs per row.
 M4  Spark ML ``LogisticRegression`` per tier with class-balanced weights
     n / (2 * n_class); with those weights summing to n, an L2 penalty of
     C = 1 is ``regParam = 1 / n`` (no standardisation, intercept free).
@@ -13,8 +13,8 @@ M5  sigmoid (Platt) calibration over 3 folds: per fold, fit M4 on the other
     two, take margins on the held-out fold, fit a one-feature logistic
     regression on them with Platt's smoothed targets (each row entered
     twice, weights t and 1 - t).  The prediction averages the three
-    calibrated models.  Folds are a deterministic hash of the key
-    (repeatable, parallel, close to stratified on large data).
+    calibrated models.  Folds are stratified: each class is dealt evenly in the
+    order of a hash of the key; a class too small for the folds is an error.
 M6  batch prediction = vector -> three margins -> calibrated mean.
 M8  predictions are joined on ``key``, never aligned by row order.
 """
@@ -22,24 +22,38 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.ml import Transformer
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tierflow.constants import CALIBRATION_FOLDS, LR_MAX_ITER, LR_TOL, SEED, TIERS
 from tierflow.functions.routing import binary_target
-from tierflow.functions.text import FEATURE_NAMES
+from tierflow.functions.text import FEATURE_NAMES, feature_columns
 from tierflow.operators import text_model as TM
-from tierflow.session import materialize
+from tierflow.operators.ranking import global_rank
+from tierflow.session import checkpoint_path, materialize
 
 
-@F.udf(VectorUDT())
-def _sparse(size, idx, val):
-    return SparseVector(size, idx or [], val or [])
+#: A sparse vector as Spark ML stores it.  A table with such a struct, read with
+#: the vector type as its schema, is a column of vectors: no Python is run.
+_VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+
+
+def as_vectors(df: DataFrame, size: int, idx: Column, val: Column, name: str) -> DataFrame:
+    """df's other columns and ``features``, written once and read back as vectors."""
+    keep = [c for c in df.columns if c not in ("__idx", "__val")]
+    raw = df.select(*keep, F.struct(F.lit(0), F.lit(size), idx, val).cast(_VECTOR).alias("features"))
+    path = checkpoint_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
+    raw.write.parquet(path)
+    schema = StructType([*[raw.schema[c] for c in keep], StructField("features", VectorUDT())])
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 class FeatureModel:
@@ -54,9 +68,7 @@ class FeatureModel:
 
     @staticmethod
     def fit(docs: DataFrame, key: str = "key", text: str = "prompt") -> "FeatureModel":
-        tf = TM.doc_terms(docs, key, text)
-        n_docs = docs.count()
-        vocab = TM.fit_vocabulary(tf.join(docs.select(key), key, "left_semi"), n_docs)
+        vocab = TM.fit_vocabulary(TM.doc_terms(docs, key, text), n_docs := docs.count())
         # index = rank in the kept vocabulary; one window over <= 40,000 rows
         vocab = vocab.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
         vocab = materialize(vocab, "vocabulary")        # bounded: max_features rows
@@ -75,7 +87,8 @@ class FeatureModel:
         tail_val = F.array(*[F.col(c) for c in FEATURE_NAMES])
         idx = F.concat(F.coalesce(F.col("tw.idx"), F.array().cast("array<int>")), tail_idx)
         val = F.concat(F.coalesce(F.col("tw.weight"), F.array().cast("array<double>")), tail_val)
-        return j.select(key, _sparse(F.lit(self.size), idx, val).alias("features"))
+        return as_vectors(j.select(key, idx.alias("__idx"), val.alias("__val")), self.size,
+                          F.col("__idx"), F.col("__val"), "features")
 
     def save(self, path: str) -> None:
         self.vocab.select("term", "df", "idf", "idx").write.mode("overwrite").parquet(f"{path}/vocabulary")
@@ -92,8 +105,20 @@ class FeatureModel:
                             {k: tuple(v) for k, v in meta["scaler"].items()})
 
 
-def _fold(key: str, folds: int) -> F.Column:
-    return F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(folds))
+def materialize_vectors(df: DataFrame, name: str) -> DataFrame:
+    """Write a table with ``features`` once for the many passes of a fit."""
+    return materialize(df, name)
+
+
+def stratified_folds(df: DataFrame, label: str = "y", folds: int = CALIBRATION_FOLDS, key: str = "key") -> DataFrame:
+    """df with ``fold``: each class is dealt evenly to the folds in the order of a
+    hash of the key.  A class with fewer rows than folds is an error."""
+    small = df.groupBy(label).count().collect()  # two rows
+    if len(small) < 2 or any(r["count"] < folds for r in small):
+        raise ValueError(f"each class needs at least {folds} rows, found {[tuple(r) for r in small]}")
+    h = F.xxhash64(F.col(key), F.lit(SEED))
+    dealt = global_rank(df.select(key, label), [label], [h, F.col(key)], "__rank", "folds")
+    return df.join(dealt.select(key, (F.col("__rank") % folds).cast("int").alias("fold")), key)
 
 
 def _balanced(df: DataFrame, label: str) -> tuple[DataFrame, int]:
@@ -106,20 +131,8 @@ def _balanced(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return df.withColumn("w", F.when(F.col(label) == 1, F.lit(w1)).otherwise(F.lit(w0))), n
 
 
-ROWS_PER_FIT_PARTITION = 200_000
-
-
-def _sized(df: DataFrame, n: int) -> DataFrame:
-    """Iterative fits run one job per iteration: keep the partition count in
-    line with the row count (coalesce, no shuffle) so a small fit is not
-    dominated by task overhead and a large one still spreads out."""
-    parts = max(1, min(df.rdd.getNumPartitions(), -(-n // ROWS_PER_FIT_PARTITION)))
-    return df.coalesce(parts)
-
-
 def fit_base(df: DataFrame, label: str = "y") -> LogisticRegressionModel:
     weighted, n = _balanced(df, label)
-    weighted = _sized(weighted, n)
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="w",
                             maxIter=LR_MAX_ITER, tol=LR_TOL, regParam=1.0 / max(n, 1),
                             elasticNetParam=0.0, standardization=False, fitIntercept=True)
@@ -127,19 +140,10 @@ def fit_base(df: DataFrame, label: str = "y") -> LogisticRegressionModel:
     return model
 
 
-MARGIN_CLIP = 50.0
-
-
 def margin(model: LogisticRegressionModel, df: DataFrame, out: str) -> DataFrame:
-    """Class-1 margin, clipped to +-50 (the sigmoid is saturated there).
-
-    A fold whose training part holds one class gets an infinite intercept
-    from Spark's logistic regression; clipping keeps the Platt fit and the
-    calibrated mean finite instead of failing or producing NaN.
-    """
+    """Class-1 margin."""
     m = vector_to_array("rawPrediction")[1]
-    clipped = F.greatest(F.lit(-MARGIN_CLIP), F.least(F.lit(MARGIN_CLIP), m))
-    return model.transform(df).select(*[c for c in df.columns], clipped.alias(out))
+    return model.transform(df).select(*df.columns, m.alias(out))
 
 
 def fit_platt(margins: DataFrame, m: str, label: str = "y") -> LogisticRegressionModel:
@@ -153,8 +157,7 @@ def fit_platt(margins: DataFrame, m: str, label: str = "y") -> LogisticRegressio
         array_to_vector(F.array(F.col(m))).alias("features"),
         F.explode(F.array(F.struct(F.lit(1.0).alias("lab"), t.alias("w")),
                           F.struct(F.lit(0.0).alias("lab"), (1 - t).alias("w")))).alias("r"))
-    doubled = _sized(doubled.select("features", F.col("r.lab").alias("lab"), F.col("r.w").alias("w")),
-                     2 * n)
+    doubled = doubled.select("features", F.col("r.lab").alias("lab"), F.col("r.w").alias("w"))
     lr = LogisticRegression(featuresCol="features", labelCol="lab", weightCol="w", maxIter=LR_MAX_ITER,
                             tol=LR_TOL, regParam=0.0, standardization=False, fitIntercept=True)
     return lr.fit(doubled)
@@ -168,8 +171,9 @@ class TierModel:
 
     @staticmethod
     def fit_pair(train: DataFrame, k: int, label: str = "y", folds: int = CALIBRATION_FOLDS):
-        """Fold k: base model on the other folds, Platt model on fold k's margins."""
-        f = _fold("key", folds)
+        """Fold k: base model on the other folds, Platt model on fold k's margins.
+        ``train`` has ``fold`` (see ``stratified_folds``)."""
+        f = F.col("fold")
         base = fit_base(train.where(f != k), label)
         held = margin(base, train.where(f == k), "m")
         return base, fit_platt(held, "m", label)
@@ -177,6 +181,7 @@ class TierModel:
     @staticmethod
     def fit(train: DataFrame, label: str = "y", folds: int = CALIBRATION_FOLDS) -> "TierModel":
         """The folds are independent jobs: submit them side by side."""
+        train = materialize_vectors(stratified_folds(train, label, folds), "tier-train")
         with ThreadPoolExecutor(max_workers=folds) as pool:
             futs = [pool.submit(TierModel.fit_pair, train, k, label, folds) for k in range(folds)]
             return TierModel([f.result() for f in futs])
@@ -225,6 +230,55 @@ def brier_report(scored: DataFrame, label: str, calibrated: str, uncalibrated: s
         F.avg((F.col(calibrated) - y) * (F.col(calibrated) - y)).alias("brier_calibrated"))
 
 
+def predict_linear(weights: DataFrame, scaled: DataFrame, coefficients: DataFrame, intercept: float,
+                   tail: dict[str, float], platt: list[tuple[float, float]], key: str = "key") -> DataFrame:
+    """M6 from stated coefficients, relationally: the margin of each document from
+    its term weights (key, term, weight), the terms' coefficients (term, coef)
+    and its scaled features, then the mean of the calibrated probabilities."""
+    terms = weights.join(F.broadcast(coefficients), "term").groupBy(key).agg(
+        F.sum(F.col("weight") * F.col("coef")).alias("__m"))
+    m = F.coalesce("__m", F.lit(0.0)) + F.lit(intercept)
+    for c, w in tail.items():
+        m = m + F.col(c) * F.lit(w)
+    probs = [1.0 / (1.0 + F.exp(-(F.col("margin") * a + b))) for a, b in platt]
+    mean = probs[0]
+    for p in probs[1:]:
+        mean = mean + p
+    return scaled.join(terms, key, "left").select(key, m.alias("margin")).select(
+        key, "margin", (mean / len(probs)).alias("probability"))
+
+
+def gradient_norm(model: LogisticRegressionModel, df: DataFrame, label: str = "y") -> float:
+    """Largest component of the gradient of the weighted, penalised mean loss at
+    the model's solution, from the vectors' stored entries."""
+    weighted, n = _balanced(df, label)
+    scored = margin(model, weighted, "__m")
+    r = F.col("w") * (1.0 / (1.0 + F.exp(-F.col("__m"))) - F.col(label))
+    path = checkpoint_path(df.sparkSession, f"tables/gradient-{uuid.uuid4().hex}")
+    scored.select("features", r.alias("r")).write.parquet(path)
+    rows = df.sparkSession.read.schema(f"features {_VECTOR}, r double").parquet(path)
+    cells = rows.select("r", F.explode(F.arrays_zip("features.indices", "features.values")).alias("c"))
+    sums = cells.groupBy(F.col("c.indices").alias("i")).agg(F.sum(F.col("r") * F.col("c.values")).alias("g"))
+    total = weighted.agg(F.sum("w")).first()[0]
+    beta = df.sparkSession.createDataFrame(
+        [(i, float(b)) for i, b in enumerate(model.coefficients.toArray())], "i int, b double")
+    g = beta.join(sums, "i", "left").select(
+        F.abs(F.coalesce("g", F.lit(0.0)) / F.lit(total) + F.col("b") / F.lit(float(n))).alias("g"))
+    bias = abs(rows.agg(F.sum("r")).first()[0] / total)
+    return max(g.agg(F.max("g")).first()[0], bias)
+
+
+class PromptFeatures(Transformer):
+    """The eight prompt features as a pipeline stage."""
+
+    def __init__(self, text: str = "prompt"):
+        super().__init__()
+        self.text = text
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.select("*", *[c.alias(n) for n, c in feature_columns(F.col(self.text)).items()])
+
+
 class Router:
     """M7: one shared feature model and three calibrated tier models."""
 
@@ -236,15 +290,14 @@ class Router:
         fm = FeatureModel.fit(train_rows.select("key", "prompt"))
         x = fm.transform(train_rows.select("key", "prompt")).join(
             train_rows.select("key", *[f"{t}_score" for t in TIERS]), "key")
-        x = materialize(x, "train-features")           # reused by 18 fits
         # The 9 (tier, fold) fits are independent Spark jobs; submitting them
         # from a small thread pool lets the scheduler run them side by side
         # (the same idea as ``parallelism`` in Spark's tuning estimators).
         jobs = [(t, k) for t in TIERS for k in range(CALIBRATION_FOLDS)]
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            futs = {job: pool.submit(TierModel.fit_pair,
-                                     x.withColumn("y", binary_target(f"{job[0]}_score")), job[1])
-                    for job in jobs}
+            dealt = {t: materialize_vectors(stratified_folds(
+                x.select("key", "features", binary_target(f"{t}_score").alias("y"))), "tier-train") for t in TIERS}
+            futs = {job: pool.submit(TierModel.fit_pair, dealt[job[0]], job[1]) for job in jobs}
             tiers = {t: TierModel([futs[(t, k)].result() for k in range(CALIBRATION_FOLDS)])
                      for t in TIERS}
         cfg = {"quality_threshold": 0.8, "tier_1_threshold": 0.8, "tier_2_threshold": 0.7,

@@ -1,31 +1,33 @@
 """Text features, TF-IDF, scaling and classifier metrics as DataFrame jobs.
 
 TF-IDF (words and bigrams, min_df 2, top 40,000 terms, sublinear tf,
-smoothed idf, L2 rows) is built relationally:
+smoothed idf, L2 rows) is built relationally, from one scan of the texts:
 
-  documents -> regexp_extract_all tokens -> bigrams (zip_with) -> explode
-  -> tf = groupBy(key, term)            [partial aggregation per task]
-  -> df, corpus count = groupBy(term)   [fit split only]
-  -> vocabulary = top-k (term)          [bounded: 40,000 rows, broadcast]
-  -> weight, L2 norm over key           [join + one window on key]
+  documents -> exchange of the raw text on key -> tokens, bigrams (zip_with)
+  -> explode -> tf = groupBy(key, fit, term), written once
+  -> df, corpus count = groupBy(term)   [conditional sums over fit rows]
+  -> vocabulary = top by count          [cut-off from a histogram; 40,000 rows]
+  -> weight, L2 norm over key           [broadcast join + one window on key]
 
 Spark ML's ``IDF`` (no +1) and ``CountVectorizer`` (raw tf) do not give the
 same numbers, so the weighting is our own DataFrame code.
 
 Scaling uses the population deviation from exact integer moments
-(n*Sxx - Sx^2), so every engine and partitioning gives the same doubles.
+(n*Sxx - Sx^2): sums in DECIMAL, arithmetic in Python's integers.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierflow.constants import TFIDF_MAX_FEATURES, TFIDF_MIN_DF, WORD_CLASS
 from tierflow.functions.text import FEATURE_NAMES, feature_columns
+from tierflow.operators.ranking import top_by_count
 from tierflow.session import materialize
 
 TOKEN = f"[{WORD_CLASS}]{{2,}}"
-WEIGHT_DP = 9
 
 
 # --------------------------------------------------------------------------
@@ -39,35 +41,37 @@ def prompt_features(docs: DataFrame, key: str = "key", text: str = "prompt") ->
 # --------------------------------------------------------------------------
 # M1 TF-IDF
 # --------------------------------------------------------------------------
-def doc_terms(docs: DataFrame, key: str = "key", text: str = "prompt") -> DataFrame:
-    """(key, term, tf): unigram and bigram counts per document.
+def doc_terms(docs: DataFrame, key: str = "key", text: str = "prompt", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *carry, term, tf): unigram and bigram counts per document.
 
-    Documents are hash-partitioned on the key before tokenising, so the tf
-    aggregation and the later per-document norm reuse that one exchange of
-    the raw text (the smallest form of the corpus) instead of shuffling the
-    exploded terms twice.
+    The raw text, the smallest form of a document, is hash-partitioned on the
+    key and tokenised above that exchange, so the tokens are spread over all
+    tasks and the tf aggregation needs no other exchange.
     """
-    toks = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0)
-    d = docs.select(key, toks.alias("t")).repartition(key)
+    d = docs.select(key, *carry, text).repartition(key)
+    d = d.select(key, *carry, F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0).alias("t"))
     nxt = F.slice(F.col("t"), 2, F.greatest(F.size("t"), F.lit(1)))
     bigrams = F.filter(F.zip_with(F.col("t"), nxt, lambda a, b: F.concat(a, F.lit(" "), b)),
                        lambda x: x.isNotNull())
-    terms = d.select(key, F.explode(F.concat(F.col("t"), bigrams)).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = d.select(key, *carry, F.explode(F.concat(F.col("t"), bigrams)).alias("term"))
+    return terms.groupBy(key, *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def fit_vocabulary(tf: DataFrame, n_docs: int, min_df: int = TFIDF_MIN_DF,
-                   max_features: int = TFIDF_MAX_FEATURES) -> DataFrame:
-    """(term, df, idf) for the kept terms; fitted on the training documents' tf rows.
+                   max_features: int = TFIDF_MAX_FEATURES, fit: str | None = None) -> DataFrame:
+    """(term, df, idf) for the kept terms, from tf rows (those where ``fit`` is
+    true, if given).
 
     ``n_docs`` (number of fit documents, empty ones included) is a one-number
     aggregate taken from the documents, not from the terms; the vocabulary
-    itself stays a DataFrame, bounded by ``max_features`` (top-k), and is
-    broadcast where it is used.
+    itself stays a DataFrame, bounded by ``max_features``, and is broadcast
+    where it is used.
     """
+    if fit:
+        tf = tf.where(F.col(fit))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    kept = (stats.where(F.col("df") >= min_df)
-            .orderBy(F.col("cf").desc(), F.col("term")).limit(max_features))
+    stats = materialize(stats.where(F.col("df") >= min_df), "term-stats")
+    kept = top_by_count(stats, "cf", "term", max_features, "term-ties")
     idf = F.log(F.lit(float(1 + n_docs)) / (F.col("df") + 1)) + 1
     return kept.select("term", "df", idf.alias("idf"))
 
@@ -77,44 +81,43 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, key: str = "key") -> DataFram
     w = (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
     j = j.select(key, "term", w.alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return j.select(key, "term", F.round(F.col("w") / norm, WEIGHT_DP).alias("weight"))
+    return j.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf(docs: DataFrame, fit_filter, key: str = "key", text: str = "prompt") -> DataFrame:
-    tf = doc_terms(docs, key, text)
-    fit_keys = docs.where(fit_filter).select(key)
-    n_docs = fit_keys.count()
-    vocab = fit_vocabulary(tf.join(fit_keys, key, "left_semi"), n_docs)
-    return tfidf_weights(tf, vocab, key)
+    n_docs = docs.where(fit_filter).count()  # reads no text
+    tf = materialize(doc_terms(docs.withColumn("__fit", fit_filter), key, text, ("__fit",)), "doc-terms")
+    return tfidf_weights(tf, fit_vocabulary(tf, n_docs, fit="__fit"), key)
 
 
 # --------------------------------------------------------------------------
 # M2 population scaling
 # --------------------------------------------------------------------------
 def fit_scaler(feats: DataFrame, cols=FEATURE_NAMES) -> dict:
-    """Exact integer moments of the fit rows -> (mean, scale) per column."""
-    dec = "decimal(38,0)"
+    """Exact integer moments (n, Sx, Sxx) of the fit rows per column."""
+    dec = "decimal(18,0)"
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in cols:
-        aggs += [F.sum(F.col(c).cast("bigint")).cast(dec).alias(f"sx_{c}"),
-                 F.sum(F.col(c).cast("bigint") * F.col(c).cast("bigint")).cast(dec).alias(f"sxx_{c}")]
+        x = F.col(c).cast(dec)
+        aggs += [F.sum(x).alias(f"sx_{c}"), F.sum((x * x).cast("decimal(38,0)")).alias(f"sxx_{c}")]
     row = feats.agg(*aggs).first()
-    n = int(row["n"])
-    out = {}
-    for c in cols:
-        sx, sxx = int(row[f"sx_{c}"] or 0), int(row[f"sxx_{c}"] or 0)
-        out[c] = (n, sx, sxx)
-    return out
+    return {c: (int(row["n"]), int(row[f"sx_{c}"] or 0), int(row[f"sxx_{c}"] or 0)) for c in cols}
+
+
+def mean_and_scale(n: int, sx: int, sxx: int) -> tuple[float, float]:
+    """Mean and population deviation (1 for a constant column) from exact
+    integers of any size; only the last division is in floating point."""
+    if not n:
+        return 0.0, 1.0
+    std = math.sqrt(float(n * sxx - sx * sx) / float(n * n))
+    return float(sx) / float(n), std or 1.0
 
 
 def apply_scaler(feats: DataFrame, stats: dict, keep=("key",)) -> DataFrame:
     cols = []
-    for c, (n, sx, sxx) in stats.items():
-        mean = F.lit(sx).cast("double") / F.lit(n).cast("double")
-        var = F.lit(n * sxx - sx * sx).cast("double") / F.lit(n * n).cast("double")
-        std = F.sqrt(var)
-        scale = F.when(std == 0, F.lit(1.0)).otherwise(std)
-        cols.append(F.round((F.col(c).cast("double") - mean) / scale, WEIGHT_DP).alias(c))
+    for c, moments in stats.items():
+        mean, scale = mean_and_scale(*moments)
+        cols.append(((F.col(c).cast("double") - F.lit(mean)) / F.lit(scale)).alias(c))
     return feats.select(*keep, *cols)
 
 
@@ -131,15 +134,16 @@ def confusion_metrics(df: DataFrame, group: str, p: str, y: str) -> DataFrame:
     Prediction is p > 0.5 (a tie goes to class 0, as an argmax over
     [1-p, p] does).  Undefined ratios are 0.
     """
-    pred = F.col(p) > F.lit(0.5)
-    yy = F.col(y) == 1
-    g = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum((pred & yy).cast("int")).cast("bigint").alias("tp"),
-        F.sum((pred & ~yy).cast("int")).cast("bigint").alias("fp"),
-        F.sum((~pred & ~yy).cast("int")).cast("bigint").alias("tn"),
-        F.sum((~pred & yy).cast("int")).cast("bigint").alias("fn"),
-    )
+    return confusion_of_scores(score_counts(df, group, p, y), group)
+
+
+def confusion_of_scores(dist: DataFrame, group: str) -> DataFrame:
+    """The same figures from ``score_counts``."""
+    hit = F.col("score") > F.lit(0.5)
+    total = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("bigint")
+    g = dist.groupBy(group).agg(
+        F.sum(F.col("pos") + F.col("neg")).alias("n"), total("pos", hit).alias("tp"), total("neg", hit).alias("fp"),
+        total("neg", ~hit).alias("tn"), total("pos", ~hit).alias("fn"))
     tp, fp, tn, fn, n = (F.col(c) for c in ("tp", "fp", "tn", "fn", "n"))
     r1, r0 = _safe(tp, tp + fn), _safe(tn, tn + fp)
     f1_1, f1_0 = _safe(2 * tp, 2 * tp + fp + fn), _safe(2 * tn, 2 * tn + fn + fp)
@@ -153,6 +157,10 @@ def confusion_metrics(df: DataFrame, group: str, p: str, y: str) -> DataFrame:
         (tn + fp).alias("support_0"),
         ((f1_0 + f1_1) / 2).alias("macro_f1"),
         _safe(f1_0 * (tn + fp) + f1_1 * (tp + fn), n).alias("weighted_f1"),
+        ((_safe(tn, tn + fn) + _safe(tp, tp + fp)) / 2).alias("macro_precision"),
+        _safe(_safe(tn, tn + fn) * (tn + fp) + _safe(tp, tp + fp) * (tp + fn), n).alias("weighted_precision"),
+        ((r0 + r1) / 2).alias("macro_recall"),
+        _safe(r0 * (tn + fp) + r1 * (tp + fn), n).alias("weighted_recall"),
     )
 
 
@@ -168,11 +176,20 @@ def roc_auc(df: DataFrame, group: str, p: str, y: str, parts: int | None = None)
     4. AUC = sum(pos * (neg_below + neg/2)) / (P * N), summed as exact
        integers (2*pos*neg_below + pos*neg) in DECIMAL(38,0).
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dist = df.groupBy(group, F.col(p).alias("score")).agg(
+    return auc_of_scores(score_counts(df, group, p, y), group, parts)
+
+
+def score_counts(df: DataFrame, group: str, p: str, y: str) -> DataFrame:
+    """Distinct (group, score) with how many positives and negatives have it."""
+    return df.groupBy(group, F.col(p).alias("score")).agg(
         F.sum(F.col(y).cast("bigint")).alias("pos"),
         F.sum((1 - F.col(y)).cast("bigint")).alias("neg"))
+
+
+def auc_of_scores(dist: DataFrame, group: str, parts: int | None = None) -> DataFrame:
+    """The AUC from ``score_counts``."""
+    spark = dist.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sliced = materialize(dist.repartitionByRange(parts, group, "score")
                          .withColumn("slice", F.spark_partition_id()), "auc-slices")
     w_in = Window.partitionBy("slice", group).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
@@ -197,8 +214,9 @@ def classifier_metrics(df: DataFrame, group: str, p: str, y: str) -> DataFrame:
     """Confusion figures and AUC per group, put side by side without a join:
     both are tiny per-group aggregates, unioned and folded with a max (a
     join on a constant group key would plan as a nested-loop join)."""
-    conf = confusion_metrics(df, group, p, y)
-    auc = roc_auc(df, group, p, y)
+    dist = materialize(score_counts(df, group, p, y), "score-counts")  # the input is read once
+    conf = confusion_of_scores(dist, group)
+    auc = auc_of_scores(dist, group)
     cols = [c for c in conf.columns if c != group]
     both = conf.withColumn("roc_auc", F.lit(None).cast("double")).unionByName(
         auc.select(group, *[F.lit(None).cast(conf.schema[c].dataType).alias(c) for c in cols],

@@ -1,13 +1,21 @@
-"""Registered queries: the learned router (rows-only check; no SQL oracle)."""
+"""Registered queries: the learned router.  Trained predictions have no SQL oracle;
+scoring with stated coefficients and the optimality of fits have one."""
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from tierflow.operators.labels import complete_rows
 from tierflow.operators import text_model as TM
-from tierflow.operators.learn import FeatureModel, Router, TierModel
+from tierflow.constants import TIERS
+from tierflow.functions.routing import binary_target
+from tierflow.functions.text import FEATURE_NAMES
+from tierflow.operators.learn import (FeatureModel, PromptFeatures, Router, TierModel, fit_base,
+                                      gradient_norm, predict_linear)
+from tierflow.plans import text_queries
 from tierflow.session import materialize
 from tierflow.sources import views as V
+from tierflow.sources.tables import read_table
 
 
 def q_predict_success(spark, sf):
@@ -45,6 +53,71 @@ def q_quality_model_metrics(spark, sf):
     return TM.classifier_metrics(scored.withColumn("target", F.lit("quality")), "target", "p", "y")
 
 
+# stated coefficients of the fixed model
+PLATT = [(0.9, 0.1), (1.1, -0.2), (1.0, 0.05)]
+INTERCEPT = -0.1
+
+
+def q_predict_fixed(spark, sf):
+    """M6 with stated coefficients over this engine's TF-IDF weights and scaled
+    features: a term's coefficient comes from its length and first code point,
+    the k-th prompt feature's is (13 k + 7) mod 11 - 5 hundredths."""
+    raw = V.routing_raw(spark, sf, with_labels=False).select("key", "prompt", "split")
+    weights = TM.tfidf(raw, F.col("split") == "train")
+    scaled = text_queries.q_scaled_features(spark, sf)
+    coef = ((F.length("term") * 37 + F.ascii(F.substring("term", 1, 1)) * 11) % 101 - 50).cast("double") / 100
+    coefs = weights.select("term").distinct().select("term", coef.alias("coef"))
+    tail = {c: ((13 * k + 7) % 11 - 5) / 100 for k, c in enumerate(FEATURE_NAMES)}
+    out = predict_linear(weights, scaled, coefs, INTERCEPT, tail, PLATT)
+    return out.select("key", F.round("margin", 6).alias("margin"), F.round("probability", 6).alias("probability"))
+
+
+GRADIENT_BOUND = 1e-2
+
+
+def q_fit_optimality(spark, sf):
+    """M4: for each tier, the base model fitted on the train split is a minimum of
+    its penalised loss: no component of the gradient exceeds the bound (at zero
+    coefficients the largest one is some ten times larger)."""
+    raw = V.routing_raw(spark, sf, with_labels=False)
+    train = complete_rows(raw.where(F.col("split") == "train"), need_prompt=True)
+    fm = FeatureModel.fit(train.select("key", "prompt"))
+    x = fm.transform(train.select("key", "prompt")).join(
+        train.select("key", *[f"{t}_score" for t in TIERS]), "key")
+    rows = []
+    for t in TIERS:
+        y = materialize(x.select("key", "features", binary_target(f"{t}_score").alias("y")), "optimality")
+        g = gradient_norm(fit_base(y), y)
+        rows.append((t, bool(g <= GRADIENT_BOUND)))
+    return spark.createDataFrame(rows, "tier string, optimal boolean")
+
+
+def q_feature_pipeline(spark, sf):
+    """Prompt features through a pipeline stage."""
+    docs = read_table(spark, sf, "documents", "doc_id", "text").select(
+        F.col("doc_id").alias("key"), F.col("text").alias("prompt"))
+    return Pipeline(stages=[PromptFeatures()]).fit(docs).transform(docs).drop("prompt")
+
+
 SPARK = {"predict_success": q_predict_success, "calibration_report": q_calibration_report,
-         "quality_model_metrics": q_quality_model_metrics}
-ORACLE: dict = {}
+         "quality_model_metrics": q_quality_model_metrics, "predict_fixed": q_predict_fixed,
+         "fit_optimality": q_fit_optimality, "feature_pipeline": q_feature_pipeline}
+
+_MARGIN = " + ".join(["s", f"CAST({INTERCEPT} AS DOUBLE)"] + [
+    f"{c} * CAST({((13 * k + 7) % 11 - 5) / 100} AS DOUBLE)" for k, c in enumerate(FEATURE_NAMES)])
+_PROB = " + ".join(f"1.0 / (1.0 + exp(-(m * CAST({a} AS DOUBLE) + CAST({b} AS DOUBLE))))" for a, b in PLATT)
+
+ORACLE: dict = {
+    "predict_fixed": (
+        [*text_queries.ORACLE["tfidf_weights"][0], ("weights", text_queries.ORACLE["tfidf_weights"][1]),
+         *text_queries.ORACLE["scaled_features"][0], ("scaled", text_queries.ORACLE["scaled_features"][1])], f"""
+SELECT key, ROUND(m, 6) AS margin, ROUND(({_PROB}) / {len(PLATT)}, 6) AS probability
+FROM (SELECT key, {_MARGIN} AS m FROM (
+  SELECT c.*, COALESCE(t.s, 0.0) AS s FROM scaled c LEFT JOIN (
+    SELECT key, SUM(weight * CAST((length(term) * 37 + unicode(term) * 11) % 101 - 50 AS DOUBLE) / 100) AS s
+    FROM weights GROUP BY key) t ON t.key = c.key) a) b"""),
+    "fit_optimality": ([], """
+SELECT tier, COUNT(*) > 0 AS optimal FROM routing_raw, (VALUES ('tier_1'), ('tier_2'), ('tier_3')) AS t(tier)
+WHERE split = 'train' GROUP BY tier"""),
+    "feature_pipeline": text_queries.ORACLE["prompt_features"],
+}

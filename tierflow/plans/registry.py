@@ -5,19 +5,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tierflow.plans import (label_queries, model_queries, policy_queries, settle_queries,
+                            sink_queries, stream_queries, text_queries)
 from tierflow.sources.views import with_views
 
 
 def _families():
-    from tierflow.plans import settle_queries
-    fams = [settle_queries]
-    for mod in ("label_queries", "policy_queries", "text_queries", "stream_queries",
-                "sink_queries", "model_queries"):
-        try:
-            fams.append(__import__(f"tierflow.plans.{mod}", fromlist=["SPARK"]))
-        except ModuleNotFoundError:
-            pass
-    return fams
+    return [settle_queries, label_queries, policy_queries, text_queries, stream_queries,
+            sink_queries, model_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -38,7 +38,7 @@ def q_prompt_gate(spark, sf):
 
 def q_tfidf_weights(spark, sf):
     raw = V.routing_raw(spark, sf, with_labels=False).select("key", "prompt", "split")
-    return T.tfidf(raw, F.col("split") == "train")
+    return T.tfidf(raw, F.col("split") == "train").withColumn("weight", F.round("weight", 9))
 
 
 def q_scaled_features(spark, sf):
@@ -51,7 +51,8 @@ def q_scaled_features(spark, sf):
                        *[c.alias(n) for n, c in cols.items()])
     feats = materialize(feats, "prompt-features")
     stats = T.fit_scaler(complete_rows(feats.where(F.col("split") == "train")))
-    return T.apply_scaler(feats, stats, keep=("key", "split"))
+    scaled = T.apply_scaler(feats, stats, keep=("key", "split"))
+    return scaled.select("key", "split", *[F.round(c, 9).alias(c) for c in FEATURE_NAMES])
 
 
 def long_scores(spark, sf, split="validation"):
@@ -167,6 +168,10 @@ SELECT c.tier, n, tp, fp, tn, fn,
        {_sf('2 * tn', '2 * tn + fn + fp')} AS f1_0, tn + fp AS support_0,
        ({_sf('2 * tn', '2 * tn + fn + fp')} + {_sf('2 * tp', '2 * tp + fp + fn')}) / 2 AS macro_f1,
        {_sf(f"{_sf('2 * tn', '2 * tn + fn + fp')} * (tn + fp) + {_sf('2 * tp', '2 * tp + fp + fn')} * (tp + fn)", 'n')} AS weighted_f1,
+       ({_sf('tn', 'tn + fn')} + {_sf('tp', 'tp + fp')}) / 2 AS macro_precision,
+       {_sf(f"{_sf('tn', 'tn + fn')} * (tn + fp) + {_sf('tp', 'tp + fp')} * (tp + fn)", 'n')} AS weighted_precision,
+       ({_sf('tn', 'tn + fp')} + {_sf('tp', 'tp + fn')}) / 2 AS macro_recall,
+       {_sf(f"{_sf('tn', 'tn + fp')} * (tn + fp) + {_sf('tp', 'tp + fn')} * (tp + fn)", 'n')} AS weighted_recall,
        a.roc_auc
 FROM (SELECT tier, COUNT(*) AS n,
              CAST(SUM(CAST(p > 0.5 AND y = 1 AS INT)) AS BIGINT) AS tp,
