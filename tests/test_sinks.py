@@ -17,12 +17,16 @@ def test_labelled_csv_quoted_newlines_and_null_tokens(spark, tmp_path):
         "key,source_dataset,dataset_level,prompt,routing_label,tier_1_score,tier_2_score,tier_3_score\n"
         '1,a,x,"line one\nline ""two""",tier_1,0.9,0.9,0.9\n'
         "2,a,x,NA,tier_2,0.1,0.9,0.9\n"
-        "3,a,x,ok,tier_3,,0.5,0.9\n", encoding="utf-8")
+        "3,a,x,ok,tier_3,,0.5,0.9\n"
+        "4,a,x,ok,tier_3,#N/A,0.5,0.9\n"
+        "5,a,x,ok,tier_3,-nan,0.5,0.9\n"
+        "6,#NA,x,ok,1.#IND,0.5,0.5,0.9\n", encoding="utf-8")
     analysis = {r["key"]: r for r in read_labelled_csv(spark, str(p)).collect()}
-    assert set(analysis) == {"1", "2"}                       # row 3 lacks a score
+    assert set(analysis) == {"1", "2", "6"}                  # rows 3 to 5 lack a score
+    assert analysis["6"]["source_dataset"] is None and analysis["6"]["routing_label"] is None
     assert analysis["1"]["prompt"] == 'line one\nline "two"'
     training = {r["key"] for r in read_labelled_csv(spark, str(p), need_prompt=True).collect()}
-    assert training == {"1"}                                  # 'NA' prompt is missing
+    assert training == {"1", "6"}                             # 'NA' prompt is missing
 
 
 def _log_rows(spark, ids):
@@ -104,3 +108,20 @@ def test_nested_corpus_json_roundtrip(spark):
     direct = L.extract_scores(corpus)
     key = lambda r: r["key"]
     assert sorted(back.collect(), key=key) == sorted(direct.collect(), key=key)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from tierflow import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())

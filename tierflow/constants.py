@@ -2,7 +2,8 @@
 
 FIXED VALUES: everything in this module must equal the behaviour being
 reproduced (thresholds, tier names, prices, keyword lists, pattern texts).
-They are stated plainly, in natural order, and are not derived.
+They are stated plainly, in natural order, and are not derived.  Exception: the
+three ``model_id`` names in the price rows are this package's own placeholders.
 """
 
 # -- fixed values: quality and routing thresholds --------------------------

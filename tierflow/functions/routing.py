@@ -65,14 +65,6 @@ def three_threshold_tier(p1, p2, p3, t1, t2, t3) -> Column:
             .otherwise("tier_3"))
 
 
-def chosen_succeeded(selected, s1="tier_1_score", s2="tier_2_score", s3="tier_3_score",
-                     threshold=QUALITY_THRESHOLD) -> Column:
-    sel = _c(selected)
-    return (F.when(sel == "tier_1", passes(s1, threshold))
-            .when(sel == "tier_2", passes(s2, threshold))
-            .otherwise(passes(s3, threshold)))
-
-
 def score_from_text(text) -> Column:
     """Safe score extraction: non-numeric or NaN text -> null."""
     v = _c(text).try_cast("double")

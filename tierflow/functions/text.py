@@ -51,11 +51,6 @@ def feature_columns(text: Column) -> dict[str, Column]:
     }
 
 
-def with_prompt_features(df, text_col: str = "prompt"):
-    cols = feature_columns(F.col(text_col))
-    return df.select("*", *[c.alias(n) for n, c in cols.items()])
-
-
 def gate_columns(prompt: Column, mode: Column) -> dict[str, Column]:
     """Accept / reject a (prompt, mode) pair the way the serving path does.
 

@@ -80,9 +80,11 @@ def label_corpus(df: DataFrame) -> DataFrame:
 
 
 def complete_rows(df: DataFrame, need_prompt: bool = False) -> DataFrame:
-    """Analysis rule: drop a row when any score (and, for training, the prompt) is missing."""
-    subset = SCORES + (["prompt"] if need_prompt else [])
-    return df.na.drop(subset=subset)
+    """Analysis rule: drop a row when any score (and, for training, the prompt) is
+    missing.  Where the table has a ``has_prompt`` flag, the text isn't read."""
+    if need_prompt and "has_prompt" in df.columns:
+        return df.where("has_prompt").na.drop(subset=SCORES)
+    return df.na.drop(subset=SCORES + (["prompt"] if need_prompt else []))
 
 
 def label_counts(labelled: DataFrame) -> DataFrame:
@@ -92,23 +94,21 @@ def label_counts(labelled: DataFrame) -> DataFrame:
                     F.coalesce("routing_label", F.lit("all")).alias("routing_label"), "count")
 
 
-def write_labelled(labelled: DataFrame, path: str) -> None:
-    """A2: one folder per split (partitioned parquet), replacing only the splits written."""
-    (labelled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("split").parquet(path))
+# The texts that the usual CSV reader takes as missing.
+MISSING_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                 "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def read_labelled_csv(spark, path: str, need_prompt: bool = False) -> DataFrame:
     """A3: read a labelled CSV split with an explicit schema; quoted newlines and
-    doubled quotes are honoured, and the usual missing-value tokens become null."""
-    schema = ("key string, source_dataset string, dataset_level string, prompt string, "
-              "routing_label string, tier_1_score double, tier_2_score double, "
-              "tier_3_score double")
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+    doubled quotes are honoured, and the usual missing-value texts become null
+    in every column.  Quoted newlines make a file one task: keep files small."""
+    names = ["key", "source_dataset", "dataset_level", "prompt", "routing_label", *SCORES]
+    df = (spark.read.schema(", ".join(f"{c} string" for c in names)).option("header", True).option("multiLine", True)
           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    nulls = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "<NA>"]
-    df = df.withColumn("prompt", F.when(~F.col("prompt").isin(*nulls), F.col("prompt")))
-    return complete_rows(df, need_prompt)
+    value = {c: F.when(~F.col(c).isin(*MISSING_TEXTS), F.col(c)) for c in names}
+    return complete_rows(df.select(*[
+        (value[c].try_cast("double") if c in SCORES else value[c]).alias(c) for c in names]), need_prompt)
 
 
 # --------------------------------------------------------------------------

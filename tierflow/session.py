@@ -1,7 +1,10 @@
 """Session helpers."""
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,15 +36,20 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets it to shared storage; only when it is
-    unset (local tests) do we create a scratch folder and register it.
+    On a cluster the operator sets it to shared storage.  Where it is unset, a
+    session with a ``local`` master gets a scratch folder that goes when the
+    process ends; any other master is an error, as its executors would write to
+    folders of their own.
     """
     global _LOCAL_CKPT
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if _LOCAL_CKPT is None:
             _LOCAL_CKPT = tempfile.mkdtemp(prefix="tierflow-ckpt-")
+            atexit.register(shutil.rmtree, _LOCAL_CKPT, ignore_errors=True)
         path = _LOCAL_CKPT
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)

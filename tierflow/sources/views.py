@@ -41,7 +41,8 @@ def routing_raw(spark: SparkSession, sf_dir: str, with_labels: bool = True) -> D
     the row set; callers that do not read ``quality``/``toxic`` pass
     ``with_labels=False`` and skip that join (and its shuffle at scale).
     """
-    d = read_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    # n_chars says whether there is a prompt, so filters on that read no text
+    d = read_table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text", "n_chars")
     k = F.col("doc_id")
     if with_labels:
         lab = read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
@@ -55,6 +56,7 @@ def routing_raw(spark: SparkSession, sf_dir: str, with_labels: bool = True) -> D
             F.col("source").alias("source_dataset"),
             F.col("lang").alias("dataset_level"),
             F.col("text").alias("prompt"),
+            F.col("n_chars").isNotNull().alias("has_prompt"),
             F.when(k % 10 < 6, "train").when(k % 10 < 8, "validation")
             .otherwise("test").alias("split"),
             F.when(k % 19 == 0, F.lit(None).cast("double"))
@@ -196,7 +198,7 @@ FROM (VALUES ('tier_1', 1, 'model-small',  0.25, 1.50),
              ('tier_2', 2, 'model-medium', 0.30, 2.50),
              ('tier_3', 3, 'model-large',  0.75, 3.75)) AS t(tier, tier_ord, model_id, i, o)""",
     "routing_raw": """
-SELECT d.doc_id AS key, d.source AS source_dataset, d.lang AS dataset_level, d.text AS prompt,
+SELECT d.doc_id AS key, d.source AS source_dataset, d.lang AS dataset_level, d.text AS prompt, d.text IS NOT NULL AS has_prompt,
        CASE WHEN d.doc_id % 10 < 6 THEN 'train' WHEN d.doc_id % 10 < 8 THEN 'validation' ELSE 'test' END AS split,
        CASE WHEN d.doc_id % 19 = 0 THEN NULL ELSE CAST((d.doc_id * 37 + 11) % 101 AS DOUBLE) / 100 END AS tier_1_score,
        CAST(LEAST(100, (d.doc_id * 53 + 29) % 101 + 10) AS DOUBLE) / 100 AS tier_2_score,
