@@ -5,6 +5,7 @@ from tierflow.llm.decontaminate import op2_decontaminate
 from tierflow.llm.licenses import op6_licenses
 from tierflow.llm.minhash import op1_minhash
 from tierflow.llm.mixing import op3_mix
+from tierflow.llm.oracles import ORACLES
 from tierflow.llm.quality import op5_quality
 from tierflow.llm.secrets import op9_secrets
 from tierflow.llm.suffix_sort import op7_suffix_sort
@@ -12,6 +13,8 @@ from tierflow.llm.suffix_tree import op4_suffix_tree
 from tierflow.llm.tokens import op8_tokens
 from tierflow.llm.warc import op10_warc
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_decontaminate": op2_decontaminate,
@@ -24,4 +27,3 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {}
