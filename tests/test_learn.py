@@ -120,3 +120,15 @@ def test_gradient_is_large_away_from_the_solution(spark, train_rows):
     good = fit_base(x)
     poor = LogisticRegression(weightCol="w", labelCol="y", maxIter=0, regParam=1.0, standardization=False).fit(_balanced(x, "y")[0])
     assert gradient_norm(good, x) < GRADIENT_BOUND < gradient_norm(poor, x)
+
+
+def test_router_save_load_predicts_the_same(spark, train_rows, tmp_path):
+    router = Router.train(train_rows, {"tier_1_threshold": 0.75})
+    router.save(str(tmp_path / "router"))
+    back = Router.load(spark, str(tmp_path / "router"))
+    assert back.config["tier_1_threshold"] == 0.75
+    docs = train_rows.select("key", "prompt").limit(20)
+    one = {r["key"]: tuple(r)[1:] for r in router.predict(docs).collect()}
+    two = {r["key"]: tuple(r)[1:] for r in back.predict(docs).collect()}
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
+    assert all(0 <= p <= 1 for v in one.values() for p in v)

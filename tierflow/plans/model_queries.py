@@ -15,15 +15,19 @@ from tierflow.operators.learn import (FeatureModel, PromptFeatures, Router, Tier
 from tierflow.plans import text_queries
 from tierflow.session import materialize
 from tierflow.sources import views as V
+from tierflow.sources.sinks import scratch_path
 from tierflow.sources.tables import read_table
 
 
 def q_predict_success(spark, sf):
-    """M4-M8: train on the train split, predict the test split, join on key."""
+    """M4-M8, A10: train on the train split, save the router, load it and predict
+    the test split with what was loaded, joined on key."""
     raw = V.routing_raw(spark, sf, with_labels=False)
     train = complete_rows(raw.where(F.col("split") == "train"), need_prompt=True)
     test = complete_rows(raw.where(F.col("split") == "test"), need_prompt=True)
-    router = Router.train(train)
+    path = scratch_path(spark, "router")
+    Router.train(train).save(path)
+    router = Router.load(spark, path)
     pred = router.predict(test.select("key", "prompt"))
     return test.select("key", "split").join(pred, "key")
 
