@@ -7,29 +7,36 @@ from pyspark.sql import functions as F
 from tierflow.llm.common import materialize
 
 
-def components(nodes: DataFrame, edges: DataFrame, name: str = "components") -> DataFrame:
-    """node and comp (the smallest node of its component).
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """node and comp (the smallest node of its component) for every node that
+    an edge (``a``, ``b``; longs) joins to another.
 
-    nodes has ``node``, edges has ``a`` and ``b`` (longs). Each round hangs every
-    vertex on its neighbour of least hash, if that is less than its own, and
-    contracts the edges. The hash differs from round to round, so a constant
-    share of the vertices goes in each, whatever the graph's shape; the number
-    of rounds is logarithmic. Edges are re-written between rounds, which cuts
-    the lineage.
+    Each round hangs every vertex on its least neighbour, if that is less than
+    itself, and contracts the edges. By turns, less means a smaller id, which
+    ends stars around small ids at once, and a smaller hash that differs from
+    round to round, by which a constant share of the vertices goes whatever the
+    graph's shape. So rounds are few, and logarithmic at worst. Edges are
+    written between rounds, which cuts the lineage; at the end the rounds'
+    pointers are followed in order.
     """
-    label = materialize(nodes.select("node", F.col("node").alias("comp")), name)
-    live = materialize(edges.filter("a <> b").select("a", "b").distinct(), name)
-    seed = 0
+    live = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                       .distinct(), name)
+    nodes = live.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    label, ups, seed = nodes.withColumn("comp", F.col("node")), 0, 0
     while not live.isEmpty():
         seed += 1
-        order = lambda c: F.xxhash64(F.lit(seed), F.col(c))
-        both = live.unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min_by("b", order("b")).alias("b"))
-        up = materialize(least.filter(order("b") < order("a")).select(F.col("a").alias("v"), F.col("b").alias("to")), name)
-        label = materialize(
-            label.join(up, label["comp"] == up["v"], "left").select("node", F.coalesce("to", "comp").alias("comp")), name)
+        order = (lambda c: F.col(c)) if seed % 2 else (lambda c: F.xxhash64(F.lit(seed), F.col(c)))
+        both = live.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")),
+                                            F.struct(F.col("b").alias("v"), F.col("a").alias("w")))))
+        least = both.groupBy("v").agg(F.min_by("w", order("w")).alias("to"))
+        up = materialize(least.filter(order("to") < order("v")), name)
+        label = label.join(up, label["comp"] == up["v"], "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        ups += 1
+        if ups % 4 == 0:
+            label = materialize(label, name)
         for end in ("a", "b"):
             live = live.join(up, live[end] == up["v"], "left").withColumn(end, F.coalesce("to", end)).drop("v", "to")
         live = materialize(live.filter("a <> b").distinct(), name)
+    label = materialize(label, name)
     least = label.groupBy("comp").agg(F.min("node").alias("least"))
     return label.join(least, "comp").select("node", F.col("least").alias("comp"))

@@ -7,8 +7,11 @@ element that came first. Two signatures agree in a component with the
 probability Jaccard similarity of the texts. An element stops as soon as its
 next arrival is later than the latest component.
 
-Bands of the signature give candidates. A candidate pair is verified by its
-exact probability Jaccard similarity. Not all pairs of a bucket are formed:
+Bands of the signature give candidates. The join that forms a candidate pair
+also compares two bits of every component; a pair whose estimate lies more than
+SIGMAS standard deviations below the threshold is not formed (at similarity 0.8
+that is a chance of 2e-4). The others are verified by their exact probability
+Jaccard similarity. Not all pairs of a bucket are formed:
 its first text is held against the others, then, where a bucket still has
 texts of more than one class, its first 8, 64, 512 ... until none is left over.
 So every candidate link between texts of different classes is tried, and what
@@ -38,6 +41,8 @@ from tierflow.llm.repeats import packed
 SHINGLE, SIMILARITY = 5, 0.8
 #: P(no shared band) at similarity 0.8 is (1 - 0.8 ** 5) ** 26 = 3e-5.
 BANDS, ROWS = 26, 5
+COMPONENTS, SIGMAS = 256, 3.5  # bands take the first BANDS * ROWS components
+WORDS = COMPONENTS * 2 // 64
 FACTOR = 8
 NO_ID = 1 << 62  # keys from here on stand for rows without an id
 
@@ -80,7 +85,10 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
     first = np.full(n * m, np.inf)
     sig = np.zeros(n * m, T.U)
     worst = np.full(n, np.inf)
-    live = np.arange(len(doc))
+    size = np.bincount(doc, minlength=n)
+    alone = size[doc] == 1  # a single element comes first everywhere
+    sig.reshape(n, m)[doc[alone]] = element[alone][:, None]
+    live = np.flatnonzero(~alone)
     state, time = T.mix(element), np.zeros(len(doc))
     while len(live):
         d, s = doc[live], T.mix(state[live] + T.BASE)
@@ -121,13 +129,18 @@ def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """k, fp, f1 and f2 (hashes of the whole weighted set; null: no shingles), bands."""
+    """k, fp, f1 and f2 (hashes of the whole weighted set; null: no shingles), bands,
+    and s0, s1 ...: two bits of each component."""
+    m = max(COMPONENTS, bands * rows)
     def run(batch: pa.RecordBatch):
         for lo, hi, buf, off in T.chunks(batch.column(2)):
             n = hi - lo
             doc, gram, weight = shingles(buf, off)
-            sig = prob_minhash(doc, gram, weight, n, bands * rows)
-            band = T.mix(sig.reshape(n * bands, rows).astype(T.U) + T.U(1))
+            sig = prob_minhash(doc, gram, weight, n, m)
+            low = T.mix(sig[:, :COMPONENTS]) & T.U(3)
+            bits = np.unpackbits(low.astype(np.uint8)[:, :, None], axis=2)[:, :, 6:].reshape(n, WORDS, 64)
+            words = np.packbits(bits, axis=2).reshape(n, WORDS, 8).view("<i8")[:, :, 0]
+            band = T.mix(sig[:, :bands * rows].reshape(n * bands, rows) + T.U(1))
             key = np.zeros(n * bands, T.U)
             for r in range(rows):
                 key = T.mix(key ^ band[:, r])
@@ -143,13 +156,32 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                    "f1": pa.array(sums[0], mask=~some), "f2": pa.array(sums[1], mask=~some),
                    "bands": pa.ListArray.from_arrays(
                        pa.array(np.append(0, np.cumsum(some * bands)), pa.int32()),
-                       pa.array(T.as_long(key)[np.repeat(some, bands)]))}
+                       pa.array(T.as_long(key)[np.repeat(some, bands)])),
+                   **{f"s{i}": words[:, i] for i in range(WORDS)}}
 
-    return map_batches(docs, run, "k long, fp long, f1 long, f2 long, bands array<long>")
+    return map_batches(docs, run, "k long, fp long, f1 long, f2 long, bands array<long>, "
+                       + ", ".join(f"s{i} long" for i in range(WORDS)))
+
+
+def _likely(similarity: float) -> Column:
+    """Whether the bits s0 ... and t0 ... agree as often as those of similar texts.
+
+    Of a component's two bits, both agree where it is the same (similarity s),
+    else each by chance: the share of agreeing bits has mean (1 + s) / 2 and
+    variance (s (1 - s) / 4 + (1 - s) / 8) / components.
+    """
+    s, bits = similarity, 2 * COMPONENTS
+    deviation = ((s * (1 - s) / 4 + (1 - s) / 8) / COMPONENTS) ** 0.5
+    most = bits * (1 - (1 + s) / 2 + SIGMAS * deviation)  # differing bits
+    differ = [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(WORDS)]
+    total = differ[0]
+    for x in differ[1:]:
+        total = total + x
+    return total <= int(most)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """a and b of the pairs (a, b) whose texts are similar."""
+    """ca and cb, the classes, of the pairs (a, b, ca, cb) whose texts are similar."""
     def run(batch: pa.RecordBatch):
         unpack = zstandard.ZstdDecompressor()
         kept: dict = {}
@@ -162,57 +194,62 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 kept[z] = shingles(buf, np.array([0, len(buf)]))[1:]
             return kept[z]
 
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        ok = np.zeros(len(a), bool)
-        for i in range(len(a)):
+        ca, cb = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        ok = np.zeros(len(ca), bool)
+        for i in range(len(ca)):
             ok[i] = probability_jaccard(weighted(batch.column(2)[i].as_py()), weighted(batch.column(3)[i].as_py())) >= similarity
-        yield {"a": a[ok], "b": b[ok]}
+        yield {"a": ca[ok], "b": cb[ok]}
 
     one = texts.select(F.col("node").alias("a"), F.col("z").alias("za"))
     two = texts.select(F.col("node").alias("b"), F.col("z").alias("zb"))
-    return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "za", "zb"), run, "a long, b long")
+    return map_batches(pairs.join(one, "a").join(two, "b").select("ca", "cb", "za", "zb"), run, "a long, b long")
 
 
 def classes(d: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """node and comp, the smallest node of its class, for d with k, fp and text."""
     sig = materialize(signatures(d, bands, rows), "minhash-signatures")
     sets = sig.filter("f1 IS NOT NULL")
-    equal = sets.groupBy("f1", "f2").agg(F.min("k").alias("node"))
-    first = sets.select("f1", "f2", "k", "fp", "bands").join(equal, ["f1", "f2"])
+    equal = materialize(sets.groupBy("f1", "f2").agg(F.min("k").alias("node")), "minhash-sets")
+    bits = [f"s{i}" for i in range(WORDS)]
+    first = sets.select("f1", "f2", "k", "fp", "bands", *bits).join(equal, ["f1", "f2"])
     # a set's node is its smallest id; a row's id links to it where it has another
     links = first.filter("k <> node").select(F.col("k").alias("a"), F.col("node").alias("b"))
     reps = first.filter("k = node").dropDuplicates(["f1", "f2"])
-    placed = reps.select("node", "fp", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    placed = reps.select("node", "fp", *bits, F.explode("bands").alias("bucket"))
+    # written before it is joined, so that Spark can split a hot bucket
+    shared = materialize(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"),
+                         "minhash-shared")
     buckets = materialize(placed.join(shared, "bucket"), "minhash-buckets")
     # repeated ids may bring several texts of one node; each is tried
-    wanted = buckets.select(F.col("node").alias("k"), "fp").distinct()
+    wanted = materialize(buckets.select(F.col("node").alias("k"), "fp").distinct(), "minhash-wanted")
     texts = materialize(packed(d).join(wanted, ["k", "fp"]).select(F.col("k").alias("node"), "z").distinct(), "minhash-texts")
 
-    members = buckets.select("bucket", "node")
-    nodes = members.select("node").distinct()
-    comp = materialize(nodes.withColumn("comp", F.col("node")), "minhash-classes")
-    edges, tried, hubs = None, 0, 1
-    live = members
+    live = buckets.select("bucket", "node", F.col("node").alias("comp"), *bits)  # every node a class of its own
+    merged, tried, hubs = None, 0, 1
     while True:
-        held = live.join(comp, "node")
-        mixed = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                           F.count(F.lit(1)).alias("n")).filter((F.col("lo") < F.col("hi")) & (F.col("n") > tried))
-        held = materialize(held.join(mixed.select("bucket"), "bucket"), "minhash-live")
-        if held.isEmpty():
+        mixed = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
+        mixed = materialize(mixed.filter((F.col("lo") < F.col("hi")) & (F.col("n") > tried)).select("bucket"), "minhash-mixed")
+        if mixed.isEmpty():
             break
+        live = materialize(live.join(mixed, "bucket"), "minhash-live")
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        hub = held.withColumn("r", rank).filter(F.col("r") <= hubs).filter(F.col("r") > tried).select(
-            "bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
-        pairs = held.join(hub, "bucket").filter((F.col("a") < F.col("node")) & (F.col("ca") != F.col("comp"))).select(
-            "a", F.col("node").alias("b")).distinct()
-        found = materialize(_verify(pairs, texts, similarity), "minhash-edges")
-        edges = found if edges is None else edges.unionAll(found)
-        comp = components(nodes, edges, "minhash-classes")
-        live, tried, hubs = held.select("bucket", "node"), hubs, hubs * FACTOR
-    all_nodes = d.select(F.col("k").alias("node")).distinct()
-    every = links if edges is None else links.unionAll(edges)
-    return components(all_nodes, every, "minhash-final")
+        hub = materialize(live.withColumn("r", rank).filter(F.col("r") <= hubs).filter(F.col("r") > tried).select(
+            F.col("bucket").alias("in"), F.col("node").alias("a"), F.col("comp").alias("ca"),
+            *[F.col(x).alias(f"t{i}") for i, x in enumerate(bits)]), "minhash-hubs")
+        pairs = live.join(hub, (F.col("bucket") == F.col("in")) & (F.col("a") < F.col("node"))
+                          & (F.col("ca") != F.col("comp")) & _likely(similarity)).select(
+            "a", F.col("node").alias("b"), "ca", F.col("comp").alias("cb")).distinct()
+        found = components(_verify(materialize(pairs, "minhash-pairs"), texts, similarity), "minhash-classes")
+        found = found.select(F.col("node").alias("old"), F.col("comp").alias("new")).filter("old <> new")
+        step = materialize(found, "minhash-step")
+        merged = step if merged is None else merged.unionAll(step)
+        live = live.join(step, live["comp"] == step["old"], "left").select(
+            "bucket", "node", F.coalesce("new", "comp").alias("comp"), *bits)
+        tried, hubs = hubs, hubs * FACTOR
+    every = links if merged is None else links.unionAll(merged.select(F.col("old").alias("a"), F.col("new").alias("b")))
+    final = components(every, "minhash-final").withColumnRenamed("node", "k")
+    return d.select("k").distinct().join(final, "k", "left").select(
+        F.col("k").alias("node"), F.coalesce("comp", "k").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
