@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.llm.common import MIN_LONG, key_of, ship, table
+from tierflow.llm.common import MIN_LONG, key_of, materialize, ship, table
 from tierflow.session import checkpoint_path
 
 # Fixed values of the Zstandard and .warc.zst formats.
@@ -37,22 +37,22 @@ DICTIONARY_FRAME = 0x184D2A5D
 GAP = "\x50\x2a\x4d\x18\x00\x00\x00\x00"  # an empty skippable frame; pure ASCII
 
 SAMPLE_RECORDS, DICTIONARY_BYTES, SAMPLE_BYTES = 500, 64 << 10, 16 << 10
-ARCHIVE_BYTES = 16 << 20  # payload bytes in an archive, about
 
 
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, html: str | None, response: int | None, is_response: bool) -> bytes:
-    """One WARC record. ``response`` is the page that a revisit refers to."""
-    payload = (html or "").encode()
-    body = payload if is_response else b""
+def record(page_id: int | None, url: str | None, html: str | None, length: int, digest: bytes, response: int | None,
+           is_response: bool) -> bytes:
+    """One WARC record; ``length`` and ``digest`` (SHA-1) are those of the full
+    payload. A revisit has no payload and names the page that it refers to."""
+    body = (html or "").encode() if is_response else b""
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if is_response else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{page_id}>", *([f"WARC-Target-URI: {url}"] if url is not None else []),
-        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest_of(payload)}",
-        f"X-Payload-Length: {len(payload)}",
+        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}",
+        f"X-Payload-Length: {length}",
         *([] if is_response else [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
             f"WARC-Refers-To: <urn:page:{response}>"]),
@@ -63,10 +63,14 @@ def record(page_id: int, url: str | None, html: str | None, response: int | None
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from at most SAMPLE_RECORDS records, each cut to
-    SAMPLE_BYTES for training only; empty if there are too few to train on."""
-    rows = pages.orderBy(F.xxhash64("page_id", "url"), "page_id").limit(SAMPLE_RECORDS).select(
-        "page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html")).collect()
-    samples = [record(r.page_id, r.url, r.html, None, True) for r in rows]
+    SAMPLE_BYTES for training only; empty if there are too few to train on.
+    A hash of id and URL picks about twice as many, whatever the table's size."""
+    n = pages.count()
+    share = min(1.0, 2 * SAMPLE_RECORDS / max(n, 1))
+    place = F.shiftrightunsigned(F.xxhash64("page_id", "url"), 32)
+    rows = pages.filter(place < int(share * 2 ** 32)).select(
+        "page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html")).limit(SAMPLE_RECORDS).collect()
+    samples = [record(r.page_id, r.url, r.html, len(r.html), b"", None, True) for r in rows]
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
     if len(samples) < 16 or size < 1024:
         return b""
@@ -77,22 +81,25 @@ def train_dictionary(pages: DataFrame) -> bytes:
 
 
 def with_roles(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
-    """page_id, url, html and ``response``: the id of the page that holds the
-    payload (null if the record is one itself)."""
+    """page_id, url, n and d (bytes and SHA-1 of the payload), ``response``: the id
+    of the page that holds the payload (null if the record is one itself), and
+    html, which is null for revisits."""
     p = pages.select("page_id", "url", "html", key_of("page_id").alias("k"),
                      F.octet_length(F.coalesce("html", F.lit(""))).alias("n"),
                      F.unhex(F.sha1(F.coalesce("html", F.lit("")))).alias("d"))
-    first = p.groupBy("n", "d").agg(F.max("k").alias("top"))
+    # written before it is joined, so that Spark can split a hot payload
+    first = materialize(p.groupBy("n", "d").agg(F.max("k").alias("top")), "warc-responses")
     is_response = (F.col("k") == F.col("top")) | (F.col("n") < revisit_from)
-    return p.join(first, ["n", "d"]).select("page_id", "url", "html", "n", F.when(~is_response, F.col("top")).alias("response"))
+    return p.join(first, ["n", "d"]).select(
+        "page_id", "url", "n", "d", F.when(~is_response, F.col("top")).alias("response"),
+        F.when(is_response, F.col("html")).alias("html"))
 
 
-def write_archives(pages: DataFrame, path: str, revisit_from: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> int:
-    """Write pages (page_id, url, html) to .warc.zst files under path; returns
-    how many archives were asked for."""
+def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
+    """Write pages (page_id, url, html) to archives under path, one for each
+    partition of the join that finds the roles: the payloads are shuffled once,
+    and the sizes are those that Spark aims at for partitions."""
     dictionary = train_dictionary(pages)
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    n = int(total // archive_bytes) + 1
     ship(pages.sparkSession)
 
     def frames(batches):
@@ -100,18 +107,17 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0, archive_b
         packer = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True)
         begun = False
         for batch in batches:
-            out = []
-            if not begun:
-                out.append(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
-                begun = True
-            for page_id, url, html, response in zip(*(c.to_pylist() for c in batch.columns)):
-                out.append(packer.compress(record(page_id, url, html, response, response is None)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-
-    rows = with_roles(pages, revisit_from).repartition(n).select("page_id", "url", "html", "response")
-    packed = rows.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
+            for lo in range(0, batch.num_rows, 256):
+                out = []
+                if not begun:
+                    out.append(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
+                    begun = True
+                for page_id, url, n, d, response, html in zip(*(c.slice(lo, 256).to_pylist() for c in batch.columns)):
+                    out.append(packer.compress(record(page_id, url, html, n, d, response, response is None)))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+
+    packed = with_roles(pages, revisit_from).mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
     packed.write.option("lineSep", GAP).option("compression", "none").mode("overwrite").text(path)
-    return n
 
 
 def split_frames(data: bytes):
