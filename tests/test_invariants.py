@@ -60,13 +60,14 @@ def test_overall_vs_solvable_counts(spark):
 
 def test_cost_identities_clean_and_planted(spark):
     from tierflow.operators import settle as S
-    from tierflow.plans.settle_queries import attempts
-    a = attempts(spark, SF_SMALL)
-    assert S.cost_identity_violations(a).count() == 0
+    from tierflow.plans.settle_queries import attempts, usage_log
+    a, log = attempts(spark, SF_SMALL), usage_log(spark, SF_SMALL)
+    assert S.cost_identity_violations(a, log).count() == 0
     bad = a.withColumn("total_attempt_cost_usd",
                        F.when(F.col("tier") == "tier_1", F.col("total_attempt_cost_usd") + 1e-6)
                        .otherwise(F.col("total_attempt_cost_usd")))
-    assert S.cost_identity_violations(bad).count() > 0
+    found = {r["identity"] for r in S.cost_identity_violations(bad, log).collect()}
+    assert found == {"attempt_cost", "request_cost"}  # the fold no longer equals the attempts
 
 
 @pytest.mark.parametrize("name", ["usage_summary", "policy_grid", "strategy_summary",
