@@ -37,7 +37,7 @@ from tierflow.llm.common import MIN_LONG, fingerprint, key_of, map_batches, mate
 
 HOT = 20_000
 #: Contents are handed to an operator in groups of whole grams of about this many.
-BATCH_ROWS, BATCH_BYTES = 20_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 8_000, 4 << 20
 _C1, _C2 = T.U(0xD6E8FEB86659FD93), T.U(0xA0761D6478BD642F)
 
 
@@ -197,7 +197,8 @@ def _hot(kind: Kind, contents: DataFrame) -> DataFrame:
                    "x": T.as_long(T.mix(x)), "y": T.as_long(T.mix(y)), "k": b.key[who], "at": b.at[who] + at}
 
     w = map_batches(contents, windows, "h long, c long, p int, x long, y long, k long, at long")
-    same = w.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"), F.min(F.struct("k", "at")).alias("o")).filter("w > 1")
+    same = materialize(w.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"), F.min(F.struct("k", "at")).alias("o"))
+                       .filter("w > 1"), "repeat-windows")
     hit = w.join(same, ["x", "y"])
     if kind.first_stays:
         hit = hit.filter((F.col("k") != F.col("o.k")) | (F.col("at") != F.col("o.at")))
@@ -217,12 +218,14 @@ def spans_of(kind: Kind, docs: DataFrame) -> DataFrame:
     """k, fp, starts and ends (symbols, unsorted, may overlap) of what the judged
     windows of each document cover; docs is ``keyed``."""
     runs = _runs(kind, docs)
-    often = runs.select("h").groupBy("h").count().filter("count > 1").select("h")
+    # counts are written before they are joined: Spark splits a hot key only where
+    # both sides of the join come straight from a shuffle
+    often = materialize(runs.select("h").groupBy("h").count().filter("count > 1").select("h"), "repeat-grams")
     found = materialize(runs.join(often, "h"), "repeat-runs")
     classes = materialize(
         found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "at", "span")).alias("o"))
         .select("h", "c", "n", "o.*"), "repeat-contents")
-    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    several = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "repeat-several")
     contents = materialize(_contents(kind, docs, classes.join(several, "h")), "repeat-texts")
     cuts = _judged(kind, contents.filter(F.col("m") <= HOT))
     hot = contents.filter(F.col("m") > HOT)
@@ -234,9 +237,10 @@ def spans_of(kind: Kind, docs: DataFrame) -> DataFrame:
         here = F.col("n") > 1
     length = F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     verdict = classes.select("h", "c", "n", F.col("k").alias("ok"), F.col("at").alias("oat")).join(cuts, ["h", "c"], "left")
+    verdict = materialize(verdict.filter("n > 1 OR cut IS NOT NULL"), "repeat-verdicts")
     cut = F.when(here, F.array(F.lit(0), length)).otherwise(F.col("cut"))
     at = F.col("at").bitwiseAND(F.lit((1 << 40) - 1))
-    return (found.join(verdict.filter("n > 1 OR cut IS NOT NULL"), ["h", "c"])
+    return (found.join(verdict, ["h", "c"])
             .select("k", F.shiftright("at", 40).alias("fp"), F.transform(cut, lambda x: x + at).alias("cut"))
             .filter("cut IS NOT NULL").groupBy("k", "fp").agg(F.flatten(F.collect_list("cut")).alias("cut")))
 
