@@ -100,3 +100,24 @@ def test_components(spark):
         up[max(x, y)] = min(x, y)
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.comp for r in got} == {i: find(i) for e in edges if e[0] != e[1] for i in e}
+
+
+def test_pairs_just_above_the_threshold(spark):
+    """Pairs of few shingles, and of few heavy ones, of similarity 0.80 to 0.85."""
+    rng = random.Random(11)
+    rows, near = [], []
+    for i in range(0, 400, 2):
+        few = prose(rng, 8)  # 4 shingles, and the same with a fifth
+        rows += [(i, few), (i + 1, few + " " + prose(rng, 1))]
+    for i in range(400, 600, 2):
+        lead, tail = prose(rng, 6), prose(rng, 1)
+        heavy = " ".join([lead] * 20)  # 6 heavy shingles; then some light ones
+        rows += [(i, heavy), (i + 1, f"{heavy} {' '.join([tail] * rng.randint(21, 29))}")]
+    for i in range(0, 600, 2):
+        if 0.8 <= M.probability_jaccard(weighted(rows[i][1]), weighted(rows[i + 1][1])) <= 0.85:
+            near.append(i)
+    assert sum(i < 400 for i in near) > 100 and sum(i >= 400 for i in near) > 30
+    d = spark.createDataFrame([(i, t, *[None] * 10) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(d).collect()}
+    assert [i for i in near if got[i + 1] != i] == []
+    assert got == brute_classes(rows)

@@ -7,16 +7,16 @@ element that came first. Two signatures agree in a component with the
 probability Jaccard similarity of the texts. An element stops as soon as its
 next arrival is later than the latest component.
 
-Bands of the signature give candidates. The join that forms a candidate pair
-also compares two bits of every component; a pair whose estimate lies more than
-SIGMAS standard deviations below the threshold is not formed (at similarity 0.8
-that is a chance of 2e-4). The others are verified by their exact probability
-Jaccard similarity. Not all pairs of a bucket are formed:
+Bands of the signature give candidates, and every candidate is verified by its
+exact probability Jaccard similarity; nothing is refused by an estimate. Not all
+pairs of a bucket are formed:
 its first text is held against the others, then, where a bucket still has
 texts of more than one class, its first 8, 64, 512 ... until none is left over.
 So every candidate link between texts of different classes is tried, and what
 is skipped are pairs already known to be in one class. Texts with equal
-shingles are one node from the start.
+shingles are one node from the start. Pairs are verified in cells of a bucket
+(so many hubs against so many others), so that a text travels once for a cell
+and not once for a pair.
 
 Cases: a text of 1 to 4 words is one shingle of them all; a null or wordless
 text is a class of its own; rows that share an id are one document, whose class
@@ -34,16 +34,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierflow.llm import textnp as T
-from tierflow.llm.common import fingerprint, map_batches, materialize, table
+from tierflow.llm.common import fingerprint, map_batches, materialize, ship, table
 from tierflow.llm.components import components
 from tierflow.llm.repeats import packed
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: P(no shared band) at similarity 0.8 is (1 - 0.8 ** 5) ** 26 = 3e-5.
 BANDS, ROWS = 26, 5
-COMPONENTS, SIGMAS = 256, 3.5  # bands take the first BANDS * ROWS components
-WORDS = COMPONENTS * 2 // 64
 FACTOR = 8
+HUBS, OTHERS = 32, 128  # texts of a cell, about
+HELD = 4 << 20  # elements of the sets that a task keeps
 NO_ID = 1 << 62  # keys from here on stand for rows without an id
 
 
@@ -129,18 +129,15 @@ def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """k, fp, f1 and f2 (hashes of the whole weighted set; null: no shingles), bands,
-    and s0, s1 ...: two bits of each component."""
-    m = max(COMPONENTS, bands * rows)
+    """k, fp, f1 and f2 (hashes of the whole weighted set; null: no shingles), bands."""
+    m = bands * rows
+
     def run(batch: pa.RecordBatch):
         for lo, hi, buf, off in T.chunks(batch.column(2)):
             n = hi - lo
             doc, gram, weight = shingles(buf, off)
             sig = prob_minhash(doc, gram, weight, n, m)
-            low = T.mix(sig[:, :COMPONENTS]) & T.U(3)
-            bits = np.unpackbits(low.astype(np.uint8)[:, :, None], axis=2)[:, :, 6:].reshape(n, WORDS, 64)
-            words = np.packbits(bits, axis=2).reshape(n, WORDS, 8).view("<i8")[:, :, 0]
-            band = T.mix(sig[:, :bands * rows].reshape(n * bands, rows) + T.U(1))
+            band = T.mix(sig.reshape(n * bands, rows) + T.U(1))
             key = np.zeros(n * bands, T.U)
             for r in range(rows):
                 key = T.mix(key ^ band[:, r])
@@ -156,53 +153,62 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                    "f1": pa.array(sums[0], mask=~some), "f2": pa.array(sums[1], mask=~some),
                    "bands": pa.ListArray.from_arrays(
                        pa.array(np.append(0, np.cumsum(some * bands)), pa.int32()),
-                       pa.array(T.as_long(key)[np.repeat(some, bands)])),
-                   **{f"s{i}": words[:, i] for i in range(WORDS)}}
-
-    return map_batches(docs, run, "k long, fp long, f1 long, f2 long, bands array<long>, "
-                       + ", ".join(f"s{i} long" for i in range(WORDS)))
+                       pa.array(T.as_long(key)[np.repeat(some, bands)]))}
 
+    return map_batches(docs, run, "k long, fp long, f1 long, f2 long, bands array<long>")
 
-def _likely(similarity: float) -> Column:
-    """Whether the bits s0 ... and t0 ... agree as often as those of similar texts.
 
-    Of a component's two bits, both agree where it is the same (similarity s),
-    else each by chance: the share of agreeing bits has mean (1 + s) / 2 and
-    variance (s (1 - s) / 4 + (1 - s) / 8) / components.
-    """
-    s, bits = similarity, 2 * COMPONENTS
-    deviation = ((s * (1 - s) / 4 + (1 - s) / 8) / COMPONENTS) ** 0.5
-    most = bits * (1 - (1 + s) / 2 + SIGMAS * deviation)  # differing bits
-    differ = [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(WORDS)]
-    total = differ[0]
-    for x in differ[1:]:
-        total = total + x
-    return total <= int(most)
+def _cell() -> Column:
+    """The cell of a pair: its bucket, a block of hubs and a share of the others.
+    Cells of larger buckets are greater."""
+    share = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / OTHERS))
+    key = F.xxhash64("bucket", "block", share).bitwiseAND(F.lit((1 << 43) - 1))
+    return F.shiftleft(F.least(F.col("n"), F.lit((1 << 20) - 1)), 43).bitwiseOR(key)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """ca and cb, the classes, of the pairs (a, b, ca, cb) whose texts are similar."""
-    def run(batch: pa.RecordBatch):
+    """ca and cb, the classes, of the pairs (a, b, ca, cb, cell) whose texts are similar."""
+    def run(batches):
         unpack = zstandard.ZstdDecompressor()
-        kept: dict = {}
-
-        def weighted(z: bytes):
-            if z not in kept:
-                if len(kept) > 64:
-                    kept.clear()
-                buf = np.frombuffer(unpack.decompress(z), np.uint8)
-                kept[z] = shingles(buf, np.array([0, len(buf)]))[1:]
-            return kept[z]
-
-        ca, cb = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        ok = np.zeros(len(ca), bool)
-        for i in range(len(ca)):
-            ok[i] = probability_jaccard(weighted(batch.column(2)[i].as_py()), weighted(batch.column(3)[i].as_py())) >= similarity
-        yield {"a": ca[ok], "b": cb[ok]}
-
-    one = texts.select(F.col("node").alias("a"), F.col("z").alias("za"))
-    two = texts.select(F.col("node").alias("b"), F.col("z").alias("zb"))
-    return map_batches(pairs.join(one, "a").join(two, "b").select("ca", "cb", "za", "zb"), run, "a long, b long")
+        cell, frames, sets, held = None, {}, {}, 0
+
+        def weighted(node: int) -> list:
+            nonlocal held
+            if node not in sets:
+                if held > HELD:
+                    sets.clear()
+                    held = 0
+                sets[node] = []
+                for z in frames[node]:
+                    buf = np.frombuffer(unpack.decompress(z), np.uint8)
+                    sets[node].append(shingles(buf, np.array([0, len(buf)]))[1:])
+                    held += len(sets[node][-1][0])
+            return sets[node]
+
+        for batch in batches:
+            cells, a, b = (batch.column(i).to_pylist() for i in range(3))
+            z = batch.column(5)
+            ok = np.zeros(len(a), bool)
+            for i, pair in enumerate(z.is_null().to_pylist()):
+                if cells[i] != cell:
+                    cell, frames, sets, held = cells[i], {}, {}, 0
+                if not pair:
+                    frames.setdefault(a[i], []).append(z[i].as_py())
+                    continue
+                x, y = weighted(a[i]), weighted(b[i])
+                ok[i] = any(probability_jaccard(p, q) >= similarity for p in x for q in y)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i).filter(pa.array(ok)) for i in (3, 4)], names=["a", "b"])
+
+    no, zero = F.lit(None).cast("binary").alias("z"), F.lit(0).cast("long")
+    wanted = pairs.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sent = wanted.join(texts, "node").select(
+        "cell", F.col("node").alias("a"), zero.alias("b"), zero.alias("ca"), zero.alias("cb"), "z")
+    rows = sent.unionAll(pairs.select("cell", "a", "b", "ca", "cb", no))
+    ship(pairs.sparkSession)
+    # a cell's texts come before its pairs
+    return rows.repartition("cell").sortWithinPartitions("cell", F.col("z").isNull(), "a", "b").mapInArrow(
+        run, "a long, b long")
 
 
 def classes(d: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -210,12 +216,11 @@ def classes(d: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, ro
     sig = materialize(signatures(d, bands, rows), "minhash-signatures")
     sets = sig.filter("f1 IS NOT NULL")
     equal = materialize(sets.groupBy("f1", "f2").agg(F.min("k").alias("node")), "minhash-sets")
-    bits = [f"s{i}" for i in range(WORDS)]
-    first = sets.select("f1", "f2", "k", "fp", "bands", *bits).join(equal, ["f1", "f2"])
+    first = sets.select("f1", "f2", "k", "fp", "bands").join(equal, ["f1", "f2"])
     # a set's node is its smallest id; a row's id links to it where it has another
     links = first.filter("k <> node").select(F.col("k").alias("a"), F.col("node").alias("b"))
     reps = first.filter("k = node").dropDuplicates(["f1", "f2"])
-    placed = reps.select("node", "fp", *bits, F.explode("bands").alias("bucket"))
+    placed = reps.select("node", "fp", F.explode("bands").alias("bucket"))
     # written before it is joined, so that Spark can split a hot bucket
     shared = materialize(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"),
                          "minhash-shared")
@@ -224,27 +229,28 @@ def classes(d: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, ro
     wanted = materialize(buckets.select(F.col("node").alias("k"), "fp").distinct(), "minhash-wanted")
     texts = materialize(packed(d).join(wanted, ["k", "fp"]).select(F.col("k").alias("node"), "z").distinct(), "minhash-texts")
 
-    live = buckets.select("bucket", "node", F.col("node").alias("comp"), *bits)  # every node a class of its own
+    live = buckets.select("bucket", "node", F.col("node").alias("comp"))  # every node a class of its own
     merged, tried, hubs = None, 0, 1
     while True:
         mixed = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-        mixed = materialize(mixed.filter((F.col("lo") < F.col("hi")) & (F.col("n") > tried)).select("bucket"), "minhash-mixed")
+        mixed = materialize(mixed.filter((F.col("lo") < F.col("hi")) & (F.col("n") > tried)).select("bucket", "n"), "minhash-mixed")
         if mixed.isEmpty():
             break
         live = materialize(live.join(mixed, "bucket"), "minhash-live")
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
         hub = materialize(live.withColumn("r", rank).filter(F.col("r") <= hubs).filter(F.col("r") > tried).select(
             F.col("bucket").alias("in"), F.col("node").alias("a"), F.col("comp").alias("ca"),
-            *[F.col(x).alias(f"t{i}") for i, x in enumerate(bits)]), "minhash-hubs")
+            F.floor(F.col("r") / HUBS).alias("block")), "minhash-hubs")
         pairs = live.join(hub, (F.col("bucket") == F.col("in")) & (F.col("a") < F.col("node"))
-                          & (F.col("ca") != F.col("comp")) & _likely(similarity)).select(
-            "a", F.col("node").alias("b"), "ca", F.col("comp").alias("cb")).distinct()
+                          & (F.col("ca") != F.col("comp"))).select(
+            "a", F.col("node").alias("b"), "ca", F.col("comp").alias("cb"), _cell().alias("cell"))
+        pairs = pairs.groupBy("a", "b", "ca", "cb").agg(F.max("cell").alias("cell"))
         found = components(_verify(materialize(pairs, "minhash-pairs"), texts, similarity), "minhash-classes")
         found = found.select(F.col("node").alias("old"), F.col("comp").alias("new")).filter("old <> new")
         step = materialize(found, "minhash-step")
         merged = step if merged is None else merged.unionAll(step)
         live = live.join(step, live["comp"] == step["old"], "left").select(
-            "bucket", "node", F.coalesce("new", "comp").alias("comp"), *bits)
+            "bucket", "node", F.coalesce("new", "comp").alias("comp"))
         tried, hubs = hubs, hubs * FACTOR
     every = links if merged is None else links.unionAll(merged.select(F.col("old").alias("a"), F.col("new").alias("b")))
     final = components(every, "minhash-final").withColumnRenamed("node", "k")
