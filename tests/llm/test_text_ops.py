@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests.llm.conftest import SCHEMA
+from tests.llm.conftest import SCHEMA, prose
 from tierflow.llm import decontaminate, licenses, mixing, quality, secrets, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -243,3 +243,16 @@ def test_empty_tables(spark, nothing, tmp_path):
     assert secrets.findings(nothing, secrets.scan(nothing, str(tmp_path / "l"))).count() == 0
     assert secrets.redacted(nothing, str(tmp_path / "m"), length="n_chars").count() == 0
     assert mixing.mix(nothing).count() == 0
+
+
+def test_quality_has_no_rule_without_effect(spark):
+    """A host all of whose documents fail a rule is rejected, whatever the rule."""
+    rng = random.Random(8)
+    bad = {"base": "too short", "symbols": prose(rng, 80) + " # $ %" * 9, "lines": "a line\n" * 40 + prose(rng, 90),
+           "word_length": " ".join("abcdefghijklm" + str(i) for i in range(90))}
+    rows = [(name, text) for name, text in bad.items() for _ in range(40)]
+    rows += [(f"h{i}", prose(rng, 80)) for i in range(12) for _ in range(40)]
+    d = spark.createDataFrame(rows, "source string, text string")
+    v = {r.host: r for r in quality.host_verdicts(quality.measure(d)).collect()}
+    assert [name for name in quality.RULES if v[name][f"fail_{name}"] != 40 or v[name].host_ok] == []
+    assert v["h0"].host_ok

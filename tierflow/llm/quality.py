@@ -1,6 +1,6 @@
 """Host-level quality rules.
 
-Every document is measured once. Rule failures are counted for each host,
+Every document is measured once. Failures of the base rule are counted for each host,
 the rates are shrunk towards the corpus by a beta prior whose parameters come
 from the hosts themselves (method of moments), and a host's verdict is joined
 back to its documents.
@@ -19,15 +19,10 @@ from pyspark.sql import functions as F
 from tierflow.llm import textnp as T
 from tierflow.llm.common import materialize, ship, table
 
-#: Rules by name. base: too short or too repetitive. The others follow usual
-#: text-quality practice and count towards the host's rates only.
+#: Rules by name. base: too short or too repetitive. Each rule's shrunk rate decides
+#: on the host; the counts of symbols, lines and word lengths are reported only.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-RULES = {
-    "base": "n_words < 50 OR 100 * n_repeat_words > 50 * n_words",
-    "symbols": "10 * n_symbols > n_words",
-    "lines": "10 * n_dup_lines > 3 * n_lines",
-    "word_length": "word_chars < 3 * n_words OR word_chars > 10 * n_words",
-}
+RULES = {"base": "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"}
 #: A host is rejected when its shrunk rate of base failures reaches this.
 MAX_HOST_RATE = 0.75
 
