@@ -68,3 +68,16 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "a")
     warc.write_archives(spark.createDataFrame([], SCHEMA), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_dictionary_sample_is_of_records_as_written(spark, tmp_path, monkeypatch):
+    """A payload that most pages share is in the sample once, its revisits without it."""
+    seen = []
+    train = zstandard.train_dictionary
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples: seen.extend(samples) or train(size, samples))
+    hot = "<p>hot payload</p>" * 40
+    data = [(i, f"http://h/{i}", hot if i % 3 else f"<p>page {i}</p>" * 40, "p", 1) for i in range(150)]
+    warc.write_archives(spark.createDataFrame(data, SCHEMA), str(tmp_path / "a"))
+    assert len(seen) == 150
+    assert sum(hot.encode() in x for x in seen) == 1
+    assert sum(b"WARC-Type: revisit" in x for x in seen) == 99

@@ -61,16 +61,17 @@ def record(page_id: int | None, url: str | None, html: str | None, length: int,
     return "\r\n".join(x.replace("\r", "%0D").replace("\n", "%0A") for x in head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from at most SAMPLE_RECORDS records, each cut to
-    SAMPLE_BYTES for training only; empty if there are too few to train on.
-    A hash of id and URL picks about twice as many, whatever the table's size."""
-    n = pages.count()
+def train_dictionary(roles: DataFrame, n: int) -> bytes:
+    """A dictionary from at most SAMPLE_RECORDS of the n records as they are
+    written (``with_roles``: revisits have no payload), payloads cut to
+    SAMPLE_BYTES characters for training only; empty if there are too few to
+    train on. A hash of id and URL picks about twice as many, whatever the
+    table's size."""
     share = min(1.0, 2 * SAMPLE_RECORDS / max(n, 1))
     place = F.shiftrightunsigned(F.xxhash64("page_id", "url"), 32)
-    rows = pages.filter(place < int(share * 2 ** 32)).select(
-        "page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html")).limit(SAMPLE_RECORDS).collect()
-    samples = [record(r.page_id, r.url, r.html, len(r.html), b"", None, True) for r in rows]
+    rows = roles.filter(place < int(share * 2 ** 32)).withColumn(
+        "html", F.substring("html", 1, SAMPLE_BYTES)).limit(SAMPLE_RECORDS).collect()
+    samples = [record(r.page_id, r.url, r.html, r.n, bytes(r.d), r.response, r.response is None) for r in rows]
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
     if len(samples) < 16 or size < 1024:
         return b""
@@ -99,7 +100,8 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
     """Write pages (page_id, url, html) to archives under path, one for each
     partition of the join that finds the roles: the payloads are shuffled once,
     and the sizes are those that Spark aims at for partitions."""
-    dictionary = train_dictionary(pages)
+    roles = with_roles(pages, revisit_from)
+    dictionary = train_dictionary(roles, pages.count())
     ship(pages.sparkSession)
 
     def frames(batches):
@@ -116,7 +118,7 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
                     out.append(packer.compress(record(page_id, url, html, n, d, response, response is None)))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
-    packed = with_roles(pages, revisit_from).mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    packed = roles.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
     packed.write.option("lineSep", GAP).option("compression", "none").mode("overwrite").text(path)
 
 
