@@ -8,7 +8,7 @@ from tierflow.llm.queries import ORACLES, QUERIES
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, len(QUERIES) + 1))
     assert set(ORACLES) <= set(QUERIES)
 
 

