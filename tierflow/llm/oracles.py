@@ -2,7 +2,7 @@
 contracts and not from the operators' code."""
 from __future__ import annotations
 
-from tierflow.llm import quality, suffix_sort, suffix_tree
+from tierflow.llm import quality, suffix_sort, suffix_tree, vector_codes
 from tierflow.llm.licenses import TEMPLATES
 from tierflow.llm.secrets import BASE_KINDS, RULES
 
@@ -160,6 +160,43 @@ SELECT f.w AS word, f.form, chain.at AS root, f.n, f.n_near, f.form_n
 FROM f JOIN chain ON chain.w = f.w JOIN f AS e ON e.w = chain.at AND e.form IS NULL"""
 
 
+def vector_codes_sql() -> str:
+    parts, entries, scale = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.SCALE
+
+    def assigned(k: int) -> str:
+        return f"""
+a{k} AS (SELECT vec_id, p, min({{'d': d, 'e': e}}) AS best FROM (
+           SELECT part.vec_id, part.p, e.e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+           FROM part JOIN e{k} e ON e.p = part.p) y GROUP BY vec_id, p)"""
+
+    def improved(k: int) -> str:
+        return f"""
+m{k} AS (SELECT p, e, i, SUM(v) AS s, COUNT(*) AS n FROM (
+           SELECT part.p, a.best.e AS e, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i
+           FROM part JOIN a{k} a ON a.vec_id = part.vec_id AND a.p = part.p) y GROUP BY p, e, i),
+e{k + 1} AS (SELECT o.p, o.e, COALESCE(c2, c) AS c FROM e{k} o LEFT JOIN (
+           SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c2 FROM m{k} GROUP BY p, e) m ON m.p = o.p AND m.e = o.e)"""
+
+    return f"""
+WITH q AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)) AS v
+           FROM embeddings WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+part AS (SELECT vec_id, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x
+         FROM (SELECT vec_id, v, unnest(range(0, {parts})) AS p FROM q) y),
+e0 AS (SELECT part.p, r - 1 AS e, x AS c FROM part
+       JOIN (SELECT vec_id, ROW_NUMBER() OVER (ORDER BY vec_id) AS r FROM q QUALIFY r <= {entries}) f ON f.vec_id = part.vec_id),
+{assigned(0)},
+{improved(0)},
+{assigned(1)},
+{improved(1)},
+{assigned(2)},
+done AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(SUM(best.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, i)) AS s
+         FROM (SELECT p, e, unnest(c) AS v, unnest(range(1, len(c) + 1)) AS i FROM e2) y)
+SELECT q.vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256
+FROM q JOIN done ON done.vec_id = q.vec_id, book"""
+
+
 ORACLES = {
     "op4_suffix_tree": suffix_tree_sql(),
     "op5_quality": quality_sql(),
@@ -168,4 +205,5 @@ ORACLES = {
     "op9_secrets": secrets_sql(),
     "op10_warc": warc_sql(),
     "op11_spelling": spelling_sql(),
+    "op12_vector_codes": vector_codes_sql(),
 }

@@ -12,6 +12,7 @@ from tierflow.llm.spelling import op11_spelling
 from tierflow.llm.suffix_sort import op7_suffix_sort
 from tierflow.llm.suffix_tree import op4_suffix_tree
 from tierflow.llm.tokens import op8_tokens
+from tierflow.llm.vector_codes import op12_vector_codes
 from tierflow.llm.warc import op10_warc
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -28,4 +29,5 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
     "op11_spelling": op11_spelling,
+    "op12_vector_codes": op12_vector_codes,
 }
