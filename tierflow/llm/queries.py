@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from tierflow.llm.decontaminate import op2_decontaminate
+from tierflow.llm.language import op13_language
 from tierflow.llm.licenses import op6_licenses
 from tierflow.llm.minhash import op1_minhash
 from tierflow.llm.mixing import op3_mix
@@ -30,4 +31,5 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_spelling": op11_spelling,
     "op12_vector_codes": op12_vector_codes,
+    "op13_language": op13_language,
 }
