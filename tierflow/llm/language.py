@@ -130,17 +130,21 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", features: i
         clusters: int = CLUSTERS, sample: int = SAMPLE) -> Model:
     """A model of all languages of ``labelled``; texts without a letter are passed over."""
     scratch = Scratch(labelled.sparkSession, "language")
-    rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), letters(text).alias("letters"))
-    rows = rows.filter("letters IS NOT NULL")
-    df, docs = _frequencies(rows, features)
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    df, docs = _frequencies(rows.select(letters().alias("letters")), features)
     idf = np.log((1 + docs) / (1 + df)) + 1
-    # which texts are sampled is settled by hashes alone; copies count once
-    hashed = rows.select("lang", F.xxhash64("letters").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = scratch.write(hashed.distinct().withColumn("rank", rank).filter(F.col("rank") <= sample)
-                           .select("lang", "h"), "chosen")
-    taken = rows.withColumn("h", F.xxhash64("letters")).join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(
-        F.first("letters").alias("letters"))
+    # which texts are sampled is settled by hashes alone; copies count once. Of a language
+    # of n texts only the hashes below 2 * sample / n are ranked, about twice as many as needed
+    hashed = scratch.write(rows.select("lang", "h"), "hashes")
+    share = scratch.write(hashed.groupBy("lang").agg(
+        (F.lit(2.0 * sample) / F.approx_count_distinct("h", 0.02)).alias("share")), "shares")
+    place = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "h"))
+    chosen = scratch.write(hashed.join(share, "lang").filter(place < F.col("share")).select("lang", "h").distinct()
+                           .withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "h"), "chosen")
+    taken = rows.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select(
+        "lang", "h", letters().alias("letters"))
 
     def embed(batch: pa.RecordBatch):
         for lo, hi, count in _blocks(batch.column(2)):
@@ -158,7 +162,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", features: i
     drawn = scratch.write(map_batches(taken, embed, "lang string, h long, x array<float>"), "vectors")
     found = drawn.groupBy("lang").applyInPandas(cluster, "lang string, cluster int, centroid array<double>, radius double")
     found = sorted(found.collect(), key=lambda r: (r["lang"], r["cluster"]))  # a few rows a language
-    scratch.drop("chosen", "vectors")
+    scratch.drop("hashes", "shares", "chosen", "vectors")
     centroid = np.array([r["centroid"] for r in found]).reshape(len(found), features)
     return Model(idf, [r["lang"] for r in found], centroid, np.array([r["radius"] for r in found]))
 
