@@ -4,6 +4,7 @@ import collections
 import numpy as np
 import pytest
 
+from tests.llm.conftest import SCHEMA
 from tierflow.llm import repeats, suffix_sort, suffix_tree
 from tierflow.llm import textnp as T
 
@@ -99,3 +100,59 @@ def test_anchors_cover_every_window_alike():
     for p, d in dist.items():
         by[sym[p:p + 30].tobytes()].add(d)
     assert all(len(x) == 1 for x in by.values())
+
+
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_structured_texts_do_not_collide(spark):
+    """The Thue-Morse words and their complement, which collide modulo powers of two, are told apart."""
+    bits = thue_morse(2048)
+    one, other = ["ab" if b else "cd" for b in bits], ["cd" if b else "ab" for b in bits]
+    rng = np.random.default_rng(4)
+    lead = [" ".join(f"w{rng.integers(1000)}" for _ in range(30)) for _ in range(4)]
+    rows = [(1, " ".join([lead[0], *one, lead[1]])), (2, " ".join([lead[2], *other, lead[3]]))]
+    rows += [(3, "".join(one)), (4, "".join(other))]
+    d = spark.createDataFrame([(i, t, *[None] * 10) for i, t in rows], SCHEMA)
+    got = suffix_tree.remove_repeats(d).collect()
+    assert as_sorted([(r.doc_id, bytes(r.kept), r.n_words) for r in got]) == as_sorted(cut_words(rows))
+    got = suffix_sort.remove_repeats(d).collect()
+    assert as_sorted([(r.doc_id, bytes(r.kept), len(r.spans)) for r in got]) == as_sorted(cut_bytes(rows))
+
+
+def test_rows_without_id_and_repeated_rows(spark):
+    """Thousands of rows without id, repeated ids with other texts, a row that makes up a third."""
+    rng = np.random.default_rng(6)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    passage = word(60)
+    rows = [(None, f"{word(int(rng.integers(1, 40)))} {passage if i % 50 == 0 else ''}") for i in range(5000)]
+    rows += [(7, word(30) + " " + passage), (7, passage + " " + word(30)), (7, passage)] + [(9, passage + word(90))] * 2500
+    d = spark.createDataFrame([(i, t, *[None] * 10) for i, t in rows], SCHEMA).repartition(5)
+    got = suffix_tree.remove_repeats(d).collect()
+    assert as_sorted([(r.doc_id, bytes(r.kept), r.n_words) for r in got]) == as_sorted(cut_words(rows))
+    got = suffix_sort.remove_repeats(d).collect()
+    assert as_sorted([(r.doc_id, bytes(r.kept), len(r.spans)) for r in got]) == as_sorted(cut_bytes(rows))
+
+
+def test_hashes_modulo_a_prime():
+    rng = np.random.default_rng(0)
+    a, b = (rng.integers(0, int(T.P), 500, dtype=np.uint64) for _ in range(2))
+    a[:2], b[:2] = int(T.P) - 1, int(T.P) - 1
+    assert T.times(a, b).tolist() == [int(x) * int(y) % int(T.P) for x, y in zip(a, b)]
+    s = rng.integers(0, 1 << 63, T.BLOCK + 50, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for f in (0, 1):
+        p, at, want = T.prefix_hash(s, f), 0, [0]
+        for i, x in enumerate(s.tolist()):
+            at = (at + x * pow(T.BASES[f], i, int(T.P))) % int(T.P)
+            want.append(at)
+        assert p.tolist() == want
+        assert T.span_hash(p, np.array([0, 9]), np.array([5, 30]), f).tolist()[1] == sum(
+            x * pow(T.BASES[f], i, int(T.P)) for i, x in enumerate(s[9:30].tolist())) % int(T.P)
+
+
+def test_codes_where_hashes_collide():
+    buf = np.frombuffer(b"aa bb aa cc bb  a", np.uint8)
+    w = T.Words(buf, np.array([0, len(buf)]))
+    assert T.span_codes(buf, w.start, w.end, np.zeros(len(w), np.uint64)).tolist() == [0, 1, 0, 2, 1, 3]
+    assert len(set(w.codes().tolist())) == 4

@@ -256,3 +256,14 @@ def test_quality_has_no_rule_without_effect(spark):
     v = {r.host: r for r in quality.host_verdicts(quality.measure(d)).collect()}
     assert [name for name in quality.RULES if v[name][f"fail_{name}"] != 40 or v[name].host_ok] == []
     assert v["h0"].host_ok
+
+
+def test_quality_lines_of_one_hash(spark):
+    """Lines and words that collide modulo powers of two are different ones."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = ("".join("ab"[b ^ f] for b in bits) for f in (0, 1))
+    text = f"{one}\n{other}\n{one}\n" + " ".join(f"{one} {x}" if i % 2 else f"{other} {x}" for i, x in enumerate("pqrstuvw"))
+    d = spark.createDataFrame([(1, text, None, "a", 1, *[None] * 7)], SCHEMA)
+    got = quality.judge(d, ["doc_id"]).collect()[0]
+    n, chars, _, _, dup, rep = counts(text)
+    assert (got.n_words, got.word_chars, got.n_dup_lines, got.n_repeat_words) == (n, chars, dup, rep)

@@ -91,7 +91,7 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
     live = np.flatnonzero(~alone)
     state, time = T.mix(element), np.zeros(len(doc))
     while len(live):
-        d, s = doc[live], T.mix(state[live] + T.BASE)
+        d, s = doc[live], T.mix(state[live] + T.GAMMA)
         state[live] = s
         t = time[live] - np.log(_uniform(s)) / weight[live]
         time[live] = t

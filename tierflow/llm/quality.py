@@ -73,10 +73,9 @@ def measure_chunk(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     end = np.sort(np.concatenate([newline, off[1:]]))
     line_of = np.searchsorted(start, words.start, "right") - 1
     with_word = np.unique(line_of)
-    p = T.prefix_hash(T.byte_symbols(buf))
     s = start[with_word]
     e = end[np.searchsorted(end, s, "right")] if len(s) else s  # a line with a word isn't empty
-    line = T.mix(T.span_hash(p, s, e) + (e - s).astype(T.U))
+    line = T.span_codes(buf, s, e)
     line_doc = words.doc[np.searchsorted(words.start, s)] if len(s) else s
     out["n_lines"] = _per_doc(line_doc, n)
     out["n_dup_lines"] = _per_doc(line_doc[_later(line_doc, line)], n)
@@ -84,7 +83,7 @@ def measure_chunk(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     # words in 3-word windows that are found twice or more
     covered = np.zeros(len(words) + 3, np.int64)
     if len(words) >= 3:
-        gram = T.gram_hashes(words.hashes(), 3)
+        gram = T.gram_codes(words.codes(), 3)
         inside = np.flatnonzero(words.doc[:-2] == words.doc[2:])
         at = inside[_repeats(words.doc[inside], gram[inside])]
         covered[at] += 1

@@ -15,11 +15,14 @@ of text, and only runs travel:
 
 A gram with more than ``HOT`` contents isn't gathered: its key is lengthened
 to the whole window, and equal windows are counted with map-side combining.
-Texts travel compressed. Identity of contents and windows of hot grams rests
-on 128 bits of hash; within a gram the operator verifies.
-
-Rows are known by (id, 20 bits of the text's hash): repeated rows are places of
-their own with one id, and a null id counts as the smallest.
+Texts travel compressed, written once with a number for each row, by which the
+row is known from there on: repeated ids and repeated rows are rows of their own,
+and none gathers another's spans. A null id counts as the smallest.
+
+What rests on hashes: that two runs of one gram hash are equal contents (two
+polynomial hashes modulo 2 ** 61 - 1 of independent bases, 122 bits), and that
+windows of a hot gram are equal (the same). Within a gram the operator compares
+the bytes.
 """
 from __future__ import annotations
 
@@ -33,21 +36,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierflow.llm import textnp as T
-from tierflow.llm.common import MIN_LONG, fingerprint, key_of, map_batches, materialize, ship
+from tierflow.llm.common import MIN_LONG, Scratch, key_of, map_batches, ship
 
 HOT = 20_000
 #: Contents are handed to an operator in groups of whole grams of about this many.
 BATCH_ROWS, BATCH_BYTES = 8_000, 4 << 20
-_C1, _C2 = T.U(0xD6E8FEB86659FD93), T.U(0xA0761D6478BD642F)
 
 
 @dataclass(frozen=True)
 class Kind:
-    """symbols(buf, off) gives a 64-bit symbol for each position, the first
-    position of each document, and the byte range of each symbol."""
+    """symbols(buf, off, family) gives a 64-bit symbol for each position, by one of two
+    independent hashes, the first position of each document, and the byte range of each symbol."""
     window: int
     gram: int
     symbols: Callable
+    #: places(buf, off): the last three of these
+    places: Callable
     #: (window, Batch) -> (content index, first window, last window) of runs of judged windows
     judge: Callable
     first_stays: bool
@@ -56,73 +60,70 @@ class Kind:
 @dataclass
 class Batch:
     """Contents of whole grams: ``group`` ascending, ``left`` symbols before the
-    anchor, ``n`` symbols in all, ``first`` symbol of each in ``symbols``; for
-    bytes ``buf`` is the text. ``key`` and ``at`` are the first place."""
+    anchor, ``n`` symbols in all, ``first`` symbol of each; ``buf[off[i]:off[i + 1]]``
+    is the text. ``key`` and ``at`` are the first place."""
     group: np.ndarray
     left: np.ndarray
     n: np.ndarray
     first: np.ndarray
-    symbols: np.ndarray
     buf: np.ndarray
+    off: np.ndarray
     key: np.ndarray
     at: np.ndarray
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(key_of(doc_id).alias("k"), fingerprint(text).alias("fp"), F.col(text).alias("text"))
-
-
-def packed(docs: DataFrame) -> DataFrame:
-    """k, fp and the text as a Zstandard frame (null: null)."""
+def packed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """r (a number of its own for each row), k (the id) and z (the text as a Zstandard frame; null: null).
+    The numbers hold once this is written."""
     def run(batch: pa.RecordBatch):
         z = zstandard.ZstdCompressor(level=1)
-        text = batch.column(2).cast(pa.large_binary())
-        for lo in range(0, len(text), 256):
-            part = text.slice(lo, 256)
-            yield {"k": batch.column(0).slice(lo, 256), "fp": batch.column(1).slice(lo, 256),
+        texts = batch.column(2).cast(pa.large_binary())
+        for lo in range(0, len(texts), 256):
+            part = texts.slice(lo, 256)
+            yield {"r": batch.column(0).slice(lo, 256), "k": batch.column(1).slice(lo, 256),
                    "z": [None if x is None else z.compress(x) for x in part.to_pylist()]}
 
-    return map_batches(docs, run, "k long, fp long, z binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("r"), key_of(doc_id).alias("k"), F.col(text).alias("text"))
+    return map_batches(rows, run, "r long, k long, z binary")
 
 
-def _runs(kind: Kind, docs: DataFrame) -> DataFrame:
-    """h (gram hash), c (content hash), k, at (fp << 40 | first symbol), span (left << 32 | length)."""
+def _runs(kind: Kind, rows: DataFrame) -> DataFrame:
+    """h (gram hash), c and c2 (content hashes), r, k, at (first symbol), span (left << 32 | length)."""
     def run(batch: pa.RecordBatch):
-        k, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for lo, hi, buf, off in T.chunks(batch.column(2)):
-            symbols, first, *_ = kind.symbols(buf, off)
+        r, k = (batch.column(i).to_numpy() for i in (0, 1))
+        for lo, _, buf, off in T.unpacked(batch.column(2)):
+            symbols, first, *_ = kind.symbols(buf, off, 0)
             doc, s, e, anchor, h = T.anchors(symbols, first, kind.window, kind.gram)
             end = e + kind.window
-            p = T.prefix_hash(symbols)
-            size = (end - s).astype(T.U)
-            c = T.mix(T.span_hash(p, s, end) * _C1 + size * _C2 + (anchor - s).astype(T.U))
+            shape = T.mix(((end - s).astype(T.U) << T.U(32)) + (anchor - s).astype(T.U))
+            c = T.mix(T.span_hash(T.prefix_hash(symbols), s, end) ^ shape)
+            other = T.prefix_hash(kind.symbols(buf, off, 1)[0], 1)
             row = lo + doc
-            yield {"h": T.as_long(h), "c": T.as_long(c), "k": k[row],
-                   "at": fp[row] << 40 | (s - first[doc]), "span": (anchor - s) << 32 | (end - s)}
+            yield {"h": T.as_long(h), "c": T.as_long(c), "c2": T.as_long(T.span_hash(other, s, end, 1)), "r": r[row],
+                   "k": k[row], "at": s - first[doc], "span": (anchor - s) << 32 | (end - s)}
 
-    return map_batches(docs, run, "h long, c long, k long, at long, span long")
+    return map_batches(rows, run, "h long, c long, c2 long, r long, k long, at long, span long")
 
 
-def _contents(kind: Kind, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The text of one copy of each wanted content (h, c, m, k, at, span)."""
-    per_doc = wanted.groupBy("k", F.shiftright("at", 40).alias("fp")).agg(F.collect_list(
-        F.struct("h", "c", "m", F.col("at").bitwiseAND(F.lit((1 << 40) - 1)).alias("at"), "span")).alias("runs"))
+def _contents(kind: Kind, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The text of one copy of each wanted content (h, c, c2, m, r, k, at, span)."""
+    per_row = wanted.groupBy("r").agg(F.collect_list(F.struct("h", "c", "c2", "m", "at", "span")).alias("runs"))
 
     def run(batch: pa.RecordBatch):
         unpack = zstandard.ZstdDecompressor()
         for i in range(batch.num_rows):
             z, runs = batch.column(1)[i].as_py(), batch.column(2).slice(i, 1).flatten()
             text = unpack.decompress(z) if z else b""
-            cols = {n: runs.field(n).to_numpy(zero_copy_only=False) for n in ("h", "c", "m", "at", "span")}
+            cols = {n: runs.field(n).to_numpy(zero_copy_only=False) for n in ("h", "c", "c2", "m", "at", "span")}
             buf = np.frombuffer(text, np.uint8)
-            _, _, start, end = kind.symbols(buf, np.array([0, len(buf)]))
+            start, end = kind.places(buf, np.array([0, len(buf)]))[1:]
             n = cols["span"] & 0xFFFFFFFF
             a, b = start[cols["at"]], end[cols["at"] + n - 1]
-            yield {"h": cols["h"], "c": cols["c"], "m": cols["m"], "k": np.full(len(n), batch.column(0)[i].as_py()),
-                   "at": cols["at"], "span": cols["span"], "text": [text[x:y] for x, y in zip(a.tolist(), b.tolist())]}
+            yield {**cols, "k": np.full(len(n), batch.column(0)[i].as_py()),
+                   "text": [text[x:y] for x, y in zip(a.tolist(), b.tolist())]}
 
-    joined = packed(docs).join(per_doc, ["k", "fp"]).select("k", "z", "runs")
-    return map_batches(joined, run, "h long, c long, m long, k long, at long, span long, text binary")
+    joined = rows.join(per_row, "r").select("k", "z", "runs")
+    return map_batches(joined, run, "h long, c long, c2 long, m long, k long, at long, span long, text binary")
 
 
 def _batch(kind: Kind, t: pa.Table) -> Batch:
@@ -133,8 +134,8 @@ def _batch(kind: Kind, t: pa.Table) -> Batch:
     _, offs, data = text.buffers()
     off = np.frombuffer(offs, np.int64, len(text) + 1, text.offset * 8)
     buf = np.frombuffer(data, np.uint8)[off[0]:off[-1]] if len(text) else np.zeros(0, np.uint8)
-    symbols, first, *_ = kind.symbols(buf, off - off[0])
-    return Batch(group, span >> 32, span & 0xFFFFFFFF, first[:-1], symbols, buf, t["k"].to_numpy(), t["at"].to_numpy())
+    off = off - off[0]
+    return Batch(group, span >> 32, span & 0xFFFFFFFF, kind.places(buf, off)[0][:-1], buf, off, t["k"].to_numpy(), t["at"].to_numpy())
 
 
 def _spans(window: int, content: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, list]:
@@ -149,14 +150,14 @@ def _spans(window: int, content: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
 
 
 def _judged(kind: Kind, contents: DataFrame) -> DataFrame:
-    """h, c, cut: spans of each content's judged windows. Grams come whole and together."""
-    schema = "h long, c long, cut array<int>"
+    """h, c, c2, cut: spans of each content's judged windows. Grams come whole and together."""
+    schema = "h long, c long, c2 long, cut array<int>"
 
     def emit(t: pa.Table) -> pa.RecordBatch:
         who, cut = _spans(kind.window, *kind.judge(kind.window, _batch(kind, t)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(t["h"].to_numpy()[who]), pa.array(t["c"].to_numpy()[who]), pa.array(cut, pa.list_(pa.int32()))],
-            names=["h", "c", "cut"])
+            [*[pa.array(t[n].to_numpy()[who]) for n in ("h", "c", "c2")], pa.array(cut, pa.list_(pa.int32()))],
+            names=["h", "c", "c2", "cut"])
 
     def run(batches):
         held, rows, size = [], 0, 0
@@ -181,7 +182,7 @@ def _judged(kind: Kind, contents: DataFrame) -> DataFrame:
     return contents.repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
 
 
-def _hot(kind: Kind, contents: DataFrame) -> DataFrame:
+def _hot(kind: Kind, contents: DataFrame, scratch: Scratch) -> DataFrame:
     """The same for hot grams, keyed by whole windows."""
     def windows(batch: pa.RecordBatch):
         for lo in range(0, batch.num_rows, 2000):
@@ -191,65 +192,72 @@ def _hot(kind: Kind, contents: DataFrame) -> DataFrame:
             who = np.repeat(np.arange(len(count)), count)
             at = T.ranges(np.zeros(len(count), np.int64), count)
             s = b.first[who] + at
-            x = T.span_hash(T.prefix_hash(b.symbols), s, s + kind.window)
-            y = T.span_hash(T.prefix_hash(T.mix(b.symbols)), s, s + kind.window)
-            yield {"h": t["h"].to_numpy()[who], "c": t["c"].to_numpy()[who], "p": at.astype(np.int32),
-                   "x": T.as_long(T.mix(x)), "y": T.as_long(T.mix(y)), "k": b.key[who], "at": b.at[who] + at}
-
-    w = map_batches(contents, windows, "h long, c long, p int, x long, y long, k long, at long")
-    same = materialize(w.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"), F.min(F.struct("k", "at")).alias("o"))
-                       .filter("w > 1"), "repeat-windows")
+            x, y = (T.span_hash(T.prefix_hash(kind.symbols(b.buf, b.off, f)[0], f), s, s + kind.window, f) for f in (0, 1))
+            yield {**{n: t[n].to_numpy()[who] for n in ("h", "c", "c2")}, "p": at.astype(np.int32),
+                   "x": T.as_long(x), "y": T.as_long(y), "k": b.key[who], "at": b.at[who] + at}
+
+    w = map_batches(contents, windows, "h long, c long, c2 long, p int, x long, y long, k long, at long")
+    same = scratch.write(w.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"), F.min(F.struct("k", "at")).alias("o"))
+                         .filter("w > 1"), "windows")
     hit = w.join(same, ["x", "y"])
     if kind.first_stays:
         hit = hit.filter((F.col("k") != F.col("o.k")) | (F.col("at") != F.col("o.at")))
 
     def merge(batch: pa.RecordBatch):
         cuts = []
-        for p in batch.column(2):
+        for p in batch.column(3):
             s = np.array(p.as_py(), np.int64)
             a, b = T.union_spans(s, s + kind.window)
             cuts.append(np.stack([a, b], 1).ravel().astype(np.int32))
-        yield {"h": batch.column(0), "c": batch.column(1), "cut": cuts}
+        yield {"h": batch.column(0), "c": batch.column(1), "c2": batch.column(2), "cut": cuts}
 
-    return map_batches(hit.groupBy("h", "c").agg(F.collect_list("p").alias("p")), merge, "h long, c long, cut array<int>")
+    return map_batches(hit.groupBy("h", "c", "c2").agg(F.collect_list("p").alias("p")), merge,
+                       "h long, c long, c2 long, cut array<int>")
 
 
-def spans_of(kind: Kind, docs: DataFrame) -> DataFrame:
-    """k, fp, starts and ends (symbols, unsorted, may overlap) of what the judged
-    windows of each document cover; docs is ``keyed``."""
-    runs = _runs(kind, docs)
+def spans_of(kind: Kind, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """r, starts and ends (symbols, unsorted, may overlap) of what the judged
+    windows of each row cover; rows is ``packed`` and written."""
+    runs = _runs(kind, rows)
+    content = ["h", "c", "c2"]
     # counts are written before they are joined: Spark splits a hot key only where
     # both sides of the join come straight from a shuffle
-    often = materialize(runs.select("h").groupBy("h").count().filter("count > 1").select("h"), "repeat-grams")
-    found = materialize(runs.join(often, "h"), "repeat-runs")
-    classes = materialize(
-        found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "at", "span")).alias("o"))
-        .select("h", "c", "n", "o.*"), "repeat-contents")
-    several = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "repeat-several")
-    contents = materialize(_contents(kind, docs, classes.join(several, "h")), "repeat-texts")
+    often = scratch.write(runs.select("h").groupBy("h").count().filter("count > 1").select("h"), "grams")
+    found = scratch.write(runs.join(often, "h"), "runs")
+    scratch.drop("grams")
+    classes = scratch.write(
+        found.groupBy(*content).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "at", "r", "span")).alias("o"))
+        .select(*content, "n", "o.*"), "contents")
+    several = scratch.write(classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "several")
+    contents = scratch.write(_contents(kind, rows, classes.join(several, "h")), "texts")
+    scratch.drop("several")
     cuts = _judged(kind, contents.filter(F.col("m") <= HOT))
     hot = contents.filter(F.col("m") > HOT)
     if not hot.isEmpty():
-        cuts = cuts.unionAll(_hot(kind, hot))
+        cuts = cuts.unionAll(_hot(kind, hot, scratch))
     if kind.first_stays:
         here = (F.col("k") != F.col("ok")) | (F.col("at") != F.col("oat"))
     else:
         here = F.col("n") > 1
     length = F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    verdict = classes.select("h", "c", "n", F.col("k").alias("ok"), F.col("at").alias("oat")).join(cuts, ["h", "c"], "left")
-    verdict = materialize(verdict.filter("n > 1 OR cut IS NOT NULL"), "repeat-verdicts")
+    verdict = classes.select(*content, "n", F.col("k").alias("ok"), F.col("at").alias("oat")).join(cuts, content, "left")
+    verdict = scratch.write(verdict.filter("n > 1 OR cut IS NOT NULL"), "verdicts")
+    scratch.drop("contents", "texts", "windows")
     cut = F.when(here, F.array(F.lit(0), length)).otherwise(F.col("cut"))
-    at = F.col("at").bitwiseAND(F.lit((1 << 40) - 1))
-    return (found.join(verdict, ["h", "c"])
-            .select("k", F.shiftright("at", 40).alias("fp"), F.transform(cut, lambda x: x + at).alias("cut"))
-            .filter("cut IS NOT NULL").groupBy("k", "fp").agg(F.flatten(F.collect_list("cut")).alias("cut")))
+    spans = (found.join(verdict, content)
+             .select("r", F.transform(cut, lambda x: x + F.col("at")).alias("cut"))
+             .filter("cut IS NOT NULL").groupBy("r").agg(F.flatten(F.collect_list("cut")).alias("cut")))
+    spans = scratch.write(spans, "spans")
+    scratch.drop("runs", "verdicts")
+    return spans
 
 
 def cut_out(docs: DataFrame, doc_id: str, text: str, kind: Kind, apply: Callable, schema: str) -> DataFrame:
     """Apply ``apply(text bytes, starts, ends) -> dict of one row`` to every row of
     docs, with merged ascending spans; ``k`` becomes doc_id again."""
-    d = keyed(docs, doc_id, text)
-    cuts = spans_of(kind, d)
+    scratch = Scratch(docs.sparkSession, "repeats")
+    rows = scratch.write(packed(docs, doc_id, text), "packed")
+    cuts = spans_of(kind, rows, scratch)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batch: pa.RecordBatch):
@@ -268,6 +276,6 @@ def cut_out(docs: DataFrame, doc_id: str, text: str, kind: Kind, apply: Callable
         if out:
             yield dict(zip(("k", *names), zip(*out)))
 
-    joined = packed(d).join(cuts, ["k", "fp"], "left").select("k", "z", "cut")
+    joined = rows.join(cuts, "r", "left").select("k", "z", "cut")
     done = map_batches(joined, run, f"k long, {schema}")
     return done.select(F.when(F.col("k") != MIN_LONG, F.col("k")).alias(doc_id), *names)

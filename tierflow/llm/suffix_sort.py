@@ -26,9 +26,13 @@ from tierflow.llm.common import table
 WINDOW, GRAM = 200, 32
 
 
-def _symbols(buf: np.ndarray, off: np.ndarray):
+def _symbols(buf: np.ndarray, off: np.ndarray, family: int):
+    return T.byte_symbols(buf, family), *_places(buf, off)
+
+
+def _places(buf: np.ndarray, off: np.ndarray):
     at = np.arange(len(buf) + 1)
-    return T.byte_symbols(buf), off, at[:-1], at[1:]
+    return off, at[:-1], at[1:]
 
 
 class Suffixes:
@@ -37,16 +41,17 @@ class Suffixes:
     def __init__(self, buf: np.ndarray, start: np.ndarray, n: np.ndarray):
         self.buf, self.start, self.n = np.append(buf, np.uint8(0)), start, n
         self.p = T.prefix_hash(T.byte_symbols(buf))
-        self.inv = T.powers(len(self.p))[1]
+        self.pw = T.powers(len(self.p))
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Longest common extension of suffixes a and b, by hashes."""
         x, y = self.start[a], self.start[b]
         lo, hi = np.zeros(len(a), np.int64), np.minimum(self.n[a], self.n[b])
-        px, py, ix, iy = self.p[x], self.p[y], self.inv[x], self.inv[y]
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        px, py, shift = T.P - self.p[x], T.P - self.p[y], self.pw[y - x]  # x's hash, moved to y
         while (lo < hi).any():
             mid = (lo + hi + 1) >> 1
-            same = (self.p[x + mid] - px) * ix == (self.p[y + mid] - py) * iy
+            same = T.times(T.reduced(self.p[x + mid] + px), shift) == T.reduced(self.p[y + mid] + py)
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         return lo
 
@@ -155,7 +160,7 @@ def _judge(window: int, b: R.Batch):
     return who, at, at
 
 
-BYTES = R.Kind(WINDOW, GRAM, _symbols, _judge, first_stays=False)
+BYTES = R.Kind(WINDOW, GRAM, _symbols, _places, _judge, first_stays=False)
 
 
 def _apply(text: bytes, start: np.ndarray, end: np.ndarray):

@@ -26,9 +26,14 @@ from tierflow.llm.common import table
 WINDOW, GRAM = 20, 4
 
 
-def _symbols(buf: np.ndarray, off: np.ndarray):
+def _symbols(buf: np.ndarray, off: np.ndarray, family: int):
     w = T.Words(buf, off)
-    return w.hashes(), w.first, w.start, w.end
+    return w.hashes(family), w.first, w.start, w.end
+
+
+def _places(buf: np.ndarray, off: np.ndarray):
+    w = T.Words(buf, off)
+    return w.first, w.start, w.end
 
 
 def _judge(window: int, b: R.Batch):
@@ -36,11 +41,12 @@ def _judge(window: int, b: R.Batch):
     count = b.n - window + 1
     who = np.repeat(np.arange(len(count)), count)
     at = T.ranges(np.zeros(len(count), np.int64), count)
-    words, word = np.unique(b.symbols, return_inverse=True)
+    word = T.Words(b.buf, b.off).codes()  # words are told apart by their bytes
+    words = int(word.max(initial=0)) + 1
     where = b.first[who] + at
     node, alive = b.group[who].astype(np.int64), np.arange(len(who))
     for depth in range(window):  # one level of the tree: the next word splits each node
-        edge = node * len(words) + word[where[alive] + depth]
+        edge = node * words + word[where[alive] + depth]
         _, node, size = np.unique(edge, return_inverse=True, return_counts=True)
         inner = size[node] > 1
         alive, node = alive[inner], node[inner]
@@ -57,7 +63,7 @@ def _judge(window: int, b: R.Batch):
     return who[hit], at[hit], at[hit]
 
 
-WORDS = R.Kind(WINDOW, GRAM, _symbols, _judge, first_stays=True)
+WORDS = R.Kind(WINDOW, GRAM, _symbols, _places, _judge, first_stays=True)
 
 
 def _apply(text: bytes, start: np.ndarray, end: np.ndarray):

@@ -11,11 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 CHUNK_BYTES = 1 << 20
+BLOCK = 1 << 14
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15)
-BASE_INV = U(pow(int(BASE), -1, 1 << 64))
+GAMMA = U(0x9E3779B97F4A7C15)
+#: Polynomial hashes are modulo this prime; 0 and 1 are two independent families.
+P = U((1 << 61) - 1)
+BASES = (0x1A7C9B3D5E8F2461, 0x0D3B9F517C2E684B)
 
 #: ASCII white space, [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
@@ -33,37 +37,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U))
-_POW = [np.ones(1, U), np.ones(1, U)]
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo P."""
+    x = (x & P) + (x >> U(61))
+    np.subtract(x, P, out=x, where=x >= P)
+    return x
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo P, for a and b below P; no partial sum leaves 64 bits."""
+    if len(a) > BLOCK and len(a) == len(b):  # parts that stay in the processor's cache
+        return np.concatenate([times(a[i:i + BLOCK], b[i:i + BLOCK]) for i in range(0, len(a), BLOCK)])
+    low = U(0xFFFFFFFF)
+    ah, al, bh, bl = a >> U(32), a & low, b >> U(32), b & low
+    mid, lo = ah * bl + al * bh, al * bl
+    x = ah * bh << U(3)  # 2 ** 64 is 8
+    x += (mid >> U(29)) + ((mid & U((1 << 29) - 1)) << U(32))
+    x += (lo & P) + (lo >> U(61))
+    return reduced(x)
+
 
+_BYTE = [mix(np.arange(1, 257, dtype=U) + U(k << 20)) % P for k in (0, 1)]
+_POW: dict[tuple[int, bool], np.ndarray] = {}
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse, i < n, modulo 2 ** 64; kept between calls."""
-    if len(_POW[0]) < n:
-        m = max(n, CHUNK_BYTES + 4096)
-        for k, b in ((0, BASE), (1, BASE_INV)):
-            p = np.full(m, b, U)
-            p[0] = 1
-            _POW[k] = np.multiply.accumulate(p)
-    return _POW[0][:n], _POW[1][:n]
 
+def powers(n: int, family: int = 0, inverse: bool = False) -> np.ndarray:
+    """The base (or its inverse) to the power i, i < n, modulo P; kept between calls."""
+    p = _POW.get((family, inverse))
+    if p is None or len(p) < n:
+        base = pow(BASES[family], -1 if inverse else 1, int(P))
+        p = np.ones(1, U)
+        while len(p) < max(n, CHUNK_BYTES + 4096):
+            p = np.concatenate([p, times(p, np.full(1, pow(base, len(p), int(P)), U))])
+        _POW[family, inverse] = p
+    return p[:n]
 
-def prefix_hash(symbols: np.ndarray) -> np.ndarray:
-    """P with P[i] the polynomial hash of the first i symbols (64-bit each)."""
-    pw, _ = powers(len(symbols) + 1)
+
+def prefix_hash(symbols: np.ndarray, family: int = 0) -> np.ndarray:
+    """Q with Q[i] the polynomial hash of the first i symbols (64-bit each)."""
     out = np.zeros(len(symbols) + 1, U)
-    np.cumsum(symbols * pw[: len(symbols)], out=out[1:])
+    pw, last = powers(len(symbols), family), U(0)
+    for i in range(0, len(symbols), BLOCK):
+        t = times(reduced(symbols[i:i + BLOCK]), pw[i:i + BLOCK])
+        high = reduced(np.cumsum(t >> U(31)))  # sums of 30 and 31 bits don't overflow
+        t = reduced(((high << U(31)) & P) + (high >> U(30)) + np.cumsum(t & U((1 << 31) - 1)) + last)
+        out[i + 1:i + 1 + len(t)] = t
+        last = t[-1]
     return out
 
 
-def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
     """Hash of symbols start:end, the same wherever they stand."""
-    _, inv = powers(len(p))
-    return (p[end] - p[start]) * inv[start]
+    return times(reduced(p[end] + P - p[start]), powers(len(p), family, True)[start])
 
 
-def byte_symbols(buf: np.ndarray) -> np.ndarray:
-    return _BYTE[buf]
+def byte_symbols(buf: np.ndarray, family: int = 0) -> np.ndarray:
+    return _BYTE[family][buf]
 
 
 def chunks(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -86,6 +115,19 @@ def chunks(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         lo = hi
 
 
+def unpacked(frames: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The same of a column of Zstandard frames (null: no bytes)."""
+    unpack, lo, texts, size = zstandard.ZstdDecompressor(), 0, [], 0
+    for i, z in enumerate(frames):
+        z = z.as_py()
+        texts.append(unpack.decompress(z) if z else b"")
+        size += len(texts[-1])
+        if size >= CHUNK_BYTES or i + 1 == len(frames):
+            off = np.append(0, np.cumsum([len(x) for x in texts]))
+            yield lo, i + 1, np.frombuffer(b"".join(texts), np.uint8), off
+            lo, texts, size = i + 1, [], 0
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a chunk: byte ``start`` and ``end`` of
     each, ``doc`` it stands in, and ``first[i]:first[i + 1]`` those of document i."""
@@ -107,10 +149,47 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, family: int = 0) -> np.ndarray:
         """A 64-bit hash of each word."""
-        p = prefix_hash(byte_symbols(self.buf))
-        return mix(span_hash(p, self.start, self.end) + (self.end - self.start).astype(U))
+        p = prefix_hash(byte_symbols(self.buf, family), family)
+        return mix(span_hash(p, self.start, self.end, family) + ((self.end - self.start).astype(U) << U(40)))
+
+
+    def codes(self) -> np.ndarray:
+        """A number for each word, the same for equal words only."""
+        return span_codes(self.buf, self.start, self.end, self.hashes())
+
+
+def span_codes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+    """A number for each span of bytes, the same for equal ones only: spans of one
+    hash are compared byte by byte, and numbered plainly should any differ."""
+    if hashes is None:
+        hashes = mix(span_hash(prefix_hash(byte_symbols(buf)), start, end) + ((end - start).astype(U) << U(40)))
+    _, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+    if same_bytes(buf, start, end, first[code]).all():
+        return code
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(buf[s:e].tobytes(), len(seen)) for s, e in zip(start.tolist(), end.tolist())])
+
+
+def same_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether span i holds the same bytes as span other[i]."""
+    size = end - start
+    ok = size == size[other]
+    for lo in range(0, len(start), 1 << 14):  # spans of a document at most, a block at a time
+        at = np.flatnonzero(ok[lo:lo + (1 << 14)] & (other[lo:lo + (1 << 14)] != np.arange(lo, min(lo + (1 << 14), len(start))))) + lo
+        i = ranges(np.zeros(len(at), np.int64), size[at])
+        who = np.repeat(at, size[at])
+        ok[who[buf[start[who] + i] != buf[start[other[who]] + i]]] = False
+    return ok
+
+
+def gram_codes(code: np.ndarray, k: int) -> np.ndarray:
+    """A number for the k codes from each position (len - k + 1 of them), the same for equal ones only."""
+    out = code[: len(code) - k + 1].astype(np.int64)
+    for j in range(1, k):
+        out = np.unique(out * (int(code.max()) + 1) + code[j: len(code) - k + 1 + j], return_inverse=True)[1]
+    return out
 
 
 def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
