@@ -6,6 +6,7 @@ import numpy as np
 
 from tests.llm.conftest import SCHEMA, prose
 from tierflow.llm import minhash as M
+from tierflow.llm.common import Scratch
 from tierflow.llm.components import components
 
 
@@ -98,7 +99,7 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         up[max(x, y)] = min(x, y)
-    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()
     assert {r.node: r.comp for r in got} == {i: find(i) for e in edges if e[0] != e[1] for i in e}
 
 
@@ -121,3 +122,29 @@ def test_pairs_just_above_the_threshold(spark):
     got = {r.doc_id: r.class_id for r in M.near_duplicates(d).collect()}
     assert [i for i in near if got[i + 1] != i] == []
     assert got == brute_classes(rows)
+
+
+def test_copies_of_one_text(spark):
+    """A group of copies with few to many edits: classes are those of all pairs, and most pairs are barred unread."""
+    rng = random.Random(8)
+    base = prose(rng, 150).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):
+        w = list(base)
+        for at in rng.sample(range(len(w)), rng.randint(0, 14)):
+            w[at] = f"{rng.choice('klmnop')}{rng.randint(0, 40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(None, rows[5][1] + " more"), (None, prose(rng, 70)), (3, prose(rng, 60)), (700, rows[-1][1])]
+    d = spark.createDataFrame([(i, t, *[None] * 10) for i, t in rows], SCHEMA).repartition(3)
+    want = brute_classes(rows)
+    got = M.near_duplicates(d).collect()
+    assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == {k: v for k, v in want.items() if not isinstance(k, tuple)}
+    assert sorted(str(r.class_id) for r in got if r.doc_id is None) == sorted(str(v) for k, v in want.items() if isinstance(k, tuple))
+
+
+def test_structured_texts_stay_apart(spark):
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    rows = [(f, " ".join(["ab", "cd"][b ^ f] for b in bits) + f" end{f}" * 300) for f in (0, 1)]
+    rows += [(2 + f, "".join(["ab", "cd"][b ^ f] for b in bits)) for f in (0, 1)]
+    d = spark.createDataFrame([(i, t, *[None] * 10) for i, t in rows], SCHEMA)
+    assert {r.doc_id: r.class_id for r in M.near_duplicates(d).collect()} == brute_classes(rows)

@@ -4,10 +4,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierflow.llm.common import materialize
+from tierflow.llm.common import Scratch
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """node and comp (the smallest node of its component) for every node that
     an edge (``a``, ``b``; longs) joins to another.
 
@@ -19,24 +19,27 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     written between rounds, which cuts the lineage; at the end the rounds'
     pointers are followed in order.
     """
-    live = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                       .distinct(), name)
+    at, up_at, label_at = (f"{name}-{x}" for x in ("edges", "ups", "labels"))
+    live = scratch.write(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                         .distinct(), at)
     nodes = live.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    label, ups, seed = nodes.withColumn("comp", F.col("node")), 0, 0
+    label, ups, seed = scratch.write(nodes.withColumn("comp", F.col("node")), label_at), 0, 0
     while not live.isEmpty():
         seed += 1
         order = (lambda c: F.col(c)) if seed % 2 else (lambda c: F.xxhash64(F.lit(seed), F.col(c)))
         both = live.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")),
                                             F.struct(F.col("b").alias("v"), F.col("a").alias("w")))))
         least = both.groupBy("v").agg(F.min_by("w", order("w")).alias("to"))
-        up = materialize(least.filter(order("to") < order("v")), name)
+        up = scratch.write(least.filter(order("to") < order("v")), up_at)
         label = label.join(up, label["comp"] == up["v"], "left").select("node", F.coalesce("to", "comp").alias("comp"))
         ups += 1
         if ups % 4 == 0:
-            label = materialize(label, name)
+            label = scratch.write(label, label_at)
         for end in ("a", "b"):
             live = live.join(up, live[end] == up["v"], "left").withColumn(end, F.coalesce("to", end)).drop("v", "to")
-        live = materialize(live.filter("a <> b").distinct(), name)
-    label = materialize(label, name)
+        live = scratch.write(live.filter("a <> b").distinct(), at)
+    label = scratch.write(label, label_at)
+    scratch.trim(label_at)
+    scratch.drop(at, up_at)
     least = label.groupBy("comp").agg(F.min("node").alias("least"))
     return label.join(least, "comp").select("node", F.col("least").alias("comp"))

@@ -7,23 +7,29 @@ element that came first. Two signatures agree in a component with the
 probability Jaccard similarity of the texts. An element stops as soon as its
 next arrival is later than the latest component.
 
-Bands of the signature give candidates, and every candidate is verified by its
-exact probability Jaccard similarity; nothing is refused by an estimate. Not all
-pairs of a bucket are formed:
-its first text is held against the others, then, where a bucket still has
-texts of more than one class, its first 8, 64, 512 ... until none is left over.
-So every candidate link between texts of different classes is tried, and what
-is skipped are pairs already known to be in one class. Texts with equal
-shingles are one node from the start. Pairs are verified in cells of a bucket
-(so many hubs against so many others), so that a text travels once for a cell
-and not once for a pair.
-
-Cases: a text of 1 to 4 words is one shingle of them all; a null or wordless
-text is a class of its own; rows that share an id are one document, whose class
-joins all their texts; rows without an id are told apart by their texts, and
-their class id is null unless the class has an id (ids must be below 2 ** 62);
-an empty table gives an empty result; columns other than id and text are not
-read.
+Bands of the signature give candidates, and every candidate link between texts of
+different classes is settled without an estimate, in one of three ways:
+
+1. by a bound. The similarity of x with any text is at most the share of x's
+   weight that lies in shingles which another candidate has too, and for two texts
+   whose shingles all weigh 1 at most what that leaves of the union. Shingles are
+   counted over all candidates; those that stand alone bar texts and pairs
+   inside the join;
+2. by classes. The members of a bucket that have the most company in all their
+   buckets (a group's originals) are held against the others first, then the first 8,
+   the first 64, and then all; pairs already in one class are skipped;
+3. by the exact probability Jaccard similarity of the two texts, in cells of a
+   bucket, so that a text travels once for a cell and not once for a pair.
+
+So the miss chance is that of the bands alone: 3e-5 for a pair at 0.8, less above.
+Texts with equal shingles are one node from the start (128 bits of hash tell sets
+apart), numbered in a written table.
+
+Cases: a text of 1 to 4 words is one shingle of them all; a null text is an empty
+one, and a wordless text is a class of its own; rows that share an id are one
+document, whose class joins all their texts; rows without an id are one document
+where their texts are equal, and their class id is null unless the class has an id; an
+empty table gives an empty result; columns other than id and text are not read.
 """
 from __future__ import annotations
 
@@ -34,23 +40,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierflow.llm import textnp as T
-from tierflow.llm.common import fingerprint, map_batches, materialize, ship, table
+from tierflow.llm.common import Scratch, map_batches, ship, table
 from tierflow.llm.components import components
-from tierflow.llm.repeats import packed
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: P(no shared band) at similarity 0.8 is (1 - 0.8 ** 5) ** 26 = 3e-5.
 BANDS, ROWS = 26, 5
-FACTOR = 8
-HUBS, OTHERS = 32, 128  # texts of a cell, about
+HUBS = (1, 8, 64)  # members of a bucket held against the others, before all of them are
+CELL = 64  # texts of either side of a cell, about
 HELD = 4 << 20  # elements of the sets that a task keeps
-NO_ID = 1 << 62  # keys from here on stand for rows without an id
-
-
-def node_of(doc_id: str, text: str) -> Column:
-    """The document of a row: its id, or else a key made from its text."""
-    spare = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2)
-    return F.coalesce(F.col(doc_id).cast("long"), spare)
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,12 +126,22 @@ def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, n
     return float((a / total).sum())
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """k, fp, f1 and f2 (hashes of the whole weighted set; null: no shingles), bands."""
+def keys_of(doc_id: str, text: str) -> list[Column]:
+    """id, t1, t2: a row's document; t1 and t2, of the text, only where there is no id."""
+    own = F.col(doc_id).cast("long")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return [own.alias("id"), F.when(own.isNull(), F.xxhash64(whole)).otherwise(0).alias("t1"),
+            F.when(own.isNull(), F.xxhash64(F.lit(1), whole)).otherwise(0).alias("t2")]
+
+
+def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, t1, t2, of each row; f1 and f2 (hashes of the whole weighted set; null: no shingles),
+    total (weight), unit (every weight is 1), bands, and z, the text as a Zstandard frame."""
     m = bands * rows
 
     def run(batch: pa.RecordBatch):
-        for lo, hi, buf, off in T.chunks(batch.column(2)):
+        pack = zstandard.ZstdCompressor(level=1)
+        for lo, hi, buf, off in T.chunks(batch.column(3)):
             n = hi - lo
             doc, gram, weight = shingles(buf, off)
             sig = prob_minhash(doc, gram, weight, n, m)
@@ -148,22 +156,51 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                 total = np.zeros(len(gram) + 1, T.U)
                 np.cumsum(T.mix(T.mix(gram + T.U(salt)) + weight.astype(T.U)), out=total[1:])
                 sums.append(T.as_long(total[ends[1:]] - total[ends[:-1]]))
-            some = np.diff(ends) > 0
-            yield {"k": batch.column(0).slice(lo, n), "fp": batch.column(1).slice(lo, n),
+            size, some = np.diff(ends), np.diff(ends) > 0
+            total = np.bincount(doc, weight, n).astype(np.int64)
+            yield {**{c: batch.column(i).slice(lo, n) for i, c in enumerate(("id", "t1", "t2"))},
                    "f1": pa.array(sums[0], mask=~some), "f2": pa.array(sums[1], mask=~some),
+                   "total": total, "unit": total == size,
                    "bands": pa.ListArray.from_arrays(
                        pa.array(np.append(0, np.cumsum(some * bands)), pa.int32()),
-                       pa.array(T.as_long(key)[np.repeat(some, bands)]))}
+                       pa.array(T.as_long(key)[np.repeat(some, bands)])),
+                   "z": [pack.compress(buf[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]}
+
+    return map_batches(docs.select(*keys_of(doc_id, text), F.col(text).alias("text")), run,
+                       "id long, t1 long, t2 long, f1 long, f2 long, total long, unit boolean, bands array<long>, z binary")
+
+
+def _alone(texts: DataFrame) -> DataFrame:
+    """node and alone: the weight of its shingles that no other node of ``texts`` has."""
+    def run(batch: pa.RecordBatch):
+        node = batch.column(0).to_numpy()
+        for lo, _, buf, off in T.unpacked(batch.column(1)):
+            doc, gram, weight = shingles(buf, off)
+            yield {"h": T.as_long(gram), "node": node[lo + doc], "w": weight}
+
+    once = map_batches(texts.select("node", "z"), run, "h long, node long, w long").groupBy("h").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).filter("n = 1")
+    return once.groupBy("node").agg(F.sum("w").alias("alone"))
+
 
-    return map_batches(docs, run, "k long, fp long, f1 long, f2 long, bands array<long>")
+def _possible(similarity: float) -> Column:
+    """Whether the bound leaves a pair (own, total, unit and _own, _total, _unit) a chance."""
+    t = F.lit(similarity * (1 - 1e-9))
+    return ~(F.col("unit") & F.col("_unit")) | (
+        (1 + t) * F.least("own", "_own") >= t * (F.col("total") + F.col("_total")))
 
 
-def _cell() -> Column:
-    """The cell of a pair: its bucket, a block of hubs and a share of the others.
-    Cells of larger buckets are greater."""
-    share = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / OTHERS))
-    key = F.xxhash64("bucket", "block", share).bitwiseAND(F.lit((1 << 43) - 1))
-    return F.shiftleft(F.least(F.col("n"), F.lit((1 << 20) - 1)), 43).bitwiseOR(key)
+def _pairs(live: DataFrame, hub: DataFrame, similarity: float) -> DataFrame:
+    """a < b, their classes, and the cell that compares them, of the pairs of each
+    bucket that are worth it; ``block`` numbers the hubs' cells."""
+    h = hub.select(F.col("bucket").alias("in"), "block", *[F.col(c).alias(f"_{c}") for c in ("node", "comp", "own", "total", "unit")])
+    met = live.join(h, (F.col("bucket") == F.col("in")) & (F.col("comp") != F.col("_comp")) & _possible(similarity))
+    share = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL))
+    # the largest bucket of a pair is its cell
+    cell = F.struct("n", F.xxhash64("bucket", "block", share).alias("at"))
+    return met.groupBy(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).agg(
+        F.min(F.least("comp", "_comp")).alias("ca"), F.max(F.greatest("comp", "_comp")).alias("cb"), F.max(cell).alias("cell")).select(
+        "a", "b", "ca", "cb", F.col("cell.at").alias("cell"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -172,17 +209,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         unpack = zstandard.ZstdDecompressor()
         cell, frames, sets, held = None, {}, {}, 0
 
-        def weighted(node: int) -> list:
+        def weighted(node: int) -> tuple:
             nonlocal held
             if node not in sets:
                 if held > HELD:
                     sets.clear()
                     held = 0
-                sets[node] = []
-                for z in frames[node]:
-                    buf = np.frombuffer(unpack.decompress(z), np.uint8)
-                    sets[node].append(shingles(buf, np.array([0, len(buf)]))[1:])
-                    held += len(sets[node][-1][0])
+                buf = np.frombuffer(unpack.decompress(frames[node]), np.uint8)
+                sets[node] = shingles(buf, np.array([0, len(buf)]))[1:]
+                held += len(sets[node][0])
             return sets[node]
 
         for batch in batches:
@@ -193,10 +228,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 if cells[i] != cell:
                     cell, frames, sets, held = cells[i], {}, {}, 0
                 if not pair:
-                    frames.setdefault(a[i], []).append(z[i].as_py())
+                    frames[a[i]] = z[i].as_py()
                     continue
-                x, y = weighted(a[i]), weighted(b[i])
-                ok[i] = any(probability_jaccard(p, q) >= similarity for p in x for q in y)
+                ok[i] = probability_jaccard(weighted(a[i]), weighted(b[i])) >= similarity
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).filter(pa.array(ok)) for i in (3, 4)], names=["a", "b"])
 
@@ -211,71 +245,105 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         run, "a long, b long")
 
 
-def classes(d: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """node and comp, the smallest node of its class, for d with k, fp and text."""
-    sig = materialize(signatures(d, bands, rows), "minhash-signatures")
-    sets = sig.filter("f1 IS NOT NULL")
-    equal = materialize(sets.groupBy("f1", "f2").agg(F.min("k").alias("node")), "minhash-sets")
-    first = sets.select("f1", "f2", "k", "fp", "bands").join(equal, ["f1", "f2"])
-    # a set's node is its smallest id; a row's id links to it where it has another
-    links = first.filter("k <> node").select(F.col("k").alias("a"), F.col("node").alias("b"))
-    reps = first.filter("k = node").dropDuplicates(["f1", "f2"])
-    placed = reps.select("node", "fp", F.explode("bands").alias("bucket"))
+def _links(rows: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float) -> DataFrame | None:
+    """Edges (a, b) that join the nodes of ``sets`` into classes of similar texts."""
+    placed = sets.select("node", F.explode("bands").alias("bucket"))
     # written before it is joined, so that Spark can split a hot bucket
-    shared = materialize(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"),
-                         "minhash-shared")
-    buckets = materialize(placed.join(shared, "bucket"), "minhash-buckets")
-    # repeated ids may bring several texts of one node; each is tried
-    wanted = materialize(buckets.select(F.col("node").alias("k"), "fp").distinct(), "minhash-wanted")
-    texts = materialize(packed(d).join(wanted, ["k", "fp"]).select(F.col("k").alias("node"), "z").distinct(), "minhash-texts")
-
-    live = buckets.select("bucket", "node", F.col("node").alias("comp"))  # every node a class of its own
-    merged, tried, hubs = None, 0, 1
-    while True:
+    shared = scratch.write(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    placed = scratch.write(placed.join(shared, "bucket"), "placed")
+    company = scratch.write(placed.groupBy("node").agg(F.sum("n").alias("company")), "company")
+    wanted = sets.select("f1", "f2", "node").join(company.select("node"), "node")
+    texts = scratch.write(rows.select("f1", "f2", "z").join(wanted, ["f1", "f2"]).groupBy("node").agg(
+        F.first("z").alias("z")), "texts")
+    alone = scratch.write(_alone(texts), "alone")
+    own = F.col("total") - F.coalesce("alone", F.lit(0))
+    able = (sets.select("node", "total", "unit").join(company, "node").join(alone, "node", "left")
+            .filter(own >= F.col("total") * (similarity * (1 - 1e-9))).select("node", "company", "total", "unit", own.alias("own")))
+    able = scratch.write(able, "able")
+    live = scratch.write(placed.select("bucket", "node").join(able, "node").withColumn("comp", F.col("node")), "live")
+    scratch.drop("shared", "placed", "company", "alone", "able")
+
+    merged, last = None, (0, *HUBS)
+    for tried, hubs in zip(last, (*HUBS, None)):
         mixed = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-        mixed = materialize(mixed.filter((F.col("lo") < F.col("hi")) & (F.col("n") > tried)).select("bucket", "n"), "minhash-mixed")
+        mixed = mixed.filter((F.col("lo") < F.col("hi")) & (F.col("n") > tried)).select("bucket", "n")
+        mixed = scratch.write(mixed, "mixed")
         if mixed.isEmpty():
             break
-        live = materialize(live.join(mixed, "bucket"), "minhash-live")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        hub = materialize(live.withColumn("r", rank).filter(F.col("r") <= hubs).filter(F.col("r") > tried).select(
-            F.col("bucket").alias("in"), F.col("node").alias("a"), F.col("comp").alias("ca"),
-            F.floor(F.col("r") / HUBS).alias("block")), "minhash-hubs")
-        pairs = live.join(hub, (F.col("bucket") == F.col("in")) & (F.col("a") < F.col("node"))
-                          & (F.col("ca") != F.col("comp"))).select(
-            "a", F.col("node").alias("b"), "ca", F.col("comp").alias("cb"), _cell().alias("cell"))
-        pairs = pairs.groupBy("a", "b", "ca", "cb").agg(F.max("cell").alias("cell"))
-        found = components(_verify(materialize(pairs, "minhash-pairs"), texts, similarity), "minhash-classes")
-        found = found.select(F.col("node").alias("old"), F.col("comp").alias("new")).filter("old <> new")
-        step = materialize(found, "minhash-step")
+        live = scratch.write(live.drop("n").join(mixed, "bucket"), "live")
+        scratch.trim("live")
+        scratch.drop("mixed")
+        if hubs:
+            rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("company"), "node"))
+            hub = live.withColumn("r", rank).filter(F.col("r") <= hubs).filter(F.col("r") > tried)
+            hub = scratch.write(hub.withColumn("block", F.lit(0).cast("long")), "hubs")
+        else:
+            hub = live.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("n") / CELL)))
+        pairs = scratch.write(_pairs(live, hub, similarity), "pairs")
+        found = components(_verify(pairs, texts, similarity), scratch, "classes")
+        step = scratch.write(found.select(F.col("node").alias("old"), F.col("comp").alias("new")).filter("old <> new"), "steps")
+        scratch.drop("hubs", "pairs", "classes-labels")
         merged = step if merged is None else merged.unionAll(step)
-        live = live.join(step, live["comp"] == step["old"], "left").select(
-            "bucket", "node", F.coalesce("new", "comp").alias("comp"))
-        tried, hubs = hubs, hubs * FACTOR
-    every = links if merged is None else links.unionAll(merged.select(F.col("old").alias("a"), F.col("new").alias("b")))
-    final = components(every, "minhash-final").withColumnRenamed("node", "k")
-    return d.select("k").distinct().join(final, "k", "left").select(
-        F.col("k").alias("node"), F.coalesce("comp", "k").alias("comp"))
+        live = scratch.write(live.join(step, live["comp"] == step["old"], "left").select(
+            *[c for c in live.columns if c not in ("comp", "n")], F.coalesce("new", "comp").alias("comp")), "live")
+    scratch.drop("live", "texts", "mixed")
+    return merged.select(F.col("old").alias("a"), F.col("new").alias("b")) if merged is not None else None
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
+            bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, t1, t2 and comp, the number of its class, of every row of docs; a document
+    without words has none."""
+    scratch = Scratch(docs.sparkSession, "minhash")
+    signed = scratch.write(signatures(docs, doc_id, text, bands, rows), "signed")
+    sets = signed.filter("f1 IS NOT NULL").groupBy("f1", "f2").agg(
+        F.first("total").alias("total"), F.first("unit").alias("unit"), F.first("bands").alias("bands"))
+    sets = scratch.write(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    edges = _links(signed, sets, scratch, similarity)
+    slim = signed.select("id", "t1", "t2", "f1", "f2").join(sets.select("f1", "f2", "node"), ["f1", "f2"], "left")
+    slim = scratch.write(slim.select("id", "t1", "t2", "node"), "rows")
+    scratch.drop("signed", "sets")
+    # the texts of a repeated id belong together, and so does a wordless one
+    of_id = scratch.write(slim.filter("id IS NOT NULL AND node IS NOT NULL").groupBy("id").agg(
+        F.min("node").alias("first"), F.max("node").alias("last")), "ids")
+    several = of_id.filter("first < last").select("id", "first")
+    ties = slim.join(several, "id").filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    every = components(ties if edges is None else edges.unionAll(ties), scratch, "final")
+    lost = slim.filter("node IS NULL").join(of_id.select("id", "first"), "id", "left").select(
+        "id", "t1", "t2", F.col("first").alias("node"))
+    out = slim.filter("node IS NOT NULL").unionAll(lost).join(every, "node", "left").select(
+        "id", "t1", "t2", F.coalesce("comp", "node").alias("comp"))
+    out = scratch.write(out, "classes")
+    scratch.drop("rows", "ids", "final-labels", "steps")
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id and class_id, the smallest id of its class, a row per row of docs."""
-    d = docs.select(node_of(doc_id, text).alias("k"), fingerprint(text).alias("fp"), F.col(text).alias("text"))
-    found = classes(d, similarity, bands, rows)
-    return docs.select(F.col(doc_id), node_of(doc_id, text).alias("_k")).join(
-        found.withColumnRenamed("node", "_k"), "_k").select(
-        doc_id, F.when(F.col("comp") < NO_ID, F.col("comp")).alias("class_id"))
+    found = classes(docs, doc_id, text, similarity, bands, rows)
+    least = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("least"))
+    return found.join(least, "comp", "left").select(
+        F.col("id").alias(doc_id), F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")).alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class, the one of smallest id (without
     any: of least key), and one row of that document."""
-    row = docs.select(F.struct("*").alias("row"), node_of(doc_id, text).alias("k"),
-                      fingerprint(text).alias("fp"), F.col(text).alias("text"))
-    found = classes(row.select("k", "fp", "text"))
-    first = found.filter("node = comp").select(F.col("node").alias("k"))
-    return row.select("k", "row").join(first, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
+    scratch = Scratch(docs.sparkSession, "one")
+    found = classes(docs, doc_id, text)
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
+    counted = found.groupBy("id", "t1", "t2").agg(F.min("comp").alias("comp"), F.count(F.lit(1)).alias("rows"))
+    with_words = counted.filter("comp IS NOT NULL").groupBy("comp").agg(F.min_by(F.struct("id", "t1", "t2", "rows"), own).alias("one"))
+    first = with_words.select("one.*").unionAll(counted.filter("comp IS NULL").select("id", "t1", "t2", "rows"))
+    first = scratch.write(first.select(*[F.col(c).alias(f"_{c}") for c in ("id", "t1", "t2", "rows")]), "first")
+    row = docs.select(F.struct("*").alias("row"), *keys_of(doc_id, text))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
+    out = row.join(first.filter("_rows = 1"), same, "left_semi").select("row.*")
+    repeated = first.filter("_rows > 1")
+    if repeated.isEmpty():  # rows are shuffled once more only where a document has several
+        return out
+    return out.unionAll(row.join(repeated, same, "left_semi").dropDuplicates(["id", "t1", "t2"]).select("row.*"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
