@@ -148,3 +148,26 @@ def test_structured_texts_stay_apart(spark):
     rows += [(2 + f, "".join(["ab", "cd"][b ^ f] for b in bits)) for f in (0, 1)]
     d = spark.createDataFrame([(i, t, *[None] * 10) for i, t in rows], SCHEMA)
     assert {r.doc_id: r.class_id for r in M.near_duplicates(d).collect()} == brute_classes(rows)
+
+
+def test_rarest_shingles_meet():
+    """Every similar pair shares a key whose weight from there on suffices."""
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(400):
+        n = int(rng.integers(5, 60))
+        x = rng.choice(80, n, replace=False)
+        y = np.union1d(rng.permutation(x)[: n - int(rng.integers(0, 4))], rng.choice(80, int(rng.integers(0, 4))))
+        heavy = rng.random() < 0.5
+        wx, wy = (rng.integers(1, 5 if heavy else 2, len(s)) for s in (x, y))
+        x, y = np.sort(x), np.sort(y)
+        count = rng.integers(2, 9, 80)
+        if M.probability_jaccard((x, wx), (y, wy)) < 0.8:
+            continue
+        (i, rx), (j, ry) = M.rarest(wx, count[x], x, 0.8), M.rarest(wy, count[y], y, 0.8)
+        common = {int(x[a]): r for a, r in zip(i, rx)}
+        best = [min(common[int(y[b])], r) for b, r in zip(j, ry) if int(y[b]) in common]
+        unit = (wx == 1).all() and (wy == 1).all()
+        assert best and (not unit or max(best) >= 0.8 / 1.8 * (len(x) + len(y)) - 1e-6)
+        met += 1
+    assert met > 60

@@ -8,18 +8,25 @@ probability Jaccard similarity of the texts. An element stops as soon as its
 next arrival is later than the latest component.
 
 Bands of the signature give candidates, and every candidate link between texts of
-different classes is settled without an estimate, in one of three ways:
+different classes is settled without an estimate:
 
 1. by a bound. The similarity of x with any text is at most the share of x's
    weight that lies in shingles which another candidate has too, and for two texts
    whose shingles all weigh 1 at most what that leaves of the union. Shingles are
    counted over all candidates; those that stand alone bar texts and pairs
    inside the join;
-2. by classes. The members of a bucket that have the most company in all their
-   buckets (a group's originals) are held against the others first, then the first 8,
-   the first 64, and then all; pairs already in one class are skipped;
-3. by the exact probability Jaccard similarity of the two texts, in cells of a
-   bucket, so that a text travels once for a cell and not once for a pair.
+2. by classes. The member of a bucket that has the most company in all its
+   buckets (a group's original) is held against the others first, then the first 4;
+   pairs already in one class are skipped;
+3. by rare shingles. What then lies in buckets of several classes is ordered by rarity:
+   two similar texts have in common at least the share ``similarity`` of either's
+   weight, so the rarest shingle that they share is among the rarest of each, up to
+   the rest of its weight, and for shingles that all weigh 1 the weight from there on
+   must suffice for the union of both. Such shingles replace the buckets as keys; the
+   members of a key's largest class are held against the others' only.
+
+Pairs that are left are verified by exact probability Jaccard similarity, in
+cells of a key, so that a text travels once for a cell and not once for a pair.
 
 So the miss chance is that of the bands alone: 3e-5 for a pair at 0.8, less above.
 Texts with equal shingles are one node from the start (128 bits of hash tell sets
@@ -46,7 +53,7 @@ from tierflow.llm.components import components
 SHINGLE, SIMILARITY = 5, 0.8
 #: P(no shared band) at similarity 0.8 is (1 - 0.8 ** 5) ** 26 = 3e-5.
 BANDS, ROWS = 26, 5
-HUBS = (1, 8, 64)  # members of a bucket held against the others, before all of them are
+HUBS = (1, 4)  # members of a bucket held against the others, before rare shingles are the keys
 CELL = 64  # texts of either side of a cell, about
 HELD = 4 << 20  # elements of the sets that a task keeps
 
@@ -170,19 +177,58 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", band
                        "id long, t1 long, t2 long, f1 long, f2 long, total long, unit boolean, bands array<long>, z binary")
 
 
-def _alone(texts: DataFrame) -> DataFrame:
-    """node and alone: the weight of its shingles that no other node of ``texts`` has."""
+def _shingled(texts: DataFrame) -> DataFrame:
+    """h, node, w: the weighted shingles of node's text."""
     def run(batch: pa.RecordBatch):
         node = batch.column(0).to_numpy()
         for lo, _, buf, off in T.unpacked(batch.column(1)):
             doc, gram, weight = shingles(buf, off)
             yield {"h": T.as_long(gram), "node": node[lo + doc], "w": weight}
 
-    once = map_batches(texts.select("node", "z"), run, "h long, node long, w long").groupBy("h").agg(
+    return map_batches(texts.select("node", "z"), run, "h long, node long, w long")
+
+
+def _alone(texts: DataFrame) -> DataFrame:
+    """node and alone: the weight of its shingles that no other node of ``texts`` has."""
+    once = _shingled(texts).groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).filter("n = 1")
     return once.groupBy("node").agg(F.sum("w").alias("alone"))
 
 
+def rarest(weight: np.ndarray, count: np.ndarray, h: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(places, weight from there on) of the shingles, in order of rarity, that can be the first
+    that a similar text shares; those that nobody shares are counted but left out."""
+    o = np.lexsort((h, count))
+    total = weight.sum()
+    rest = total - (np.cumsum(weight[o]) - weight[o])
+    fit = (rest >= total * (similarity * (1 - 1e-9))) & (count[o] > 1)
+    return o[fit], rest[fit]
+
+
+def _rare(live: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Pairs of the nodes of ``live`` (see ``_pairs``) by their rarest shingles."""
+    nodes = scratch.write(live.select("node", "comp", "total", "unit").distinct(), "nodes")
+    each = scratch.write(_shingled(texts.join(nodes.select("node"), "node")), "shingles")
+    often = scratch.write(each.groupBy("h").agg(F.count(F.lit(1)).alias("count")), "often")
+
+    def run(batch: pa.RecordBatch):
+        for node, at in zip(batch.column(0), range(batch.num_rows)):
+            own = batch.column(1).slice(at, 1).flatten()
+            h, w, count = (own.field(c).to_numpy(zero_copy_only=False) for c in ("h", "w", "count"))
+            place, rest = rarest(w, count, h, similarity)
+            yield {"bucket": h[place], "node": np.full(len(place), node.as_py()), "own": rest}
+
+    whole = each.join(often, "h").groupBy("node").agg(F.collect_list(F.struct("h", "w", "count")).alias("own"))
+    keyed = scratch.write(map_batches(whole, run, "bucket long, node long, own long").join(nodes, "node"), "keyed")
+    scratch.drop("shingles", "often", "nodes")
+    main = keyed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(
+        F.max_by("comp", "c").alias("main"), F.count(F.lit(1)).alias("classes"), F.sum("c").alias("n")).filter("classes > 1")
+    keyed = scratch.write(keyed.join(scratch.write(main.drop("classes"), "main"), "bucket"), "keyed")
+    scratch.trim("keyed")
+    block = F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("n") / CELL))
+    return _pairs(keyed, keyed.filter("comp <> main").withColumn("block", block), similarity)
+
+
 def _possible(similarity: float) -> Column:
     """Whether the bound leaves a pair (own, total, unit and _own, _total, _unit) a chance."""
     t = F.lit(similarity * (1 - 1e-9))
@@ -263,8 +309,8 @@ def _links(rows: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float
     live = scratch.write(placed.select("bucket", "node").join(able, "node").withColumn("comp", F.col("node")), "live")
     scratch.drop("shared", "placed", "company", "alone", "able")
 
-    merged, last = None, (0, *HUBS)
-    for tried, hubs in zip(last, (*HUBS, None)):
+    merged, tried = None, 0
+    for hubs in (*HUBS, None):
         mixed = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
         mixed = mixed.filter((F.col("lo") < F.col("hi")) & (F.col("n") > tried)).select("bucket", "n")
         mixed = scratch.write(mixed, "mixed")
@@ -277,15 +323,19 @@ def _links(rows: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("company"), "node"))
             hub = live.withColumn("r", rank).filter(F.col("r") <= hubs).filter(F.col("r") > tried)
             hub = scratch.write(hub.withColumn("block", F.lit(0).cast("long")), "hubs")
+            pairs = _pairs(live, hub, similarity)
         else:
-            hub = live.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), F.ceil(F.col("n") / CELL)))
-        pairs = scratch.write(_pairs(live, hub, similarity), "pairs")
+            pairs = _rare(live, texts, scratch, similarity)
+        pairs = scratch.write(pairs, "pairs")
+        scratch.drop("hubs", "keyed", "main")
         found = components(_verify(pairs, texts, similarity), scratch, "classes")
         step = scratch.write(found.select(F.col("node").alias("old"), F.col("comp").alias("new")).filter("old <> new"), "steps")
-        scratch.drop("hubs", "pairs", "classes-labels")
+        scratch.drop("pairs", "classes-labels")
         merged = step if merged is None else merged.unionAll(step)
-        live = scratch.write(live.join(step, live["comp"] == step["old"], "left").select(
-            *[c for c in live.columns if c not in ("comp", "n")], F.coalesce("new", "comp").alias("comp")), "live")
+        tried = hubs
+        if hubs:
+            live = scratch.write(live.join(step, live["comp"] == step["old"], "left").select(
+                *[c for c in live.columns if c not in ("comp", "n")], F.coalesce("new", "comp").alias("comp")), "live")
     scratch.drop("live", "texts", "mixed")
     return merged.select(F.col("old").alias("a"), F.col("new").alias("b")) if merged is not None else None
 
