@@ -267,3 +267,29 @@ def test_quality_lines_of_one_hash(spark):
     got = quality.judge(d, ["doc_id"]).collect()[0]
     n, chars, _, _, dup, rep = counts(text)
     assert (got.n_words, got.word_chars, got.n_dup_lines, got.n_repeat_words) == (n, chars, dup, rep)
+
+
+def test_mix_with_clashing_names(spark, odd):
+    names = ["doc_id", "text", "lang", "source", "_size", "_hv", "_s", "row", "hv", "of", "mix", "base0"]
+    d = spark.createDataFrame([r[:4] + tuple(range(8)) for r in odd], "doc_id long, text string, lang string, source string, "
+                              + ", ".join(f"{n} int" for n in names[4:]))
+    for keep in (False, True):
+        got = mixing.mix(d, keep_text=keep).collect()
+        assert len(got) == len(odd) and all(r["_size"] == 0 and r["base0"] == 7 and r["taken"] <= 2 * r["size"] for r in got)
+
+
+def test_long_runs_of_token_heads(spark):
+    """Texts that make a naive pattern go back again and again are scanned in one go."""
+    import time
+
+    long = "eyJ" * 150_000
+    token = "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4"
+    rows = [(1, long), (2, long + "." + long), (3, f"x {token}, x{token} -{token}\n{token}.{token}"), (4, "eyJ-" * 100_000)]
+    d = spark.createDataFrame([(i, t, *[None] * 10) for i, t in rows], SCHEMA).select("doc_id", "text")
+    began = time.time()
+    out = secrets.findings(d, secrets.scan(d, secrets.new_ledger(spark)))
+    kind = [r.kind for r in secrets.RULES].index("jwt")
+    got = {r.doc_id: [(f.start, f.end) for f in r.found if f.kind == kind] for r in out.collect()}
+    assert time.time() - began < 30
+    want = {i: [m.span() for m in re.finditer(r"(?<![\w-])eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}", t, re.ASCII)] for i, t in rows if i in (1, 3)}
+    assert got[1] == [] and got[3] == want[3] and len(got[3]) >= 2

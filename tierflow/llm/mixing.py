@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tierflow.llm.common import WORD, materialize, table
+from tierflow.llm.common import WORD, Scratch, materialize, table
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 BITS, LEVELS = 12, 4
@@ -115,20 +115,27 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     shares = tuple(sorted(shares))
     added = ("size", "source_size", "target", "taken", "first_budget")
     own = [c for c in docs.columns if (keep_text or c != text) and c not in added]
-    sized = docs.select(*own, size_of(text).alias("_size"), hash_of(doc_id, text).alias("_hv"))
-    if not keep_text:  # sizes and hashes are a small table, so texts are read once
-        sized = materialize(sized, "mix-sizes")
-    slim = sized.select(F.col(source).alias("source"), F.col("_size").alias("size"), F.col("_hv").alias("hv"))
-    t = thresholds(materialize(slim, "mix-sizes") if keep_text else slim, shares, weights, cap)
-    t = t.groupBy(F.col("source").alias("_s")).agg(
+    scratch = Scratch(docs.sparkSession, "mix")
+    # a row's columns stay in a struct of their own, whatever their names
+    rows = docs.select(F.struct(*own).alias("row"), F.col(source).alias("source"), size_of(text).alias("size"),
+                       hash_of(doc_id, text).alias("hv"))
+    slim = scratch.write(rows if not keep_text else rows.drop("row"), "sizes")
+    t = thresholds(slim.select("source", "size", "hv"), shares, weights, cap)
+    t = t.groupBy(F.col("source").alias("of")).agg(
         F.max("source_size").alias("source_size"),
         F.max_by("target", "budget").alias("target"),
-        *[F.max(F.when(F.col("budget") == k, F.col(c))).alias(f"_{c}{k}") for k in range(len(shares)) for c in ("base", "below")])
-    times = [F.col(f"_base{k}") + (F.col("_hv") < F.col(f"_below{k}")).cast("long") for k in range(len(shares))]
+        *[F.max(F.when(F.col("budget") == k, F.col(c))).alias(f"{c}{k}") for k in range(len(shares)) for c in ("base", "below")])
+    # written, so that its size decides whether it is broadcast: a row a source
+    t = scratch.write(t, "thresholds")
+    times = [F.col(f"base{k}") + (F.col("hv") < F.col(f"below{k}")).cast("long") for k in range(len(shares))]
     first = F.coalesce(*[F.when(x > 0, F.lit(k)) for k, x in enumerate(times)])
-    return sized.join(t, F.col(source).eqNullSafe(F.col("_s")), "left").select(
-        *own, F.col("_size").alias("size"), "source_size", "target",
-        (F.col("_size") * times[-1]).alias("taken"), first.alias("first_budget"))
+    # sizes and hashes are a small table; where texts stay, they are read once more instead of written
+    out = (rows if keep_text else slim).join(t, F.col("source").eqNullSafe(F.col("of")), "left").select(
+        "row", F.struct("size", "source_size", "target", (F.col("size") * times[-1]).alias("taken"),
+                        first.alias("first_budget")).alias("mix"))
+    if keep_text:
+        scratch.drop("sizes")
+    return out.select(*[F.col("row")[c].alias(c) for c in own], "mix.*")
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
 def secrets_sql() -> str:
     parts = []
     for k, r in enumerate(RULES):
-        pat = r.pattern.replace("'", "''")
+        pat, lead = (r.plain or r.pattern).replace("'", "''"), 1 if r.plain else 0
         parts.append(f"""
 SELECT doc_id, {k} AS k, '{r.kind}' AS kind, s, e FROM (
   SELECT doc_id, grp[i] AS grp, CAST(list_sum(gap[1:i]) + COALESCE(list_sum(hit[1:i - 1]), 0) AS BIGINT) AS s,
@@ -105,6 +105,7 @@ SELECT doc_id, {k} AS k, '{r.kind}' AS kind, s, e FROM (
   FROM (SELECT doc_id, list_transform(regexp_split_to_array(text, '{pat}'), lambda x: length(x)) AS gap,
                list_transform(regexp_extract_all(text, '{pat}', 0), lambda x: length(x)) AS hit,
                list_transform(regexp_extract_all(text, '{pat}', {r.group}), lambda x: length(x)) AS grp,
+               list_transform(regexp_extract_all(text, '{pat}', {lead}), lambda x: length(x)) AS own,
                unnest(range(1, len(regexp_extract_all(text, '{pat}', 0)) + 1)) AS i
         FROM d WHERE regexp_matches(text, '{pat}')) x) y WHERE grp >= {r.least}""")
     n = len(BASE_KINDS)
