@@ -1,6 +1,7 @@
 """Sinks and readers: labelled CSV, usage log keys, benchmark runs, model benchmark."""
 import datetime as dt
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,42 @@ def test_append_log_keeps_the_earliest(spark):
     assert K.read_usage_log(spark, path).first()["created_at"] == dt.datetime(2024, 1, 1)
 
 
+def test_append_opens_only_buckets_in_question(spark):
+    """The log is pruned to the buckets that may hold an id of the batch, and never shuffled."""
+    path = K.scratch_path(spark, "log-test")
+    K.append_log(spark, _log_rows(spark, [f"r{i}" for i in range(500)]), path)
+    probe = spark.createDataFrame([(f"r{i}",) for i in (3, 4)] + [(f"new{i}",) for i in range(200)], "request_id string")
+    found = K.known_ids(spark, probe, path)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["request_id"] for r in found.collect()) == ["r3", "r4"]
+    assert "ShuffleExchange" not in plan and "BroadcastHashJoin" in plan and "PartitionFilters: [bucket" in plan
+    filters = re.search(r"PartitionFilters: \[(.*?)\]", plan)[1]
+    opened = re.findall(r"\bIN \(([\d,]+)\)|bucket#\d+ = (\d+)", filters)
+    assert 1 <= len(",".join(x for pair in opened for x in pair if x).split(",")) <= 4
+    assert K.known_ids(spark, spark.createDataFrame([], "request_id string"), path).count() == 0
+
+
+def test_batch_sent_again_adds_nothing(spark):
+    """A batch with a name may be appended again after a failure, rows without id included."""
+    path = K.scratch_path(spark, "log-test")
+    rows = _log_rows(spark, ["a", None, None, "b", None])
+    K.append_log(spark, rows, path, batch_id="2024-01-01")
+    again = K.append_log(spark, rows.repartition(3), path, batch_id="2024-01-01").collect()
+    assert sum(r["rejected_rows"] for r in again) == 5 and {r["reject_reason"] for r in again} == {"duplicate_request_id"}
+    assert K.read_usage_log(spark, path).count() == 5
+    K.append_log(spark, rows, path, batch_id="2024-01-02")
+    assert K.read_usage_log(spark, path).count() == 8
+
+
+def test_sketch_never_misses_an_id(spark, monkeypatch):
+    """Filters that are far too small only open more buckets."""
+    monkeypatch.setattr(K, "SKETCH_KEYS", 8)
+    path = K.scratch_path(spark, "log-test")
+    K.append_log(spark, _log_rows(spark, [f"r{i}" for i in range(300)]), path)
+    K.append_log(spark, _log_rows(spark, [f"r{i}" for i in range(200, 400)]), path)
+    assert sorted(r["request_id"] for r in K.read_usage_log(spark, path).collect()) == sorted(f"r{i}" for i in range(400))
+
+
 def test_benchmark_reader_fails_when_missing_or_empty(spark):
     with pytest.raises(FileNotFoundError):
         K.read_benchmark(spark, K.scratch_path(spark, "absent"))

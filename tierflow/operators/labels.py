@@ -49,17 +49,40 @@ def nested_corpus(raw: DataFrame) -> DataFrame:
 CORPUS_MODELS = ("model_small", "model_medium", "model_large")
 
 
-def read_corpus(spark, path: str, fmt: str = "json", models=CORPUS_MODELS) -> DataFrame:
-    """A1: scan a nested corpus with an explicit schema; only ``<model>.score``
-    is declared for each model column, so nothing else is parsed or read."""
+BROKEN = "_broken"
+
+
+def corpus_schema(models=CORPUS_MODELS):
     from pyspark.sql import types as T
     model = T.StructType([T.StructField("score", T.StringType())])
-    schema = T.StructType(
+    return T.StructType(
         [T.StructField("key", T.StringType()), T.StructField("dataset", T.StringType()),
          T.StructField("dataset_level", T.StringType()), T.StructField("prompt", T.StringType()),
          T.StructField("split", T.StringType())]
         + [T.StructField(m, model) for m in models])
-    return spark.read.schema(schema).format(fmt).load(path)
+
+
+def read_corpus(spark, path: str, fmt: str = "json", models=CORPUS_MODELS, rejects: str | None = None) -> DataFrame:
+    """A1: scan a nested corpus with an explicit schema; only ``<model>.score``
+    is declared for each model column, so nothing else is parsed or read.
+
+    A JSON record that can't be read (broken, or of another shape) is never
+    a row of nulls: with ``rejects`` it is written there as (record, reason), and
+    without, it is an error.
+    """
+    schema = corpus_schema(models)
+    if fmt != "json":
+        return spark.read.schema(schema).format(fmt).load(path)
+    if rejects is None:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    from pyspark.sql import types as T
+    whole = T.StructType(schema.fields + [T.StructField(BROKEN, T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("r")).select("r.*")
+    shape = F.when(F.trim(BROKEN).rlike(r"^\{[\s\S]*\}$"), "unexpected_shape").otherwise("malformed_json")
+    rows.where(F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("record"), shape.alias("reason")) \
+        .write.mode("append").parquet(rejects)
+    return rows.where(F.col(BROKEN).isNull()).drop(BROKEN)
 
 
 def extract_scores(corpus: DataFrame) -> DataFrame:

@@ -229,6 +229,51 @@ def coerce_bool_columns(df: DataFrame, cols=("quality_passed", "verification_per
     return out
 
 
+def usage_dashboard(log: DataFrame, price: DataFrame) -> DataFrame:
+    """A6, E2-E5 in one pass: a row for the whole log (report ``summary``, key
+    ``all``), for each final tier (the three always appear) and for each mode.
+
+    One scan and one exchange: grouping sets over (), tier and mode, partly
+    aggregated before the shuffle; beyond that there are a dozen rows. Money is
+    exact (see ``settle.money``), so no order of addition shows.
+    """
+    from tierflow.operators.settle import money as exact
+    from tierflow.operators.settle import verifier_price
+    flag = lambda c: F.sum(F.col(c).cast("int"))
+    tier, mode = F.grouping("final_tier") == 0, F.grouping("mode") == 0
+    g = log.groupingSets([[], ["final_tier"], ["mode"]], "final_tier", "mode").agg(
+        F.when(tier, "tier").when(mode, "mode").otherwise("summary").alias("report"),
+        F.when(tier, F.col("final_tier")).when(mode, F.col("mode")).otherwise("all").alias("key"),
+        F.count(F.lit(1)).alias("n"), F.sum(exact("total_cost_usd")).alias("cost"), F.sum("total_latency_ms").alias("latency"),
+        F.sum("attempt_count").alias("att"), flag("verification_performed").alias("ver"), flag("escalated").alias("esc"),
+        flag("any_verified").alias("anyv"), *[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "thinking_tokens")])
+    dim = log.sparkSession.sql("SELECT 'tier' AS r, k FROM VALUES " + ", ".join(f"('{t}')" for t in TIERS)
+                               + " AS d(k) UNION ALL SELECT 'summary', 'all'")
+    full = F.broadcast(dim).join(g, (F.col("r") == F.col("report")) & F.col("k").eqNullSafe(F.col("key")), "full_outer")
+    zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind)
+    rows = full.select(
+        F.coalesce("report", "r").alias("report"), F.coalesce("key", "k").alias("key"), zero("n", "bigint").alias("requests"),
+        zero("cost", "decimal(28,8)").alias("cost"), zero("latency", "double").alias("latency"),
+        *[zero(c, "bigint").alias(c) for c in ("att", "ver", "esc", "anyv", "input_tokens", "output_tokens", "thinking_tokens")])
+    pin, pout = (F.lit(str(p)).cast("decimal(10,2)") for p in verifier_price(price))
+    per = lambda tokens, p: (tokens.cast("decimal(20,0)") * p / F.lit(1000000)).cast("decimal(28,8)")
+    base = (per(F.col("input_tokens"), pin) + per(F.col("output_tokens") + F.col("thinking_tokens"), pout)).cast("decimal(28,8)")
+    whole = F.max(F.when(F.col("report") == "summary", F.col("requests"))).over(Window.partitionBy())  # over the report's rows only
+    rows = rows.withColumns({"base": base, "whole": whole})
+    n, saved = F.col("requests"), (F.col("base") - F.col("cost")).cast("double")
+    each = lambda c: F.when(n > 0, F.col(c).cast("double") / n).otherwise(0.0)
+    return rows.select(
+        "report", "key", "requests",
+        F.when(F.col("whole") > 0, n.cast("double") / F.col("whole") * 100).otherwise(0.0).alias("percentage"),
+        F.col("cost").cast("double").alias("total_cost_usd"), F.round(each("cost"), 9).alias("average_cost_usd"),
+        F.round(each("latency"), 4).alias("average_latency_ms"), each("att").alias("average_attempt_count"),
+        (each("ver") * 100).alias("verification_rate"), (each("esc") * 100).alias("escalation_rate"),
+        (each("anyv") * 100).alias("any_verification_rate"), "input_tokens", "output_tokens", "thinking_tokens",
+        F.col("base").cast("double").alias("tier_3_equivalent_cost_usd"), saved.alias("estimated_savings_usd"),
+        F.round(F.when(F.col("base") > 0, saved / F.col("base").cast("double") * 100).otherwise(0.0), 6)
+        .alias("estimated_savings_percentage"))
+
+
 def usage_reports(log: DataFrame, price: DataFrame, name: str = "usage-log-snapshot") -> dict:
     """One written snapshot of the log feeds every usage report (one scan of
     the source instead of one per report)."""

@@ -22,7 +22,7 @@ the three tiers, so a hot request cannot blow up a task.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierflow.constants import (AUTO_ACCEPT_SCORE, FALLBACK_TIER, REASON_FALLBACK,
@@ -301,23 +301,32 @@ def request_results(requests: DataFrame, candidates: DataFrame, price: DataFrame
 # --------------------------------------------------------------------------
 # Cost identities as a data-quality job (violating rows only)
 # --------------------------------------------------------------------------
-def cost_identity_violations(attempts: DataFrame, log: DataFrame, tol: float = 1e-9) -> DataFrame:
-    """Rows that break a cost identity.
+def money(c: str | Column) -> Column:
+    """An amount in USD as an exact decimal. Prices are multiples of 0.05 USD per
+    million tokens, so amounts are multiples of 0.00000005 and eight places hold them
+    exactly; a double that is off by its last bits comes back to its true value."""
+    return (F.col(c) if isinstance(c, str) else c).cast("decimal(20,8)")
+
+
+def cost_identity_violations(attempts: DataFrame, log: DataFrame) -> DataFrame:
+    """Rows that break a cost identity, in exact money: no tolerance, and no order of
+    addition matters.
 
     attempt: total = generation + verification.  request: the total in the
     folded ``log`` equals the sum over the request's attempts, and the log has
     a row for it.  Attempts and log are keyed alike.
     """
-    cost = F.col("total_attempt_cost_usd")
-    diff = cost - (F.col("generation_cost_usd") + F.col("verification_cost_usd"))
+    cost = money("total_attempt_cost_usd")
+    diff = cost - (money("generation_cost_usd") + money("verification_cost_usd"))
     one = attempts.select("request_id", "tier", F.lit("attempt_cost").alias("identity"),
-                          diff.alias("difference")).where(F.abs("difference") > tol)
+                          diff.cast("double").alias("difference")).where(F.col("difference") != 0)
     sums = attempts.groupBy("request_id").agg(F.sum(cost).alias("s"))
     both = sums.join(log.select("request_id", "total_cost_usd"), "request_id", "full")
-    total = F.coalesce("total_cost_usd", F.lit(0.0)) - F.coalesce("s", F.lit(0.0))
+    nothing = F.lit(0).cast("decimal(20,8)")
+    total = F.coalesce(money("total_cost_usd"), nothing) - F.coalesce("s", nothing)
     two = both.select("request_id", F.lit(None).cast("string").alias("tier"),
-                      F.lit("request_cost").alias("identity"), total.alias("difference")) \
-        .where(F.abs("difference") > tol)
+                      F.lit("request_cost").alias("identity"), total.cast("double").alias("difference")) \
+        .where(F.col("difference") != 0)
     return one.unionAll(two)
 
 

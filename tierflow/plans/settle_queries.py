@@ -8,6 +8,7 @@ from tierflow.operators import reports as R
 from tierflow.operators import settle as S
 from tierflow.plans.oracle_settle import (REPLAY_CTES, SETTLE_CTES, judge_sql, reason_sql,
                                           ROUTED, COSTED)
+from tierflow.session import materialize
 from tierflow.sources import views as V
 from tierflow.sources.tables import read_table
 
@@ -100,8 +101,16 @@ def q_request_results(spark, sf):
     return results(spark, sf).select(*RESULT_OUT)
 
 
+def _written_attempts(spark, sf):
+    """The attempts, written once, and the log folded from them."""
+    req, cand, price = _inputs(spark, sf)
+    rows = materialize(S.settle_requests(S.route_requests(req), cand, price), "attempts")
+    return rows.where("tier_ord IS NOT NULL"), S.fold_attempts(rows, price).where("status = 'settled'")
+
+
 def q_cost_identity_violations(spark, sf):
-    return S.cost_identity_violations(attempts(spark, sf), usage_log(spark, sf))
+    att, log = _written_attempts(spark, sf)
+    return S.cost_identity_violations(att, log)
 
 
 def q_cost_identity_planted(spark, sf):
@@ -109,12 +118,13 @@ def q_cost_identity_planted(spark, sf):
     request's total is a cent too high, every 89th attempt-1 row too low, and
     every 83rd request is missing from the log."""
     rid = F.col("request_id").cast("bigint")
-    log = usage_log(spark, sf).where(rid % 83 != 0).withColumn(
+    att, log = _written_attempts(spark, sf)
+    log = log.where(rid % 83 != 0).withColumn(
         "total_cost_usd", F.col("total_cost_usd") + F.when(rid % 97 == 0, 0.01).otherwise(0.0))
-    att = attempts(spark, sf).withColumn(
+    att = att.withColumn(
         "total_attempt_cost_usd", F.col("total_attempt_cost_usd")
         - F.when((rid % 89 == 0) & (F.col("attempt_no") == 1), 0.02).otherwise(0.0))
-    return S.cost_identity_violations(att, log).withColumn("difference", F.round("difference", 6))
+    return S.cost_identity_violations(att, log)
 
 
 def q_candidate_totals(spark, sf):
@@ -128,6 +138,10 @@ def q_usage_summary(spark, sf):
     return R.usage_summary(usage_log(spark, sf))
 
 
+def q_usage_dashboard(spark, sf):
+    return R.usage_dashboard(usage_log(spark, sf), V.price(spark))
+
+
 def q_tier_usage(spark, sf):
     return R.tier_usage(usage_log(spark, sf))
 
@@ -214,6 +228,7 @@ SPARK = {
     "verification_overhead": q_verification_overhead,
     "judge_batch_three": q_judge_batch_three,
     "usage_summary": q_usage_summary,
+    "usage_dashboard": q_usage_dashboard,
     "tier_usage": q_tier_usage,
     "mode_usage": q_mode_usage,
     "savings_summary": q_savings_summary,
@@ -278,24 +293,24 @@ FROM candidates c JOIN routed r ON r.request_id = c.request_id WHERE c.tier_ord
     "request_fold": (SETTLE_CTES, f"SELECT {_FOLD_SQL} FROM folded"),
     "request_results": (SETTLE_CTES, f"SELECT {', '.join(RESULT_OUT)} FROM folded_all"),
     "cost_identity_violations": (SETTLE_CTES, """
-SELECT request_id, tier, 'attempt_cost' AS identity,
-       total_attempt_cost_usd - (generation_cost_usd + verification_cost_usd) AS difference
-FROM settled WHERE abs(total_attempt_cost_usd - (generation_cost_usd + verification_cost_usd)) > 1e-9
+SELECT request_id, tier, 'attempt_cost' AS identity, CAST(d AS DOUBLE) AS difference
+FROM (SELECT *, CAST(total_attempt_cost_usd AS DECIMAL(38,8)) - CAST(generation_cost_usd AS DECIMAL(38,8))
+                - CAST(verification_cost_usd AS DECIMAL(38,8)) AS d FROM settled) x WHERE d <> 0
 UNION ALL
-SELECT f.request_id, CAST(NULL AS VARCHAR) AS tier, 'request_cost' AS identity, f.total_cost_usd - s.s AS difference
-FROM folded f JOIN (SELECT request_id, SUM(total_attempt_cost_usd) AS s FROM settled GROUP BY request_id) s
-  ON s.request_id = f.request_id
-WHERE abs(f.total_cost_usd - s.s) > 1e-9"""),
+SELECT request_id, CAST(NULL AS VARCHAR), 'request_cost', CAST(d AS DOUBLE)
+FROM (SELECT f.request_id, CAST(f.total_cost_usd AS DECIMAL(38,8)) - s.s AS d
+      FROM folded f JOIN (SELECT request_id, SUM(CAST(total_attempt_cost_usd AS DECIMAL(38,8))) AS s FROM settled GROUP BY request_id) s
+        ON s.request_id = f.request_id) y WHERE d <> 0"""),
     "cost_identity_planted": (SETTLE_CTES, """
 SELECT request_id, tier, 'attempt_cost' AS identity, CAST(-0.02 AS DOUBLE) AS difference
 FROM settled WHERE CAST(request_id AS BIGINT) % 89 = 0 AND attempt_no = 1
 UNION ALL
-SELECT request_id, CAST(NULL AS VARCHAR), 'request_cost', ROUND(d, 6) FROM (
+SELECT request_id, CAST(NULL AS VARCHAR), 'request_cost', CAST(d AS DOUBLE) FROM (
   SELECT request_id,
-         CASE WHEN CAST(request_id AS BIGINT) % 83 = 0 THEN 0.0 ELSE total_cost_usd END
-         + CASE WHEN CAST(request_id AS BIGINT) % 97 = 0 AND CAST(request_id AS BIGINT) % 83 <> 0 THEN 0.01 ELSE 0.0 END
-         - total_cost_usd + CASE WHEN CAST(request_id AS BIGINT) % 89 = 0 THEN 0.02 ELSE 0.0 END AS d
-  FROM folded) x WHERE abs(d) > 1e-9"""),
+         CASE WHEN CAST(request_id AS BIGINT) % 83 = 0 THEN -CAST(total_cost_usd AS DECIMAL(38,8))
+              WHEN CAST(request_id AS BIGINT) % 97 = 0 THEN CAST(0.01 AS DECIMAL(38,8)) ELSE CAST(0 AS DECIMAL(38,8)) END
+         + CASE WHEN CAST(request_id AS BIGINT) % 89 = 0 THEN CAST(0.02 AS DECIMAL(38,8)) ELSE CAST(0 AS DECIMAL(38,8)) END AS d
+  FROM folded) x WHERE d <> 0"""),
     "candidate_totals": ([], """
 SELECT CONCAT('tier_', CAST((l_linenumber - 1) % 3 + 1 AS VARCHAR)) AS tier,
        COUNT(DISTINCT l_orderkey) AS answers, CAST(SUM(CAST(l_quantity AS BIGINT) * 20) AS BIGINT) AS input_tokens,
@@ -316,6 +331,35 @@ SELECT COUNT(*) AS total_requests,
        {_rate('COALESCE(SUM(CAST(escalated AS INT)), 0)')} * 100 AS escalation_rate,
        {_rate('COALESCE(SUM(CAST(any_verified AS INT)), 0)')} * 100 AS any_verification_rate
 FROM folded"""),
+    "usage_dashboard": (SETTLE_CTES, """
+SELECT report, key, requests, percentage, CAST(cost AS DOUBLE) AS total_cost_usd,
+       ROUND(CASE WHEN requests > 0 THEN CAST(cost AS DOUBLE) / requests ELSE 0.0 END, 9) AS average_cost_usd,
+       ROUND(CASE WHEN requests > 0 THEN latency / requests ELSE 0.0 END, 4) AS average_latency_ms,
+       CASE WHEN requests > 0 THEN CAST(att AS DOUBLE) / requests ELSE 0.0 END AS average_attempt_count,
+       CASE WHEN requests > 0 THEN CAST(ver AS DOUBLE) / requests ELSE 0.0 END * 100 AS verification_rate,
+       CASE WHEN requests > 0 THEN CAST(esc AS DOUBLE) / requests ELSE 0.0 END * 100 AS escalation_rate,
+       CASE WHEN requests > 0 THEN CAST(anyv AS DOUBLE) / requests ELSE 0.0 END * 100 AS any_verification_rate,
+       input_tokens, output_tokens, thinking_tokens,
+       CAST(base AS DOUBLE) AS tier_3_equivalent_cost_usd, CAST(base - cost AS DOUBLE) AS estimated_savings_usd,
+       ROUND(CASE WHEN base > 0 THEN CAST(base - cost AS DOUBLE) / CAST(base AS DOUBLE) * 100 ELSE 0.0 END, 6) AS estimated_savings_percentage
+FROM (
+  SELECT d.report, d.key, COALESCE(n, 0) AS requests, COALESCE(CAST(n AS DOUBLE) / SUM(n) FILTER (WHERE d.report = 'summary') OVER () * 100, 0.0) AS percentage,
+         COALESCE(cost, 0) AS cost, COALESCE(latency, 0.0) AS latency, COALESCE(att, 0) AS att, COALESCE(ver, 0) AS ver,
+         COALESCE(esc, 0) AS esc, COALESCE(anyv, 0) AS anyv, CAST(COALESCE(i, 0) AS BIGINT) AS input_tokens,
+         CAST(COALESCE(o, 0) AS BIGINT) AS output_tokens, CAST(COALESCE(t, 0) AS BIGINT) AS thinking_tokens,
+         CAST(CAST(COALESCE(i, 0) AS DECIMAL(20,0)) * CAST((SELECT input_cost_per_million FROM price WHERE tier = 'tier_3') AS DECIMAL(10,2)) / 1000000 AS DECIMAL(38,8))
+         + CAST(CAST(COALESCE(o, 0) + COALESCE(t, 0) AS DECIMAL(20,0)) * CAST((SELECT output_cost_per_million FROM price WHERE tier = 'tier_3') AS DECIMAL(10,2)) / 1000000 AS DECIMAL(38,8)) AS base
+  FROM (SELECT 'summary' AS report, 'all' AS key UNION SELECT 'tier', unnest(['tier_1', 'tier_2', 'tier_3'])
+        UNION SELECT 'tier', final_tier FROM folded UNION SELECT 'mode', mode FROM folded) d
+  LEFT JOIN (
+    SELECT CASE WHEN GROUPING(final_tier) = 0 THEN 'tier' WHEN GROUPING(mode) = 0 THEN 'mode' ELSE 'summary' END AS report,
+           CASE WHEN GROUPING(final_tier) = 0 THEN final_tier WHEN GROUPING(mode) = 0 THEN mode ELSE 'all' END AS key,
+           COUNT(*) AS n, SUM(CAST(total_cost_usd AS DECIMAL(38,8))) AS cost, SUM(total_latency_ms) AS latency,
+           CAST(SUM(attempt_count) AS BIGINT) AS att, CAST(SUM(CAST(verification_performed AS INT)) AS BIGINT) AS ver,
+           CAST(SUM(CAST(escalated AS INT)) AS BIGINT) AS esc, CAST(SUM(CAST(any_verified AS INT)) AS BIGINT) AS anyv,
+           SUM(input_tokens) AS i, SUM(output_tokens) AS o, SUM(thinking_tokens) AS t
+    FROM folded GROUP BY GROUPING SETS ((), (final_tier), (mode))) g
+  ON g.report = d.report AND g.key IS NOT DISTINCT FROM d.key) x"""),
     "tier_usage": (SETTLE_CTES, """
 SELECT tier, count,
        CASE WHEN SUM(count) OVER () > 0 THEN CAST(count AS DOUBLE) / SUM(count) OVER () * 100 ELSE 0.0 END AS percentage

@@ -95,6 +95,23 @@ def q_corpus_scan(spark, sf):
     return out.withColumn("key", F.col("key").cast("bigint"))
 
 
+def q_corpus_rejects(spark, sf):
+    """A1: a corpus with planted faults: of every 19th key a line that breaks off, of every
+    23rd one whose model entry is a number. All are in the rejects with the reason,
+    and the scan has the others only."""
+    path, rejects = K.scratch_path(spark, "corpus"), K.scratch_path(spark, "corpus-rejects")
+    raw = V.routing_raw(spark, sf, with_labels=False).drop("quality", "toxic")
+    k = F.col("key")
+    line = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) if c == "key" else F.col(c) for c in L.nested_corpus(raw).columns]))
+    text = F.when(k % 19 == 0, F.concat(F.lit('{"key":"'), k, F.lit('","split":"'), "split")) \
+        .when(k % 23 == 0, F.concat(F.lit('{"key":"'), k, F.lit('","model_small":7}'))).otherwise(line)
+    L.nested_corpus(raw).select(text.alias("value")).write.text(path)
+    rows = L.read_corpus(spark, path, rejects=rejects)
+    kept = rows.select("key", F.lit(None).cast("string").alias("record"), F.lit("kept").alias("outcome"))
+    lost = spark.read.parquet(rejects).select(F.lit(None).cast("string").alias("key"), "record", F.col("reason").alias("outcome"))
+    return kept.unionByName(lost)
+
+
 def q_bool_text(spark, sf):
     """Flags kept as text come back as booleans (other text is null),
     and report figures are rounded at the edge."""
@@ -113,6 +130,7 @@ SPARK = {
     "benchmark_roundtrip": q_benchmark_roundtrip,
     "model_benchmark": q_model_benchmark,
     "corpus_scan": q_corpus_scan,
+    "corpus_rejects": q_corpus_rejects,
     "bool_text": q_bool_text,
 }
 
@@ -147,6 +165,12 @@ SELECT model_id AS model, NOT failed AS success, CASE WHEN failed THEN 'timeout'
 FROM (SELECT c.*, p.model_id, CAST(request_id AS BIGINT) % 7 = 0 AS failed
       FROM candidates c JOIN price p ON p.tier = c.tier) x GROUP BY 1, 2, 3"""),
     "corpus_scan": label_queries.ORACLE["score_extract"],
+    "corpus_rejects": ([], """
+SELECT CASE WHEN outcome = 'kept' THEN CAST(key AS VARCHAR) END AS key,
+       CASE outcome WHEN 'malformed_json' THEN '{"key":"' || key || '","split":"' || split
+                    WHEN 'unexpected_shape' THEN '{"key":"' || key || '","model_small":7}' END AS record, outcome
+FROM (SELECT key, split, CASE WHEN key % 19 = 0 THEN 'malformed_json' WHEN key % 23 = 0 THEN 'unexpected_shape' ELSE 'kept' END AS outcome
+      FROM routing_raw) x"""),
     "bool_text": (settle_queries.REPLAY_CTES, """
 SELECT strategy, CASE WHEN CAST(prompt_id AS BIGINT) % 5 = 0 THEN NULL ELSE quality_passed END AS quality_passed,
        COUNT(*) AS n, ROUND(AVG(strategy_cost_usd), 6) AS average_cost_usd

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,27 +64,91 @@ def read_labelled(spark: SparkSession, path: str, need_prompt: bool = False) ->
 # --------------------------------------------------------------------------
 # A4-A6, D8 usage log
 # --------------------------------------------------------------------------
+#: The log is dealt into folders by a hash of the request id. Beside it lies a
+#: sketch of its ids, a Bloom filter for each bucket, kept as rows (bucket, word, bits)
+#: of its 64-bit words that are not zero, so that filters of several appends
+#: are joined by bit_or. More ids than it is sized for only cost more looks at the log.
+BUCKETS = 16
+SKETCH_KEYS, BITS_A_KEY, HASHES = 1 << 20, 10, 7
+SKETCH_SCHEMA = "bucket int, word bigint, bits bigint"
+BROADCAST_IDS = 1 << 20
+
+
 def create_usage_log(spark: SparkSession, path: str) -> None:
     """Create the (empty) log if it is absent."""
     if not _exists(spark, path):
-        empty = spark.createDataFrame([], USAGE_LOG_SCHEMA).withColumn(
-            "created_month", F.date_format("created_at", "yyyy-MM"))
-        empty.write.mode("ignore").partitionBy("created_month").parquet(path)
+        empty = spark.createDataFrame([], USAGE_LOG_SCHEMA).withColumns(
+            {"bucket": bucket_of("request_id"), "created_month": F.date_format("created_at", "yyyy-MM")})
+        empty.write.mode("ignore").partitionBy("bucket", "created_month").parquet(path)
+
+
+def bucket_of(request_id: str) -> Column:
+    return F.pmod(F.xxhash64(request_id), F.lit(BUCKETS).cast("bigint")).cast("int")
+
+
+def _keys_path(path: str) -> str:
+    return path.rstrip("/") + "-keys"
+
+
+def _marks(ids: DataFrame) -> DataFrame:
+    """request_id, bucket, word, mask: the bits that stand for each id in its bucket's filter."""
+    at = [F.pmod(F.xxhash64(F.lit(i), "request_id"), F.lit(SKETCH_KEYS * BITS_A_KEY).cast("bigint")) for i in range(HASHES)]
+    each = ids.select("request_id", bucket_of("request_id").alias("bucket"), F.explode(F.array(*at)).alias("at"))
+    mask = F.expr("shiftleft(1L, CAST(at & 63 AS INT))")
+    return each.select("request_id", "bucket", F.shiftright("at", 6).alias("word"), mask.alias("mask"))
+
+
+def add_to_sketch(spark: SparkSession, ids: DataFrame, path: str) -> None:
+    """Enter ids (request_id) into the sketch of the log at ``path``. An id that is
+    then not logged does no harm, so this comes before the log is written."""
+    words = _marks(ids).groupBy("bucket", "word").agg(F.bit_or("mask").alias("bits"))
+    words.write.mode("append").partitionBy("bucket").parquet(_keys_path(path))
+
+
+def known_ids(spark: SparkSession, ids: DataFrame, path: str) -> DataFrame:
+    """Those of ids (request_id) that the log at ``path`` holds. The sketch says which
+    may be there and in which buckets; only the id column of those buckets is
+    read, against the few ids in question, which are broadcast if they are no more
+    than ``BROADCAST_IDS``."""
+    if not _exists(spark, _keys_path(path)):
+        return ids.select("request_id").limit(0)
+    sketch = spark.read.schema(SKETCH_SCHEMA).parquet(_keys_path(path))
+    marks = _marks(ids)
+    words = sketch.groupBy("bucket", "word").agg(F.bit_or("bits").alias("bits"))
+    hit = F.col("bits").isNotNull() & (F.col("bits").bitwiseAND(F.col("mask")) != 0)
+    maybe = (marks.join(words, ["bucket", "word"], "left").groupBy("request_id", "bucket")
+             .agg(F.bool_and(hit).alias("there")).where("there").select("request_id", "bucket"))
+    maybe = materialize(maybe, "log-maybe")
+    per_bucket = {r["bucket"]: r["n"] for r in maybe.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    asked = maybe.select("request_id")
+    if sum(per_bucket.values()) <= BROADCAST_IDS:
+        asked = F.broadcast(asked)
+    log = _log_with_parts(spark, path).where(F.col("bucket").isin(*per_bucket) if per_bucket else F.lit(False))
+    return log.select("request_id").join(asked, "request_id")
+
+
+def _log_with_parts(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType(USAGE_LOG_SCHEMA.fields + [T.StructField("bucket", T.IntegerType()),
+                                                     T.StructField("created_month", T.StringType())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_usage_log(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType(USAGE_LOG_SCHEMA.fields + [T.StructField("created_month", T.StringType())])
-    return spark.read.schema(schema).parquet(path).drop("created_month")
+    return _log_with_parts(spark, path).drop("bucket", "created_month")
 
 
 GENERATED = "gen-"
 
 
-def with_ids(rows: DataFrame) -> DataFrame:
-    """A row without an id gets one of its own (equal rows get different ones).
-    The ids are random: write the result before it is used twice."""
-    return rows.withColumn("request_id", F.coalesce(
-        F.col("request_id"), F.concat(F.lit(GENERATED), F.expr("uuid()"))))
+def with_ids(rows: DataFrame, batch_id: str | None = None) -> DataFrame:
+    """A row without an id gets one of its own (equal rows get different ones):
+    random, or, with a ``batch_id``, made of it and the row's place, so that a
+    batch that is sent again brings the same ids. Write the result before it is used twice."""
+    own = F.expr("uuid()") if batch_id is None else F.concat_ws(
+        "-", F.lit(batch_id), F.row_number().over(Window.partitionBy("request_id", "__h").orderBy(F.lit(0))), F.col("__h"))
+    if batch_id is not None:
+        rows = rows.withColumn("__h", F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]))
+    return rows.withColumn("request_id", F.coalesce(F.col("request_id"), F.concat(F.lit(GENERATED), own))).drop("__h")
 
 
 def first_per_id(df: DataFrame, time: str) -> DataFrame:
@@ -96,28 +160,30 @@ def first_per_id(df: DataFrame, time: str) -> DataFrame:
             .where(F.col("__r") == 1).drop("__h", "__r"))
 
 
-def append_log(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+def append_log(spark: SparkSession, rows: DataFrame, path: str, batch_id: str | None = None) -> DataFrame:
     """Append request rows; return the rejects as (request_id, rejected_rows, reason).
 
-    * a row without an id gets a fresh one and is never a duplicate;
+    * a row without an id gets a fresh one and is never a duplicate, unless its
+      batch, named by ``batch_id``, is appended again after a failure;
     * within the batch the first row per id is kept (see ``first_per_id``);
-    * an id that the log has is rejected with all its rows.  One join of the
-      batch's ids with the log's id column (all that is scanned of the log)
-      says which.
+    * an id that the log has is rejected with all its rows. The log itself isn't
+      shuffled, and of its buckets only those are opened whose sketch may hold
+      an id of the batch (see ``known_ids``).
     """
     create_usage_log(spark, path)
-    batch = materialize(with_ids(rows.select(*[c for c in LOG_COLUMNS if c in rows.columns])), "log-batch")
-    existing = read_usage_log(spark, path).select(F.col("request_id").alias("__id"))
-    ids = batch.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    batch = materialize(with_ids(rows.select(*[c for c in LOG_COLUMNS if c in rows.columns]), batch_id), "log-batch")
+    ids = materialize(batch.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")), "log-ids")
     # written before the log changes under the join
-    ids = materialize(ids.join(existing, F.col("request_id") == F.col("__id"), "left").select(
-        "request_id", "n", F.col("__id").isNotNull().alias("known")), "log-ids")
-    fresh = first_per_id(batch, "created_at").join(ids.where(~F.col("known")).select("request_id"), "request_id", "left_semi")
-    # range-partition on (month, id): each task writes few files, and a hot
+    known = materialize(known_ids(spark, ids, path).distinct(), "log-known").withColumn("known", F.lit(True))
+    ids = ids.join(known, "request_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    new = ids.where(~F.col("known")).select("request_id")
+    add_to_sketch(spark, new, path)
+    fresh = first_per_id(batch, "created_at").join(new, "request_id", "left_semi")
+    # range-partition on (bucket, month, id): each task writes few files, and a hot
     # month is split across tasks instead of landing in one
-    out = fresh.withColumn("created_month", F.date_format("created_at", "yyyy-MM"))
-    (out.repartitionByRange("created_month", "request_id")
-     .write.mode("append").partitionBy("created_month").parquet(path))
+    out = fresh.withColumns({"bucket": bucket_of("request_id"), "created_month": F.date_format("created_at", "yyyy-MM")})
+    (out.repartitionByRange("bucket", "created_month", "request_id")
+     .write.mode("append").partitionBy("bucket", "created_month").parquet(path))
     rejected = F.when(F.col("known"), F.col("n")).otherwise(F.col("n") - 1)
     reason = F.when(F.col("known"), "duplicate_request_id").otherwise("duplicate_in_batch")
     return ids.select("request_id", rejected.alias("rejected_rows"), reason.alias("reject_reason")) \
