@@ -384,14 +384,16 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = classes(docs, doc_id, text)
     own = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
     counted = found.groupBy("id", "t1", "t2").agg(F.min("comp").alias("comp"), F.count(F.lit(1)).alias("rows"))
-    with_words = counted.filter("comp IS NOT NULL").groupBy("comp").agg(F.min_by(F.struct("id", "t1", "t2", "rows"), own).alias("one"))
-    first = with_words.select("one.*").unionAll(counted.filter("comp IS NULL").select("id", "t1", "t2", "rows"))
-    first = scratch.write(first.select(*[F.col(c).alias(f"_{c}") for c in ("id", "t1", "t2", "rows")]), "first")
+    least = counted.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(own).alias("one"))
+    counted = counted.join(least, "comp", "left").withColumn("stays", F.col("one").isNull() | (F.col("one") == own))
+    # what goes, and what stays but has several rows, is less than what stays
+    apart = scratch.write(counted.filter("NOT stays OR rows > 1").select(
+        F.col("id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "stays"), "apart")
     row = docs.select(F.struct("*").alias("row"), *keys_of(doc_id, text))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
-    out = row.join(first.filter("_rows = 1"), same, "left_semi").select("row.*")
-    repeated = first.filter("_rows > 1")
-    if repeated.isEmpty():  # rows are shuffled once more only where a document has several
+    out = row.join(apart, same, "left_anti").select("row.*")
+    repeated = apart.filter("stays")
+    if repeated.isEmpty():
         return out
     return out.unionAll(row.join(repeated, same, "left_semi").dropDuplicates(["id", "t1", "t2"]).select("row.*"))
 

@@ -136,6 +136,12 @@ def redacted(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text
     (if given) set to the new number of characters where something was found."""
     names = F.array(*[F.lit(r.name) for r in rules])
     seen = scan(docs.select(F.col(text).alias("text")), ledger, rules)
+    # a text that no pattern matches has no span: such rows stay where they are
+    may = F.lit(False)
+    for r in rules:
+        may = may | F.col(text).rlike(r.pattern)
+    may = F.coalesce(may, F.lit(False))
+    clean, docs = docs.filter(~may), docs.filter(may)
     hits = seen.select("blob", F.explode("found").alias("f")).filter(F.array_contains(names, F.col("f.rule")))
     per_blob = materialize(hits.groupBy(F.col("blob").alias("b")).agg(F.array_sort(F.collect_set(F.struct(
         F.col("f.start").alias("start"), F.col("f.end").alias("end")))).alias("found")), "secret-findings")
@@ -145,7 +151,7 @@ def redacted(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text
     out = rows.select("row", "found", new.alias("new"))
     value = lambda c: F.col("new") if c == text else F.when(
         F.col("found").isNull(), F.col(f"row.{c}")).otherwise(F.length("new")) if c == length else F.col(f"row.{c}")
-    return out.select(*[value(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    return clean.unionAll(out.select(*[value(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]))
 
 
 def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
