@@ -65,10 +65,11 @@ def powers(n: int, family: int = 0, inverse: bool = False) -> np.ndarray:
     """The base (or its inverse) to the power i, i < n, modulo P; kept between calls."""
     p = _POW.get((family, inverse))
     if p is None or len(p) < n:
-        base = pow(BASES[family], -1 if inverse else 1, int(P))
+        base, want = pow(BASES[family], -1 if inverse else 1, int(P)), max(n, CHUNK_BYTES + 4096)
         p = np.ones(1, U)
-        while len(p) < max(n, CHUNK_BYTES + 4096):
-            p = np.concatenate([p, times(p, np.full(1, pow(base, len(p), int(P)), U))])
+        while len(p) < want:
+            more = p[: want - len(p)]
+            p = np.concatenate([p, times(more, np.full(1, pow(base, len(p), int(P)), U))])
         _POW[family, inverse] = p
     return p[:n]
 
