@@ -87,6 +87,16 @@ def packed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return map_batches(rows, run, "r long, k long, z binary")
 
 
+def _grams(kind: Kind, rows: DataFrame) -> DataFrame:
+    """h of every run: what is counted before contents are hashed at all."""
+    def run(batch: pa.RecordBatch):
+        for _, _, buf, off in T.unpacked(batch.column(0)):
+            symbols, first, *_ = kind.symbols(buf, off, 0)
+            yield {"h": T.as_long(T.anchors(symbols, first, kind.window, kind.gram)[4])}
+
+    return map_batches(rows.select("z"), run, "h long")
+
+
 def _runs(kind: Kind, rows: DataFrame) -> DataFrame:
     """h (gram hash), c and c2 (content hashes), r, k, at (first symbol), span (left << 32 | length)."""
     def run(batch: pa.RecordBatch):
@@ -222,7 +232,7 @@ def spans_of(kind: Kind, rows: DataFrame, scratch: Scratch) -> DataFrame:
     content = ["h", "c", "c2"]
     # counts are written before they are joined: Spark splits a hot key only where
     # both sides of the join come straight from a shuffle
-    often = scratch.write(runs.select("h").groupBy("h").count().filter("count > 1").select("h"), "grams")
+    often = scratch.write(_grams(kind, rows).groupBy("h").count().filter("count > 1").select("h"), "grams")
     found = scratch.write(runs.join(often, "h"), "runs")
     scratch.drop("grams")
     classes = scratch.write(
