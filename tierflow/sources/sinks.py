@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tierflow.session import materialize
 
 # A4: the usage log, one row per request (17 columns of the reference table
-# plus the any-attempt verification flag), partitioned by creation month.
+# plus the any-attempt verification flag), in folders by a hash of the id.
 USAGE_LOG_SCHEMA = T.StructType([
     T.StructField("request_id", T.StringType(), False),
     T.StructField("created_at", T.TimestampNTZType(), True),
@@ -77,9 +77,8 @@ BROADCAST_IDS = 1 << 20
 def create_usage_log(spark: SparkSession, path: str) -> None:
     """Create the (empty) log if it is absent."""
     if not _exists(spark, path):
-        empty = spark.createDataFrame([], USAGE_LOG_SCHEMA).withColumns(
-            {"bucket": bucket_of("request_id"), "created_month": F.date_format("created_at", "yyyy-MM")})
-        empty.write.mode("ignore").partitionBy("bucket", "created_month").parquet(path)
+        empty = spark.createDataFrame([], USAGE_LOG_SCHEMA).withColumn("bucket", bucket_of("request_id"))
+        empty.write.mode("ignore").partitionBy("bucket").parquet(path)
 
 
 def bucket_of(request_id: str) -> Column:
@@ -128,13 +127,12 @@ def known_ids(spark: SparkSession, ids: DataFrame, path: str) -> DataFrame:
 
 
 def _log_with_parts(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType(USAGE_LOG_SCHEMA.fields + [T.StructField("bucket", T.IntegerType()),
-                                                     T.StructField("created_month", T.StringType())])
+    schema = T.StructType(USAGE_LOG_SCHEMA.fields + [T.StructField("bucket", T.IntegerType())])
     return spark.read.schema(schema).parquet(path)
 
 
 def read_usage_log(spark: SparkSession, path: str) -> DataFrame:
-    return _log_with_parts(spark, path).drop("bucket", "created_month")
+    return _log_with_parts(spark, path).drop("bucket")
 
 
 GENERATED = "gen-"
@@ -179,11 +177,11 @@ def append_log(spark: SparkSession, rows: DataFrame, path: str, batch_id: str |
     new = ids.where(~F.col("known")).select("request_id")
     add_to_sketch(spark, new, path)
     fresh = first_per_id(batch, "created_at").join(new, "request_id", "left_semi")
-    # range-partition on (bucket, month, id): each task writes few files, and a hot
-    # month is split across tasks instead of landing in one
-    out = fresh.withColumns({"bucket": bucket_of("request_id"), "created_month": F.date_format("created_at", "yyyy-MM")})
-    (out.repartitionByRange("bucket", "created_month", "request_id")
-     .write.mode("append").partitionBy("bucket", "created_month").parquet(path))
+    # range-partition on (bucket, time, id): each task writes few files, in order of time, and
+    # no folder lands in one task because it is hot
+    out = fresh.withColumn("bucket", bucket_of("request_id"))
+    (out.repartitionByRange("bucket", "created_at", "request_id").sortWithinPartitions("bucket", "created_at")
+     .write.mode("append").partitionBy("bucket").parquet(path))
     rejected = F.when(F.col("known"), F.col("n")).otherwise(F.col("n") - 1)
     reason = F.when(F.col("known"), "duplicate_request_id").otherwise("duplicate_in_batch")
     return ids.select("request_id", rejected.alias("rejected_rows"), reason.alias("reject_reason")) \
