@@ -1,6 +1,7 @@
 """Learning operators: features, calibrated tier model, persistence, metrics."""
 import os
 
+import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tierflow.functions.routing import binary_target
 from tierflow.operators import text_model as TM
 from tierflow.operators.labels import complete_rows
 from tierflow.operators.learn import (FeatureModel, Router, TierModel, _balanced, brier_report, fit_base,
+                                      fit_platt,
                                       gradient_norm, stratified_folds)
 from tierflow.operators.ranking import top_by_count
 from tierflow.plans.model_queries import GRADIENT_BOUND
@@ -132,3 +134,26 @@ def test_router_save_load_predicts_the_same(spark, train_rows, tmp_path):
     two = {r["key"]: tuple(r)[1:] for r in back.predict(docs).collect()}
     assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
     assert all(0 <= p <= 1 for v in one.values() for p in v)
+
+
+def test_platt_newton_against_brute_force(spark):
+    """Slope and intercept are a stationary point of the smoothed cross entropy; equal
+    margins leave the slope still, rows without margin are left out, no rows are an error."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=400) * 3
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.7 * m - 0.4)))).astype(int)
+    rows = [(float(a), int(b)) for a, b in zip(m, y)] + [(None, 1), (1.0, None)]
+    a, b = fit_platt(spark.createDataFrame(rows, "m double, y int"), "m")
+    pos, neg = y.sum(), 400 - y.sum()
+    t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    p = 1 / (1 + np.exp(-(a * m + b)))
+    assert abs(((p - t) * m).sum()) < 1e-6 and abs((p - t).sum()) < 1e-6
+    assert a > 0
+    # separable margins of large size: the smoothed targets keep the fit finite
+    a, b = fit_platt(spark.createDataFrame([(-500.0, 0)] * 5 + [(400.0, 1)] * 5, "m double, y int"), "m")
+    assert np.isfinite([a, b]).all() and 1 / (1 + np.exp(-(400 * a + b))) == pytest.approx(6 / 7, abs=1e-6)
+    a, b = fit_platt(spark.createDataFrame([(2.0, 0), (2.0, 1), (2.0, 1)], "m double, y int"), "m")
+    t = (3 / 4 + 3 / 4 + 1 / 3) / 3
+    assert 1 / (1 + np.exp(-(2 * a + b))) == pytest.approx(t, abs=1e-6)
+    with pytest.raises(ValueError):
+        fit_platt(spark.createDataFrame([], "m double, y int"), "m")

@@ -11,7 +11,7 @@ from tierflow.constants import TIERS
 from tierflow.functions.routing import binary_target
 from tierflow.functions.text import FEATURE_NAMES
 from tierflow.operators.learn import (FeatureModel, PromptFeatures, Router, TierModel, fit_base,
-                                      gradient_norm, predict_linear)
+                                      fit_platt, gradient_norm, predict_linear)
 from tierflow.plans import text_queries
 from tierflow.session import materialize
 from tierflow.sources import views as V
@@ -76,6 +76,18 @@ def q_predict_fixed(spark, sf):
     return out.select("key", F.round("margin", 6).alias("margin"), F.round("probability", 6).alias("probability"))
 
 
+def q_platt_fit(spark, sf):
+    """M5: slope and intercept of the calibration of ``predict_fixed``'s margins against
+    each tier's target, on the complete rows of the train split."""
+    raw = V.routing_raw(spark, sf, with_labels=False)
+    train = complete_rows(raw.where(F.col("split") == "train"), need_prompt=True).select(
+        "key", *[binary_target(f"{t}_score").cast("int").alias(t) for t in TIERS])
+    rows = materialize(train.join(q_predict_fixed(spark, sf).select("key", "margin"), "key"), "platt-rows")
+    fits = [(t, *fit_platt(rows, "margin", t)) for t in TIERS]
+    out = spark.createDataFrame(fits, "tier string, slope double, intercept double")
+    return out.select("tier", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
 GRADIENT_BOUND = 1e-2
 
 
@@ -105,6 +117,7 @@ def q_feature_pipeline(spark, sf):
 
 SPARK = {"predict_success": q_predict_success, "calibration_report": q_calibration_report,
          "quality_model_metrics": q_quality_model_metrics, "predict_fixed": q_predict_fixed,
+         "platt_fit": q_platt_fit,
          "fit_optimality": q_fit_optimality, "feature_pipeline": q_feature_pipeline}
 
 _MARGIN = " + ".join(["s", f"CAST({INTERCEPT} AS DOUBLE)"] + [
@@ -125,3 +138,30 @@ SELECT tier, COUNT(*) > 0 AS optimal FROM routing_raw, (VALUES ('tier_1'), ('tie
 WHERE split = 'train' GROUP BY tier"""),
     "feature_pipeline": text_queries.ORACLE["prompt_features"],
 }
+
+# Twenty Newton rounds, one recursion each, from the same six sums less the loss.
+_TARGETS = ", ".join(f"('{t}', CAST({t}_score >= CAST(0.8 AS DOUBLE) AS INT))" for t in TIERS)
+ORACLE["platt_fit"] = (
+    [*ORACLE["predict_fixed"][0], ("fixed", ORACLE["predict_fixed"][1])], f"""
+SELECT tier, ROUND(a, 6) AS slope, ROUND(b, 6) AS intercept FROM (
+  WITH RECURSIVE hits AS MATERIALIZED (
+    SELECT v.tier, f.margin AS m, v.y FROM routing_raw r JOIN fixed f ON f.key = r.key,
+      LATERAL (VALUES {_TARGETS}) AS v(tier, y)
+    WHERE r.split = 'train' AND r.prompt IS NOT NULL AND r.tier_1_score IS NOT NULL
+      AND r.tier_2_score IS NOT NULL AND r.tier_3_score IS NOT NULL),
+  sizes AS MATERIALIZED (
+    SELECT tier, CAST(SUM(y) AS DOUBLE) AS pos, CAST(SUM(1 - y) AS DOUBLE) AS neg FROM hits GROUP BY tier),
+  aims AS MATERIALIZED (
+    SELECT h.tier, h.m, CASE WHEN y = 1 THEN (pos + 1) / (pos + 2) ELSE 1 / (neg + 2) END AS t
+    FROM hits h JOIN sizes s ON s.tier = h.tier),
+  newton(k, tier, a, b) AS (
+    SELECT 0, tier, CAST(0 AS DOUBLE), ln((pos + 1) / (neg + 1)) FROM sizes
+    UNION ALL
+    SELECT k + 1, tier, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab),
+           b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+    FROM (SELECT k, tier, a, b, SUM((p - t) * m) AS ga, SUM(p - t) AS gb, SUM(p * (1 - p) * m * m) AS haa,
+                 SUM(p * (1 - p) * m) AS hab, SUM(p * (1 - p)) AS hbb
+          FROM (SELECT n.k, n.tier, n.a, n.b, x.m, x.t, 1 / (1 + exp(-(n.a * x.m + n.b))) AS p
+                FROM newton n JOIN aims x ON x.tier = n.tier WHERE n.k < 20) q
+          GROUP BY k, tier, a, b) g)
+  SELECT * FROM newton WHERE k = 20) z""")
