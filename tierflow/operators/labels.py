@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tierflow.constants import (BORDERLINE_MARGIN, PASS_PATTERNS, QUALITY_THRESHOLD,
                                 SENSITIVITY_PAIRS, SENSITIVITY_THRESHOLDS, TIERS)
 from tierflow.functions.routing import pass_pattern, passes, routing_label, score_from_text
+from tierflow.sources.csv_records import csv_records
 
 SCORES = ["tier_1_score", "tier_2_score", "tier_3_score"]
 LABELS = TIERS + ["unresolved"]
@@ -122,16 +123,18 @@ MISSING_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
                  "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
+CSV_COLUMNS = ["key", "source_dataset", "dataset_level", "prompt", "routing_label", *SCORES]
+
+
 def read_labelled_csv(spark, path: str, need_prompt: bool = False) -> DataFrame:
     """A3: read a labelled CSV split with an explicit schema; quoted newlines and
     doubled quotes are honoured, and the usual missing-value texts become null
-    in every column.  Quoted newlines make a file one task: keep files small."""
-    names = ["key", "source_dataset", "dataset_level", "prompt", "routing_label", *SCORES]
-    df = (spark.read.schema(", ".join(f"{c} string" for c in names)).option("header", True).option("multiLine", True)
-          .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    value = {c: F.when(~F.col(c).isin(*MISSING_TEXTS), F.col(c)) for c in names}
+    in every column.  A file is read by as many tasks as it has splits."""
+    schema = ", ".join(f"`{c}` string" for c in CSV_COLUMNS)
+    df = csv_records(spark, path).select(F.from_csv("record", schema, {"escape": '"', "mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    value = {c: F.when(~F.col(c).isin(*MISSING_TEXTS), F.col(c)) for c in CSV_COLUMNS}
     return complete_rows(df.select(*[
-        (value[c].try_cast("double") if c in SCORES else value[c]).alias(c) for c in names]), need_prompt)
+        (value[c].try_cast("double") if c in SCORES else value[c]).alias(c) for c in CSV_COLUMNS]), need_prompt)
 
 
 # --------------------------------------------------------------------------

@@ -57,6 +57,14 @@ def q_labelled_split_written(spark, sf):
                      "tier_1_score", "tier_2_score", "tier_3_score", "split")
 
 
+def q_labelled_split_csv(spark, sf):
+    """A2 / A3 as CSV: the labelled corpus written a split a folder, its quoted newlines read
+    back in many tasks, with the training drop rule (texts that mean missing are missing)."""
+    path = K.scratch_path(spark, "labelled-csv")
+    K.write_labelled_csv(L.label_corpus(V.routing_raw(spark, sf, with_labels=False)), path, L.CSV_COLUMNS)
+    return L.read_labelled_csv(spark, path, need_prompt=True).withColumn("key", F.col("key").cast("bigint"))
+
+
 def q_benchmark_roundtrip(spark, sf):
     """Two runs of the strategy benchmark, the second (autopilot only)
     with other costs; readers see the later row per (prompt, strategy)."""
@@ -127,6 +135,7 @@ SPARK = {
     "usage_log_appended": q_usage_log_appended,
     "usage_log_rejects": q_usage_log_rejects,
     "labelled_split_written": q_labelled_split_written,
+    "labelled_split_csv": q_labelled_split_csv,
     "benchmark_roundtrip": q_benchmark_roundtrip,
     "model_benchmark": q_model_benchmark,
     "corpus_scan": q_corpus_scan,
@@ -137,6 +146,10 @@ SPARK = {
 _LOG = ", ".join(c for c in settle_queries.LOG_OUT if c != "request_id")
 _SCORES = ", ".join(f"tier_{k}_probability AS score_{k}" for k in (1, 2, 3))
 
+_MISSING = ", ".join(f"'{x}'" for x in L.MISSING_TEXTS)
+_KNOWN = ", ".join(f"CASE WHEN {c} NOT IN ({_MISSING}) THEN {c} END AS {c}"
+                   for c in ("source_dataset", "dataset_level", "prompt", "routing_label"))
+
 ORACLE = {
     "usage_log_appended": (SETTLE_CTES, f"""
 SELECT f.request_id, {_LOG}, {_SCORES} FROM (SELECT f.*, r.tier_1_probability, r.tier_2_probability, r.tier_3_probability
@@ -152,6 +165,8 @@ UNION ALL
 SELECT 2, 'duplicate_request_id', COUNT(*),
        CAST(SUM(CASE WHEN CAST(request_id AS BIGINT) % 13 = 0 THEN 2 ELSE 1 END) AS BIGINT) FROM folded"""),
     "labelled_split_written": label_queries.ORACLE["labelled_split_valid"],
+    "labelled_split_csv": ([("valid", label_queries.ORACLE["labelled_split_valid"][1])], f"""
+SELECT key, {_KNOWN}, tier_1_score, tier_2_score, tier_3_score FROM valid WHERE prompt NOT IN ({_MISSING})"""),
     "benchmark_roundtrip": (settle_queries.REPLAY_CTES, """
 SELECT prompt_id, category, strategy, initial_tier, final_tier, verification_performed, escalated, attempt_count,
        strategy_cost_usd * CASE WHEN strategy = 'autopilot' THEN 2 ELSE 1 END AS strategy_cost_usd,

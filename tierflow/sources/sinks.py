@@ -61,6 +61,15 @@ def read_labelled(spark: SparkSession, path: str, need_prompt: bool = False) ->
     return complete_rows(spark.read.parquet(path), need_prompt)
 
 
+def write_labelled_csv(labelled: DataFrame, path: str, columns: list[str]) -> None:
+    """A2 as CSV: one folder a split, every value in quotes (doubled inside), a header
+    in each file; texts keep their newlines and outer spaces, nulls are empty."""
+    (labelled.select(*columns, "split").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .partitionBy("split").csv(path))
+
+
 # --------------------------------------------------------------------------
 # A4-A6, D8 usage log
 # --------------------------------------------------------------------------
