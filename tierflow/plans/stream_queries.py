@@ -12,14 +12,18 @@ SPARK = {
 
 ORACLE = {
     "stream_log": ([], """
-SELECT request_id, created_at, mode, final_tier, input_tokens, output_tokens, total_latency_ms, 'logged' AS outcome
+SELECT request_id, created_at, mode, final_tier, input_tokens, output_tokens, total_latency_ms,
+       CAST(1 AS BIGINT) AS n_rows, 'logged' AS outcome
 FROM usage_events
 UNION ALL
-SELECT NULL, created_at, mode, final_tier, input_tokens, output_tokens, total_latency_ms, 'logged'
+SELECT NULL, created_at, mode, final_tier, input_tokens, output_tokens, total_latency_ms, 1, 'logged'
 FROM usage_events, (VALUES (1), (2)) AS copies(n) WHERE CAST(request_id AS BIGINT) % 41 = 0
 UNION ALL
-SELECT request_id, NULL, mode, final_tier, input_tokens, output_tokens, total_latency_ms, 'rejected'
-FROM usage_events WHERE CAST(request_id AS BIGINT) % 43 = 0"""),
+SELECT request_id, NULL, mode, final_tier, input_tokens, output_tokens, total_latency_ms, 1, 'missing_time'
+FROM usage_events WHERE CAST(request_id AS BIGINT) % 43 = 0
+UNION ALL
+SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, 1, 'duplicate_request_id'
+FROM usage_events WHERE CAST(request_id AS BIGINT) % 50 = 0"""),
     "stream_summary": ([], """
 SELECT day, mode, final_tier, requests, input_tokens, output_tokens, ROUND(lat, 4) AS total_latency_ms,
        ROUND(cost, 9) AS total_cost_usd, ROUND(base, 9) AS tier_3_equivalent_cost_usd,
