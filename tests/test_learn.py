@@ -3,6 +3,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from tests.conftest import SF_SMALL
 from tierflow.functions.routing import binary_target
 from tierflow.operators import text_model as TM
 from tierflow.operators.labels import complete_rows
-from tierflow.operators.learn import (FeatureModel, Router, TierModel, _balanced, brier_report, fit_base,
+from tierflow.operators.learn import (FeatureModel, PromptFeatures, Router, RouterEstimator, TierModel, _balanced, brier_report, fit_base,
                                       fit_platt,
                                       gradient_norm, stratified_folds)
 from tierflow.operators.ranking import top_by_count
@@ -124,16 +125,35 @@ def test_gradient_is_large_away_from_the_solution(spark, train_rows):
     assert gradient_norm(good, x) < GRADIENT_BOUND < gradient_norm(poor, x)
 
 
-def test_router_save_load_predicts_the_same(spark, train_rows, tmp_path):
-    router = Router.train(train_rows, {"tier_1_threshold": 0.75})
-    router.save(str(tmp_path / "router"))
-    back = Router.load(spark, str(tmp_path / "router"))
-    assert back.config["tier_1_threshold"] == 0.75
+def test_router_pipeline_save_load_predicts_the_same(spark, train_rows, tmp_path):
+    """A pipeline with both stages comes back from disk with its settings and gives
+    equal rows; one whose parts are missing doesn't load."""
+    import shutil
+    model = Pipeline(stages=[PromptFeatures(), RouterEstimator(tier1=0.75)]).fit(train_rows)
+    path = str(tmp_path / "pipeline")
+    model.write().overwrite().save(path)
+    back = PipelineModel.load(path)
+    assert back.stages[1].router.config["tier_1_threshold"] == 0.75
+    assert [s.uid for s in back.stages] == [s.uid for s in model.stages]
     docs = train_rows.select("key", "prompt").limit(20)
-    one = {r["key"]: tuple(r)[1:] for r in router.predict(docs).collect()}
-    two = {r["key"]: tuple(r)[1:] for r in back.predict(docs).collect()}
-    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
-    assert all(0 <= p <= 1 for v in one.values() for p in v)
+    rows = lambda m: {r["key"]: r.asDict() for r in m.transform(docs).collect()}
+    one, two = rows(model), rows(back)
+    probs = [f"tier_{k}_probability" for k in (1, 2, 3)]
+    assert one.keys() == two.keys() and len(one) == 20 and "word_count" in two[min(two)]
+    for k in one:
+        assert [one[k][p] for p in probs] == pytest.approx([two[k][p] for p in probs])
+        assert all(0 <= two[k][p] <= 1 for p in probs)
+    (stage,) = (tmp_path / "pipeline" / "stages").glob("1_*")
+    shutil.rmtree(stage / "router" / "tier_2" / "fold_1" / "platt")
+    with pytest.raises(FileNotFoundError, match="tier_2/fold_1/platt"):
+        PipelineModel.load(path)
+
+
+def test_prompt_features_column_is_a_parameter(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "What is this?")], "key int, q string")
+    stage = PromptFeatures(text="q")
+    stage.write().overwrite().save(str(tmp_path / "stage"))
+    assert PromptFeatures.load(str(tmp_path / "stage")).transform(docs).first()["word_count"] == 3
 
 
 def test_platt_newton_against_brute_force(spark):

@@ -96,20 +96,52 @@ def test_benchmark_reader_fails_when_missing_or_empty(spark):
         K.read_benchmark(spark, K.scratch_path(spark, "absent"))
     path = K.scratch_path(spark, "empty-bench")
     schema = "prompt_id string, strategy string, strategy_cost_usd double"
-    # an empty run writes no partition; a table whose only run is empty is empty
-    spark.createDataFrame([], schema).write.parquet(f"{path}/run_id=run-1")
+    K.write_benchmark(spark.createDataFrame([], schema), path)
     with pytest.raises(ValueError, match="benchmark table is empty"):
         K.read_benchmark(spark, path)
 
 
-def test_benchmark_latest_run_wins(spark):
+def test_benchmark_rerun_rewrites_only_its_buckets(spark):
+    """A row replaces the earlier one of its key, other buckets keep their files, what is
+    outdated goes, a write that died midway doesn't count, and the rest of a list is found."""
     path = K.scratch_path(spark, "bench")
-    rows = lambda c: spark.createDataFrame([("p1", "ml_only", c), ("p2", "ml_only", c)],
-                                           "prompt_id string, strategy string, strategy_cost_usd double")
-    K.write_benchmark(rows(1.0), path, "run-0001")
-    K.write_benchmark(rows(2.0).where(F.col("prompt_id") == "p2"), path, "run-0002")
-    got = {r["prompt_id"]: r["strategy_cost_usd"] for r in K.read_benchmark(spark, path).collect()}
-    assert got == {"p1": 1.0, "p2": 2.0}
+    rows = lambda ids, c: spark.createDataFrame([(i, s, c) for i in ids for s in ("ml_only", "autopilot")],
+                                                "prompt_id string, strategy string, strategy_cost_usd double")
+    ids = [f"p{i}" for i in range(40)]
+    K.write_benchmark(rows(ids[:30], 1.0), path)
+    first, old = K.benchmark_folders(spark, path)
+    assert len(first) > 4 and not old
+    K.write_benchmark(rows(["p7"], 2.0).where(F.col("strategy") == "ml_only"), path)
+    second, old = K.benchmark_folders(spark, path)
+    assert len([b for b in first if second[b] != first[b]]) == 1 and not old
+    want = {(i, s): 1.0 for i in ids[:30] for s in ("ml_only", "autopilot")} | {("p7", "ml_only"): 2.0}
+    have = lambda: {(r["prompt_id"], r["strategy"]): r["strategy_cost_usd"] for r in K.read_benchmark(spark, path).collect()}
+    assert have() == want and K.read_benchmark(spark, path).count() == len(want)
+    # died midway: files without the mark of completion
+    rows(["p1"], 9.0).withColumn("bucket", F.lit(0)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false") \
+        .partitionBy("bucket").parquet(f"{path}/version=000000099")
+    assert have() == want
+    todo = K.benchmark_to_do(rows(ids, 3.0), path)
+    assert sorted({r["prompt_id"] for r in todo.collect()}) == sorted(ids[30:])
+    K.write_benchmark(todo, path)
+    K.write_benchmark(rows(ids[30:], 3.0), path)  # sent again
+    assert have() == want | {(i, s): 3.0 for i in ids[30:] for s in ("ml_only", "autopilot")}
+
+
+def test_newest_rows_read_the_days_they_need(spark):
+    """The scan is cut at the latest day with enough rows; rows without a
+    time are read only where the dated ones don't suffice."""
+    path = K.scratch_path(spark, "recent_log")
+    rows = spark.sql("""SELECT CONCAT('r', id) AS request_id, CASE WHEN id % 10 <> 9 THEN
+        TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(CAST(id % 30 AS INT)) END AS created_at FROM range(300)""")
+    K.append_log(spark, rows, path)
+    cut = K.newest_rows(spark, path, 15)
+    assert "GreaterThanOrEqual(created_at" in cut._jdf.queryExecution().executedPlan().toString()
+    assert cut.count() == 20 and cut.agg(F.min("created_at")).first()[0].day == 28  # 10 rows a day; the 30th, 20th and 10th have none
+    assert K.newest_rows(spark, path, 271).count() == 300
+    assert K.newest_rows(spark, path, 270).count() == 270
+    K.append_log(spark, spark.sql("SELECT 'late' AS request_id, TIMESTAMP_NTZ'2024-03-01 00:00:00' AS created_at"), path)
+    assert [r["request_id"] for r in K.newest_rows(spark, path, 1).collect()] == ["late"]
 
 
 def test_model_benchmark_failure_rows(spark):

@@ -25,10 +25,14 @@ import os
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Transformer
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
+                             MLReadable, MLReader, MLWritable, MLWriter)
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -277,6 +281,18 @@ def predict_linear(weights: DataFrame, scaled: DataFrame, coefficients: DataFram
         key, "margin", (mean / len(probs)).alias("probability"))
 
 
+def slopes_along_fit(model: LogisticRegressionModel, df: DataFrame, scales: list[float], label: str = "y") -> list[float]:
+    """Slope of the weighted, penalised mean loss where the solution's coefficients and
+    intercept are multiplied by each of ``scales``, in the direction of growth: below
+    zero before the minimum of that ray, above it after. One aggregation."""
+    weighted, n = _balanced(df, label)
+    m, y, w = F.col("__m"), F.col(label), F.col("w")
+    sums = [F.sum(w * (1.0 / (1.0 + F.exp(-m * F.lit(float(s)))) - y) * m) for s in scales]
+    row = margin(model, weighted, "__m").agg(F.sum("w"), *sums).first()
+    penalty = float((model.coefficients.toArray() ** 2).sum()) / n
+    return [g / row[0] + s * penalty for s, g in zip(scales, row[1:])]
+
+
 def gradient_norm(model: LogisticRegressionModel, df: DataFrame, label: str = "y") -> float:
     """Largest component of the gradient of the weighted, penalised mean loss at
     the model's solution, from the vectors' stored entries."""
@@ -297,15 +313,19 @@ def gradient_norm(model: LogisticRegressionModel, df: DataFrame, label: str = "y
     return max(g.agg(F.max("g")).first()[0], bias)
 
 
-class PromptFeatures(Transformer):
-    """The eight prompt features as a pipeline stage."""
+class PromptFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """The eight prompt features as a pipeline stage that can be saved."""
+
+    text = Param(Params._dummy(), "text", "column of the prompts", typeConverter=TypeConverters.toString)
 
-    def __init__(self, text: str = "prompt"):
+    @keyword_only
+    def __init__(self, *, text: str = "prompt"):
         super().__init__()
-        self.text = text
+        self._setDefault(text="prompt")
+        self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.select("*", *[c.alias(n) for n, c in feature_columns(F.col(self.text)).items()])
+        return dataset.select("*", *[c.alias(n) for n, c in feature_columns(F.col(self.getOrDefault(self.text))).items()])
 
 
 class Router:
@@ -381,3 +401,62 @@ class Router:
         cfg = json.loads(spark.read.text(f"{path}/router_config").first()[0])
         return Router(FeatureModel.load(spark, f"{path}/features"),
                       {t: TierModel.load(f"{path}/{t}") for t in TIERS}, cfg)
+
+
+class RouterEstimator(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """M7 as a pipeline stage: fitted on rows (key, prompt, tier scores) without gaps."""
+
+    tier1 = Param(Params._dummy(), "tier1", "probability from which on tier 1 is picked", typeConverter=TypeConverters.toFloat)
+    tier2 = Param(Params._dummy(), "tier2", "probability from which on tier 2 is picked", typeConverter=TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, tier1: float = 0.8, tier2: float = 0.7):
+        super().__init__()
+        self._setDefault(tier1=0.8, tier2=0.7)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> "RouterModel":
+        config = {"tier_1_threshold": self.getOrDefault(self.tier1), "tier_2_threshold": self.getOrDefault(self.tier2)}
+        return RouterModel(Router.train(dataset, config))
+
+
+class RouterModel(Model, MLWritable, MLReadable):
+    """M6 as a pipeline stage: adds tier_k_probability to rows (key, prompt), by key.
+    Saved beside its metadata; loading fails if any part is missing."""
+
+    def __init__(self, router: Router):
+        super().__init__()
+        self.router = router
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.join(self.router.predict(dataset.select("key", "prompt")), "key")
+
+    def write(self) -> MLWriter:
+        return _RouterWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _RouterReader(cls)
+
+
+class _RouterWriter(MLWriter):
+    def __init__(self, model: RouterModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.router.save(f"{path}/router")
+
+
+class _RouterReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> RouterModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = self.cls(Router.load(self.sparkSession, f"{path}/router"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model

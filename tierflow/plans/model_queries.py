@@ -2,7 +2,7 @@
 scoring with stated coefficients and the optimality of fits have one."""
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from tierflow.operators.labels import complete_rows
@@ -10,8 +10,8 @@ from tierflow.operators import text_model as TM
 from tierflow.constants import TIERS
 from tierflow.functions.routing import binary_target
 from tierflow.functions.text import FEATURE_NAMES
-from tierflow.operators.learn import (FeatureModel, PromptFeatures, Router, TierModel, fit_base,
-                                      fit_platt, gradient_norm, predict_linear)
+from tierflow.operators.learn import (FeatureModel, PromptFeatures, Router, RouterEstimator, TierModel, fit_base,
+                                      fit_platt, gradient_norm, predict_linear, slopes_along_fit)
 from tierflow.plans import text_queries
 from tierflow.session import materialize
 from tierflow.sources import views as V
@@ -20,16 +20,14 @@ from tierflow.sources.tables import read_table
 
 
 def q_predict_success(spark, sf):
-    """M4-M8, A10: train on the train split, save the router, load it and predict
+    """M4-M8, A10: train on the train split as a pipeline, save it, load it and predict
     the test split with what was loaded, joined on key."""
     raw = V.routing_raw(spark, sf, with_labels=False)
     train = complete_rows(raw.where(F.col("split") == "train"), need_prompt=True)
     test = complete_rows(raw.where(F.col("split") == "test"), need_prompt=True)
     path = scratch_path(spark, "router")
-    Router.train(train).save(path)
-    router = Router.load(spark, path)
-    pred = router.predict(test.select("key", "prompt"))
-    return test.select("key", "split").join(pred, "key")
+    Pipeline(stages=[RouterEstimator()]).fit(train).write().overwrite().save(path)
+    return PipelineModel.load(path).transform(test.select("key", "prompt", "split")).drop("prompt")
 
 
 def q_calibration_report(spark, sf):
@@ -89,12 +87,14 @@ def q_platt_fit(spark, sf):
 
 
 GRADIENT_BOUND = 1e-2
+#: The solution is moved along its own ray by these factors.
+SCALES = [0.0, 0.5, 0.9, 0.95, 1.05, 1.1, 1.5, 2.0]
 
 
 def q_fit_optimality(spark, sf):
-    """M4: for each tier, the base model fitted on the train split is a minimum of
-    its penalised loss: no component of the gradient exceeds the bound (at zero
-    coefficients the largest one is some ten times larger)."""
+    """M4: for each tier, the base model fitted on the train split is a minimum of its
+    penalised loss: no component of the gradient exceeds the bound, and along the ray
+    of the solution the loss falls up to it and rises from it on."""
     raw = V.routing_raw(spark, sf, with_labels=False)
     train = complete_rows(raw.where(F.col("split") == "train"), need_prompt=True)
     fm = FeatureModel.fit(train.select("key", "prompt"))
@@ -103,16 +103,19 @@ def q_fit_optimality(spark, sf):
     rows = []
     for t in TIERS:
         y = materialize(x.select("key", "features", binary_target(f"{t}_score").alias("y")), "optimality")
-        g = gradient_norm(fit_base(y), y)
-        rows.append((t, bool(g <= GRADIENT_BOUND)))
-    return spark.createDataFrame(rows, "tier string, optimal boolean")
+        model = fit_base(y)
+        small = bool(gradient_norm(model, y) <= GRADIENT_BOUND)
+        rows += [(t, s, "falls" if g < 0 else "rises", small) for s, g in zip(SCALES, slopes_along_fit(model, y, SCALES))]
+    return spark.createDataFrame(rows, "tier string, scale double, loss string, optimal boolean")
 
 
 def q_feature_pipeline(spark, sf):
-    """Prompt features through a pipeline stage."""
+    """Prompt features through a pipeline that was saved and loaded."""
     docs = read_table(spark, sf, "documents", "doc_id", "text").select(
         F.col("doc_id").alias("key"), F.col("text").alias("prompt"))
-    return Pipeline(stages=[PromptFeatures()]).fit(docs).transform(docs).drop("prompt")
+    path = scratch_path(spark, "feature-pipeline")
+    Pipeline(stages=[PromptFeatures()]).fit(docs).write().overwrite().save(path)
+    return PipelineModel.load(path).transform(docs).drop("prompt")
 
 
 SPARK = {"predict_success": q_predict_success, "calibration_report": q_calibration_report,
@@ -133,9 +136,11 @@ FROM (SELECT key, {_MARGIN} AS m FROM (
   SELECT c.*, COALESCE(t.s, 0.0) AS s FROM scaled c LEFT JOIN (
     SELECT key, SUM(weight * CAST((length(term) * 37 + unicode(term) * 11) % 101 - 50 AS DOUBLE) / 100) AS s
     FROM weights GROUP BY key) t ON t.key = c.key) a) b"""),
-    "fit_optimality": ([], """
-SELECT tier, COUNT(*) > 0 AS optimal FROM routing_raw, (VALUES ('tier_1'), ('tier_2'), ('tier_3')) AS t(tier)
-WHERE split = 'train' GROUP BY tier"""),
+    "fit_optimality": ([], f"""
+SELECT tier, scale, CASE WHEN scale < 1 THEN 'falls' ELSE 'rises' END AS loss, COUNT(*) > 0 AS optimal
+FROM routing_raw, (VALUES ('tier_1'), ('tier_2'), ('tier_3')) AS t(tier),
+     (VALUES {", ".join(f"(CAST({s} AS DOUBLE))" for s in SCALES)}) AS v(scale)
+WHERE split = 'train' GROUP BY tier, scale"""),
     "feature_pipeline": text_queries.ORACLE["prompt_features"],
 }
 

@@ -66,16 +66,28 @@ def q_labelled_split_csv(spark, sf):
 
 
 def q_benchmark_roundtrip(spark, sf):
-    """Two runs of the strategy benchmark, the second (autopilot only)
-    with other costs; readers see the later row per (prompt, strategy)."""
+    """A strategy benchmark that was broken off after some prompts, goes on with
+    what is still to do, and is run again for one strategy with other costs."""
     path = K.scratch_path(spark, "benchmark")
-    b = settle_queries.replay(spark, sf)
-    K.write_benchmark(b, path, "run-0001")
+    b = materialize(settle_queries.replay(spark, sf), "benchmark-input")
+    K.write_benchmark(b.where(F.col("prompt_id").cast("bigint") % 3 == 0), path)
+    # were the rows that are there done again, their latency would tell
+    K.write_benchmark(K.benchmark_to_do(b.withColumn("strategy_latency_ms", F.col("strategy_latency_ms") * 3), path), path)
     again = b.where(F.col("strategy") == "autopilot").withColumn("strategy_cost_usd", F.col("strategy_cost_usd") * 2)
-    K.write_benchmark(again, path, "run-0002")
+    K.write_benchmark(again, path)
     return K.read_benchmark(spark, path).select(*b.columns)
 
 
+def q_recent_from_log(spark, sf):
+    """G1 on the stored log: its newest 50 rows, from the days that have them; appended in two lots."""
+    path = K.scratch_path(spark, "usage_log")
+    log = materialize(settle_queries.usage_log(spark, sf), "usage-log-input")
+    even = F.col("request_id").cast("bigint") % 2 == 0
+    K.append_log(spark, log.where(even), path)
+    K.append_log(spark, log.where(~even), path)
+    return R.recent_requests(K.newest_rows(spark, path, 50), 50).select(*settle_queries.LOG_OUT)
+
+
 def q_model_benchmark(spark, sf):
     """Two appends of model results; a failed call (every 7th) is a row with
     zero counts and its error.  Read back per model and outcome."""
@@ -137,6 +149,7 @@ SPARK = {
     "labelled_split_written": q_labelled_split_written,
     "labelled_split_csv": q_labelled_split_csv,
     "benchmark_roundtrip": q_benchmark_roundtrip,
+    "recent_from_log": q_recent_from_log,
     "model_benchmark": q_model_benchmark,
     "corpus_scan": q_corpus_scan,
     "corpus_rejects": q_corpus_rejects,
@@ -170,7 +183,9 @@ SELECT key, {_KNOWN}, tier_1_score, tier_2_score, tier_3_score FROM valid WHERE
     "benchmark_roundtrip": (settle_queries.REPLAY_CTES, """
 SELECT prompt_id, category, strategy, initial_tier, final_tier, verification_performed, escalated, attempt_count,
        strategy_cost_usd * CASE WHEN strategy = 'autopilot' THEN 2 ELSE 1 END AS strategy_cost_usd,
-       strategy_latency_ms, quality_passed, quality_score FROM replay"""),
+       strategy_latency_ms * CASE WHEN strategy <> 'autopilot' AND CAST(prompt_id AS BIGINT) % 3 <> 0 THEN 3 ELSE 1 END
+         AS strategy_latency_ms, quality_passed, quality_score FROM replay"""),
+    "recent_from_log": settle_queries.ORACLE["recent_requests"],
     "model_benchmark": ([], """
 SELECT model_id AS model, NOT failed AS success, CASE WHEN failed THEN 'timeout' END AS error, COUNT(*) AS calls,
        CAST(SUM(CASE WHEN failed THEN 0 ELSE input_tokens END) AS BIGINT) AS input_tokens,

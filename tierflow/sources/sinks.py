@@ -193,29 +193,123 @@ def append_log(spark: SparkSession, rows: DataFrame, path: str, batch_id: str |
      .write.mode("append").partitionBy("bucket").parquet(path))
     rejected = F.when(F.col("known"), F.col("n")).otherwise(F.col("n") - 1)
     reason = F.when(F.col("known"), "duplicate_request_id").otherwise("duplicate_in_batch")
+    # after the log, so that the counts never say more than is there
+    (fresh.groupBy(F.col("created_at").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+     .coalesce(1).write.mode("append").parquet(_days_path(path)))  # a row a day
     return ids.select("request_id", rejected.alias("rejected_rows"), reason.alias("reject_reason")) \
         .where(F.col("rejected_rows") > 0)
 
 
+def _days_path(path: str) -> str:
+    return path.rstrip("/") + "-days"
+
+
+def newest_rows(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """Rows of the log at ``path`` among which the ``k`` newest are (all, if it has fewer).
+
+    The counts a day beside the log tell the latest day from which on there are ``k``
+    rows; the scan is cut there, and as the log's files are in order of time, those
+    of earlier days are skipped by their statistics. Counts that a crash left out only move the day back.
+    """
+    log = read_usage_log(spark, path)
+    if not _exists(spark, _days_path(path)):
+        return log
+    per_day = spark.read.schema("day date, n bigint").parquet(_days_path(path)).where(F.col("day").isNotNull())
+    # at most k days can be needed, as each has a row or more
+    days = per_day.groupBy("day").agg(F.sum("n").alias("n")).orderBy(F.col("day").desc()).limit(k).collect()
+    have = 0
+    for r in days:
+        have += r["n"]
+        if have >= k:
+            return log.where(F.col("created_at") >= F.lit(r["day"]).cast("timestamp_ntz"))
+    return log
+
+
 # --------------------------------------------------------------------------
 # A7 / A8 strategy benchmark
 # --------------------------------------------------------------------------
-def write_benchmark(df: DataFrame, path: str, run_id: str) -> None:
-    """Each run writes its own partition; re-running a run replaces only it."""
-    (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
+#: The benchmark is dealt into buckets by a hash of the prompt. A write makes anew the
+#: buckets that it has rows for, old rows that it doesn't replace included, in a
+#: folder of its own, which counts once Spark has marked it complete. Readers take each
+#: bucket from the latest folder that has it; outdated forms are then deleted.
+BENCHMARK_BUCKETS = 16
+BENCHMARK_KEY = ["prompt_id", "strategy"]
+
+
+def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if n.startswith(prefix))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def benchmark_folders(spark: SparkSession, path: str) -> tuple[dict[str, str], list[str]]:
+    """The folder of each bucket's latest complete form, and those that are outdated."""
+    latest, old = {}, []
+    for version in _children(spark, path, "version="):
+        if _exists(spark, f"{path}/{version}/_SUCCESS"):
+            for bucket in _children(spark, f"{path}/{version}", "bucket="):
+                if bucket in latest:
+                    old.append(latest[bucket])
+                latest[bucket] = f"{path}/{version}/{bucket}"
+    return latest, old
+
+
+def write_benchmark(df: DataFrame, path: str) -> None:
+    """Enter rows, one for each prompt and strategy; each replaces the earlier one of its key.
+
+    Only the buckets of prompts in ``df`` are read and written. A write that died
+    midway leaves nothing that counts (the next one deletes it) and may be sent again,
+    as may one that went through. One writer at a time.
+    """
+    spark = df.sparkSession
+    versions = _children(spark, path, "version=")
+    for v in versions:
+        if not _exists(spark, f"{path}/{v}/_SUCCESS"):
+            delete(spark, f"{path}/{v}")
+    bucket = F.pmod(F.xxhash64("prompt_id"), F.lit(BENCHMARK_BUCKETS).cast("bigint")).cast("int")
+    rows = materialize(df.withColumn("bucket", bucket), "benchmark-rows")
+    touched = {f"bucket={r[0]}" for r in rows.select("bucket").distinct().collect()}  # at most BENCHMARK_BUCKETS
+    latest, _ = benchmark_folders(spark, path)
+    before = [folder for b, folder in latest.items() if b in touched]
+    out = rows
+    if before:
+        stay = (spark.read.option("basePath", path).parquet(*before).drop("version")
+                .join(rows.select(*BENCHMARK_KEY), BENCHMARK_KEY, "left_anti"))
+        out = rows.unionByName(stay, allowMissingColumns=True)
+    number = max([int(v.split("=")[1]) for v in versions], default=0) + 1
+    # range-partitioned, so that a hot bucket isn't one task
+    (out.repartitionByRange("bucket", *BENCHMARK_KEY).write.partitionBy("bucket")
+     .parquet(f"{path}/version={number:09d}"))
+    for folder in benchmark_folders(spark, path)[1]:
+        delete(spark, folder)
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
-    """Latest row per (prompt, strategy) across runs; fails if missing or empty."""
+    """The one row of each (prompt, strategy); fails if missing or empty."""
     if not _exists(spark, path):
         raise FileNotFoundError(f"benchmark table not found: {path}")
-    df = spark.read.parquet(path)
-    if df.limit(1).count() == 0:
+    folders = sorted(benchmark_folders(spark, path)[0].values())
+    df = spark.read.option("basePath", path).parquet(*folders).drop("version", "bucket") if folders else None
+    if df is None or df.limit(1).count() == 0:
         raise ValueError("benchmark table is empty")
-    w = Window.partitionBy("prompt_id", "strategy").orderBy(F.col("run_id").desc())
-    # row number 1: each map task ships one row per key
-    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r", "run_id")
+    return df
+
+
+def benchmark_to_do(work: DataFrame, path: str) -> DataFrame:
+    """Rows of ``work`` (with prompt_id and strategy) that the benchmark lacks: where a
+    run that was broken off goes on. Reads the two key columns only."""
+    spark = work.sparkSession
+    folders = sorted(benchmark_folders(spark, path)[0].values())
+    if not folders:
+        return work
+    done = spark.read.option("basePath", path).parquet(*folders).select(*BENCHMARK_KEY)
+    return work.join(done, BENCHMARK_KEY, "left_anti")
 
 
 # --------------------------------------------------------------------------

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tierflow.operators.settle import verifier_price
 from tierflow.session import checkpoint_path
-from tierflow.sources.sinks import GENERATED
+from tierflow.sources.sinks import GENERATED, delete
 
 LOG_SCHEMA = ("request_id string, created_at timestamp, event_time timestamp_ntz, mode string, final_tier string, "
               "input_tokens bigint, output_tokens bigint, total_latency_ms double, batch_id int, day string")
@@ -122,15 +122,10 @@ def _batch_writer(out: str, rejects: str):
         again = seen.where(dated & (F.col("n") > 1)).select(
             F.col("key").alias("request_id"), *blank, (F.col("n") - 1).alias("rows"), F.lit("duplicate_request_id").alias("reason"))
         undated.unionByName(again).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
-        _delete(spark, path)
+        delete(spark, path)
     return write
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def ingest(spark: SparkSession, source: DataFrame, out: str, ckpt: str, rejects: str) -> None:
     """Run S1 over a stream of files to completion over what is available
     (restartable from ``ckpt``, whose state knows every id so far)."""
