@@ -5,10 +5,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tests.llm.conftest import SCHEMA, prose
 from tierflow.llm import decontaminate, licenses, mixing, quality, secrets, tokens
 
@@ -249,13 +252,39 @@ def test_quality_has_no_rule_without_effect(spark):
     """A host all of whose documents fail a rule is rejected, whatever the rule."""
     rng = random.Random(8)
     bad = {"base": "too short", "symbols": prose(rng, 80) + " # $ %" * 9, "lines": "a line\n" * 40 + prose(rng, 90),
-           "word_length": " ".join("abcdefghijklm" + str(i) for i in range(90))}
+           "word_length": " ".join("abcdefghijklm" + str(i) for i in range(90)),
+           "short_words": " ".join(chr(0x100 + i) for i in range(90))}
     rows = [(name, text) for name, text in bad.items() for _ in range(40)]
     rows += [(f"h{i}", prose(rng, 80)) for i in range(12) for _ in range(40)]
     d = spark.createDataFrame(rows, "source string, text string")
     v = {r.host: r for r in quality.host_verdicts(quality.measure(d)).collect()}
     assert [name for name in quality.RULES if v[name][f"fail_{name}"] != 40 or v[name].host_ok] == []
-    assert v["h0"].host_ok
+    assert v["h0"].host_ok and v["word_length"].host_ok
+    gone = {r.source for r in d.select("source").distinct().collect()} - {r.source for r in quality.passing(d).collect()}
+    assert gone == set(quality.RULES)
+    rows = d.select(F.monotonically_increasing_id().alias("doc_id"), "*")
+    judged = quality.judge(rows, ["doc_id"]).groupBy("kept").agg(F.count_if(~F.col("base_failed")).alias("n")).collect()
+    assert {r.kept: r.n for r in judged} == {True: 13 * 40, False: 3 * 40}
+
+
+def test_quality_prior_weighs_hosts_by_documents():
+    """Against the moments computed plainly; a host of one document hardly moves the prior."""
+    def plain(hosts):
+        n, x = np.array(hosts, float).T
+        m, k, total = x.sum() / n.sum(), len(n), n.sum()
+        s = (n * (x / n - m) ** 2).sum()
+        r = (s / (m * (1 - m)) - (k - 1)) / (total - (n * n).sum() / total - (k - 1))
+        return m, min(max(1 / max(r, 1e-9) - 1, 1.0), 1e6)
+
+    def ours(hosts):
+        n, x = np.array(hosts, float).T
+        return quality._prior(len(n), n.sum(), (n * n).sum(), x.sum(), (x * x / n).sum())
+    big = [(1000, 100), (1000, 300), (500, 20), (2000, 150)]
+    for hosts in (big, big + [(1, 1)], [(10, 1)] * 30, [(50, 50), (50, 0)]):
+        assert ours(hosts) == pytest.approx(plain(hosts))
+    assert ours(big + [(1, 1)])[1] == pytest.approx(ours(big)[1], rel=0.05)
+    assert ours([(10, 0), (5, 0)]) == (0.0, 1e6) and ours([(10, 3)])[1] == 1e6
+    assert quality._prior(0, 0.0, 0.0, 0.0, 0.0) == (0.0, 1e6)
 
 
 def test_quality_lines_of_one_hash(spark):

@@ -10,7 +10,10 @@ WORDS = r"regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 def quality_sql() -> str:
-    rate = quality.MAX_HOST_RATE
+    rules = {"base": "n_words < 50 OR 100 * n_repeat_words > 50 * n_words", "symbols": "n_symbols > n_words / 10",
+             "lines": "n_dup_lines > 0.3 * n_lines", "short": "word_chars < 2 * n_words"}
+    fails = ", ".join(f"CAST(({c}) AS INT) AS f_{r}" for r, c in rules.items())
+    flat = ", ".join(f"('{r}', f_{r})" for r in rules)
     return rf"""
 WITH d AS (SELECT doc_id, source, COALESCE(text, '') AS text, {WORDS} AS ws FROM documents),
 word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
@@ -18,21 +21,27 @@ gram AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OV
          FROM word WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, g) AS n FROM gram WHERE g IS NOT NULL) WHERE n > 1),
 rep AS (SELECT doc_id, COUNT(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id),
-line AS (SELECT doc_id, COUNT(*) - COUNT(DISTINCT l) AS n
+line AS (SELECT doc_id, COUNT(*) - COUNT(DISTINCT l) AS n, COUNT(*) AS n_lines
          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d)
          WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT d.doc_id, d.source, len(ws) AS n_words, CAST(COALESCE(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
              length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-             COALESCE(line.n, 0) AS n_dup_lines, COALESCE(rep.n, 0) AS n_repeat_words
+             COALESCE(line.n, 0) AS n_dup_lines, COALESCE(line.n_lines, 0) AS n_lines, COALESCE(rep.n, 0) AS n_repeat_words
       FROM d LEFT JOIN line ON line.doc_id = d.doc_id LEFT JOIN rep ON rep.doc_id = d.doc_id),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-host AS (SELECT source, COUNT(*) AS n, CAST(SUM(CAST(base_failed AS INT)) AS DOUBLE) AS x FROM f GROUP BY source),
-prior AS (SELECT AVG(x / n) AS mu, COALESCE(VAR_POP(x / n), 0) AS v FROM host),
-shrunk AS (SELECT source, (x + mu * s) / (n + s) AS rate FROM host,
-             (SELECT mu, LEAST(GREATEST(mu * (1 - mu) / GREATEST(v, 1e-12) - 1, 1.0), 1e6) AS s FROM prior) p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND rate < {rate} AS kept, ROUND(rate, 9) AS host_rate
-FROM f JOIN shrunk s ON s.source IS NOT DISTINCT FROM f.source"""
+f AS (SELECT *, {fails} FROM m),
+host AS (SELECT source, r, CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(x) AS DOUBLE) AS x
+         FROM f, LATERAL (VALUES {flat}) AS v(r, x) GROUP BY source, r),
+mean AS (SELECT r, COUNT(*) - 1 AS k1, SUM(n) AS nn, SUM(n * n) AS n2, SUM(x) / SUM(n) AS mu FROM host GROUP BY r),
+spread AS (SELECT h.r, mu, k1, nn - n2 / nn - k1 AS free, SUM(n * (x / n - mu) * (x / n - mu)) AS s
+           FROM host h JOIN mean ON mean.r = h.r GROUP BY h.r, mu, k1, nn, n2),
+prior AS (SELECT r, mu, CASE WHEN mu <= 0 OR mu >= 1 OR free <= 0 THEN {quality.STRONGEST}
+                 ELSE LEAST(GREATEST(1 / GREATEST((s / (mu * (1 - mu)) - k1) / free, 1e-9) - 1, {quality.WEAKEST}), {quality.STRONGEST}) END AS st
+          FROM spread),
+verdict AS (SELECT source, MAX((x + mu * st) / (n + st)) AS worst, MAX((x + mu * st) / (n + st)) FILTER (WHERE h.r = 'base') AS rate
+            FROM host h JOIN prior p ON p.r = h.r GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_base = 1 AS base_failed,
+       f_base = 0 AND worst < {quality.MAX_HOST_RATE} AS kept, ROUND(rate, 9) AS host_rate
+FROM f JOIN verdict v ON v.source IS NOT DISTINCT FROM f.source"""
 
 
 def suffix_tree_sql() -> str:

@@ -1,9 +1,10 @@
 """Host-level quality rules.
 
-Every document is measured once. Failures of the base rule are counted for each host,
-the rates are shrunk towards the corpus by a beta prior whose parameters come
-from the hosts themselves (method of moments), and a host's verdict is joined
-back to its documents.
+Every document is measured. Failures of each rule are counted for each host, the
+rates are shrunk towards the corpus by a beta prior whose parameters come from the
+hosts themselves (beta-binomial moments, hosts weighted by documents), and a host's
+verdict is joined back to its documents: a document goes if it fails the base
+rule, or if its host fails any one rule too often. Words and lines are compared by their bytes.
 
 Cases: a null text has no words; a null host is a host of its own; an empty
 table gives an empty result; repeated rows count and come back repeatedly;
@@ -19,12 +20,18 @@ from pyspark.sql import functions as F
 from tierflow.llm import textnp as T
 from tierflow.llm.common import materialize, ship, table
 
-#: Rules by name. base: too short or too repetitive. Each rule's shrunk rate decides
-#: on the host; the counts of symbols, lines and word lengths are reported only.
-MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-RULES = {"base": "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"}
-#: A host is rejected when its shrunk rate of base failures reaches this.
+#: Rules by name, as conditions on a document's counts. base: too short or too repetitive;
+#: symbols: more than one in ten words; lines: more than three in ten repeat an earlier
+#: one; short_words: under two code points on average, as in spaced-out letters. (Long
+#: words are no rule: scripts without spaces have them.)
+RULES = {"base": "n_words < 50 OR 100 * n_repeat_words > 50 * n_words",
+         "symbols": "10 * n_symbols > n_words",
+         "lines": "10 * n_dup_lines > 3 * n_lines",
+         "short_words": "word_chars < 2 * n_words"}
+#: A host is rejected when its shrunk rate of failures of any rule reaches this.
 MAX_HOST_RATE = 0.75
+#: Bounds of the prior's strength, in documents.
+WEAKEST, STRONGEST = 1.0, 1e6
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -119,26 +126,40 @@ def measure(docs: DataFrame, text: str = "text", row: str | None = None) -> Data
 def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per host: documents, failures and shrunk rate of each rule, verdict.
 
-    For each rule the prior Beta(a, b) has the hosts' mean rate m and the
-    strength a + b = m (1 - m) / v - 1, v the variance of the hosts' rates, at
-    least 1 and at most 1e6 (where hosts don't differ). The shrunk rate is
-    (failures + a) / (documents + a + b).
+    For each rule the prior Beta(a, b) has the corpus rate m as its mean. Its strength is
+    a + b = 1 / r - 1, where r is the correlation within hosts by the moments
+    of the beta-binomial distribution: with S = sum(n (rate - m)^2) over k hosts of n documents
+    and N in all, r = (S / (m (1 - m)) - (k - 1)) / (N - sum(n^2) / N - (k - 1)). It is held between
+    ``WEAKEST`` and ``STRONGEST``, the latter too where hosts differ no more than by chance. The
+    shrunk rate is (failures + a) / (documents + a + b).
     """
     per_host = measured.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n_docs"),
         *[F.count_if(F.expr(rule)).alias(f"fail_{name}") for name, rule in RULES.items()])
-    rate = {name: F.col(f"fail_{name}") / F.col("n_docs") for name in RULES}
     per_host = materialize(per_host, "quality-hosts")
-    prior = per_host.agg(*[F.avg(r).alias(f"m_{n}") for n, r in rate.items()],
-                         *[F.var_pop(r).alias(f"v_{n}") for n, r in rate.items()]).first()  # two numbers a rule
+    n = F.col("n_docs").cast("double")
+    sums = per_host.agg(  # one row
+        F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(n * n).alias("n2"),
+        *[F.sum(f"fail_{r}").cast("double").alias(f"x_{r}") for r in RULES],
+        *[F.sum(F.col(f"fail_{r}") * F.col(f"fail_{r}") / n).alias(f"xx_{r}") for r in RULES]).first()
     out = per_host
-    for n in RULES:
-        m, v = prior[f"m_{n}"] or 0.0, prior[f"v_{n}"] or 0.0
-        strength = min(max(m * (1 - m) / max(v, 1e-12) - 1, 1.0), 1e6)
-        out = out.withColumn(f"rate_{n}", (F.col(f"fail_{n}") + m * strength) / (F.col("n_docs") + strength))
+    for r in RULES:
+        m, strength = _prior(sums["k"], sums["n"] or 0.0, sums["n2"] or 0.0, sums[f"x_{r}"] or 0.0, sums[f"xx_{r}"] or 0.0)
+        out = out.withColumn(f"rate_{r}", (F.col(f"fail_{r}") + m * strength) / (F.col("n_docs") + strength))
     return out.select(
-        "host", "n_docs", *[f"fail_{n}" for n in RULES], *[f"rate_{n}" for n in RULES],
-        (F.col("rate_base") < max_rate).alias("host_ok"))
+        "host", "n_docs", *[f"fail_{r}" for r in RULES], *[f"rate_{r}" for r in RULES],
+        (F.greatest(*[f"rate_{r}" for r in RULES]) < max_rate).alias("host_ok"))
+
+
+def _prior(k: int, n: float, n2: float, x: float, xx: float) -> tuple[float, float]:
+    """Mean and strength from the number of hosts and the sums of documents, their
+    squares, failures, and failures squared by documents."""
+    m = x / n if n else 0.0
+    free = n - n2 / n - (k - 1) if n else 0.0
+    if not 0.0 < m < 1.0 or free <= 0.0:
+        return m, STRONGEST
+    within = ((xx - x * x / n) / (m * (1.0 - m)) - (k - 1)) / free
+    return m, min(max(1.0 / max(within, 1e-9) - 1.0, WEAKEST), STRONGEST)
 
 
 def judge(docs: DataFrame, ids: list[str], host: str = "source", text: str = "text") -> DataFrame:
