@@ -76,18 +76,13 @@ class FeatureModel:
 
     @staticmethod
     def fit(docs: DataFrame, key: str = "key", text: str = "prompt") -> "FeatureModel":
-        vocab = TM.fit_vocabulary(TM.doc_terms(docs, key, text), n_docs := docs.count())
-        # index = rank in the kept vocabulary; one window over <= 40,000 rows
-        vocab = vocab.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
-        vocab = materialize(vocab, "vocabulary")        # bounded: max_features rows
+        vocab, n_docs = TM.fit_tfidf(docs, key, text)  # bounded: max_features rows, indexed in the order of terms
         n_terms = vocab.count()
         feats = TM.prompt_features(docs, key, text)
         return FeatureModel(vocab, n_terms, n_docs, TM.fit_scaler(feats))
 
     def transform(self, docs: DataFrame, key: str = "key", text: str = "prompt") -> DataFrame:
-        tf = TM.doc_terms(docs, key, text)
-        w = TM.tfidf_weights(tf, self.vocab.select("term", "idf"), key)
-        w = w.join(F.broadcast(self.vocab.select("term", "idx")), "term")
+        w = TM.tfidf_weights(docs, self.vocab, key, text)
         packed = w.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("tw"))
         scaled = TM.apply_scaler(TM.prompt_features(docs, key, text), self.scaler, keep=(key,))
         j = scaled.join(packed, key, "left")
@@ -337,8 +332,8 @@ class Router:
     @staticmethod
     def train(train_rows: DataFrame, config: dict | None = None, parallelism: int = 9) -> "Router":
         fm = FeatureModel.fit(train_rows.select("key", "prompt"))
-        x = fm.transform(train_rows.select("key", "prompt")).join(
-            train_rows.select("key", *[f"{t}_score" for t in TIERS]), "key")
+        x = materialize_vectors(fm.transform(train_rows.select("key", "prompt")).join(
+            train_rows.select("key", *[f"{t}_score" for t in TIERS]), "key"), "router-train")
         # The 9 (tier, fold) fits are independent Spark jobs; submitting them
         # from a small thread pool lets the scheduler run them side by side
         # (the same idea as ``parallelism`` in Spark's tuning estimators).

@@ -1,13 +1,17 @@
 """Text features, TF-IDF, scaling and classifier metrics as DataFrame jobs.
 
 TF-IDF (words and bigrams, min_df 2, top 40,000 terms, sublinear tf,
-smoothed idf, L2 rows) is built relationally, from one scan of the texts:
+smoothed idf, L2 rows):
 
-  documents -> exchange of the raw text on key -> tokens, bigrams (zip_with)
-  -> explode -> tf = groupBy(key, fit, term), written once
-  -> df, corpus count = groupBy(term)   [conditional sums over fit rows]
-  -> vocabulary = top by count          [cut-off from a histogram; 40,000 rows]
-  -> weight, L2 norm over key           [broadcast join + one window on key]
+  documents -> exchange of the raw text on key, partitions by its size
+  -> tokens, bigrams (zip_with), both steps above that exchange
+  fit:    sorted terms of a document -> (term, tf) by their runs -> explode
+          -> df, corpus count = groupBy(term)   [partitions by the text's size]
+          -> vocabulary = top by count          [cut-off from a histogram; 40,000 rows]
+  weigh:  (term, tf) -> broadcast join with the vocabulary -> L2 norm by a
+          window on key, which needs no other exchange
+
+A task sorts and sums ``TASK_BYTES`` of text, however large the corpus is.
 
 Spark ML's ``IDF`` (no +1) and ``CountVectorizer`` (raw tf) do not give the
 same numbers, so the weighting is our own DataFrame code.
@@ -19,15 +23,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierflow.constants import TFIDF_MAX_FEATURES, TFIDF_MIN_DF, WORD_CLASS
 from tierflow.functions.text import FEATURE_NAMES, feature_columns
 from tierflow.operators.ranking import top_by_count
-from tierflow.session import materialize
+from tierflow.session import materialize, shuffle_partitions
 
 TOKEN = f"[{WORD_CLASS}]{{2,}}"
+#: text of one task, in bytes
+TASK_BYTES = 16 << 20
 
 
 # --------------------------------------------------------------------------
@@ -41,53 +47,98 @@ def prompt_features(docs: DataFrame, key: str = "key", text: str = "prompt") ->
 # --------------------------------------------------------------------------
 # M1 TF-IDF
 # --------------------------------------------------------------------------
-def doc_terms(docs: DataFrame, key: str = "key", text: str = "prompt", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *carry, term, tf): unigram and bigram counts per document.
+def text_partitions(docs: DataFrame, text: str = "prompt") -> int:
+    """Partitions that give each task ``TASK_BYTES`` of text, and every core one."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+
+
+def keys_repeat(docs: DataFrame, key: str = "key") -> bool:
+    """Whether a key (null too) has several rows; reads the key alone."""
+    return not docs.groupBy(key).count().where("count > 1").isEmpty()
+
+
+def _rows_of(df: DataFrame, array: Column, field: str, *keep: str) -> DataFrame:
+    """A row for each struct of the array. The outer form, as for ``inline`` Spark infers a
+    filter on the array's size and pushes it, with all that makes the array, below the exchange."""
+    return df.select(*keep, F.inline_outer(array)).where(F.col(field).isNotNull())
+
+
+def _words(docs: DataFrame, key: str, text: str, carry: tuple[str, ...], parts: int) -> DataFrame:
+    """(key, *carry, t): words and bigrams of each row, repeats included.
 
     The raw text, the smallest form of a document, is hash-partitioned on the
-    key and tokenised above that exchange, so the tokens are spread over all
-    tasks and the tf aggregation needs no other exchange.
+    key and tokenised above that exchange, so the tokens are spread over all tasks.
     """
-    d = docs.select(key, *carry, text).repartition(key)
+    d = docs.select(key, *carry, text).repartition(parts, key)
     d = d.select(key, *carry, F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0).alias("t"))
     nxt = F.slice(F.col("t"), 2, F.greatest(F.size("t"), F.lit(1)))
     bigrams = F.filter(F.zip_with(F.col("t"), nxt, lambda a, b: F.concat(a, F.lit(" "), b)),
                        lambda x: x.isNotNull())
-    terms = d.select(key, *carry, F.explode(F.concat(F.col("t"), bigrams)).alias("term"))
-    return terms.groupBy(key, *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return d.select(key, *carry, F.concat(F.col("t"), bigrams).alias("t"))
+
+
+def doc_terms(docs: DataFrame, key: str = "key", text: str = "prompt", carry: tuple[str, ...] = (),
+              parts: int | None = None) -> DataFrame:
+    """(key, *carry, term, tf): unigram and bigram counts per document.
+
+    A row's terms are counted as runs of its sorted array, so nothing is held
+    for more than one row; only where keys repeat are their rows summed, on the
+    same exchange.
+    """
+    d = _words(docs, key, text, carry, parts or text_partitions(docs, text))
+    d = d.select(key, *carry, F.sort_array("t").alias("t"))
+    new = lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1))
+    at = F.when(F.size("t") > 0, F.filter(F.sequence(F.lit(0), F.size("t") - 1), new))
+    d = d.select(key, *carry, "t", at.alias("at"))
+    run = lambda s, k: F.struct(
+        F.get("t", s).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("t")) - s).cast("bigint").alias("tf"))
+    terms = _rows_of(d, F.transform("at", run), "term", key, *carry)
+    if keys_repeat(docs, key):
+        terms = terms.groupBy(key, *carry, "term").agg(F.sum("tf").alias("tf"))
+    return terms
 
 
 def fit_vocabulary(tf: DataFrame, n_docs: int, min_df: int = TFIDF_MIN_DF,
-                   max_features: int = TFIDF_MAX_FEATURES, fit: str | None = None) -> DataFrame:
-    """(term, df, idf) for the kept terms, from tf rows (those where ``fit`` is
-    true, if given).
+                   max_features: int = TFIDF_MAX_FEATURES, parts: int = 1) -> DataFrame:
+    """(term, df, idf) for the kept terms, from the tf rows of the fit documents.
 
     ``n_docs`` (number of fit documents, empty ones included) is a one-number
     aggregate taken from the documents, not from the terms; the vocabulary
-    itself stays a DataFrame, bounded by ``max_features``, and is broadcast
-    where it is used.
+    itself is bounded by ``max_features``. The terms are summed in ``parts``
+    partitions or more.
     """
-    if fit:
-        tf = tf.where(F.col(fit))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    stats = materialize(stats.where(F.col("df") >= min_df), "term-stats")
+    with shuffle_partitions(tf.sparkSession, parts):
+        stats = materialize(stats.where(F.col("df") >= min_df), "term-stats")
     kept = top_by_count(stats, "cf", "term", max_features, "term-ties")
     idf = F.log(F.lit(float(1 + n_docs)) / (F.col("df") + 1)) + 1
     return kept.select("term", "df", idf.alias("idf"))
 
 
-def tfidf_weights(tf: DataFrame, vocab: DataFrame, key: str = "key") -> DataFrame:
-    j = tf.join(F.broadcast(vocab.select("term", "idf")), "term")
+def indexed(vocab: DataFrame) -> DataFrame:
+    """The vocabulary with ``idx``, each term's rank, written; at most max_features rows."""
+    return materialize(vocab.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1), "vocabulary")
+
+
+def tfidf_weights(docs: DataFrame, vocab: DataFrame, key: str = "key", text: str = "prompt") -> DataFrame:
+    """(key, term, idx, weight) of every document, by an ``indexed`` vocabulary.
+
+    The terms stay where the exchange of the text on key has put them, so the
+    window for the norms only sorts a partition, which is ``TASK_BYTES`` of text.
+    """
+    tf = doc_terms(docs, key, text)
+    j = tf.join(F.broadcast(vocab.select("term", "idx", "idf")), "term")
     w = (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    j = j.select(key, "term", w.alias("w"))
+    j = j.select(key, "term", "idx", w.alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return j.select(key, "term", (F.col("w") / norm).alias("weight"))
+    return j.select(key, "term", "idx", (F.col("w") / norm).alias("weight"))
 
 
-def tfidf(docs: DataFrame, fit_filter, key: str = "key", text: str = "prompt") -> DataFrame:
-    n_docs = docs.where(fit_filter).count()  # reads no text
-    tf = materialize(doc_terms(docs.withColumn("__fit", fit_filter), key, text, ("__fit",)), "doc-terms")
-    return tfidf_weights(tf, fit_vocabulary(tf, n_docs, fit="__fit"), key)
+def fit_tfidf(docs: DataFrame, key: str = "key", text: str = "prompt") -> tuple[DataFrame, int]:
+    """The ``indexed`` vocabulary of the documents, and their number."""
+    parts, n_docs = text_partitions(docs, text), docs.count()  # the count reads no text
+    return indexed(fit_vocabulary(doc_terms(docs, key, text, parts=parts), n_docs, parts=parts)), n_docs
 
 
 # --------------------------------------------------------------------------

@@ -65,10 +65,11 @@ def q_predict_fixed(spark, sf):
     features: a term's coefficient comes from its length and first code point,
     the k-th prompt feature's is (13 k + 7) mod 11 - 5 hundredths."""
     raw = V.routing_raw(spark, sf, with_labels=False).select("key", "prompt", "split")
-    weights = TM.tfidf(raw, F.col("split") == "train")
+    vocab, _ = TM.fit_tfidf(raw.where(F.col("split") == "train"))
+    weights = TM.tfidf_weights(raw, vocab)
     scaled = text_queries.q_scaled_features(spark, sf)
     coef = ((F.length("term") * 37 + F.ascii(F.substring("term", 1, 1)) * 11) % 101 - 50).cast("double") / 100
-    coefs = weights.select("term").distinct().select("term", coef.alias("coef"))
+    coefs = vocab.select("term", coef.alias("coef"))
     tail = {c: ((13 * k + 7) % 11 - 5) / 100 for k, c in enumerate(FEATURE_NAMES)}
     out = predict_linear(weights, scaled, coefs, INTERCEPT, tail, PLATT)
     return out.select("key", F.round("margin", 6).alias("margin"), F.round("probability", 6).alias("probability"))
@@ -98,11 +99,11 @@ def q_fit_optimality(spark, sf):
     raw = V.routing_raw(spark, sf, with_labels=False)
     train = complete_rows(raw.where(F.col("split") == "train"), need_prompt=True)
     fm = FeatureModel.fit(train.select("key", "prompt"))
-    x = fm.transform(train.select("key", "prompt")).join(
-        train.select("key", *[f"{t}_score" for t in TIERS]), "key")
+    x = materialize(fm.transform(train.select("key", "prompt")).join(
+        train.select("key", *[f"{t}_score" for t in TIERS]), "key"), "optimality")
     rows = []
     for t in TIERS:
-        y = materialize(x.select("key", "features", binary_target(f"{t}_score").alias("y")), "optimality")
+        y = x.select("key", "features", binary_target(f"{t}_score").alias("y"))
         model = fit_base(y)
         small = bool(gradient_norm(model, y) <= GRADIENT_BOUND)
         rows += [(t, s, "falls" if g < 0 else "rises", small) for s, g in zip(SCALES, slopes_along_fit(model, y, SCALES))]

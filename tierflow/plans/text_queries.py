@@ -38,7 +38,8 @@ def q_prompt_gate(spark, sf):
 
 def q_tfidf_weights(spark, sf):
     raw = V.routing_raw(spark, sf, with_labels=False).select("key", "prompt", "split")
-    return T.tfidf(raw, F.col("split") == "train").withColumn("weight", F.round("weight", 9))
+    vocab, _ = T.fit_tfidf(raw.where(F.col("split") == "train"))
+    return T.tfidf_weights(raw, vocab).select("key", "term", F.round("weight", 9).alias("weight"))
 
 
 def q_scaled_features(spark, sf):
