@@ -194,3 +194,19 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_an_id_is_one_row_of_the_sketch(spark):
+    """An id is looked up as one row (not one for each of its bits), and a log whose
+    sketch is of the former kind gets one."""
+    ids = spark.createDataFrame([(f"r{i}",) for i in range(50)], "request_id string")
+    marks = K._marks(ids).collect()
+    assert len(marks) == 50 and all(1 <= bin(r["mask"] % (1 << 64)).count("1") <= K.HASHES for r in marks)
+    path = K.scratch_path(spark, "log-test")
+    K.create_usage_log(spark, path)
+    rows = _log_rows(spark, ["a", "b"]).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in K.USAGE_LOG_SCHEMA.fields
+                                                     if f.name not in _log_rows(spark, ["a"]).columns])
+    rows.withColumn("bucket", K.bucket_of("request_id")).write.mode("append").partitionBy("bucket").parquet(path)
+    spark.createDataFrame([(0, 1, 1)], "bucket int, word bigint, bits bigint").write.parquet(path + "-keys")
+    found = K.known_ids(spark, spark.createDataFrame([("a",), ("c",)], "request_id string"), path)
+    assert [r["request_id"] for r in found.collect()] == ["a"]

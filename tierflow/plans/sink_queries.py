@@ -18,9 +18,12 @@ def _planted_log(spark, sf):
     without an id for every 17th."""
     log = settle_queries.usage_log(spark, sf)
     rid = F.col("request_id").cast("bigint")
-    later = log.where(rid % 13 == 0).withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 10 DAYS"))
-    bare = log.where(rid % 17 == 0).withColumn("request_id", F.lit(None).cast("string"))
-    return log.unionByName(later).unionByName(bare).unionByName(bare)
+    # the log is settled once, and each row brings its copies
+    kinds = F.array(F.lit("log"), F.when(rid % 13 == 0, "later"), *[F.when(rid % 17 == 0, "bare")] * 2)
+    copies = log.withColumn("__kind", F.explode(kinds)).where(F.col("__kind").isNotNull())
+    later = F.when(F.col("__kind") == "later", F.col("created_at") + F.expr("INTERVAL 10 DAYS")).otherwise(F.col("created_at"))
+    rid = F.when(F.col("__kind") != "bare", F.col("request_id"))
+    return copies.withColumns({"created_at": later, "request_id": rid}).drop("__kind")
 
 
 def q_usage_log_appended(spark, sf):

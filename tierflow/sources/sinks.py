@@ -74,8 +74,9 @@ def write_labelled_csv(labelled: DataFrame, path: str, columns: list[str]) -> No
 # A4-A6, D8 usage log
 # --------------------------------------------------------------------------
 #: The log is dealt into folders by a hash of the request id. Beside it lies a
-#: sketch of its ids, a Bloom filter for each bucket, kept as rows (bucket, word, bits)
-#: of its 64-bit words that are not zero, so that filters of several appends
+#: sketch of its ids, a Bloom filter for each bucket whose bits for an id all lie in one
+#: 64-bit word, kept as rows (bucket, word, bits) of the words that are not zero, so
+#: that an id is looked up as one row, and filters of several appends
 #: are joined by bit_or. More ids than it is sized for only cost more looks at the log.
 BUCKETS = 16
 SKETCH_KEYS, BITS_A_KEY, HASHES = 1 << 20, 10, 7
@@ -95,15 +96,19 @@ def bucket_of(request_id: str) -> Column:
 
 
 def _keys_path(path: str) -> str:
-    return path.rstrip("/") + "-keys"
+    return path.rstrip("/") + "-words"
 
 
 def _marks(ids: DataFrame) -> DataFrame:
     """request_id, bucket, word, mask: the bits that stand for each id in its bucket's filter."""
-    at = [F.pmod(F.xxhash64(F.lit(i), "request_id"), F.lit(SKETCH_KEYS * BITS_A_KEY).cast("bigint")) for i in range(HASHES)]
-    each = ids.select("request_id", bucket_of("request_id").alias("bucket"), F.explode(F.array(*at)).alias("at"))
-    mask = F.expr("shiftleft(1L, CAST(at & 63 AS INT))")
-    return each.select("request_id", "bucket", F.shiftright("at", 6).alias("word"), mask.alias("mask"))
+    words = max(1, SKETCH_KEYS * BITS_A_KEY // 64)
+    word = F.pmod(F.xxhash64(F.lit(0), "request_id"), F.lit(words).cast("bigint"))
+    bits = [F.expr(f"shiftleft(1L, CAST(shiftright(__h, {6 * i}) & 63 AS INT))") for i in range(HASHES)]
+    mask = bits[0]
+    for b in bits[1:]:
+        mask = mask.bitwiseOR(b)
+    return ids.select("request_id", F.xxhash64(F.lit(1), "request_id").alias("__h")).select(
+        "request_id", bucket_of("request_id").alias("bucket"), word.alias("word"), mask.alias("mask"))
 
 
 def add_to_sketch(spark: SparkSession, ids: DataFrame, path: str) -> None:
@@ -119,20 +124,20 @@ def known_ids(spark: SparkSession, ids: DataFrame, path: str) -> DataFrame:
     read, against the few ids in question, which are broadcast if they are no more
     than ``BROADCAST_IDS``."""
     if not _exists(spark, _keys_path(path)):
-        return ids.select("request_id").limit(0)
+        if not _exists(spark, path.rstrip("/") + "-keys"):
+            return ids.select("request_id").limit(0)
+        add_to_sketch(spark, read_usage_log(spark, path), path)  # the log has a sketch of the former kind
     sketch = spark.read.schema(SKETCH_SCHEMA).parquet(_keys_path(path))
-    marks = _marks(ids)
     words = sketch.groupBy("bucket", "word").agg(F.bit_or("bits").alias("bits"))
-    hit = F.col("bits").isNotNull() & (F.col("bits").bitwiseAND(F.col("mask")) != 0)
-    maybe = (marks.join(words, ["bucket", "word"], "left").groupBy("request_id", "bucket")
-             .agg(F.bool_and(hit).alias("there")).where("there").select("request_id", "bucket"))
+    maybe = (_marks(ids).join(words, ["bucket", "word"]).where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
+             .select("request_id", "bucket"))
     maybe = materialize(maybe, "log-maybe")
     per_bucket = {r["bucket"]: r["n"] for r in maybe.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
     asked = maybe.select("request_id")
     if sum(per_bucket.values()) <= BROADCAST_IDS:
         asked = F.broadcast(asked)
     log = _log_with_parts(spark, path).where(F.col("bucket").isin(*per_bucket) if per_bucket else F.lit(False))
-    return log.select("request_id").join(asked, "request_id")
+    return log.select("request_id").join(asked, "request_id", "left_semi")
 
 
 def _log_with_parts(spark: SparkSession, path: str) -> DataFrame:
@@ -185,7 +190,8 @@ def append_log(spark: SparkSession, rows: DataFrame, path: str, batch_id: str |
     ids = ids.join(known, "request_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     new = ids.where(~F.col("known")).select("request_id")
     add_to_sketch(spark, new, path)
-    fresh = first_per_id(batch, "created_at").join(new, "request_id", "left_semi")
+    # written, as the range partitioning, the log and the days each read it
+    fresh = materialize(first_per_id(batch, "created_at").join(new, "request_id", "left_semi"), "log-fresh")
     # range-partition on (bucket, time, id): each task writes few files, in order of time, and
     # no folder lands in one task because it is hot
     out = fresh.withColumn("bucket", bucket_of("request_id"))
