@@ -177,3 +177,18 @@ def test_platt_newton_against_brute_force(spark):
     assert 1 / (1 + np.exp(-(2 * a + b))) == pytest.approx(t, abs=1e-6)
     with pytest.raises(ValueError):
         fit_platt(spark.createDataFrame([], "m double, y int"), "m")
+
+
+def test_weights_stay_on_the_exchange_of_the_text(spark, monkeypatch):
+    """The terms are not exchanged again for the norms, partitions grow with the text, and
+    rows of a key that repeats count as one document."""
+    docs = spark.createDataFrame([(1, "aa bb aa"), (2, "aa bb cc"), (2, "bb cc"), (None, "bb"), (3, None)], "key long, prompt string")
+    monkeypatch.setattr(TM, "TASK_BYTES", 1)
+    assert TM.text_partitions(docs) == max(23, spark.sparkContext.defaultParallelism)
+    got = sorted((r["key"], r["term"], r["tf"]) for r in TM.doc_terms(docs.where("key IS NOT NULL")).collect())
+    assert got == [(1, "aa", 2), (1, "aa bb", 1), (1, "bb", 1), (1, "bb aa", 1),
+                   (2, "aa", 1), (2, "aa bb", 1), (2, "bb", 2), (2, "bb cc", 2), (2, "cc", 2)]
+    vocab, n_docs = TM.fit_tfidf(docs)
+    w = TM.tfidf_weights(docs.where("key = 1"), vocab)
+    assert w._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # before it runs
+    assert n_docs == 5 and sum(r["weight"] ** 2 for r in w.collect()) == pytest.approx(1.0)
