@@ -192,3 +192,72 @@ def test_weights_stay_on_the_exchange_of_the_text(spark, monkeypatch):
     w = TM.tfidf_weights(docs.where("key = 1"), vocab)
     assert w._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # before it runs
     assert n_docs == 5 and sum(r["weight"] ** 2 for r in w.collect()) == pytest.approx(1.0)
+
+
+def _entries(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["key"], []).append({int(i): float(v) for i, v in zip(r["features"].indices, r["features"].values)})
+    return out
+
+
+def test_vectors_are_the_relational_weights(spark, monkeypatch):
+    """Vectors hold the weights of the table of terms; where no key repeats, no such table is made.
+    A row without text or key has its features alone, and rows of a repeated key are one document."""
+    texts = [(1, "aa bb aa cc?"), (2, "bb cc dd"), (3, None), (4, ""), (5, "Zz zz"), (None, "aa bb")]
+    once = spark.createDataFrame(texts, "key long, prompt string")
+    for docs in (once, once.unionByName(spark.createDataFrame([(2, "aa aa bb"), (5, "Zz zz")], once.schema))):
+        model, x = FeatureModel.fit_transform(docs)
+        want = {}
+        for r in TM.tfidf_weights(docs.where("key IS NOT NULL"), model.vocab).collect():
+            want.setdefault(r["key"], {})[r["idx"]] = r["weight"]
+        scaled = {}
+        for r in TM.apply_scaler(TM.prompt_features(docs), TM.fit_scaler(TM.prompt_features(docs))).collect():
+            scaled.setdefault(r["key"], []).append([r[c] for c in model.scaler])
+        with monkeypatch.context() as m:
+            if docs is once:
+                m.setattr(TM, "tfidf_weights", None)
+            for got in (_entries(x), _entries(model.transform(docs))):
+                assert got.keys() == scaled.keys()
+                for key, rows in got.items():
+                    terms = [{i: v for i, v in row.items() if i < model.n_terms} for row in rows]
+                    assert all(t == pytest.approx(want.get(key, {})) for t in terms)
+                    tails = [[row.get(model.n_terms + i, 0.0) for i in range(8)] for row in rows]
+                    assert sorted(tails) == [pytest.approx(t) for t in sorted(scaled[key], key=lambda t: [float("-inf") if v is None else v for v in t])] \
+                        or None in sum(scaled[key], [])
+
+
+def test_calibration_reads_no_vectors(spark, monkeypatch):
+    """The rounds of the calibration read written margins."""
+    from tierflow.operators import learn
+    rows = [(float(i), i % 2, i % 3) for i in range(24)]
+    train = spark.createDataFrame(rows, "a double, y int, fold int")
+    from pyspark.ml.feature import VectorAssembler
+    train = VectorAssembler(inputCols=["a"], outputCol="features").transform(train)
+    seen = []
+    monkeypatch.setattr(learn, "fit_platt", lambda m, *a: seen.append(m) or fit_platt(m, *a))
+    TierModel.fit_pair(train, 1)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "features" not in plan and "UDF" not in plan
+
+
+def test_tiers_train_on_one_table_of_vectors(spark, monkeypatch):
+    """Each tier's rows and folds are those of ``stratified_folds``, repeated keys included, but no
+    tier has a table of its own."""
+    from tierflow.operators import learn
+    raw = [(i, f"word{i % 7} and word{i % 5}", (i % 4) / 4 + 0.2, (i % 3) / 2, (i % 5) / 4) for i in range(40)]
+    rows = spark.createDataFrame(raw + raw[:3], "key long, prompt string, tier_1_score double, tier_2_score double, tier_3_score double")
+    trained, names, written = {}, [], learn.materialize
+
+    def fit_pair(train, k):
+        counts = sorted(tuple(r) for r in train.groupBy("y", "fold").count().collect())
+        trained.setdefault(k, []).append(counts)
+        return None, (1.0, 0.0)
+    monkeypatch.setattr(TierModel, "fit_pair", staticmethod(fit_pair))
+    monkeypatch.setattr(learn, "materialize", lambda df, name: names.append((name, "features" in df.columns)) or written(df, name))
+    Router.train(rows, parallelism=1)
+    scores = rows.select("key", *[f"tier_{k}_score" for k in (1, 2, 3)])
+    want = [sorted(tuple(r) for r in stratified_folds(rows.select("key").join(scores, "key").select(
+        "key", binary_target(f"tier_{k}_score").alias("y"))).groupBy("y", "fold").count().collect()) for k in (1, 2, 3)]
+    assert trained == {k: want for k in range(3)}
+    assert [n for n, vectors in names if vectors] == ["router-train"]

@@ -1,17 +1,19 @@
 """Learning P(tier succeeds | prompt): features, calibrated logistic models.
 
 M3  features = L2 TF-IDF (fit on train) ++ 8 population-scaled prompt
-    features, as one sparse vector per document.  The long (key, index,
-    weight) table is folded per document with a sorted ``collect_list``
-    (bounded by one document's distinct terms) into the struct that Spark ML
-    stores for a sparse vector; the table is written and read back with the
-    vector type as its schema, so no Python runs per row.
+    features, as one sparse vector per document.  A document's terms are counted
+    as a sparse vector by the vocabulary, so no row is made for a term.  The counts
+    are written and read back as the struct that Spark ML stores for a vector, the
+    weighted vectors are written as that struct and read back with the vector type as
+    schema, so no Python runs per row.  Only where keys repeat is the long (key, index,
+    weight) table folded by key with a sorted ``collect_list``.
 M4  Spark ML ``LogisticRegression`` per tier with class-balanced weights
     n / (2 * n_class); with those weights summing to n, an L2 penalty of
     C = 1 is ``regParam = 1 / n`` (no standardisation, intercept free).
 M5  sigmoid (Platt) calibration over 3 folds: per fold, fit M4 on the other
     two, take margins on the held-out fold, fit slope and intercept on them
     with Platt's smoothed targets by Newton steps from six sums a round.
+    The margins are written once, so a round reads no vectors.
     The prediction averages the three calibrated models.  Folds are stratified: each class is dealt evenly in the
     order of a hash of the key; a class too small for the folds is an error.
 M6  batch prediction = vector -> three margins -> calibrated mean.
@@ -60,6 +62,13 @@ def as_vectors(df: DataFrame, size: int, idx: Column, val: Column, name: str) ->
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: Each fit holds about half its text's bytes in memory, and rereads from disk in each of its some
+#: 200 rounds what doesn't fit: text of the fits that run side by side, if more than one tier's
+FIT_BYTES = 9 << 30
+
+#: Rows go to the solver in blocks; each costs it a dense array of all coefficients a round
+BLOCK_MB = 16.0
+
 #: Newton rounds, the step at which they end, and the ridge of an idle parameter
 PLATT_ROUNDS, PLATT_STEP, PLATT_RIDGE = 50, 1e-10, 1e-12
 
@@ -69,6 +78,7 @@ class FeatureModel:
 
     def __init__(self, vocab: DataFrame, n_terms: int, n_docs: int, scaler: dict):
         self.vocab, self.n_terms, self.n_docs, self.scaler = vocab, n_terms, n_docs, scaler
+        self._counter = None
 
     @property
     def size(self) -> int:
@@ -81,15 +91,43 @@ class FeatureModel:
         feats = TM.prompt_features(docs, key, text)
         return FeatureModel(vocab, n_terms, n_docs, TM.fit_scaler(feats))
 
+    @staticmethod
+    def fit_transform(docs: DataFrame, key: str = "key", text: str = "prompt") -> tuple["FeatureModel", DataFrame]:
+        """``fit`` and ``transform`` of the same documents; their prompt features are computed once."""
+        vocab, n_docs = TM.fit_tfidf(docs, key, text)
+        model = FeatureModel(vocab, vocab.count(), n_docs, {})
+        counted = model._counted(docs, key, text)
+        model.scaler = TM.fit_scaler(counted)
+        return model, model._vectors(counted, key)
+
     def transform(self, docs: DataFrame, key: str = "key", text: str = "prompt") -> DataFrame:
-        w = TM.tfidf_weights(docs, self.vocab, key, text)
-        packed = w.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("tw"))
-        scaled = TM.apply_scaler(TM.prompt_features(docs, key, text), self.scaler, keep=(key,))
-        j = scaled.join(packed, key, "left")
+        return self._vectors(self._counted(docs, key, text), key)
+
+    def _counted(self, docs: DataFrame, key: str, text: str) -> DataFrame:
+        """(key, prompt features, idx, weight), unscaled, from a table that is written."""
+        if TM.keys_repeat(docs, key):  # rows of a key are one document
+            w = TM.tfidf_weights(docs, self.vocab, key, text)
+            packed = w.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("tw"))
+            j = TM.prompt_features(docs, key, text).join(packed, key, "left")
+            return materialize(j.select(key, *FEATURE_NAMES, "tw.idx", "tw.weight"), "weights")
+        if self._counter is None:
+            self._counter = TM.term_counter(self.vocab)
+        counter, idf = self._counter
+        plain = docs.select(key, text, *[c.alias(n) for n, c in feature_columns(F.col(text)).items()])
+        counts = TM.count_terms(plain, counter, key, text, tuple(FEATURE_NAMES))
+        path = checkpoint_path(docs.sparkSession, f"tables/counts-{uuid.uuid4().hex}")
+        counts.write.parquet(path)
+        stored = StructType([*counts.drop("tf").schema, StructField("tf", VectorUDT.sqlType())])
+        idx, weight = TM.tfidf_arrays("tf", idf)
+        return docs.sparkSession.read.schema(stored).parquet(path).select(
+            key, *FEATURE_NAMES, idx.alias("idx"), weight.alias("weight"))
+
+    def _vectors(self, counted: DataFrame, key: str) -> DataFrame:
+        j = TM.apply_scaler(counted, self.scaler, keep=(key, "idx", "weight"))
         tail_idx = F.array(*[F.lit(self.n_terms + i) for i in range(len(FEATURE_NAMES))])
         tail_val = F.array(*[F.col(c) for c in FEATURE_NAMES])
-        idx = F.concat(F.coalesce(F.col("tw.idx"), F.array().cast("array<int>")), tail_idx)
-        val = F.concat(F.coalesce(F.col("tw.weight"), F.array().cast("array<double>")), tail_val)
+        idx = F.concat(F.coalesce("idx", F.array().cast("array<int>")), tail_idx)
+        val = F.concat(F.coalesce("weight", F.array().cast("array<double>")), tail_val)
         return as_vectors(j.select(key, idx.alias("__idx"), val.alias("__val")), self.size,
                           F.col("__idx"), F.col("__val"), "features")
 
@@ -114,14 +152,19 @@ def materialize_vectors(df: DataFrame, name: str) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, label: str = "y", folds: int = CALIBRATION_FOLDS, key: str = "key") -> DataFrame:
-    """df with ``fold``: each class is dealt evenly to the folds in the order of a
+    """df with ``fold``, joined on key; see ``dealt_folds``."""
+    return df.join(dealt_folds(df, label, folds, key), key)
+
+
+def dealt_folds(df: DataFrame, label: str = "y", folds: int = CALIBRATION_FOLDS, key: str = "key") -> DataFrame:
+    """(key, fold): each class is dealt evenly to the folds in the order of a
     hash of the key.  A class with fewer rows than folds is an error."""
     small = df.groupBy(label).count().collect()  # two rows
     if len(small) < 2 or any(r["count"] < folds for r in small):
         raise ValueError(f"each class needs at least {folds} rows, found {[tuple(r) for r in small]}")
     h = F.xxhash64(F.col(key), F.lit(SEED))
     dealt = global_rank(df.select(key, label), [label], [h, F.col(key)], "__rank", "folds")
-    return df.join(dealt.select(key, (F.col("__rank") % folds).cast("int").alias("fold")), key)
+    return dealt.select(key, (F.col("__rank") % folds).cast("int").alias("fold"))
 
 
 def _balanced(df: DataFrame, label: str) -> tuple[DataFrame, int]:
@@ -138,7 +181,8 @@ def fit_base(df: DataFrame, label: str = "y") -> LogisticRegressionModel:
     weighted, n = _balanced(df, label)
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="w",
                             maxIter=LR_MAX_ITER, tol=LR_TOL, regParam=1.0 / max(n, 1),
-                            elasticNetParam=0.0, standardization=False, fitIntercept=True)
+                            elasticNetParam=0.0, standardization=False, fitIntercept=True,
+                            maxBlockSizeInMB=BLOCK_MB)
     model = lr.fit(weighted)
     return model
 
@@ -203,8 +247,8 @@ class TierModel:
         ``train`` has ``fold`` (see ``stratified_folds``)."""
         f = F.col("fold")
         base = fit_base(train.where(f != k), label)
-        held = margin(base, train.where(f == k), "m")
-        return base, fit_platt(held, "m", label)
+        held = margin(base, train.where(f == k).select("features", label), "m").select("m", label)
+        return base, fit_platt(materialize(held, "margins"), "m", label)
 
     @staticmethod
     def fit(train: DataFrame, label: str = "y", folds: int = CALIBRATION_FOLDS) -> "TierModel":
@@ -330,17 +374,24 @@ class Router:
         self.features, self.tiers, self.config = features, tiers, config
 
     @staticmethod
-    def train(train_rows: DataFrame, config: dict | None = None, parallelism: int = 9) -> "Router":
-        fm = FeatureModel.fit(train_rows.select("key", "prompt"))
-        x = materialize_vectors(fm.transform(train_rows.select("key", "prompt")).join(
-            train_rows.select("key", *[f"{t}_score" for t in TIERS]), "key"), "router-train")
+    def train(train_rows: DataFrame, config: dict | None = None, parallelism: int | None = None) -> "Router":
+        fm, vectors = FeatureModel.fit_transform(train_rows.select("key", "prompt"))
+        scores = train_rows.select("key", *[binary_target(f"{t}_score").alias(t) for t in TIERS])
+        # The folds are dealt by key and label alone. The vectors are joined with the labels and
+        # folds of all tiers at once; a key has a list of folds, one if it doesn't repeat.
+        labels = materialize(vectors.select("key").join(scores, "key"), "router-labels")
+        x = vectors.join(scores, "key")
+        for t in TIERS:
+            x = x.join(dealt_folds(labels, t).groupBy("key").agg(F.collect_list("fold").alias(f"{t}_folds")), "key")
+        x = materialize_vectors(x, "router-train")
+        if parallelism is None:
+            parallelism = max(CALIBRATION_FOLDS, min(9, FIT_BYTES // max(TM.text_bytes(train_rows), 1)))
         # The 9 (tier, fold) fits are independent Spark jobs; submitting them
         # from a small thread pool lets the scheduler run them side by side
         # (the same idea as ``parallelism`` in Spark's tuning estimators).
         jobs = [(t, k) for t in TIERS for k in range(CALIBRATION_FOLDS)]
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            dealt = {t: materialize_vectors(stratified_folds(
-                x.select("key", "features", binary_target(f"{t}_score").alias("y"))), "tier-train") for t in TIERS}
+            dealt = {t: x.select("features", F.col(t).alias("y"), F.explode(f"{t}_folds").alias("fold")) for t in TIERS}
             futs = {job: pool.submit(TierModel.fit_pair, dealt[job[0]], job[1]) for job in jobs}
             tiers = {t: TierModel([futs[(t, k)].result() for k in range(CALIBRATION_FOLDS)])
                      for t in TIERS}

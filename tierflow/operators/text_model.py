@@ -13,6 +13,10 @@ smoothed idf, L2 rows):
 
 A task sorts and sums ``TASK_BYTES`` of text, however large the corpus is.
 
+Weights for a model's vectors (``tfidf_arrays``) need no row for each term: Spark ML's
+``CountVectorizerModel`` counts a document's terms by the vocabulary, and two
+arrays hold them.
+
 Spark ML's ``IDF`` (no +1) and ``CountVectorizer`` (raw tf) do not give the
 same numbers, so the weighting is our own DataFrame code.
 
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +54,11 @@ def prompt_features(docs: DataFrame, key: str = "key", text: str = "prompt") ->
 # --------------------------------------------------------------------------
 def text_partitions(docs: DataFrame, text: str = "prompt") -> int:
     """Partitions that give each task ``TASK_BYTES`` of text, and every core one."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-text_bytes(docs, text) // TASK_BYTES))
+
+
+def text_bytes(docs: DataFrame, text: str = "prompt") -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 def keys_repeat(docs: DataFrame, key: str = "key") -> bool:
@@ -135,6 +143,36 @@ def tfidf_weights(docs: DataFrame, vocab: DataFrame, key: str = "key", text: str
     return j.select(key, "term", "idx", (F.col("w") / norm).alias("weight"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row; as a column of its own, Spark may
+    put it into the body, which for a lambda means once an element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def term_counter(vocab: DataFrame) -> tuple[CountVectorizerModel, list[float]]:
+    """Counts of an ``indexed`` vocabulary's terms, words in ``t``, vector in ``tf``, and the
+    terms' idf; at most max_features rows."""
+    rows = vocab.select("term", "idf").orderBy("idx").collect()
+    model = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol="t", outputCol="tf")
+    return model, [r["idf"] for r in rows]
+
+
+def count_terms(docs: DataFrame, counter: CountVectorizerModel, key: str = "key", text: str = "prompt",
+                carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *carry, tf): each row's counts as a sparse vector, none without a key. Keys don't repeat."""
+    d = _words(docs, key, text, carry, text_partitions(docs, text))
+    t = F.coalesce(F.when(F.col(key).isNotNull(), F.col("t")), F.array().cast("array<string>"))
+    return counter.transform(d.select(key, *carry, t.alias("t"))).drop("t")
+
+
+def tfidf_arrays(tf: str, idf: list[float]) -> tuple[Column, Column]:
+    """Indices and weights of a vector of counts, read as a struct."""
+    table = F.split(F.lit(",".join(map(repr, idf))), ",").cast("array<double>")  # folded to a constant by Spark
+    w = F.zip_with(f"{tf}.indices", f"{tf}.values", lambda i, n: (1 + F.log(n)) * F.get(table, i))
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+    return F.col(f"{tf}.indices"), _let(w, lambda v: _let(F.sqrt(square(v)), lambda n: F.transform(v, lambda x: x / n)))
+
+
 def fit_tfidf(docs: DataFrame, key: str = "key", text: str = "prompt") -> tuple[DataFrame, int]:
     """The ``indexed`` vocabulary of the documents, and their number."""
     parts, n_docs = text_partitions(docs, text), docs.count()  # the count reads no text

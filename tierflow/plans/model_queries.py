@@ -47,9 +47,8 @@ def q_quality_model_metrics(spark, sf):
         "key", "prompt", "split", F.col("quality").cast("int").alias("y"))
     train = lab.where(F.col("split") == "train")
     val = lab.where(F.col("split") == "validation")
-    fm = FeatureModel.fit(train.select("key", "prompt"))
-    x = materialize(fm.transform(train.select("key", "prompt")).join(train.select("key", "y"), "key"),
-                    "quality-train")
+    fm, vectors = FeatureModel.fit_transform(train.select("key", "prompt"))
+    x = materialize(vectors.join(train.select("key", "y"), "key"), "quality-train")
     model = TierModel.fit(x)
     scored = model.predict(fm.transform(val.select("key", "prompt")).join(val.select("key", "y"), "key"), "p")
     return TM.classifier_metrics(scored.withColumn("target", F.lit("quality")), "target", "p", "y")
@@ -98,9 +97,8 @@ def q_fit_optimality(spark, sf):
     of the solution the loss falls up to it and rises from it on."""
     raw = V.routing_raw(spark, sf, with_labels=False)
     train = complete_rows(raw.where(F.col("split") == "train"), need_prompt=True)
-    fm = FeatureModel.fit(train.select("key", "prompt"))
-    x = materialize(fm.transform(train.select("key", "prompt")).join(
-        train.select("key", *[f"{t}_score" for t in TIERS]), "key"), "optimality")
+    _, vectors = FeatureModel.fit_transform(train.select("key", "prompt"))
+    x = materialize(vectors.join(train.select("key", *[f"{t}_score" for t in TIERS]), "key"), "optimality")
     rows = []
     for t in TIERS:
         y = x.select("key", "features", binary_target(f"{t}_score").alias("y"))
