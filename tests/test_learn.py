@@ -261,3 +261,58 @@ def test_tiers_train_on_one_table_of_vectors(spark, monkeypatch):
         "key", binary_target(f"tier_{k}_score").alias("y"))).groupBy("y", "fold").count().collect()) for k in (1, 2, 3)]
     assert trained == {k: want for k in range(3)}
     assert [n for n, vectors in names if vectors] == ["router-train"]
+
+
+def test_fits_side_by_side_are_kept_in_memory(spark, monkeypatch):
+    """As many fits run at once as the executors can cache the rows of, one at least; tasks of a round
+    have a size that doesn't come from the scan."""
+    import threading
+    import time
+
+    from tierflow.operators import learn
+    from tierflow.session import storage_bytes
+    raw = [(i, f"word{i % 7} and word{i % 5}", (i % 4) / 4 + 0.2, (i % 3) / 2, (i % 5) / 4) for i in range(40)]
+    rows = spark.createDataFrame(raw, "key long, prompt string, tier_1_score double, tier_2_score double, tier_3_score double")
+    _, x = FeatureModel.fit_transform(rows.select("key", "prompt"))
+    size = learn.entry_bytes(x)
+    assert size == 12 * sum(len(r["features"].indices) for r in x.collect())
+    assert storage_bytes(spark) > 1 << 27  # of a local master's driver
+    assert [learn.fits_at_once(spark, n, 9) for n in (0, size, 1 << 50)] == [9, 9, 1]
+    now, parts, lock = [0, 0], [], threading.Lock()
+
+    def fit_pair(train, k):
+        with lock:
+            now[0] += 1
+            now[1] = max(now)
+            parts.append(train.rdd.getNumPartitions())
+        time.sleep(0.2)
+        with lock:
+            now[0] -= 1
+        return None, (1.0, 0.0)
+    monkeypatch.setattr(TierModel, "fit_pair", staticmethod(fit_pair))
+    monkeypatch.setattr(learn, "materialize_vectors", lambda df, name: learn.materialize(df.repartition(3 * cores), name))
+    cores, most = spark.sparkContext.defaultParallelism, "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(most)
+    spark.conf.set(most, "4m")  # what opening a file counts for: a task for each file
+    try:
+        for room, at_once in ((0, 1), (2 * (size * 2 // 3), 2)):
+            now[1] = 0
+            monkeypatch.setattr(learn, "storage_bytes", lambda _: room)
+            Router.train(rows)
+            assert now[1] == at_once and {*parts} == {2 * cores}
+    finally:
+        spark.conf.set(most, before)
+
+
+def test_margins_are_few_files(spark, monkeypatch):
+    """A fold's margins are some numbers a row: they don't get a file for each task of the vectors' scan."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from tierflow.operators import learn
+    train = VectorAssembler(inputCols=["a"], outputCol="features").transform(
+        spark.createDataFrame([(float(i), i % 2, i % 3) for i in range(240)], "a double, y int, fold int")).repartition(80)
+    seen = []
+    monkeypatch.setattr(learn, "fit_platt", lambda m, *a: seen.append(m) or fit_platt(m, *a))
+    TierModel.fit_pair(train, 1)
+    assert seen[0].count() == 80
+    assert len(seen[0].inputFiles()) <= 2 * spark.sparkContext.defaultParallelism

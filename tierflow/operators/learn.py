@@ -44,7 +44,7 @@ from tierflow.functions.routing import binary_target
 from tierflow.functions.text import FEATURE_NAMES, feature_columns
 from tierflow.operators import text_model as TM
 from tierflow.operators.ranking import global_rank
-from tierflow.session import checkpoint_path, materialize
+from tierflow.session import checkpoint_path, materialize, storage_bytes
 
 
 #: A sparse vector as Spark ML stores it.  A table with such a struct, read with
@@ -62,9 +62,12 @@ def as_vectors(df: DataFrame, size: int, idx: Column, val: Column, name: str) ->
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-#: Each fit holds about half its text's bytes in memory, and rereads from disk in each of its some
-#: 200 rounds what doesn't fit: text of the fits that run side by side, if more than one tier's
-FIT_BYTES = 9 << 30
+#: An entry of a sparse vector in memory: its index and its value
+ENTRY_BYTES = 12
+
+#: Entries of one task of a round, in bytes. A task costs a round a dense array of all coefficients, and
+#: holds its rows once more while they are cached, read back from disk or sent to another executor
+ROUND_BYTES = 32 << 20
 
 #: Rows go to the solver in blocks; each costs it a dense array of all coefficients a round
 BLOCK_MB = 16.0
@@ -151,6 +154,27 @@ def materialize_vectors(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def entry_bytes(written: DataFrame) -> int:
+    """What the vectors of a written table hold in memory: lengths of the indices of the stored struct."""
+    files = written.inputFiles()
+    if not files:
+        return 0
+    stored = written.sparkSession.read.schema(f"features {_VECTOR}").parquet(*files)
+    return ENTRY_BYTES * (stored.agg(F.sum(F.size("features.indices"))).first()[0] or 0)
+
+
+def fits_at_once(spark: SparkSession, size: int, most: int, folds: int = CALIBRATION_FOLDS) -> int:
+    """How many fits of a table's vectors, each of all folds but one, the executors can keep in memory side
+    by side; one at least. A fit reads all its rows in each of its some hundred rounds, and what others
+    have driven out of memory it reads from disk."""
+    return max(1, min(most, storage_bytes(spark) // max(size * (folds - 1) // folds, 1)))
+
+
+def few_parts(df: DataFrame, size: int = 0) -> DataFrame:
+    """df in as many partitions as tasks of ``ROUND_BYTES`` need, and every core two; rows aren't exchanged."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // ROUND_BYTES)))
+
+
 def stratified_folds(df: DataFrame, label: str = "y", folds: int = CALIBRATION_FOLDS, key: str = "key") -> DataFrame:
     """df with ``fold``, joined on key; see ``dealt_folds``."""
     return df.join(dealt_folds(df, label, folds, key), key)
@@ -248,13 +272,15 @@ class TierModel:
         f = F.col("fold")
         base = fit_base(train.where(f != k), label)
         held = margin(base, train.where(f == k).select("features", label), "m").select("m", label)
-        return base, fit_platt(materialize(held, "margins"), "m", label)
+        return base, fit_platt(materialize(few_parts(held), "margins"), "m", label)
 
     @staticmethod
     def fit(train: DataFrame, label: str = "y", folds: int = CALIBRATION_FOLDS) -> "TierModel":
-        """The folds are independent jobs: submit them side by side."""
+        """The folds are independent jobs: submit them side by side, as far as they fit in memory."""
         train = materialize_vectors(stratified_folds(train, label, folds), "tier-train")
-        with ThreadPoolExecutor(max_workers=folds) as pool:
+        size = entry_bytes(train)
+        train = few_parts(train, size)
+        with ThreadPoolExecutor(max_workers=fits_at_once(train.sparkSession, size, folds, folds)) as pool:
             futs = [pool.submit(TierModel.fit_pair, train, k, label, folds) for k in range(folds)]
             return TierModel([f.result() for f in futs])
 
@@ -384,12 +410,15 @@ class Router:
         for t in TIERS:
             x = x.join(dealt_folds(labels, t).groupBy("key").agg(F.collect_list("fold").alias(f"{t}_folds")), "key")
         x = materialize_vectors(x, "router-train")
-        if parallelism is None:
-            parallelism = max(CALIBRATION_FOLDS, min(9, FIT_BYTES // max(TM.text_bytes(train_rows), 1)))
+        size = entry_bytes(x)
+        x = few_parts(x, size)
         # The 9 (tier, fold) fits are independent Spark jobs; submitting them
         # from a small thread pool lets the scheduler run them side by side
-        # (the same idea as ``parallelism`` in Spark's tuning estimators).
+        # (the same idea as ``parallelism`` in Spark's tuning estimators), as far
+        # as the executors can keep their vectors in memory.
         jobs = [(t, k) for t in TIERS for k in range(CALIBRATION_FOLDS)]
+        if parallelism is None:
+            parallelism = fits_at_once(x.sparkSession, size, len(jobs))
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             dealt = {t: x.select("features", F.col(t).alias("y"), F.explode(f"{t}_folds").alias("fold")) for t in TIERS}
             futs = {job: pool.submit(TierModel.fit_pair, dealt[job[0]], job[1]) for job in jobs}
