@@ -295,7 +295,7 @@ def test_fits_side_by_side_are_kept_in_memory(spark, monkeypatch):
     before = spark.conf.get(most)
     spark.conf.set(most, "4m")  # what opening a file counts for: a task for each file
     try:
-        for room, at_once in ((0, 1), (2 * (size * 2 // 3), 2)):
+        for room, at_once in ((0, 1), (3 * (size * 2 // 3), 2)):
             now[1] = 0
             monkeypatch.setattr(learn, "storage_bytes", lambda _: room)
             Router.train(rows)

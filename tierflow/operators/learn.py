@@ -69,6 +69,9 @@ ENTRY_BYTES = 12
 #: holds its rows once more while they are cached, read back from disk or sent to another executor
 ROUND_BYTES = 32 << 20
 
+#: Rows of a fit aren't spread evenly: the share of the executors' storage that fits side by side may take
+STORAGE_SHARE = 0.8
+
 #: Rows go to the solver in blocks; each costs it a dense array of all coefficients a round
 BLOCK_MB = 16.0
 
@@ -167,7 +170,8 @@ def fits_at_once(spark: SparkSession, size: int, most: int, folds: int = CALIBRA
     """How many fits of a table's vectors, each of all folds but one, the executors can keep in memory side
     by side; one at least. A fit reads all its rows in each of its some hundred rounds, and what others
     have driven out of memory it reads from disk."""
-    return max(1, min(most, storage_bytes(spark) // max(size * (folds - 1) // folds, 1)))
+    room = int(STORAGE_SHARE * storage_bytes(spark))
+    return max(1, min(most, room // max(size * (folds - 1) // folds, 1)))
 
 
 def few_parts(df: DataFrame, size: int = 0) -> DataFrame:
